@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumine.llm import decontam, html_template, pii, quality, simhash, toxicity, url_filter
+from vellumine.llm import ann, decontam, html_template, pii, quality, simhash, toxicity, url_filter
 from vellumine.shared import table
 
 #: The rules (host, path, verdict) that op10 judges by.
@@ -22,6 +23,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "item_tokens", "at")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op3_decontamination": op3_decontamination,
+    "op5_ann": op5_ann,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
