@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import ann, decontam, html_template, pii, quality, simhash, toxicity, url_filter
+from vellumine.llm import ann, decontam, html_template, packing, pii, quality, simhash, toxicity, url_filter
 from vellumine.shared import table
 
 #: The rules (host, path, verdict) that op10 judges by.
@@ -18,6 +18,10 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "item_tokens", "at")
@@ -50,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
+    "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op5_ann": op5_ann,
     "op6_quality": op6_quality,
