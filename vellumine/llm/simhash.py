@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.llm.common import sized_join
 from vellumine.shared import cut
 
 SEED = 42
@@ -39,6 +40,11 @@ LEVELS = 3
 FANOUT = 16
 #: Pairs of query and node that are looked at together.
 FRONTIER = 1 << 20
+#: The near-duplicate stage: words of a shingle, least similarity, radius of the search for
+#: candidates, bins and least agreement of the sketches that candidates are held against.
+SHINGLE, SIMILARITY, STAGE_RADIUS, BINS, SKETCH_LEAST = 5, 0.8, 7, 64, 0.6
+#: Texts that a task compares with each other.
+GROUP_ROWS = 200
 #: Hashes whose bits are counted together.
 HASHES = 1 << 15
 
@@ -162,11 +168,19 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = jumped
 
 
-def forest(fps: np.ndarray, groups: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, root) that span what is linked within each group."""
+def forest(fps: np.ndarray, groups: np.ndarray, radius: int, sketches: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, root) that span what is linked within each group.
+
+    With ``sketches`` a link also needs ``SKETCH_LEAST`` of them to agree.
+    """
     index = GrayIndex(fps, groups)
     labels = np.arange(len(fps))
     for a, b in index.pairs(radius):
+        if sketches is not None:
+            differ = labels[a] != labels[b]
+            a, b = a[differ], b[differ]
+            alike = sketch_likeness(sketches[index.order[a]], sketches[index.order[b]]) >= SKETCH_LEAST
+            a, b = a[alike], b[alike]
         join_labels(labels, a, b)
     moved = labels != np.arange(len(fps))
     return index.fps[moved], index.fps[labels[moved]]
@@ -183,7 +197,11 @@ def _signed(mask: int) -> int:
 
 
 def linked(distinct: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) of fingerprints that span the links among the column ``fp``, which is distinct."""
+    """Edges (a, b) of fingerprints that span the links among the column ``fp``, which is distinct.
+
+    With a column ``sketch`` links are also held against the sketches.
+    """
+    extra = ["sketch"] if "sketch" in distinct.columns else []
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -202,11 +220,12 @@ def linked(distinct: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCK
         group = np.cumsum(new)
         alone = new & np.r_[new[1:], True] if len(b) else new
         fps = b["fp"].to_numpy(np.int64).view(np.uint64)
-        child, root = forest(fps[~alone], group[~alone], radius)
+        sketches = np.stack([np.frombuffer(x, np.uint16) for x in b["sketch"].to_numpy()[~alone]]) if extra and not alone.all() else None
+        child, root = forest(fps[~alone], group[~alone], radius, sketches)
         return pd.DataFrame({"a": child.view(np.int64), "b": root.view(np.int64)})
 
     masks = {0: 0}
-    rows, found = distinct.select("fp", F.lit(0).alias("path")), None
+    rows, found = distinct.select("fp", *extra, F.lit(0).alias("path")), None
     for level in range(LEVELS):
         dealt, next_masks = [], {}
         for path, used in masks.items():
@@ -220,7 +239,7 @@ def linked(distinct: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCK
         choice = F.lit(None)
         for path, options in by_path.items():
             choice = F.when(F.col("path") == path, F.array(*options)).otherwise(choice)
-        rows = rows.select("fp", F.explode(choice).alias("k")).select("fp", "k.path", "k.block")
+        rows = rows.select("fp", *extra, F.explode(choice).alias("k")).select("fp", *extra, "k.path", "k.block")
         if level + 1 < LEVELS:
             large = cut(rows.groupBy("path", "block").count().where(F.col("count") > bucket_rows).select("path", "block"), "large-buckets")
             crowded = not large.isEmpty()
@@ -256,6 +275,154 @@ def components(edges: DataFrame, *, name: str = "components") -> DataFrame:
         before = now
 
 
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the ``width``-word shingles of the lower-cased words."""
+    words = (text or "").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode("utf-8", "surrogatepass")) for i in range(n)), np.uint64, n))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One-permutation MinHash: the least hash of each of ``BINS`` ranges, 16 bits of it; 0 for an empty range."""
+    out = np.zeros(BINS, np.uint16)
+    if len(hashes):
+        bins = (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+        held, first = np.unique(bins, return_index=True)  # hashes are sorted: the first is the least
+        out[held] = (hashes[first] & np.uint64(0xFFFF)).astype(np.uint16) | 1
+    return out.tobytes()
+
+
+def sketch_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The estimated Jaccard similarity, row by row; 1 for two empty sketches."""
+    some = ((a != 0) | (b != 0)).sum(axis=1)
+    return np.where(some > 0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(some, 1), 1.0)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    if not (len(a) and len(b)):
+        return float(len(a) == len(b))
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both / (len(a) + len(b) - both)
+
+
+def _leaders(texts: list[str | None], similarity: float) -> list[int]:
+    """For each text, in order, the first earlier text that stays and is similar, or itself."""
+    kept: list[tuple[int, np.ndarray]] = []
+    out = []
+    for i, t in enumerate(texts):
+        own = shingles(t)
+        near = next((k for k, s in kept if similarity * max(len(s), len(own)) <= min(len(s), len(own)) and jaccard(s, own) >= similarity), None)
+        if near is None:
+            kept.append((i, own))
+        out.append(i if near is None else near)
+    return out
+
+
+def _in_groups(members: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """What stays of ``members`` (group, id, rank, text) when each bounded group of ``keys`` keeps one of similar texts."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["rank", "id"])
+        stays = [i for i, k in enumerate(_leaders(part["text"].tolist(), similarity)) if i == k]
+        return part.iloc[stays][["group", "id", "rank", "text"]]
+
+    return members.groupBy(*keys).applyInPandas(run, "group long, id long, rank long, text string")
+
+
+def _redundant(members: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+    """id of the members that are similar to one of their group that stays.
+
+    Groups are dealt to parts of ``group_rows``; each part keeps one of similar texts. What
+    stays is dealt anew until a group fits one part. A group that no longer shrinks is
+    compared part by part, all parts with all, and its similar texts are joined.
+    """
+    left = cut(members, "members")
+    while True:
+        sizes = left.groupBy("group").agg(F.count("*").alias("n"))
+        dealt = left.join(sizes, "group").withColumn("part", F.floor(F.pmod(F.xxhash64("id", "n"), F.lit(1 << 30)) / F.lit(1 << 30) * F.ceil(F.col("n") / group_rows)))
+        stay = cut(_in_groups(dealt, ["group", "part"], similarity), "members")
+        large = sizes.where(F.col("n") > group_rows)
+        if large.isEmpty():
+            break
+        before, after = (x.join(large, "group", "left_semi").count() for x in (left, stay))
+        left = stay
+        if after > 0.9 * before:
+            stay = _across(stay, similarity, group_rows)
+            break
+    return members.select("id").join(stay.select("id"), "id", "left_anti")
+
+
+def _across(members: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+    """What stays when each part is held against each other part of its group; tasks hold two parts."""
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
+    dealt = members.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    pairs = dealt.select("group", "id", "rank", "text", "part", other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["rank", "id"])
+        ids, sets = part["id"].tolist(), [shingles(t) for t in part["text"]]
+        found = [(a, b) for i, a in enumerate(ids) for k, b in enumerate(ids[:i]) if jaccard(sets[i], sets[k]) >= similarity]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    edges = pairs.select("group", "id", "rank", "text", "low", "high").dropDuplicates(["id", "low", "high"]).groupBy("group", "low", "high").applyInPandas(run, "a long, b long")
+    joined = components(edges, name="similar")
+    of = members.select("id", "rank").join(joined, members["id"] == joined["node"], "left").select("id", "rank", F.coalesce("root", "id").alias("root"))
+    first = of.groupBy("root").agg(F.min(F.struct("rank", "id")).alias("m")).select(F.col("m.id").alias("id"))
+    return members.join(first, "id", "left_semi")
+
+
+def keep_one(docs: DataFrame, *, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, less those that are near-duplicates of a row that stays.
+
+    Near duplicates share ``SIMILARITY`` of their five-word shingles. Candidates are fingerprints
+    within ``radius`` bits by the index, whose sketches agree; the shingles then decide.
+    Of repeated rows and of equal lower-cased words the smallest doc_id stays, a null
+    doc_id last; of rows that are equal in both one stays.
+    """
+    columns = docs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fps = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b)).view(np.int64)
+            same, drawn = [], []
+            for t in b["text"]:
+                own = shingles(t)
+                same.append(xxhash.xxh64_intdigest(" ".join((t or "").lower().split()).encode("utf-8", "surrogatepass")))
+                drawn.append(sketch(own))
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "copy": b["copy"].array, "fp": fps, "words": np.array(same, np.uint64).view(np.int64), "sketch": drawn})
+
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    prints = cut(source.mapInPandas(run, "doc_id long, copy long, fp long, words long, sketch binary"), "prints")
+    # equal words: the smallest doc_id, and of its rows the smallest hash of the text
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("m")
+    classes = cut(prints.groupBy("words").agg(first, F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).select("words", "fp", "sketch", F.col("m.doc_id").alias("doc_id"), F.col("m.copy").alias("copy")), "classes")
+    # different words can have one fingerprint: the index holds it once, with its first sketch
+    distinct = cut(classes.groupBy("fp").agg(F.count("*").alias("n"), F.min_by("sketch", "words").alias("sketch")), "distinct-fingerprints")
+    roots = components(linked(distinct.select("fp", "sketch"), radius=radius), name="near-components")
+    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("group"))
+    wide = of.groupBy("group").agg(F.sum("n").alias("n")).where("n > 1").select("group")
+    rows = classes.join(of.join(wide, "group", "left_semi").select("fp", "group"), "fp").select("group", "words", F.col("doc_id").alias("_did"), F.col("copy").alias("_dcopy"))
+    own = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_copy"), F.col(text).alias("text"))
+    texts = sized_join(own, rows, (F.col("_copy") == F.col("_dcopy")) & F.col("_id").eqNullSafe(F.col("_did"))).dropDuplicates(["words"])
+    members = texts.select("group", F.col("words").alias("id"), F.coalesce("_id", F.lit((1 << 63) - 1)).alias("rank"), "text")
+    gone = cut(_redundant(members, similarity, group_rows), "redundant")
+
+    stays = classes.join(gone.select(F.col("id").alias("words")), "words", "left_anti").select(F.col("doc_id").alias("_did"), F.col("copy").alias("_dcopy"))
+    counted = prints.groupBy("doc_id", "copy").count().select(F.col("doc_id").alias("_kid"), F.col("copy").alias("_kcopy"), "count")
+    same = (F.col("_kcopy") == F.col("_dcopy")) & F.col("_kid").eqNullSafe(F.col("_did"))
+    drop = cut(counted.join(stays, same, "left_anti").select("_kid", "_kcopy"), "dropped")
+    repeated = cut(counted.where(F.col("count") > 1).join(stays, same, "left_semi").select("_kid", "_kcopy"), "repeated")
+    this = (F.col("_kc") == F.col("_kcopy")) & F.col(key).cast("long").eqNullSafe(F.col("_kid"))
+    kept = sized_join(docs.withColumn("_kc", F.xxhash64(text)), drop, this, "left_anti", row_bytes=48)
+    if not repeated.isEmpty():
+        kept = sized_join(kept, repeated, this, "left_anti", row_bytes=48).unionByName(sized_join(kept, repeated, this, "left_semi", row_bytes=48).dropDuplicates([key, "_kc"]))
+    return kept.select(*columns)
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = RADIUS, key: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), one row per row of ``docs``."""
     prints = cut(fingerprints(docs, width=width, key=key, text=text), "fingerprints")
