@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import ann, decontam, html_template, packing, pii, quality, simhash, toxicity, url_filter
+from vellumine.llm import ann, decontam, html_template, packing, pii, quality, secret_scan, simhash, toxicity, url_filter
 from vellumine.shared import table
 
 #: The rules (host, path, verdict) that op10 judges by.
@@ -27,6 +27,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "item_tokens", "at")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_secrets": op4_secrets,
     "op5_ann": op5_ann,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,

@@ -40,9 +40,11 @@ LEVELS = 3
 FANOUT = 16
 #: Pairs of query and node that are looked at together.
 FRONTIER = 1 << 20
-#: The near-duplicate stage: words of a shingle, least similarity, radius of the search for
-#: candidates, bins and least agreement of the sketches that candidates are held against.
-SHINGLE, SIMILARITY, STAGE_RADIUS, BINS, SKETCH_LEAST = 5, 0.8, 7, 64, 0.6
+#: The near-duplicate stage: words of a shingle and least similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Its candidates: fingerprints of single words, which small changes move least, within this
+#: radius, and bins and least agreement of the shingle sketches that they are held against.
+STAGE_WIDTH, STAGE_RADIUS, BINS, SKETCH_LEAST = 1, 4, 64, 0.6
 #: Texts that a task compares with each other.
 GROUP_ROWS = 200
 #: Hashes whose bits are counted together.
@@ -387,7 +389,7 @@ def keep_one(docs: DataFrame, *, radius: int = STAGE_RADIUS, similarity: float =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b)).view(np.int64)
+            fps = np.fromiter((fingerprint(t, STAGE_WIDTH) for t in b["text"]), np.uint64, len(b)).view(np.int64)
             same, drawn = [], []
             for t in b["text"]:
                 own = shingles(t)
