@@ -1,0 +1,190 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.cases import DOCS, awkward, clashing, labels, words
+from vellumine.llm import ann, decontam, packing, quality, secret_scan, toxicity, url_filter
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), (None, "/", "block"), ("x.org", "/a/b", "block")]
+
+
+def judged(url):
+    """Rule by rule."""
+    url = url or ""
+    at = url.find("://")
+    rest = url[at + 3 :] if at >= 0 else ""
+    cut = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    path = path[: min([i for i in map(path.find, "?#") if i >= 0], default=len(path))]
+    fits = [r for r in RULES if r[0] and (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+    return host, path, best and best[0] + best[1], best[2] if best else "allow"
+
+
+URLS = [None, "", "nothing", "http://a.NET/x", "http://a.net", "https://m.example.net/en/1?x#y", "http://example.net/EN/", "http://notexample.net/en/", "ftp://example.com/de/", "http://org/fr/", "http://x.org/a/bc", "http://x.org/a/", "http://u@x.net:80/", "://net/", "http://É.org/fr/é", "http://net./", "http://a.net?/en/", "http://" + "a." * 300 + "net/" + "b/" * 500]
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_url_rules(spark, monkeypatch, limit):
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)] + [(3, URLS[3], "x", "y"), (None, URLS[3], "x", "y")], "page_id long, url string, host string, rule string")
+    got = url_filter.judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string")).collect()
+    assert len(got) == len(URLS) + 2
+    for r in got:
+        if r["page_id"] is not None:
+            assert tuple(r)[1:] == judged(URLS[r["page_id"]])
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    assert {r["verdict"] for r in url_filter.judge_urls(pages, none).collect()} == {"allow"}
+    assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame(RULES, "host string, path string, verdict string")).count() == 0
+
+
+def test_packing(spark):
+    rows = [(i, words(i, 10 + 7 * i % 90), "en", f"s{0 if i % 3 == 0 else i % 11}", 1) for i in range(200)] + [(900, words(900, 333), "en", "s1", 1), (901, words(5, 10 + 35), "en", "s9", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = packing.pack(docs, capacity=100, shard_rows=64).collect()
+    sizes, bins = {}, {}
+    text = {r[0]: r for r in rows}
+    for r in got:
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["n_words"]
+        bins.setdefault(r["bin_id"], []).append(r)
+    assert sizes == {r[0]: len(r[1].split()) for r in rows}
+    for held in bins.values():
+        assert sum(r["n_words"] for r in held) <= 100
+        assert len({text[r["doc_id"]][3] for r in held}) == len(held) == len({text[r["doc_id"]][1] for r in held})
+
+
+def test_packing_is_best_fit():
+    r = np.random.default_rng(2)
+    sizes = sorted((int(x) for x in r.integers(1, 60, 300)), reverse=True)
+    sources, clusters = [f"s{x}" for x in r.integers(0, 5, 300)], [int(x) for x in r.integers(0, 40, 300)]
+    got = packing.pack_shard(sizes, sources, clusters, 100)
+    bins = []
+    for size, s, c, b in zip(sizes, sources, clusters, got, strict=True):
+        fit = [(100 - sum(x[0] for x in held) - size, i) for i, held in enumerate(bins) if sum(x[0] for x in held) + size <= 100 and all(x[1] != s and x[2] != c for x in held)]
+        assert b == (min(fit)[1] if fit else len(bins))
+        if b == len(bins):
+            bins.append([])
+        bins[b].append((size, s, c))
+
+
+def test_packing_awkward(spark):
+    assert len({(r["bin_id"], r["doc_id"]) for r in packing.pack(clashing(spark)).collect()}) >= 10
+    assert packing.pack(awkward(spark).limit(0)).count() == 0
+
+
+def test_decontamination(spark):
+    item = words(1, 30).split()
+    sub = [w if i not in (7, 20) else "changed" for i, w in enumerate(item)]
+    part = [*words(3, 40).split(), *item[5:18], *words(4, 20).split()]
+    rows = [(1, words(9, 50) + " " + " ".join(item).upper() + ". " + words(8, 9), "en", "s", 1), (2, " ".join(sub), "en", "s", 1), (3, words(7, 500), "en", "s", 1), (4, " ".join(part), "en", "s", 1), (5, words(3, 30) + " " + " ".join(item[:6]), "en", "s", 1), (6, "before one two three after", "en", "s", 1)]
+    bench = spark.createDataFrame([(10, " ".join(item)), (10, " ".join(item)), (11, "One, two; three"), (12, None), (13, "")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(docs, bench).collect()}
+    assert set(got) == {(1, 10), (2, 10), (4, 10), (6, 11)}
+    assert got[1, 10]["at"] == 50 and got[2, 10]["matched"] == 28
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()) == [3, 5]
+
+
+def test_decontamination_awkward(spark):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog near the river bank today"), (None, None)], "item_id long, text string")
+    got = decontam.leaks(clashing(spark), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1)}
+    assert decontam.decontaminate(clashing(spark), bench).count() == 8
+    assert decontam.leaks(awkward(spark), bench.limit(0)).count() == 0
+    assert decontam.leaks(awkward(spark).limit(0), bench).count() == 0
+
+
+def test_secrets(spark):
+    dictionary = frozenset("the quick brown fox token password value order river green table".split())
+    forest = secret_scan.train(secret_scan.findings(dictionary), dictionary)
+    fresh = secret_scan.findings(dictionary, 1500, seed=99)
+    right = sum((secret_scan.vote(forest, secret_scan.features(a, b, c, dictionary)) >= 0.5) == bool(y) for a, b, c, y in fresh)
+    assert right / len(fresh) > 0.93
+    rows = [(1, 'x token = "9fceb02d0ae598e95dc970b74767f19372d61af8" y', "en", "s", 1), (2, "commit: 9fceb02d0ae598e95dc970b74767f19372d61af8 and sha256", "en", "s", 1)]
+    got = secret_scan.scan(spark.createDataFrame(rows, DOCS)).collect()
+    assert [(r["doc_id"], r["start"], r["end"]) for r in got if r["secret"]] == [(1, 11, 51)]
+    secret_scan.scan(clashing(spark)).collect()
+    assert secret_scan.scan(awkward(spark).limit(0)).count() == 0
+    assert secret_scan.candidates("a_" * 100_000 + "token") == []
+    assert secret_scan.redact("a KEY b", [(2, 5)]) == "a <secret> b"
+
+
+def test_nearest(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(1500, 24)).astype(np.float32)
+    x[1000:1200] = x[0] + r.normal(size=(200, 24)).astype(np.float32) * 1e-3
+    x[1300:1400] = x[1300]
+    rows = [(i, v.tolist(), "q") for i, v in enumerate(x)]
+    bad = [(5000, None, "q"), (5020, [0.0] * 24, "q"), (5040, [float("nan")] * 24, "q"), (5060, [1.0, 2.0], "q"), (None, x[1].tolist(), "q"), (5080, [None] + [1.0] * 23, "q"), (5100, [], "q")]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, rank string")
+    got = {}
+    for row in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
+    assert set(got) == set(range(0, 1500, 20))
+    d, hits = x.astype(float), 0
+    for q, found in got.items():
+        s = (d * d[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(1500), -s)) if i != q][:20]
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21)) and all(abs(f[2] - s[f[1]]) < 1e-12 for f in found)
+        hits += len(set(order) & {f[1] for f in found})
+    assert hits / (20 * len(got)) > 0.97
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 0.5)]
+
+
+def test_anisotropic_codes_beat_plain_ones():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(3000, 64))
+    books, eta = ann.fit(x)
+    norm = (x**2).sum(axis=1)
+    along = lambda codes: (((x - np.concatenate([books[j][codes[:, j]] for j in range(len(books))], axis=1)) * x).sum(axis=1) ** 2 / norm).mean()
+    assert along(ann.encode(x, books, eta)) < along(ann.encode(x, books, 1.0))
+
+
+def test_kneser_ney_sums_to_one(spark):
+    docs = spark.createDataFrame([(i, words(i, 60, "ab"), "en", "s", 1) for i in range(20)], DOCS)
+    table = np.exp(quality.log_table(quality.train(docs)).reshape(-1, quality.SYMBOLS).astype(float))
+    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
+
+
+def test_quality(spark):
+    known = "the cat sat on the mat and the dog ran to the house by the old river".split()
+    r = np.random.default_rng(6)
+    good = [(i, " ".join(r.choice(known, 40)), "en", "s", 1) for i in range(60)]
+    poor = [(100 + i, "ZQX## %%% JJKW!! @@ XXQZ ## VVKJ " * 5, "en", "s", 1) for i in range(6)]
+    docs = spark.createDataFrame(good + poor, DOCS)
+    marks = labels(spark, [(i, 1, 0) for i in range(0, 60, 2)] + [(100, 0, 0)])
+    kept = {r["doc_id"] for r in quality.keep_good(docs, marks).collect()}
+    assert not kept & {100 + i for i in range(6)} and len(kept) >= 55
+
+
+def test_quality_awkward(spark):
+    got = quality.score(clashing(spark), labels(spark)).collect()
+    assert len(got) == 10 and all(r["keep"] is False for r in got if r["doc_id"] in (2, 3))
+    assert quality.score(awkward(spark), labels(spark, [(1, 0, 0)])).where("keep").count() == 7
+    assert quality.keep_good(awkward(spark).limit(0), labels(spark)).count() == 0
+    assert quality.keep_good(clashing(spark), labels(spark)).columns == clashing(spark).columns
+
+
+def test_toxicity(spark):
+    rows, marks = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        text = ". ".join(words(i * 10 + k, 6) for k in range(5)) + (". you grumbald fool" if bad else ". fine then")
+        rows.append((i, text, "en", "s", 1))
+        marks.append((i, 1, int(bad)))
+    got = toxicity.judge(spark.createDataFrame(rows, DOCS), labels(spark, marks)).collect()
+    held = [r for r in got if r["held_out"]]
+    assert held and all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held)
+    one = next(r for r in got if r["doc_id"] == 0)
+    assert [rows[0][1][s["start"] : s["end"]].strip() for s in one["offending"]] == ["you grumbald fool"]
+
+
+def test_toxicity_awkward(spark):
+    got = toxicity.judge(clashing(spark), labels(spark)).collect()
+    assert len(got) == 10 and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["score"] for r in toxicity.judge(awkward(spark), labels(spark, [(1, 1, 0)])).collect()} == {0.0}
+    assert toxicity.judge(awkward(spark).limit(0), labels(spark)).count() == 0

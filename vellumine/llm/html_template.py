@@ -55,6 +55,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+HOLDERS = frozenset("article body center div main section td".split())
 #: Elements that a new one of the same group closes, up to the element that holds the group.
 CLOSES = {
     **dict.fromkeys(("p", "h1", "h2", "h3", "h4", "h5", "h6"), ({"p"}, frozenset("div article section main td li body blockquote button".split()))),
@@ -114,10 +115,10 @@ class _Names:
 
 
 class Block:
-    __slots__ = ("beside", "key", "links", "mark", "parents", "text")
+    __slots__ = ("beside", "key", "links", "mark", "parents", "tag", "text")
 
-    def __init__(self, text: str, key: int, parents: tuple[int, ...], beside: bool, mark: int, links: int):
-        self.text, self.key, self.parents, self.beside, self.mark, self.links = text, key, parents, beside, mark, links
+    def __init__(self, text: str, key: int, tag: str, parents: tuple[int, ...], beside: bool, mark: int, links: int):
+        self.text, self.key, self.tag, self.parents, self.beside, self.mark, self.links = text, key, tag, parents, beside, mark, links
 
 
 def parse(page: str, names: _Names) -> tuple[list[Block], list[int]]:
@@ -135,7 +136,7 @@ def parse(page: str, names: _Names) -> tuple[list[Block], list[int]]:
             if text:
                 top = holder()
                 key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), stack[top][1] & 0xFFFFFFFF)
-                blocks.append(Block(text, key, tuple(s[2] for s in stack[1 : top + 1]), stack[-1][3], stack[-1][4], linked[0]))
+                blocks.append(Block(text, key, stack[top][0], tuple(s[2] for s in stack[1 : top + 1] if s[0] in HOLDERS), stack[-1][3], stack[-1][4], linked[0]))
             parts.clear()
             linked[0] = 0
 
@@ -221,13 +222,11 @@ def slots(blocks: list[Block], template: frozenset[int]) -> list[str]:
             mass[e] = mass.get(e, 0) + len(b.text)
     total = sum(len(b.text) for b in varying)
     inside = [e for e, m in mass.items() if m >= MOST * total]
-    # the innermost such element; its own blocks stay together with what its siblings hold
+    # the innermost such element, and a title that stands before it
     best = max(inside, key=lambda e: next(b.parents.index(e) for b in varying if e in b.parents), default=None)
-    held = [b for b in varying if best is None or best in b.parents]
-    if len(held) == 1 and len(varying) > 1 and held[0].parents:
-        up = held[0].parents[-2] if len(held[0].parents) > 1 else None
-        held = [b for b in varying if up is None or up in b.parents]
-    return [b.text for b in held]
+    within = [best is None or best in b.parents for b in varying]
+    first = within.index(True) if True in within else 0
+    return [b.text for i, b in enumerate(varying) if within[i] or (i < first and b.tag == "h1")]
 
 
 def vectors(pages: DataFrame) -> DataFrame:
