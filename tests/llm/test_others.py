@@ -152,13 +152,13 @@ def test_kneser_ney_sums_to_one(spark):
 
 def test_quality(spark):
     known = "the cat sat on the mat and the dog ran to the house by the old river".split()
-    r = np.random.default_rng(6)
-    good = [(i, " ".join(r.choice(known, 40)), "en", "s", 1) for i in range(60)]
-    poor = [(100 + i, "ZQX## %%% JJKW!! @@ XXQZ ## VVKJ " * 5, "en", "s", 1) for i in range(6)]
+    r = np.random.default_rng(6)  # enough trusted text that its own perplexity says something of other text
+    good = [(i, " ".join(r.choice(known, 40)), "en", "s", 1) for i in range(600)]
+    poor = [(1000 + i, "ZQX## %%% JJKW!! @@ XXQZ ## VVKJ " * 5, "en", "s", 1) for i in range(6)]
     docs = spark.createDataFrame(good + poor, DOCS)
-    marks = labels(spark, [(i, 1, 0) for i in range(0, 60, 2)] + [(100, 0, 0)])
+    marks = labels(spark, [(i, 1, 0) for i in range(0, 600, 2)] + [(1000, 0, 0)])
     kept = {r["doc_id"] for r in quality.keep_good(docs, marks).collect()}
-    assert not kept & {100 + i for i in range(6)} and len(kept) >= 55
+    assert not kept & {1000 + i for i in range(6)} and len(kept) >= 0.95 * 600
 
 
 def test_quality_awkward(spark):
