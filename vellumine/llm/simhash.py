@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import sized_join
+from vellumine.llm.common import carried, restored, sized_join
 from vellumine.shared import cut
 
 SEED = 42
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, *, width: int = 3, key: str = "doc_id", text:
             fps = np.fromiter((fingerprint(t, width) for t in b["_text"]), np.uint64, len(b)).view(np.int64)
             yield pd.DataFrame({"doc_id": b["_id"], "fp": fps})
 
-    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(run, "doc_id long, fp long")
+    return restored(docs.select(carried(key).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, "doc_id string, fp long"), "doc_id")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -337,24 +337,29 @@ def _in_groups(members: DataFrame, keys: list[str], similarity: float) -> DataFr
 def _redundant(members: DataFrame, similarity: float, group_rows: int) -> DataFrame:
     """id of the members that are similar to one of their group that stays.
 
-    Groups are dealt to parts of ``group_rows``; each part keeps one of similar texts. What
-    stays is dealt anew until a group fits one part. A group that no longer shrinks is
-    compared part by part, all parts with all, and its similar texts are joined.
+    A group of at most ``group_rows`` keeps one of similar texts in one task. Larger groups
+    are dealt to parts; what stays of the parts is dealt anew until the group fits. A group
+    that no longer shrinks is compared part by part, all parts with all.
     """
-    left = cut(members, "members")
+    pending, stays = cut(members, "members"), []
     while True:
-        sizes = left.groupBy("group").agg(F.count("*").alias("n"))
-        dealt = left.join(sizes, "group").withColumn("part", F.floor(F.pmod(F.xxhash64("id", "n"), F.lit(1 << 30)) / F.lit(1 << 30) * F.ceil(F.col("n") / group_rows)))
-        stay = cut(_in_groups(dealt, ["group", "part"], similarity), "members")
-        large = sizes.where(F.col("n") > group_rows)
-        if large.isEmpty():
+        sizes = pending.groupBy("group").agg(F.count("*").alias("n"))
+        large = cut(sizes.where(F.col("n") > group_rows), "large-groups")
+        crowded = not large.isEmpty()
+        small = sized_join(pending, large.select("group"), "group", "left_anti") if crowded else pending
+        stays.append(cut(_in_groups(small, ["group"], similarity).select("id"), "stays"))
+        if not crowded:
             break
-        before, after = (x.join(large, "group", "left_semi").count() for x in (left, stay))
-        left = stay
-        if after > 0.9 * before:
-            stay = _across(stay, similarity, group_rows)
+        dealt = sized_join(pending, large, "group").withColumn("part", F.floor(F.pmod(F.xxhash64("id", "n"), F.lit(1 << 30)) / F.lit(1 << 30) * F.ceil(F.col("n") / group_rows)))
+        before = large.agg(F.sum("n")).first()[0]
+        pending = cut(_in_groups(dealt, ["group", "part"], similarity), "members")
+        if pending.count() > 0.9 * before:
+            stays.append(_across(pending, similarity, group_rows).select("id"))
             break
-    return members.select("id").join(stay.select("id"), "id", "left_anti")
+    kept = stays[0]
+    for more in stays[1:]:
+        kept = kept.unionByName(more)
+    return members.select("id").join(kept, "id", "left_anti")
 
 
 def _across(members: DataFrame, similarity: float, group_rows: int) -> DataFrame:
@@ -395,10 +400,10 @@ def keep_one(docs: DataFrame, *, radius: int = STAGE_RADIUS, similarity: float =
                 own = shingles(t)
                 same.append(xxhash.xxh64_intdigest(" ".join((t or "").lower().split()).encode("utf-8", "surrogatepass")))
                 drawn.append(sketch(own))
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "copy": b["copy"].array, "fp": fps, "words": np.array(same, np.uint64).view(np.int64), "sketch": drawn})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "copy": b["copy"], "fp": fps, "words": np.array(same, np.uint64).view(np.int64), "sketch": drawn})
 
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    prints = cut(source.mapInPandas(run, "doc_id long, copy long, fp long, words long, sketch binary"), "prints")
+    source = docs.select(carried(key).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    prints = cut(restored(source.mapInPandas(run, "doc_id string, copy long, fp long, words long, sketch binary"), "doc_id"), "prints")
     # equal words: the smallest doc_id, and of its rows the smallest hash of the text
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("m")
     classes = cut(prints.groupBy("words").agg(first, F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).select("words", "fp", "sketch", F.col("m.doc_id").alias("doc_id"), F.col("m.copy").alias("copy")), "classes")
