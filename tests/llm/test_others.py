@@ -188,3 +188,16 @@ def test_toxicity_awkward(spark):
     assert len(got) == 10 and all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in toxicity.judge(awkward(spark), labels(spark, [(1, 1, 0)])).collect()} == {0.0}
     assert toxicity.judge(awkward(spark).limit(0), labels(spark)).count() == 0
+
+
+def test_large_ids_beside_null_ones(spark):
+    from vellumine.llm import html_template, pii, simhash
+
+    ids = [None, 2**63 - 1, 2**53 + 1, -(2**62) - 3]
+    docs = spark.createDataFrame([(i, f"token = 9fceb02d0ae598e95dc970b74767f19372d61a{k} a@b.de", "en", "s", 1) for k, i in enumerate(ids)], DOCS)
+    seen = lambda df, c="doc_id": {r[c] for r in df.collect()}
+    want = set(ids)
+    assert seen(simhash.fingerprints(docs)) == seen(simhash.keep_one(docs)) == want
+    assert seen(pii.report(pii.personal_data(docs))) == seen(secret_scan.scan(docs)) == seen(packing.pack(docs)) == want
+    assert seen(toxicity.scored(docs, {"weights": {}, "bias": -1.0})) == want
+    assert seen(html_template.main_text(spark.createDataFrame([(i, "u", "<p>x") for i in ids], "page_id long, url string, html string")), "page_id") == want

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Largest side that is broadcast, by its measured rows and a bound on the bytes of a row.
 BROADCAST_BYTES = 64 << 20
 
 
+def carried(key: str) -> Column:
+    """A whole-number id on its way through Python: as text, since pandas turns numbers with a null among them to floats."""
+    return F.col(key).cast("long").cast("string")
+
+
+def restored(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the id that was ``carried`` as a number again."""
+    return df.withColumn(key, F.col(key).cast("long"))
+
+
 def sized_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", *, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``large`` joined to ``small``, which is broadcast if its rows times ``row_bytes`` fit ``limit``; else both are shuffled."""
     return large.join(F.broadcast(small) if small.count() * row_bytes <= limit else small, on, how)

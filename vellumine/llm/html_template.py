@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import BROADCAST_BYTES
+from vellumine.llm.common import BROADCAST_BYTES, carried, restored
 from vellumine.llm.url_filter import host_of
 from vellumine.shared import cut
 
@@ -290,8 +290,8 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if host != last:
                     known, last = frozenset() if tokens is None else frozenset(np.asarray(tokens, np.int64).view(np.uint64).tolist()), host
                 texts.append(" ".join(slots(parse(page, names)[0], known)) if page else "")
-            yield pd.DataFrame({"page_id": b["page_id"].array, "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    source = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))
+    source = pages.select(carried("page_id").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     joined = source.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
-    return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return restored(joined.mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")

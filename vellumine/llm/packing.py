@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.llm.common import carried, restored
 from vellumine.shared import cut
 
 CAPACITY = 2048
@@ -79,12 +80,13 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, shard_rows: int = SHARD_R
     rests = rests.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.lit("shard")), F.lit(shards)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_words", "doc_id", "cluster"], ascending=[False, True, True], kind="stable")
+        part = part.sort_values(["n_words", "order", "cluster"], ascending=[False, True, True], kind="stable")
         sources = [None if pd.isna(s) else s for s in part["source"]]
         bins = pack_shard(part["n_words"].tolist(), sources, part["cluster"].tolist(), capacity)
-        return pd.DataFrame({"bin_id": [int(part["shard"].iloc[0]) << _SHIFT | b for b in bins], "doc_id": part["doc_id"].array, "piece": part["piece"], "n_words": part["n_words"]})
+        return pd.DataFrame({"bin_id": [int(part["shard"].iloc[0]) << _SHIFT | b for b in bins], "doc_id": part["doc_id"], "piece": part["piece"], "n_words": part["n_words"]})
 
-    packed = rests.groupBy("shard").applyInPandas(run, "bin_id long, doc_id long, piece int, n_words long")
+    rests = rests.withColumns({"order": F.col("doc_id"), "doc_id": carried("doc_id")})
+    packed = restored(rests.groupBy("shard").applyInPandas(run, "bin_id long, doc_id string, piece int, n_words long"), "doc_id")
     # full pieces: negative bins, one each
     alone = whole.select((-1 - F.monotonically_increasing_id()).alias("bin_id"), "doc_id", "piece", "n_words")
     both = packed.unionByName(alone)

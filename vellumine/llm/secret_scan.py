@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.llm.common import carried, restored
+
 #: Share of the texts in which a dictionary word stands.
 COMMON = 0.001
 #: Labelled findings that are drawn; trees, their depth, features tried at a node, rows at a leaf.
@@ -243,11 +245,11 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", labelled:
                 for start, end in candidates(t):
                     score = vote(forest, features(t[max(0, start - CONTEXT) : start], t[start:end], t[end : end + CONTEXT], words))
                     rows.append((i, start, end, score, score >= threshold))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "score", "secret"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "score", "secret"])
 
-    return docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(run, "doc_id long, start int, end int, score double, secret boolean")
+    found = docs.select(carried(key).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, "doc_id string, start int, end int, score double, secret boolean")
+    return restored(found, "doc_id")
 
 
 def redact(text: str | None, spans: list[tuple[int, int]]) -> str | None:

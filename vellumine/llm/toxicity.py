@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import sized_join
+from vellumine.llm.common import carried, restored, sized_join
 from vellumine.shared import cut
 
 #: Labelled documents that the fit uses at most.
@@ -181,9 +181,9 @@ def scored(docs: DataFrame, model: dict[str, Any], *, least: float = 0.5) -> Dat
                             marked.append({"start": start, "end": end, "score": float(p)})
                 scores.append(float(min(max(1 - free, 0.0), 1.0)))
                 places.append(marked)
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "score": scores, "offending": places})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores, "offending": places})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>")
+    return restored(docs.select(carried("doc_id").alias("doc_id"), "text").mapInPandas(run, "doc_id string, score double, offending array<struct<start:int,end:int,score:double>>"), "doc_id")
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> DataFrame:
