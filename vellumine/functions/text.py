@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # The code points of Unicode white space, as a regular expression class.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Characters that speak for a decoding, twice and once, and against it.
+HANGUL, PRINTABLE = r"[\uAC00-\uD7A3]", r"[\x20-\x7e]"
+BAD = r"[\uFFFD\uE000-\uF8FF\x00-\x08\x0b\x0c\x0e-\x1f]"
 # The ranges of East Asian scripts.
 CJK = r"[\x{1100}-\x{11FF}\x{2E80}-\x{9FFF}\x{A960}-\x{A97F}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 SHEET_NAME_MAX, DEFAULT_SHEET = 31, "Sheet"
@@ -70,9 +73,7 @@ def human_size(size: Column) -> Column:
 
 def text_score(text: Column) -> Column:
     """How well text was decoded: Hangul counts twice, printable ASCII once, signs of bad decoding against."""
-    hangul = F.regexp_count(text, F.lit(r"[\x{AC00}-\x{D7A3}]"))
-    printable = F.regexp_count(text, F.lit(r"[\x20-\x7e]"))
-    bad = F.regexp_count(text, F.lit(r"[\x{FFFD}\x{E000}-\x{F8FF}\x00-\x08\x0b\x0c\x0e-\x1f]"))
+    hangul, printable, bad = (F.regexp_count(text, F.lit(c)) for c in (HANGUL, PRINTABLE, BAD))
     n = F.length(text).cast("double")
     return F.when(F.length(text) == 0, 0.0).otherwise((hangul * 2 + printable).cast("double") / n * 100 - bad.cast("double") / n * 400)
 

@@ -17,6 +17,8 @@ import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+from vellumine.functions.text import BAD, HANGUL, PRINTABLE
+
 Block = dict
 # Limits of an archive that is read.
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_RATIO, RATIO_FROM = 20_000, 512 << 20, 2 << 30, 200, 8 << 20
@@ -442,9 +444,7 @@ SAMPLE = 262_144
 def _score(text: str) -> float:
     if not text:
         return 0.0
-    hangul = sum("가" <= c <= "힣" for c in text)
-    plain = sum(" " <= c <= "~" for c in text)
-    bad = sum(c == "�" or "" <= c <= "" or (c < " " and c not in "\r\n\t") for c in text)
+    hangul, plain, bad = (len(re.findall(c, text)) for c in (HANGUL, PRINTABLE, BAD))
     return (2 * hangul + plain) / len(text) * 100 - bad / len(text) * 400
 
 
