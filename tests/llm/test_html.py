@@ -43,3 +43,9 @@ def test_awkward_pages(spark):
     by = {r["page_id"]: r["text"] for r in got.collect()}
     assert by[1] == by[2] == "" and by[3] == "plain text only" and by[4] == "one twobold three <four> five" and len(by[6]) == 5 * 50_000 - 1
     assert html_template.main_text(df.limit(0)).count() == 0
+
+
+def test_layout_names_and_page_forms():
+    html = "<body><form id=f><div class='page has-sidebar'><nav>Menu</nav><main><p>Text one.</p><form>Mail</form><div class='discussion'>no</div></main><div class=sidebar>side</div></div></form></body>"
+    blocks, _ = html_template.parse(html, html_template._Names())
+    assert html_template.slots(blocks, frozenset()) == ["Text one."]

@@ -71,8 +71,10 @@ P_ENDERS = frozenset("address article aside blockquote details div dl fieldset f
 DROPPED = frozenset("head nav footer aside form dialog menu select button svg math canvas object audio video datalist".split())
 # Words in class, id and role that name parts beside the article.
 BESIDE = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar complementary contentinfo widget widgets comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar skip copyright legal disclaimer search searchbox dialog form paywall outbrain taboola".split()
+    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar complementary contentinfo widget widgets comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar skip copyright legal disclaimer search searchbox dialog form paywall outbrain taboola discussion discussions responses feedback talkback rail aside secondary colophon adsense adunit adcontainer promoted topnav subnav megamenu dropdown toc".split()
 )
+#: Words that say a name is about the layout around: ``has-sidebar`` is no sidebar.
+AROUND = frozenset("has with no without layout".split())
 HEADING = frozenset("header masthead topbar".split())
 ARTICLE = frozenset("article articlebody post entry story content main".split())
 
@@ -84,7 +86,7 @@ class _Names:
         self.seen: dict[tuple[str, str], tuple[str, int]] = {}
 
     def of(self, tag: str, attributes: str) -> tuple[str, int]:
-        """(class and id, 1 beside the article, 2 heading, 4 marked article, 8 marked by name only)"""
+        """(class and id, 1 beside the article, 2 heading, 4 marked article, 8 marked by name only, 16 form)"""
         if (got := self.seen.get((tag, attributes))) is None:
             got = self._read(tag, attributes)
             if len(self.seen) < 50_000:
@@ -105,19 +107,19 @@ class _Names:
             if tag in ("html", "body"):
                 continue
             words = {w.lower() for w in _NAME.findall(value)}
-            flags |= (1 if words & BESIDE else 0) | (2 if words & HEADING else 0)
+            flags |= (1 if words & BESIDE and not words & AROUND else 0) | (2 if words & HEADING else 0)
             if (name == "role" and words & {"main", "article"}) or (name == "itemprop" and value.lower() == "articlebody"):
                 flags |= 4
             elif words & ARTICLE:
                 flags |= 8
-        flags |= (1 if tag in DROPPED else 0) | (2 if tag == "header" else 0) | (4 if tag in ("article", "main") else 0)
+        flags |= (16 if tag == "form" else 1 if tag in DROPPED else 0) | (2 if tag == "header" else 0) | (4 if tag in ("article", "main") else 0)
         return " ".join(label), flags
 
 
 class Block:
     __slots__ = ("beside", "key", "links", "mark", "parents", "tag", "text")
 
-    def __init__(self, text: str, key: int, tag: str, parents: tuple[int, ...], beside: bool, mark: int, links: int):
+    def __init__(self, text: str, key: int, tag: str, parents: tuple[int, ...], beside: int, mark: int, links: int):
         self.text, self.key, self.tag, self.parents, self.beside, self.mark, self.links = text, key, tag, parents, beside, mark, links
 
 
@@ -125,8 +127,8 @@ def parse(page: str, names: _Names) -> tuple[list[Block], list[int]]:
     """The blocks of text, in page order, and the path key of every element."""
     blocks: list[Block] = []
     elements: list[int] = []
-    # open elements: tag, path key, number, beside, mark (2 article or main, 1 by name, 0), in a link
-    stack: list[tuple[str, int, int, bool, int, bool]] = [("", 0, 0, False, 0, False)]
+    # open elements: tag, path key, number, beside (1, and 2 in a form), mark (2 article or main, 1 by name, 0), in a link
+    stack: list[tuple[str, int, int, int, int, bool]] = [("", 0, 0, 0, 0, False)]
     parts: list[str] = []
     linked = [0]
 
@@ -199,7 +201,9 @@ def parse(page: str, names: _Names) -> tuple[list[Block], list[int]]:
             continue
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
-        beside = beside or bool(flags & 1) or bool(flags & 2 and not mark)
+        if flags & 4:
+            beside &= ~2  # a form around the whole page
+        beside |= int(bool(flags & 1) or bool(flags & 2 and not mark)) | 2 * bool(flags & 16)
         mark = max(mark, 2 if flags & 4 else 1 if flags & 8 else 0)
         stack.append((tag, key, len(elements), beside, mark, in_link or tag == "a"))
     end_block()
