@@ -51,28 +51,29 @@ GROUP_ROWS = 200
 HASHES = 1 << 15
 
 
+def _hashes(joined: bytes, width: int, seed: int) -> np.ndarray:
+    """The XXH64 of each ``width``-word shingle of words joined by spaces, or of them all if there are fewer; repeats stay."""
+    ends, at = [], -1
+    for n in map(len, joined.split(b" ")):
+        at += n + 1
+        ends.append(at)
+    count = max(1, len(ends) - width + 1)
+    starts = [0, *(e + 1 for e in ends[: count - 1])]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[min(width, len(ends)) - 1 :], strict=True)), np.uint64, count)
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The SimHash of the ``width``-word shingles, as an unsigned number."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return 0
-    joined, ends, at = b" ".join(words), [], -1
-    for n in map(len, words):
-        at += n + 1
-        ends.append(at)
-    if len(words) < width:
-        spans: Iterator[tuple[int, int]] = iter([(0, len(joined))])
-        count = 1
-    else:
-        starts = [0, *(e + 1 for e in ends[: len(ends) - width])]
-        spans, count = zip(starts, ends[width - 1 :], strict=True), len(ends) - width + 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, count)
+    hashes = _hashes(b" ".join(words), width, SEED)
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, count, HASHES):
+    for i in range(0, len(hashes), HASHES):
         part = hashes[i : i + HASHES].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, *, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,10 +281,7 @@ def components(edges: DataFrame, *, name: str = "components") -> DataFrame:
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of the ``width``-word shingles of the lower-cased words."""
     words = (text or "").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode("utf-8", "surrogatepass")) for i in range(n)), np.uint64, n))
+    return np.unique(_hashes(" ".join(words).encode("utf-8", "surrogatepass"), width, 0)) if words else np.zeros(0, np.uint64)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
