@@ -93,3 +93,31 @@ def test_keep_one_awkward(spark):
     got = simhash.keep_one(clashing(spark)).select("doc_id", "text").collect()
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 2, 5, 6, 7]
     assert simhash.keep_one(awkward(spark).limit(0)).count() == 0
+
+
+def test_keep_one_beyond_the_radius(spark):
+    rows, pairs = [], 0
+    for seed in range(400):
+        a = words(seed, 60).split()
+        b = [*a[:40], *words(9000 + seed, 2, "x").split(), *a[42:]] if seed % 2 else [*words(9000 + seed, 6, "x").split(), *a]
+        alike = simhash.jaccard(simhash.shingles(" ".join(a)), simhash.shingles(" ".join(b)))
+        apart = (simhash.fingerprint(" ".join(a), 1) ^ simhash.fingerprint(" ".join(b), 1)).bit_count()
+        if alike >= 0.8 and apart > simhash.STAGE_RADIUS:
+            rows += [(2 * pairs, " ".join(a), "en", "s", 1), (2 * pairs + 1, " ".join(b), "en", "s", 1)]
+            pairs += 1
+    assert pairs > 20
+    kept = simhash.keep_one(spark.createDataFrame(rows, DOCS))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2 * i for i in range(pairs)]
+
+
+def test_prefixes_of_similar_sets_meet():
+    r = np.random.default_rng(7)
+    for n in [*range(1, 60), 200]:
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        frequent = np.sort(r.choice(x, len(x) // 2, replace=False))
+        for gone in range(len(x)):
+            for new in range(len(x) // 4 + 1):
+                y = np.unique(np.r_[r.choice(x, len(x) - gone, replace=False), r.integers(0, 1 << 63, new).astype(np.uint64)])
+                if simhash.jaccard(x, y) < simhash.SIMILARITY:
+                    break
+                assert np.isin(simhash.prefix(x, frequent), simhash.prefix(y, frequent)).any()

@@ -45,6 +45,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Its candidates: fingerprints of single words, which small changes move least, within this
 #: radius, and bins and least agreement of the shingle sketches that they are held against.
 STAGE_WIDTH, STAGE_RADIUS, BINS, SKETCH_LEAST = 1, 4, 64, 0.6
+#: Texts that are drawn to find frequent shingles, and texts of these from which one is frequent:
+#: they only set the order of shingles, and any order gives all candidates.
+DRAWN, FREQUENT, MOST_FREQUENT = 20_000, 8, 1 << 20
 #: Texts that a task compares with each other.
 GROUP_ROWS = 200
 #: Hashes whose bits are counted together.
@@ -300,6 +303,84 @@ def sketch_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some > 0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(some, 1), 1.0)
 
 
+def prefix(hashes: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first of the sorted ``hashes`` in one order for all texts, ``frequent`` (sorted) ones last.
+
+    So many that two sets of at least ``similarity`` share one of them: they have
+    ``similarity`` of the larger set in common, so no more than the rest of it differs.
+    """
+    count = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+    if len(frequent) and count:
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes = hashes[np.argsort(frequent[at] == hashes, kind="stable")]
+    return hashes[:count]
+
+
+def _frequent(docs: DataFrame, text: str) -> np.ndarray:
+    """The sorted shingles that stand in many of some texts that are drawn, a bounded number."""
+    share = min(1.0, DRAWN / max(docs.count(), 1))
+    drawn = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"s": shingles(t).view(np.int64)})
+
+    counts = drawn.dropDuplicates(["text"]).mapInPandas(run, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
+    found = counts.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).select("s").toPandas()["s"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
+def _similar(classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of fingerprints that span the links of texts that share a shingle of their prefixes.
+
+    No two texts of ``similarity`` go without, whatever their fingerprints. Shingles with the
+    same texts are looked at once; links are held against sizes, and against each text's own sketch,
+    of which half as much must agree.
+    """
+    member = F.struct("size", "words", "fp")
+    shared = classes.select(F.explode("prefix").alias("shingle"), member.alias("m")).groupBy("shingle").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    shared = shared.where((F.size("ms") > 1) & (F.array_min("ms.fp") < F.array_max("ms.fp"))).groupBy(F.xxhash64("ms").alias("bucket")).agg(F.first("ms").alias("ms"))
+    rows = cut(shared, "shared-shingles").select("bucket", F.explode("ms").alias("m")).select("bucket", "m.size", "m.words", "m.fp")
+    rows = rows.join(classes.select("words", "sketch"), "words").select("bucket", "size", "fp", "sketch")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            more = (b["bucket"] == b["bucket"].iloc[-1]).to_numpy()
+            held, b = b[more], b[~more]
+            yield edges(b)
+        if held is not None:
+            yield edges(held)
+
+    def edges(b: pd.DataFrame) -> pd.DataFrame:
+        bucket, size, fp = b["bucket"].to_numpy(), b["size"].to_numpy(), b["fp"].to_numpy()
+        sketches = np.stack([np.frombuffer(x, np.uint16) for x in b["sketch"]]) if len(b) else None
+        ends = np.r_[np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(b)] if len(b) else []
+        found, start = [], 0
+        for end in ends:
+            found += [(fp[start + i], fp[start + j]) for i, j in _bucket_links(fp[start:end], size[start:end], sketches[start:end], similarity)]
+            start = end
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "size").mapInPandas(search, "a long, b long").distinct()
+
+
+def _bucket_links(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Positions that span the links of one bucket, by size; equal fingerprints are linked already."""
+    labels = np.unique(fps, return_inverse=True)[1]
+    last = np.searchsorted(similarity * sizes - 1e-9, sizes, "right")
+    for i in range(len(fps) - 1):
+        other = np.arange(i + 1, last[i])
+        other = other[labels[other] != labels[i]]
+        if len(other):
+            other = other[sketch_likeness(sketches[other], sketches[i : i + 1]) >= similarity / 2]
+            for label, at in zip(*np.unique(labels[other], return_index=True), strict=True):
+                labels[labels == label] = labels[i]
+                yield i, int(other[at])
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays without repeats."""
     if not (len(a) and len(b)):
@@ -384,30 +465,37 @@ def keep_one(docs: DataFrame, *, radius: int = STAGE_RADIUS, similarity: float =
     """The rows of ``docs``, less those that are near-duplicates of a row that stays.
 
     Near duplicates share ``SIMILARITY`` of their five-word shingles. Candidates are fingerprints
-    within ``radius`` bits by the index, whose sketches agree; the shingles then decide.
+    within ``radius`` bits by the index, whose sketches agree, and all texts that share a shingle
+    of their prefixes, whatever their fingerprints; the shingles then decide.
     Of repeated rows and of equal lower-cased words the smallest doc_id stays, a null
     doc_id last; of rows that are equal in both one stays.
     """
     columns = docs.columns
+    frequent = _frequent(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.fromiter((fingerprint(t, STAGE_WIDTH) for t in b["text"]), np.uint64, len(b)).view(np.int64)
-            same, drawn = [], []
+            same, drawn, sizes, first = [], [], [], []
             for t in b["text"]:
                 own = shingles(t)
                 same.append(xxhash.xxh64_intdigest(" ".join((t or "").lower().split()).encode("utf-8", "surrogatepass")))
                 drawn.append(sketch(own))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "copy": b["copy"], "fp": fps, "words": np.array(same, np.uint64).view(np.int64), "sketch": drawn})
+                sizes.append(len(own))
+                first.append(prefix(own, shared.value, similarity).view(np.int64))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "copy": b["copy"], "fp": fps, "words": np.array(same, np.uint64).view(np.int64), "sketch": drawn, "size": sizes, "prefix": first})
 
     source = docs.select(carried(key).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    prints = cut(restored(source.mapInPandas(run, "doc_id string, copy long, fp long, words long, sketch binary"), "doc_id"), "prints")
+    prints = cut(restored(source.mapInPandas(run, "doc_id string, copy long, fp long, words long, sketch binary, size int, prefix array<long>"), "doc_id"), "prints")
     # equal words: the smallest doc_id, and of its rows the smallest hash of the text
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("m")
-    classes = cut(prints.groupBy("words").agg(first, F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).select("words", "fp", "sketch", F.col("m.doc_id").alias("doc_id"), F.col("m.copy").alias("copy")), "classes")
-    # different words can have one fingerprint: the index holds it once, with its first sketch
+    classes = cut(prints.groupBy("words").agg(first, F.first("fp").alias("fp"), *(F.first(c).alias(c) for c in ("sketch", "size", "prefix"))).select("words", "fp", "sketch", "size", "prefix", F.col("m.doc_id").alias("doc_id"), F.col("m.copy").alias("copy")), "classes")
+    # different words can have one fingerprint: the index holds it once, with its first sketch;
+    # links that only the others' sketches show are among those of the prefixes
     distinct = cut(classes.groupBy("fp").agg(F.count("*").alias("n"), F.min_by("sketch", "words").alias("sketch")), "distinct-fingerprints")
-    roots = components(linked(distinct.select("fp", "sketch"), radius=radius), name="near-components")
+    edges = linked(distinct.select("fp", "sketch"), radius=radius).unionByName(_similar(classes, similarity))
+    roots = components(edges, name="near-components")
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("group"))
     wide = of.groupBy("group").agg(F.sum("n").alias("n")).where("n > 1").select("group")
     rows = classes.join(of.join(wide, "group", "left_semi").select("fp", "group"), "fp").select("group", "words", F.col("doc_id").alias("_did"), F.col("copy").alias("_dcopy"))
