@@ -44,3 +44,10 @@ def test_llm_is_not_imported_elsewhere():
             for f in files:
                 if f.endswith(".py"):
                     assert "vellumine.llm" not in open(os.path.join(folder, f)).read()
+
+
+def test_cjk_behind_the_start(spark, tmp_path):
+    rows = [(1, "plain " * 20 + "漢"), (2, "plain"), (3, "plain " * 20), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["cjk"] for r in QUERIES["prj18_cjk"](spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: None}

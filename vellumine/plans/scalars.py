@@ -217,7 +217,7 @@ def _(spark, sf_dir):
 
 @query("prj18_cjk", "SELECT doc_id, doc_id % 2 = 0 AS cjk FROM documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.has_cjk(F.concat(F.left("text", F.lit(20)), F.when(F.col("doc_id") % 2 == 0, "漢字").otherwise(""))).alias("cjk"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.has_cjk(F.concat("text", F.when(F.col("doc_id") % 2 == 0, "漢字").otherwise(""))).alias("cjk"))
 
 
 @query("src20_xls_values", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN o_orderpriority WHEN 2 THEN strftime(DATE '1899-12-30' + CAST(o_custkey + 1 AS INTEGER), '%Y-%m-%d') WHEN 3 THEN strftime(DATE '1899-12-30' + CAST(o_custkey + 1 AS INTEGER), '%Y-%m-%d') || ' 12:00:00' WHEN 4 THEN CASE WHEN o_custkey % 2 <> 0 THEN 'TRUE' ELSE 'FALSE' END ELSE '#ERROR' END AS value FROM orders")
