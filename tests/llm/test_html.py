@@ -49,3 +49,14 @@ def test_layout_names_and_page_forms():
     html = "<body><form id=f><div class='page has-sidebar'><nav>Menu</nav><main><p>Text one.</p><form>Mail</form><div class='discussion'>no</div></main><div class=sidebar>side</div></div></form></body>"
     blocks, _ = html_template.parse(html, html_template._Names())
     assert html_template.slots(blocks, frozenset()) == ["Text one."]
+
+
+def test_copies_of_plain_pages_stay(spark):
+    html = f"<html><body><h1>One title</h1><p>{words(1, 40)}</p><p>{words(2, 30)}</p></body></html>"
+    near = [html.replace("</body>", f"<p>Seen {i} times</p></body>") for i in range(4)]
+    rows = [(i, f"https://a.example/{i}", html) for i in range(3)] + [(10 + i, f"https://b.example/{i}", h) for i, h in enumerate(near)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.main_text(df).collect()}
+    body = f"One title {words(1, 40)} {words(2, 30)}"
+    assert [got[i] for i in range(3)] == [body] * 3
+    assert [got[10 + i] for i in range(4)] == [f"{body} Seen {i} times" for i in range(4)]

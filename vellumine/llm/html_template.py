@@ -17,8 +17,9 @@ else those in the smallest element that holds most of the varying text.
 
 Cases: null or empty html gives an empty text. A null URL, or one without ``://``,
 belongs to the host ''. Hosts with fewer than ``LEAST_PAGES`` pages have no template,
-so names and tags alone decide. If the template would take over half of a marked
-article, its pages are copies of each other and the article is kept whole. Unclosed
+so names and tags alone decide; pages of a host with equal html count once. If the
+template would take half of a marked article, or of the text of a page that marks none,
+its pages are copies of each other and the text is kept whole. Unclosed
 and stray tags are tolerated. Repeated rows stay. Extra columns are left out.
 """
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import BROADCAST_BYTES, carried, restored
+from vellumine.llm.common import BROADCAST_BYTES, carried, restored, sized_join
 from vellumine.llm.url_filter import host_of
 from vellumine.shared import cut
 
@@ -219,7 +220,10 @@ def slots(blocks: list[Block], template: frozenset[int]) -> list[str]:
             varying = [b for b in marked if b.key not in template]
             whole = sum(len(b.text) for b in marked)
             return [b.text for b in (varying if 2 * sum(len(b.text) for b in varying) > whole else marked)]
-    varying = [b for b in kept if b.key not in template and 2 * b.links <= len(b.text)]
+    plain = [b for b in kept if 2 * b.links <= len(b.text)]
+    varying = [b for b in plain if b.key not in template]
+    if 2 * sum(len(b.text) for b in varying) <= sum(len(b.text) for b in plain):
+        varying = plain
     mass: dict[int, int] = {}
     for b in varying:
         for e in b.parents:
@@ -233,8 +237,16 @@ def slots(blocks: list[Block], template: frozenset[int]) -> list[str]:
     return [b.text for i, b in enumerate(varying) if within[i] or (i < first and b.tag == "h1")]
 
 
+def _once(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of the html), html: what isn't empty, each once for a host. Only copies are shuffled."""
+    at = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    copied = cut(at.groupBy("host", "page").count().where(F.col("count") > 1).select("host", "page"), "copied-pages")
+    alone = sized_join(at, copied, ["host", "page"], "left_anti", row_bytes=120)
+    return alone.unionByName(sized_join(at, copied, ["host", "page"], "left_semi", row_bytes=120).dropDuplicates(["host", "page"]))
+
+
 def vectors(pages: DataFrame) -> DataFrame:
-    """host, token, text (whether it is text), pages and the two halves of the occurrence vector's sum."""
+    """host, token, text (whether it is text), pages and the two halves of the occurrence vector's sum, for pages (host, page, html)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, held = _Names(), {}
@@ -267,14 +279,14 @@ def vectors(pages: DataFrame) -> DataFrame:
         sums = np.array(list(held.values()), np.int64).reshape(-1, 3)
         return pd.DataFrame({"host": [k[0] for k in held], "token": keys, "text": [k[2] for k in held], "pages": sums[:, 0], "low": sums[:, 1], "high": sums[:, 2]})
 
-    source = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    rows = source.mapInPandas(run, "host string, token long, text boolean, pages long, low long, high long")
+    rows = pages.select("host", "page", "html").mapInPandas(run, "host string, token long, text boolean, pages long, low long, high long")
     return rows.groupBy("host", "token", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "low", "high")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, template: the text tokens of the host's valid classes."""
-    sizes = pages.where("html <> ''").groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("all_pages"))
+    pages = _once(pages)
+    sizes = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
     frequent = vectors(pages).where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= F.col("all_pages") * LEAST_SHARE)
     classes = frequent.groupBy("host", "low", "high", "pages").agg(F.count_if(~F.col("text")).alias("elements"), F.collect_list(F.when(F.col("text"), F.col("token"))).alias("tokens"))
     valid = classes.where((F.col("elements") > 0) & (F.size("tokens") > 0))
