@@ -1,3 +1,4 @@
+import itertools
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,32 @@ def test_large_ids_beside_null_ones(spark):
     assert seen(pii.report(pii.personal_data(docs))) == seen(secret_scan.scan(docs)) == seen(packing.pack(docs)) == want
     assert seen(toxicity.scored(docs, {"weights": {}, "bias": -1.0})) == want
     assert seen(html_template.main_text(spark.createDataFrame([(i, "u", "<p>x") for i in ids], "page_id long, url string, html string")), "page_id") == want
+
+
+def test_masks_find_all_that_is_accepted():
+    for n in range(1, 23):
+        masks = decontam.masks_of(n)
+        seeds = [sum(1 << at + i for i, bit in enumerate(m) if bit == "1") for m in masks for at in range(n - len(m) + 1)]
+        most = next(k for k in range(n, -1, -1) if n - k >= decontam.IDENTITY * n)
+        for changed in itertools.combinations(range(n), most):
+            bad = sum(1 << i for i in changed)
+            assert any(not s & bad for s in seeds), (n, changed)
+
+
+@pytest.mark.parametrize("n, changes", [(5, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 2), (15, 3)])
+def test_changed_items_leak(spark, n, changes):
+    item = [f"i{k}" for k in range(n)]
+    docs, i = [], 0
+    for changed in itertools.combinations(range(n), changes):
+        body = ["other" if k in changed else t for k, t in enumerate(item)]
+        docs += [(i, " ".join(["before", "it", *body, "after"]), "en", "s", 1), (i + 1, " ".join(body), "en", "s", 1)]
+        i += 2
+    found = decontam.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r["doc_id"]: (r["matched"], r["at"]) for r in found.collect()} == {k: (n - changes, 0 if k % 2 else 2) for k in range(i)}
+
+
+def test_item_at_the_end_of_a_document(spark):
+    item = [f"i{k}" for k in range(10)]
+    docs = [(0, " ".join(item[:8]), "en", "s", 1), (1, " ".join(item[2:]), "en", "s", 1), (2, " ".join([*item[:4], "x", *item[5:9]]), "en", "s", 1), (3, " ".join(item[:7]), "en", "s", 1)]
+    found = decontam.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["matched"]) for r in found.collect()) == [(0, 8), (1, 8), (2, 8)]

@@ -1,14 +1,17 @@
 """Benchmark passages in documents by spaced seeds (DataFrame functions only).
 
-A text is its runs of letters and digits, lower-cased. A mask looks at seven of eleven
-neighbouring tokens and ignores the rest, so a seed survives substitutions at the
-ignored positions; the three masks together find every passage of fifteen tokens in
-which any two are changed. Seeds of documents and benchmark items are joined on their
-hashes; each hit names a diagonal (item, shift). On each diagonal all tokens are then
-compared. A document leaks an item if ``IDENTITY`` of the item's tokens agree, or if
-that share agrees in some stretch of ``STRETCH`` tokens.
-
-Items shorter than the masks are looked for whole and unchanged. Hits are keyed by the
+A text is its runs of letters and digits, lower-cased. A mask looks at five of up to
+eight neighbouring tokens and ignores the rest, so a seed survives substitutions at the
+ignored positions. The three masks together leave no passage out that is accepted: they
+hit any ten tokens of which two are changed, and any fifteen to nineteen with three.
+(Twenty or more with a fifth changed hold ten with two.) Seeds of documents and benchmark
+items are joined on their hashes; each hit names a diagonal (item, shift). On each diagonal
+all tokens are then compared. A document leaks an item if ``IDENTITY`` of the item's tokens
+agree, or if that share agrees in some stretch of ``STRETCH`` tokens.
+
+Items under ten tokens have masks of their own: whole, or with each third of them left
+out in turn where one token can be changed. Masks begin and end with a token that they
+look at, so passages at either end of a document are found. Hits are keyed by the
 text's hash, so copies of a text are verified alike; a collision only adds a comparison.
 
 Cases: null texts have no tokens; documents and items without tokens leak nothing.
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 from vellumine.llm.common import BROADCAST_BYTES, sized_join
 from vellumine.shared import cut
 
-SPAN = 11
-#: Which of the eleven tokens each mask looks at.
-MASKS = ("11110100011", "10011001111", "11000111101")
+#: Which of neighbouring tokens each mask looks at, for items of ``LEAST`` tokens or more.
+MASKS = ("111011", "11001011", "11111")
+LEAST = 10
 IDENTITY = 0.8
 STRETCH = 13
 #: Bytes that a seed takes in a broadcast table, amply.
@@ -40,25 +43,24 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _windows(seq: Column, span: int) -> Column:
-    """An array of the windows of ``span`` tokens, as structs t0, t1, ..."""
-    count = F.greatest(F.size(seq) - (span - 1), F.lit(0))
-    return F.arrays_zip(*(F.slice(seq, i + 1, count).alias(f"t{i}") for i in range(span)))
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks that find an item of ``n`` tokens wherever ``IDENTITY`` of them agree."""
+    if n >= LEAST:
+        return MASKS
+    if n - IDENTITY * n < 1 - 1e-9:
+        return ("1" * n,)
+    cuts = [n * k // 3 for k in range(4)]
+    return tuple(("1" * a + "0" * (b - a) + "1" * (n - b)).strip("0") for a, b in zip(cuts, cuts[1:]))
 
 
-def _seeds(rows: DataFrame, keys: list[str], short: list[int]) -> DataFrame:
-    """keys, at, seed: every seed of the column ``seq``."""
-
-    def spread(span: int, masks: tuple[str, ...]) -> DataFrame:
-        windows = rows.where(F.size("seq") >= span).select(*keys, F.posexplode(_windows(F.col("seq"), span)).alias("at", "w"))
-        names = windows.schema["w"].dataType.names
-        picked = [F.xxhash64(F.lit(f"{span}:{m}"), *(F.col("w")[n] for n, bit in zip(names, m, strict=True) if bit == "1")) for m in masks]
-        return windows.select(*keys, "at", F.explode(F.array(*picked)).alias("seed"))
-
-    out = spread(SPAN, MASKS)
-    for n in short:
-        out = out.unionByName(spread(n, ("1" * n,)))
-    return out
+def _seeds(rows: DataFrame, keys: list[str], masks: list[str], pad: int) -> DataFrame:
+    """keys, at, seed: every seed of the column ``seq``, which ``pad`` follows."""
+    span = max(map(len, masks))
+    padded = rows.select(*keys, F.size("seq").alias("n"), F.concat("seq", F.array_repeat(F.lit(pad).cast("long"), span - 1)).alias("seq"))
+    windows = F.arrays_zip(*(F.slice("seq", F.lit(i + 1), F.col("n")).alias(f"t{i}") for i in range(span)))
+    windows = padded.select(*keys, F.posexplode(windows).alias("at", "w"))
+    picked = [F.xxhash64(F.lit(m), *(F.col("w")[f"t{i}"] for i, bit in enumerate(m) if bit == "1")) for m in masks]
+    return windows.select(*keys, "at", F.explode(F.array(*picked)).alias("seed"))
 
 
 def _agreement(seq: Column, item: Column, shift: Column) -> Column:
@@ -74,10 +76,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, identity: float = IDENTITY,
     """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("seq")).where(F.size("seq") > 0).distinct()
     items = cut(items.withColumn("item", F.xxhash64("item_id", "seq")), "benchmark")
-    short = sorted(r["n"] for r in items.where(F.size("seq") < SPAN).select(F.size("seq").alias("n")).distinct().collect())
-    wanted = _seeds(items, ["item"], []).unionByName(_whole(items, short)).withColumnRenamed("at", "item_at").distinct()
+    short = sorted(r["n"] for r in items.where(F.size("seq") < LEAST).select(F.size("seq").alias("n")).distinct().collect())
+    wanted = _seeds(items.where(F.size("seq") >= LEAST), ["item"], list(MASKS), 1)
+    for n in short:
+        wanted = wanted.unionByName(_seeds(items.where(F.size("seq") == n), ["item"], list(masks_of(n)), 1))
+    wanted = wanted.withColumnRenamed("at", "item_at").distinct()
+    masks = list(dict.fromkeys([*MASKS, *(m for n in short for m in masks_of(n))]))
     source = docs.select(F.xxhash64("text").alias("copy"), tokens(F.col("text")).alias("seq"))
-    hits = sized_join(_seeds(source, ["copy"], short), wanted, "seed", row_bytes=SEED_BYTES)
+    hits = sized_join(_seeds(source, ["copy"], masks, 0), wanted, "seed", row_bytes=SEED_BYTES)
     hits = cut(hits.select("copy", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
 
     per_copy = hits.groupBy("copy").agg(F.collect_list(F.struct("item", "shift")).alias("diagonals"))
@@ -99,14 +105,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, identity: float = IDENTITY,
     return found.select("doc_id", "copy", "item_id", F.col("p.matched").alias("matched"), "item_tokens", F.greatest(-F.col("p.back"), F.lit(0)).alias("at"))
 
 
-def _whole(items: DataFrame, short: list[int]) -> DataFrame:
-    """The seeds of the items that are shorter than the masks."""
-    out = _seeds(items.limit(0), ["item"], [])
-    for n in short:
-        out = out.unionByName(_seeds(items.where(F.size("seq") == n), ["item"], [n]))
-    return out
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, identity: float = IDENTITY, stretch: int = STRETCH) -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns."""
     bad = cut(leaks(docs, benchmark, identity=identity, stretch=stretch).select(F.col("copy").alias("_copy")).distinct(), "leaking")
