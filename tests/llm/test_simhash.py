@@ -89,6 +89,35 @@ def test_keep_one_large_group(spark):
     assert len([i for i in ids if i < 1000]) == 1 and len([i for i in ids if i >= 1000]) == 20
 
 
+def survivors(texts):
+    """By the definition: in order, each text stays unless an earlier one that stays is similar."""
+    stay = []
+    for i, t in enumerate(texts):
+        if not any(simhash.jaccard(simhash.shingles(texts[k]), simhash.shingles(t)) >= simhash.SIMILARITY for k in stay):
+            stay.append(i)
+    return stay
+
+
+def test_one_rule_for_groups_of_any_size(spark):
+    base = words(3, 400).split()
+    chain = [" ".join(base[8 * i : 8 * i + 100]) for i in range(16)]  # neighbours are similar, second neighbours are not
+    star = [" ".join([*base[300:380], *(f"x{k}{j}" for j in range(8))]) for k in range(8)] + [" ".join(base[300:380])]
+    clique = [" ".join([*base[:150], f"y{k}"]) for k in range(12)]
+    texts = chain + star + clique + [words(500 + k, 30) for k in range(6)]
+    assert simhash.jaccard(*map(simhash.shingles, chain[:2])) >= 0.8 > simhash.jaccard(*map(simhash.shingles, chain[::2][:2]))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    want = survivors(texts)
+    assert len([i for i in want if i < 16]) == 8
+    for group_rows in (2, 5, 200):
+        assert sorted(r["doc_id"] for r in simhash.keep_one(docs, group_rows=group_rows).collect()) == want
+
+
+def test_hot_shingles_only_widen_groups(spark):
+    texts = [" ".join([*words(1, 40).split(), f"z{k}", *words(k + 50, 6 * (k % 3)).split()]) for k in range(24)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs, hot_rows=3).collect()) == survivors(texts)
+
+
 def test_keep_one_awkward(spark):
     got = simhash.keep_one(clashing(spark)).select("doc_id", "text").collect()
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 2, 5, 6, 7]

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import carried, restored, sized_join
@@ -44,12 +44,14 @@ FRONTIER = 1 << 20
 SHINGLE, SIMILARITY = 5, 0.8
 #: Its candidates: fingerprints of single words, which small changes move least, within this
 #: radius, and bins and least agreement of the shingle sketches that they are held against.
-STAGE_WIDTH, STAGE_RADIUS, BINS, SKETCH_LEAST = 1, 4, 64, 0.6
+STAGE_WIDTH, STAGE_RADIUS, BINS, SKETCH_LEAST = 1, 4, 128, 0.55
 #: Texts that are drawn to find frequent shingles, and texts of these from which one is frequent:
 #: they only set the order of shingles, and any order gives all candidates.
 DRAWN, FREQUENT, MOST_FREQUENT = 20_000, 8, 1 << 20
-#: Texts that a task compares with each other.
-GROUP_ROWS = 200
+#: Texts, and shingles in them, that a task compares with each other.
+GROUP_ROWS, GROUP_SHINGLES = 1_000, 2_000_000
+#: Texts of one shingle from which they are linked without a look at their sketches.
+HOT_ROWS = 20_000
 #: Hashes whose bits are counted together.
 HASHES = 1 << 15
 
@@ -226,7 +228,7 @@ def linked(distinct: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCK
         group = np.cumsum(new)
         alone = new & np.r_[new[1:], True] if len(b) else new
         fps = b["fp"].to_numpy(np.int64).view(np.uint64)
-        sketches = np.stack([np.frombuffer(x, np.uint16) for x in b["sketch"].to_numpy()[~alone]]) if extra and not alone.all() else None
+        sketches = _stacked(b["sketch"][~alone]) if extra else None
         child, root = forest(fps[~alone], group[~alone], radius, sketches)
         return pd.DataFrame({"a": child.view(np.int64), "b": root.view(np.int64)})
 
@@ -297,6 +299,10 @@ def sketch(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def _stacked(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint16).reshape(len(sketches), BINS)
+
+
 def sketch_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The estimated Jaccard similarity, row by row; 1 for two empty sketches."""
     some = ((a != 0) | (b != 0)).sum(axis=1)
@@ -331,17 +337,21 @@ def _frequent(docs: DataFrame, text: str) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def _similar(classes: DataFrame, similarity: float) -> DataFrame:
+def _similar(classes: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Edges (a, b) of fingerprints that span the links of texts that share a shingle of their prefixes.
 
     No two texts of ``similarity`` go without, whatever their fingerprints. Shingles with the
-    same texts are looked at once; links are held against sizes, and against each text's own sketch,
-    of which half as much must agree.
+    same texts are looked at once; links are held against sizes and against each text's own sketch.
+    The texts of a shingle that more than ``hot_rows`` share are linked to the first of them as they
+    are: that only makes a group wider, and what is similar in it is decided later.
     """
-    member = F.struct("size", "words", "fp")
-    shared = classes.select(F.explode("prefix").alias("shingle"), member.alias("m")).groupBy("shingle").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    shared = shared.where((F.size("ms") > 1) & (F.array_min("ms.fp") < F.array_max("ms.fp"))).groupBy(F.xxhash64("ms").alias("bucket")).agg(F.first("ms").alias("ms"))
-    rows = cut(shared, "shared-shingles").select("bucket", F.explode("ms").alias("m")).select("bucket", "m.size", "m.words", "m.fp")
+    at = classes.select(F.explode("prefix").alias("shingle"), "size", "words", "fp")
+    shared = at.groupBy("shingle").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1 and low < high")
+    shared = cut(shared.select("shingle", "n", "low"), "shared-shingles")
+    few, many = shared.where(F.col("n") <= hot_rows).select("shingle"), shared.where(F.col("n") > hot_rows).select("shingle", "low")
+    lists = sized_join(at, few, "shingle").groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("size", "words", "fp"))).alias("ms"))
+    lists = lists.groupBy(F.xxhash64("ms").alias("bucket")).agg(F.first("ms").alias("ms"))
+    rows = cut(lists, "shared-lists").select("bucket", F.explode("ms").alias("m")).select("bucket", "m.size", "m.words", "m.fp")
     rows = rows.join(classes.select("words", "sketch"), "words").select("bucket", "size", "fp", "sketch")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,7 +366,7 @@ def _similar(classes: DataFrame, similarity: float) -> DataFrame:
 
     def edges(b: pd.DataFrame) -> pd.DataFrame:
         bucket, size, fp = b["bucket"].to_numpy(), b["size"].to_numpy(), b["fp"].to_numpy()
-        sketches = np.stack([np.frombuffer(x, np.uint16) for x in b["sketch"]]) if len(b) else None
+        sketches = _stacked(b["sketch"])
         ends = np.r_[np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(b)] if len(b) else []
         found, start = [], 0
         for end in ends:
@@ -364,7 +374,9 @@ def _similar(classes: DataFrame, similarity: float) -> DataFrame:
             start = end
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "size").mapInPandas(search, "a long, b long").distinct()
+    near = rows.repartition("bucket").sortWithinPartitions("bucket", "size").mapInPandas(search, "a long, b long")
+    wide = sized_join(at, many, "shingle").select(F.col("fp").alias("a"), F.col("low").alias("b")).where("a <> b")
+    return near.unionByName(wide).distinct()
 
 
 def _bucket_links(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
@@ -375,7 +387,7 @@ def _bucket_links(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, simi
         other = np.arange(i + 1, last[i])
         other = other[labels[other] != labels[i]]
         if len(other):
-            other = other[sketch_likeness(sketches[other], sketches[i : i + 1]) >= similarity / 2]
+            other = other[sketch_likeness(sketches[other], sketches[i : i + 1]) >= SKETCH_LEAST]
             for label, at in zip(*np.unique(labels[other], return_index=True), strict=True):
                 labels[labels == label] = labels[i]
                 yield i, int(other[at])
@@ -389,79 +401,101 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _leaders(texts: list[str | None], similarity: float) -> list[int]:
-    """For each text, in order, the first earlier text that stays and is similar, or itself."""
-    kept: list[tuple[int, np.ndarray]] = []
-    out = []
-    for i, t in enumerate(texts):
-        own = shingles(t)
-        near = next((k for k, s in kept if similarity * max(len(s), len(own)) <= min(len(s), len(own)) and jaccard(s, own) >= similarity), None)
-        if near is None:
-            kept.append((i, own))
-        out.append(i if near is None else near)
-    return out
-
-
-def _in_groups(members: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    """What stays of ``members`` (group, id, rank, text) when each bounded group of ``keys`` keeps one of similar texts."""
+class _Stayers:
+    """The texts of a group that stay so far; finds whether a further text is similar to one of them."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.shingles = similarity, []
+        self.sizes, self.sketches = np.zeros(64, np.int64), np.zeros((64, BINS), np.uint16)
+
+    def similar(self, size: int, own_sketch: np.ndarray, text: str | None) -> bool:
+        n, least = len(self.shingles), self.similarity
+        if not n:
+            return False
+        sizes = self.sizes[:n]
+        near = np.flatnonzero(least * np.maximum(sizes, size) <= np.minimum(sizes, size) + 1e-9)
+        near = near[sketch_likeness(self.sketches[near], own_sketch[None]) >= SKETCH_LEAST]
+        if not len(near):
+            return False
+        own = shingles(text)
+        return any(jaccard(self.shingles[k], own) >= least - 1e-12 for k in near)
+
+    def add(self, size: int, own_sketch: np.ndarray, text: str | None) -> None:
+        n = len(self.shingles)
+        if n == len(self.sizes):
+            self.sizes, self.sketches = np.resize(self.sizes, 2 * n), np.resize(self.sketches, (2 * n, BINS))
+        self.sizes[n], self.sketches[n] = size, own_sketch
+        self.shingles.append(shingles(text))
+
+
+def _greedy(part: pd.DataFrame, similarity: float) -> np.ndarray:
+    """Of rows in order whether each stays: it does unless an earlier one that stays is similar."""
+    stayers, stays = _Stayers(similarity), np.zeros(len(part), bool)
+    for i, row in enumerate(zip(part["size"], _stacked(part["sketch"]), part["text"], strict=True)):
+        if not stayers.similar(*row):
+            stayers.add(*row)
+            stays[i] = True
+    return stays
+
+
+def _redundant(members: DataFrame, similarity: float, group_rows: int, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """id of the ``members`` (group, id, rank, size, sketch, text) that go.
+
+    One rule for groups of any size: in the order of rank and id a text stays unless one of
+    its group that stays is similar. A group that fits a task is decided there. Of a larger
+    one the first texts that fit are decided, then all others, dealt to parts, are held
+    against those of them that stay; what is neither decided nor similar goes to the next
+    round. So each task holds two bounded parts, and the bounds don't change what stays.
+    """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def decide(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["rank", "id"])
-        stays = [i for i, k in enumerate(_leaders(part["text"].tolist(), similarity)) if i == k]
-        return part.iloc[stays][["group", "id", "rank", "text"]]
+        return part.assign(stays=_greedy(part, similarity))[["id", "stays"]]
 
-    return members.groupBy(*keys).applyInPandas(run, "group long, id long, rank long, text string")
-
-
-def _redundant(members: DataFrame, similarity: float, group_rows: int) -> DataFrame:
-    """id of the members that are similar to one of their group that stays.
-
-    A group of at most ``group_rows`` keeps one of similar texts in one task. Larger groups
-    are dealt to parts; what stays of the parts is dealt anew until the group fits. A group
-    that no longer shrinks is compared part by part, all parts with all.
-    """
-    pending, stays = cut(members, "members"), []
+    def first(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["rank", "id"])
+        fits = part["size"].cumsum().to_numpy() <= group_shingles
+        fits[0] = True
+        part = part[fits]
+        return part.assign(stays=_greedy(part, similarity))
+
+    def against(stay: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        stayers = _Stayers(similarity)
+        for row in zip(stay["size"], _stacked(stay["sketch"]), stay["text"], strict=True):
+            stayers.add(*row)
+        gone = [i for i, *row in zip(part["id"], part["size"], _stacked(part["sketch"]), part["text"], strict=True) if stayers.similar(*row)]
+        return pd.DataFrame({"id": np.array(gone, np.int64)})
+
+    fields = "group long, id long, rank long, size int, sketch binary, text string"
+    columns = ["group", "id", "rank", "size", "sketch", "text"]
+    pending, gone = cut(members.select(*columns), "members"), []
     while True:
-        sizes = pending.groupBy("group").agg(F.count("*").alias("n"))
-        large = cut(sizes.where(F.col("n") > group_rows), "large-groups")
+        sizes = pending.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+        large = cut(sizes.where((F.col("n") > group_rows) | ((F.col("shingles") > group_shingles) & (F.col("n") > 1))), "large-groups")
         crowded = not large.isEmpty()
         small = sized_join(pending, large.select("group"), "group", "left_anti") if crowded else pending
-        stays.append(cut(_in_groups(small, ["group"], similarity).select("id"), "stays"))
+        gone.append(cut(small.groupBy("group").applyInPandas(decide, "id long, stays boolean").where("not stays").select("id"), "gone"))
         if not crowded:
             break
-        dealt = sized_join(pending, large, "group").withColumn("part", F.floor(F.pmod(F.xxhash64("id", "n"), F.lit(1 << 30)) / F.lit(1 << 30) * F.ceil(F.col("n") / group_rows)))
-        before = large.agg(F.sum("n")).first()[0]
-        pending = cut(_in_groups(dealt, ["group", "part"], similarity), "members")
-        if pending.count() > 0.9 * before:
-            stays.append(_across(pending, similarity, group_rows).select("id"))
-            break
-    kept = stays[0]
-    for more in stays[1:]:
-        kept = kept.unionByName(more)
-    return members.select("id").join(kept, "id", "left_anti")
-
-
-def _across(members: DataFrame, similarity: float, group_rows: int) -> DataFrame:
-    """What stays when each part is held against each other part of its group; tasks hold two parts."""
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
-    dealt = members.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    pairs = dealt.select("group", "id", "rank", "text", "part", other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["rank", "id"])
-        ids, sets = part["id"].tolist(), [shingles(t) for t in part["text"]]
-        found = [(a, b) for i, a in enumerate(ids) for k, b in enumerate(ids[:i]) if jaccard(sets[i], sets[k]) >= similarity]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    edges = pairs.select("group", "id", "rank", "text", "low", "high").dropDuplicates(["id", "low", "high"]).groupBy("group", "low", "high").applyInPandas(run, "a long, b long")
-    joined = components(edges, name="similar")
-    of = members.select("id", "rank").join(joined, members["id"] == joined["node"], "left").select("id", "rank", F.coalesce("root", "id").alias("root"))
-    first = of.groupBy("root").agg(F.min(F.struct("rank", "id")).alias("m")).select(F.col("m.id").alias("id"))
-    return members.join(first, "id", "left_semi")
-
-
-def keep_one(docs: DataFrame, *, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+        parts = F.ceil(F.greatest(F.col("n") / group_rows, F.col("shingles") / group_shingles)).cast("int")
+        rest = sized_join(pending, large.select("group", parts.alias("parts")), "group")
+        order = Window.partitionBy("group").orderBy("rank", "id")
+        front = rest.select(*columns).withColumn("place", F.row_number().over(order)).where(F.col("place") <= group_rows).drop("place")
+        front = cut(front.groupBy("group").applyInPandas(first, f"{fields}, stays boolean"), "front")
+        gone.append(front.where("not stays").select("id"))
+        rest = rest.join(front.select("id"), "id", "left_anti").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        rest = cut(rest.select(*columns, "part"), "rest")
+        held = front.where("stays").select(*columns).join(large.select("group", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), "group")
+        out = held.groupBy("group", "part").cogroup(rest.groupBy("group", "part")).applyInPandas(against, "id long")
+        gone.append(cut(out, "gone"))
+        pending = cut(rest.select(*columns).join(gone[-1], "id", "left_anti"), "members")
+    found = gone[0]
+    for more in gone[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def keep_one(docs: DataFrame, *, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS, hot_rows: int = HOT_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, less those that are near-duplicates of a row that stays.
 
     Near duplicates share ``SIMILARITY`` of their five-word shingles. Candidates are fingerprints
@@ -494,14 +528,14 @@ def keep_one(docs: DataFrame, *, radius: int = STAGE_RADIUS, similarity: float =
     # different words can have one fingerprint: the index holds it once, with its first sketch;
     # links that only the others' sketches show are among those of the prefixes
     distinct = cut(classes.groupBy("fp").agg(F.count("*").alias("n"), F.min_by("sketch", "words").alias("sketch")), "distinct-fingerprints")
-    edges = linked(distinct.select("fp", "sketch"), radius=radius).unionByName(_similar(classes, similarity))
+    edges = linked(distinct.select("fp", "sketch"), radius=radius).unionByName(_similar(classes, similarity, hot_rows))
     roots = components(edges, name="near-components")
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("group"))
     wide = of.groupBy("group").agg(F.sum("n").alias("n")).where("n > 1").select("group")
-    rows = classes.join(of.join(wide, "group", "left_semi").select("fp", "group"), "fp").select("group", "words", F.col("doc_id").alias("_did"), F.col("copy").alias("_dcopy"))
+    rows = classes.join(of.join(wide, "group", "left_semi").select("fp", "group"), "fp").select("group", "words", "size", "sketch", F.col("doc_id").alias("_did"), F.col("copy").alias("_dcopy"))
     own = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_copy"), F.col(text).alias("text"))
     texts = sized_join(own, rows, (F.col("_copy") == F.col("_dcopy")) & F.col("_id").eqNullSafe(F.col("_did"))).dropDuplicates(["words"])
-    members = texts.select("group", F.col("words").alias("id"), F.coalesce("_id", F.lit((1 << 63) - 1)).alias("rank"), "text")
+    members = texts.select("group", F.col("words").alias("id"), F.coalesce("_id", F.lit((1 << 63) - 1)).alias("rank"), "size", "sketch", "text")
     gone = cut(_redundant(members, similarity, group_rows), "redundant")
 
     stays = classes.join(gone.select(F.col("id").alias("words")), "words", "left_anti").select(F.col("doc_id").alias("_did"), F.col("copy").alias("_dcopy"))
