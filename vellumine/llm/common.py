@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.shared import cut
+
 #: Largest side that is broadcast, by its measured rows and a bound on the bytes of a row.
 BROADCAST_BYTES = 64 << 20
 
@@ -22,3 +24,18 @@ def restored(df: DataFrame, key: str) -> DataFrame:
 def sized_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", *, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``large`` joined to ``small``, which is broadcast if its rows times ``row_bytes`` fit ``limit``; else both are shuffled."""
     return large.join(F.broadcast(small) if small.count() * row_bytes <= limit else small, on, how)
+
+
+def salted_join(large: DataFrame, small: DataFrame, key: str, by: Column, how: str = "left", *, salts: int = 32) -> DataFrame:
+    """``large`` joined to ``small``, whose ``key`` is unique: rows of one key are dealt by ``by`` to ``salts`` tasks, each with a copy of its partner."""
+    left = large.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """copy (a hash of the text), text: each text that isn't empty once. Only texts that have copies are shuffled."""
+    at = docs.where(F.col(text) != "").select(F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    copied = cut(at.groupBy("copy").count().where("count > 1").select("copy"), "copied")
+    alone = sized_join(at, copied, "copy", "left_anti", row_bytes=40)
+    return alone.unionByName(sized_join(at, copied, "copy", "left_semi", row_bytes=40).dropDuplicates(["copy"]))

@@ -1,12 +1,17 @@
 """Personal data: base patterns, and terms that disclose a protected entity.
 
-The base kinds (email, ip, card, phone) are found in one linear pass each. The method
-adds terms: from the whole corpus it counts in how many documents a term stands near
-an entity (a base value), in how many it stands at all, and what share of the entity's
-information the term gives away, ``PMI(term, entity) / IC(entity)``. Terms above the
-disclosure threshold are generalised to ``<term>`` where they stand near an entity, and
-removed where they give it away in full. Counts are over distinct texts, so copies
-prove nothing.
+The base kinds (email, ip, card, phone) are found in one linear pass each. A base value
+names protected entities on three levels: the value itself, its group (the domain of an
+email, the network of an ip, the issuer of a card, the area of a phone) and its kind, so a
+value that is too rare to count still has its group's and kind's terms. Over the whole
+corpus the method counts the distinct texts that hold an entity, those that hold a term
+(a word outside the base spans, anywhere in the text), and those that hold both:
+IC(e) = -log(df(e) / N), PMI = log(df(t, e) N / (df(t) df(e))), and the term's share of
+the entity's information is PMI / IC. A term at or above the disclosure threshold is
+generalised to ``<term>`` in every text that holds the entity, and removed if it gives all
+away. A term after which a certain value follows more often than not (df(t, e) / df(t) of
+``GIVEN`` or more) is covered in all other texts as well. Counts are over distinct texts,
+so copies prove nothing, and ``SUPPORT`` of them are needed.
 
 Cases: a null text counts as empty and has no span. Repeated rows stay repeated, with
 the same spans. Null ids are kept. An empty table gives an empty result. Columns that
@@ -18,13 +23,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import carried, restored, sized_join
+from vellumine.llm.common import BROADCAST_BYTES, carried, distinct_texts, restored, salted_join, sized_join
 from vellumine.shared import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -32,8 +39,10 @@ KINDS = ("email", "ip", "card", "phone")
 DISCLOSURE = 0.8
 #: Distinct texts in which term and entity must stand together before their counts are trusted.
 SUPPORT = 3
-#: Words on either side of an entity that count as near.
-NEAR = 4
+#: Share of a term's texts that hold a value from which the term is covered where the value is not.
+GIVEN = 0.5
+#: Levels of an entity.
+VALUE, GROUP, KIND = 0, 1, 2
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -41,7 +50,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_WORD = re.compile(r"[^\W\d_]{2,}")
+#: A term, for Python and for the JVM.
+WORD = r"\p{L}{2,}"
+_WORD = regex.compile(WORD)
 
 
 def luhn(digits: str) -> bool:
@@ -87,109 +98,147 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return found
 
 
-def entity(kind: str, value: str) -> str:
-    return f"{kind}:{value.lower() if kind == 'email' else _NOT_DIGIT.sub('.' if kind == 'ip' else '', value)}"
+def entities(kind: str, value: str) -> list[str]:
+    """The entities that a base value names, from the value to its kind; the first character is the level."""
+    plain = value.lower() if kind == "email" else _NOT_DIGIT.sub("." if kind == "ip" else "", value)
+    group = plain.rsplit("@", 1)[1] if kind == "email" else plain.rsplit(".", 1)[0] if kind == "ip" else plain[:6]
+    return [f"{VALUE}:{kind}:{plain}", f"{GROUP}:{kind}:{group}", f"{KIND}:{kind}"]
 
 
-def neighbours(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the words near each span that belong to no span."""
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, start, end in spans:
-        name = entity(kind, text[start:end])
-        # 64 code points hold a word of any of the four languages; longer words simply reach further back
-        for lo, hi, nearest in ((_back(text, start), start, True), (end, _forth(text, end), False)):
-            words = [(m.start(), m.end()) for m in _WORD.finditer(text, lo, hi)]
-            for a, b in words[-NEAR:] if nearest else words[:NEAR]:
-                if not any(x < b and a < y for x, y in taken):
-                    yield name, text[a:b].lower(), a, b
+def named(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    return sorted({e for kind, a, b in spans for e in entities(kind, text[a:b])})
 
 
-def _back(text: str, at: int) -> int:
-    """The start of the ``NEAR`` + 1 words before ``at``."""
-    for _ in range(NEAR + 1):
-        while at > 0 and text[at - 1].isspace():
-            at -= 1
-        while at > 0 and not text[at - 1].isspace():
-            at -= 1
-    return at
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words that no span overlaps."""
+    taken, k = sorted((a, b) for _, a, b in spans), 0
+    reach = 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= a:
+            yield m[0].lower(), a, b
 
 
-def _forth(text: str, at: int) -> int:
-    n = len(text)
-    for _ in range(NEAR + 1):
-        while at < n and text[at].isspace():
-            at += 1
-        while at < n and not text[at].isspace():
-            at += 1
-    return at
+def holders(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """copy (a hash of the text), entities, terms (distinct words outside the spans) of the distinct texts with a base span."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for copy, t in zip(b["_copy"], b["_text"], strict=True):
+                if spans := base_spans(t):
+                    rows.append((copy, named(t, spans), sorted({w for w, _, _ in outside(t, spans)})))
+            yield pd.DataFrame(rows, columns=["copy", "entities", "terms"])
+
+    source = docs.select(F.xxhash64(text).alias("_copy"), F.col(text).alias("_text"))
+    return source.mapInPandas(run, "copy long, entities array<string>, terms array<string>").dropDuplicates(["copy"])
+
+
+def disclosing_terms(docs: DataFrame, *, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """entity, term, n_both, n_entity, n_term, share, given: the terms that give away at least ``disclosure`` of an entity's information."""
+    held = cut(holders(docs, text=text), "holders")
+    counts = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    counts = cut(counts, "entities")
+    pairs = sized_join(held.select("terms", F.explode("entities").alias("entity")), counts.select("entity"), "entity", row_bytes=200)
+    together = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    together = cut(together.where(F.col("n_both") >= support), "together")
+    total = F.lit(float(max(docs.where(F.col(text) != "").select(F.xxhash64(text)).distinct().count(), 1)))
+    words = distinct_texts(docs, text).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("term"))
+    asked = cut(together.select("term").distinct(), "asked-terms")
+    whole = sized_join(words, asked, "term", "left_semi", row_bytes=200).groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = sized_join(together.join(whole, "term"), counts, "entity", row_bytes=200).withColumn("n_term", F.greatest("n_term", "n_both"))
+    information = F.greatest(F.log(total / F.col("n_entity")), F.lit(1e-9))
+    pmi = F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
+    shares = counted.select("entity", "term", "n_both", "n_entity", "n_term", (pmi / information).alias("share"), (F.col("n_both") / F.col("n_term")).alias("given"))
+    return shares.where(F.col("share") >= disclosure - 1e-12)
+
+
+def _disclosed(text: str, spans: list[tuple[str, int, int]], shares: dict[str, float]) -> list[tuple[int, int, float]]:
+    """(start, end, share) of the terms of ``shares`` that stand in the text, outside its spans."""
+    return [(a, b, shares[w]) for w, a, b in outside(text, spans) if w in shares] if shares else []
+
+
+class _Model:
+    """The disclosing terms by entity, and those that are covered in every text."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.of: dict[str, list[tuple[str, float]]] = {}
+        self.everywhere: dict[str, float] = {}
+        for entity, term, share, given in rows[["entity", "term", "share", "given"]].itertuples(index=False):
+            self.of.setdefault(entity, []).append((term, share))
+            if entity.startswith(f"{VALUE}:") and given >= GIVEN:
+                self.everywhere[term] = max(share, self.everywhere.get(term, 0.0))
+
+    def shares(self, held: list[str]) -> dict[str, float]:
+        if not any(e in self.of for e in held):
+            return self.everywhere
+        out = dict(self.everywhere)
+        for e in held:
+            for term, share in self.of.get(e, ()):
+                out[term] = max(share, out.get(term, 0.0))
+        return out
+
+
+def _of_texts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
+    """copy, own (term, share): what to cover in each distinct text that has such terms."""
+    held = holders(docs, text=text).select("copy", F.explode("entities").alias("entity"), "terms").join(terms, "entity").where(F.array_contains("terms", F.col("term"))).select("copy", "term", "share")
+    everywhere = terms.where(F.startswith("entity", F.lit(f"{VALUE}:")) & (F.col("given") >= GIVEN)).groupBy("term").agg(F.max("share").alias("share"))
+    words = distinct_texts(docs, text).select("copy", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("term"))
+    found = held.unionByName(words.join(everywhere, "term").select("copy", "term", "share")).groupBy("copy", "term").agg(F.max("share").alias("share"))
+    return found.groupBy("copy").agg(F.collect_list(F.struct("term", "share")).alias("own"))
+
+
+def _marked(docs: DataFrame, key: str, text: str, disclosure: float, support: int, limit: int) -> tuple[DataFrame, Any]:
+    """``docs`` with a column __own, and a function (text, own) -> base spans, disclosed terms.
+
+    Terms of at most ``limit`` bytes go to the tasks as they are. More are joined to the texts by
+    the text's hash, both sides salted.
+    """
+    terms = cut(disclosing_terms(docs, text=text, disclosure=disclosure, support=support), "disclosing")
+    size = terms.agg(F.sum(F.octet_length("entity") + F.octet_length("term") + 200)).first()[0] or 0
+    none = F.array().cast("array<struct<term:string,share:double>>")
+    if size <= limit:
+        shared = docs.sparkSession.sparkContext.broadcast(_Model(terms.toPandas()))
+        source = docs.withColumn("__own", none)
+    else:
+        shared = None
+        own = cut(_of_texts(docs, terms, text).select(F.col("copy").alias("__copy"), F.col("own").alias("__own")), "own-terms")
+        source = salted_join(docs.withColumn("__copy", F.xxhash64(text)), own, "__copy", F.col(key)).withColumn("__own", F.coalesce("__own", none)).drop("__copy")
+
+    def look(t: str | None, given: Any) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, float]]]:
+        spans = base_spans(t)
+        if not t:
+            return spans, []
+        shares = shared.value.shares(named(t, spans) if spans else []) if shared is not None else {x["term"]: x["share"] for x in given}
+        return spans, _disclosed(t, spans, shares)
+
+    return source, look
+
+
+def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, kinds, starts, ends of the base spans, and disclosed: array of (start, end, share) of the added terms.
 
-def found_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, copy (a hash of the text), spans, pairs (the terms near each entity), one row per row of ``docs``.
-
-    The text itself stays behind: it is read again where it is needed.
+    One row per row of ``docs``.
     """
-    schema = "doc_id string, copy long, kinds array<int>, starts array<int>, ends array<int>, entities array<string>, terms array<string>, term_starts array<int>, term_ends array<int>"
+    source, look = _marked(docs.select(carried(key).alias("_id"), F.col(text).alias("_text")), "_id", "_text", disclosure, support, limit)
+    schema = "doc_id string, kinds array<int>, starts array<int>, ends array<int>, disclosed array<struct<start:int,end:int,share:double>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for t in b["_text"]:
-                spans = base_spans(t)
-                near = list(neighbours(t, spans)) if spans else []
-                rows.append(([KINDS.index(s[0]) for s in spans], [s[1] for s in spans], [s[2] for s in spans], *([x[i] for x in near] for i in range(4))))
-            out = pd.DataFrame(rows, columns=["kinds", "starts", "ends", "entities", "terms", "term_starts", "term_ends"])
-            out.insert(0, "copy", b["_copy"].to_numpy())
+            for t, own in zip(b["_text"], b["__own"], strict=True):
+                spans, more = look(t, own)
+                rows.append(([KINDS.index(s[0]) for s in spans], [s[1] for s in spans], [s[2] for s in spans], [{"start": x, "end": y, "share": v} for x, y, v in more]))
+            out = pd.DataFrame(rows, columns=["kinds", "starts", "ends", "disclosed"])
             out.insert(0, "doc_id", b["_id"])
             yield out
 
-    source = docs.select(carried(key).alias("_id"), F.xxhash64(text).alias("_copy"), F.col(text).alias("_text"))
     return restored(source.mapInPandas(run, schema), "doc_id")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, *, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """entity, term, share: the terms that give away at least ``disclosure`` of an entity's information.
-
-    With N distinct texts, df(e) and df(t) the texts that hold entity and term, and
-    df(t, e) those in which they stand near each other: IC(e) = -log(df(e) / N) and
-    PMI = log(df(t, e) N / (df(t) df(e))).
-    """
-    pairs = found.where(F.size("entities") > 0).select("copy", F.explode(F.array_distinct(F.arrays_zip("entities", "terms"))).alias("p")).select("copy", F.col("p.entities").alias("entity"), F.col("p.terms").alias("term"))
-    together = cut(pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support), "together")
-    if together.isEmpty():
-        return together.select("entity", "term", F.lit(1.0).alias("share"))
-    held = pairs.select("copy", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # every text once: those that occur once as they stand, one of each group of copies
-    copied = cut(found.groupBy("copy").count().where(F.col("count") > 1).select("copy"), "copied")
-    at = docs.select(F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    once = sized_join(at, copied, "copy", "left_anti", row_bytes=40).select("text").unionByName(sized_join(at, copied, "copy", "left_semi", row_bytes=40).dropDuplicates(["copy"]).select("text"))
-    words = once.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{2,})"), 1))).alias("term"))
-    whole = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = found.agg(F.approx_count_distinct("copy", 0.01)).first()[0]
-    counted = together.join(held, "entity").join(whole, "term")
-    n = F.lit(float(max(total, 1)))
-    information = F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9))
-    pmi = F.log(F.col("n_both") * n / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    return counted.select("entity", "term", (pmi / information).alias("share")).where(F.col("share") >= disclosure)
-
-
-def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, copy, kinds, starts, ends of the base spans, and disclosed: array of (start, end, share) of the added terms.
-
-    One row per row of ``docs``.
-    """
-    found = cut(found_spans(docs, key=key, text=text), "spans")
-    terms = cut(disclosing_terms(docs, found, text=text, disclosure=disclosure, support=support), "disclosing")
-    plain = found.select("doc_id", "copy", "kinds", "starts", "ends")
-    if terms.isEmpty():
-        return plain.withColumn("disclosed", F.array().cast("array<struct<start:int,end:int,share:double>>"))
-    near = found.where(F.size("entities") > 0).select("copy", "entities", "terms", "term_starts", "term_ends").dropDuplicates(["copy"])
-    near = near.select("copy", F.explode(F.arrays_zip("entities", "terms", "term_starts", "term_ends")).alias("n")).select("copy", F.col("n.entities").alias("entity"), F.col("n.terms").alias("term"), F.col("n.term_starts").alias("start"), F.col("n.term_ends").alias("end"))
-    hits = near.join(terms, ["entity", "term"]).groupBy("copy", "start", "end").agg(F.max("share").alias("share"))
-    hits = hits.groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("disclosed"))
-    return plain.join(hits, "copy", "left").withColumn("disclosed", F.coalesce("disclosed", F.array().cast("array<struct<start:int,end:int,share:double>>")))
-
-
 def _cover(text: str, spans: list[tuple[int, int, str]]) -> str:
     """``text`` with each span replaced; where spans overlap, the earlier and longer one covers all."""
     out, at = [], 0
@@ -200,34 +249,26 @@ def _cover(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, *, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, *, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with personal data replaced by ``<email>`` and so on; disclosing terms become ``<term>``, or go when they disclose all.
 
     All rows and columns stay. Only texts with a span are rewritten; a column n_chars then follows them.
     """
-    spans = personal_data(docs, key=key, text=text, disclosure=disclosure, support=support)
-    spans = spans.where((F.size("starts") > 0) | (F.size("disclosed") > 0)).drop("doc_id").dropDuplicates(["copy"])
+    source, look = _marked(docs, key, text, disclosure, support, limit)
 
     @F.pandas_udf("string")
-    def cover(texts: pd.Series, kinds: pd.Series, starts: pd.Series, ends: pd.Series, shares: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.Series:
+    def covered(texts: pd.Series, owns: pd.Series) -> pd.Series:
         out = []
-        for t, k, a, b, s, x, y in zip(texts, kinds, starts, ends, shares, lows, highs, strict=True):
-            if t is None or k is None:
-                out.append(t)
-                continue
-            cuts = [(int(p), int(q), f"<{KINDS[i]}>") for i, p, q in zip(k, a, b, strict=True)]
-            cuts += [(int(p), int(q), "" if v >= 1 else "<term>") for v, p, q in zip(s, x, y, strict=True)]
-            out.append(_cover(t, cuts))
+        for t, own in zip(texts, owns, strict=True):
+            spans, more = look(t, own)
+            cuts = [(a, b, f"<{kind}>") for kind, a, b in spans] + [(a, b, "" if v >= 1 - 1e-9 else "<term>") for a, b, v in more]
+            out.append(_cover(t, cuts) if cuts else None)
         return pd.Series(out, dtype=object)
 
-    at = docs.withColumn("_copy", F.xxhash64(text))
-    spans = spans.select(F.col("copy").alias("_copy"), F.col("kinds").alias("_k"), F.col("starts").alias("_a"), F.col("ends").alias("_b"), F.col("disclosed").alias("_d"))
-    joined = at.join(spans, "_copy", "left")
-    new = F.when(F.col("_k").isNull(), F.col(text)).otherwise(cover(F.when(F.col("_k").isNotNull(), F.col(text)), "_k", "_a", "_b", F.col("_d.share"), F.col("_d.start"), F.col("_d.end")))
-    out = joined.withColumn(text, new)
+    out = source.withColumn("__new", covered(F.col(text), F.col("__own")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_k").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__new").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn(text, F.coalesce("__new", F.col(text))).select(*docs.columns)
 
 
 def report(found: DataFrame) -> DataFrame:
