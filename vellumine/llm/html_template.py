@@ -10,16 +10,23 @@ A class is valid if it stands in enough pages and holds both elements and text:
 elements nest the text, and the class is a part of the template. Classes of all pages
 are the outermost part, those of fewer pages are optional parts within.
 
-Pass 2 takes the template's text away, and all that stands in menus, headers, footers,
-sidebars, notices, adverts, forms, comments and the like by its tags or names. What is
-left are the slots. Of these it returns those in the article, if the page marks one;
-else those in the smallest element that holds most of the varying text.
+Elements that stand once in each of a class's pages are the template's frame. For each of
+them the pages' text that is neither a link nor of the template adds up; one that holds
+``MOST`` of all such text of its pages frames the slots of the article, and the innermost
+such element of a page is its region.
+
+Pass 2 takes the template's text away and keeps the slots of the region. Within it go
+those that stand in menus, sidebars, notices, adverts, forms, comments and the like by
+their tags or names; names outside the region say nothing. A marked article
+that holds most of the region's text sets the bounds instead, since a region may leave out
+a title or an opening. Pages without a region are judged alone, in the same way, by
+the smallest element that holds most of the varying text.
 
 Cases: null or empty html gives an empty text. A null URL, or one without ``://``,
 belongs to the host ''. Hosts with fewer than ``LEAST_PAGES`` pages have no template,
 so names and tags alone decide; pages of a host with equal html count once. If the
-template would take half of a marked article, or of the text of a page that marks none,
-its pages are copies of each other and the text is kept whole. Unclosed
+template would take ``MOST`` of a host's text, its pages are near copies of each other and
+no text is taken away; nor is it if it is all that a page's article has. Unclosed
 and stray tags are tolerated. Repeated rows stay. Extra columns are left out.
 """
 
@@ -35,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import BROADCAST_BYTES, carried, restored, sized_join
+from vellumine.llm.common import BROADCAST_BYTES, carried, restored, salted_join, sized_join
 from vellumine.llm.url_filter import host_of
 from vellumine.shared import cut
 
@@ -118,18 +125,26 @@ class _Names:
 
 
 class Block:
-    __slots__ = ("beside", "key", "links", "mark", "parents", "tag", "text")
+    """Text with its key, the tag that holds it, the holders around it (numbers and path keys, outermost first), whether it
+    stands beside the article, the number of the innermost element that says so, how it is marked, and its characters in links."""
 
-    def __init__(self, text: str, key: int, tag: str, parents: tuple[int, ...], beside: int, mark: int, links: int):
-        self.text, self.key, self.tag, self.parents, self.beside, self.mark, self.links = text, key, tag, parents, beside, mark, links
+    __slots__ = ("beside", "key", "links", "mark", "named", "parents", "paths", "tag", "text")
+
+    def __init__(self, text: str, key: int, tag: str, parents: tuple[int, ...], paths: tuple[int, ...], beside: int, named: int, mark: int, links: int):
+        self.text, self.key, self.tag, self.parents, self.paths, self.beside, self.named, self.mark, self.links = text, key, tag, parents, paths, beside, named, mark, links
+
+    @property
+    def mass(self) -> int:
+        """Characters that count for a region."""
+        return len(self.text) if 2 * self.links <= len(self.text) else 0
 
 
 def parse(page: str, names: _Names) -> tuple[list[Block], list[int]]:
     """The blocks of text, in page order, and the path key of every element."""
     blocks: list[Block] = []
     elements: list[int] = []
-    # open elements: tag, path key, number, beside (1, and 2 in a form), mark (2 article or main, 1 by name, 0), in a link
-    stack: list[tuple[str, int, int, int, int, bool]] = [("", 0, 0, 0, 0, False)]
+    # open elements: tag, path key, number, beside (1, and 2 in a form), mark (2 article or main, 1 by name, 0), in a link, innermost that is beside
+    stack: list[tuple[str, int, int, int, int, bool, int]] = [("", 0, 0, 0, 0, False, 0)]
     parts: list[str] = []
     linked = [0]
 
@@ -139,7 +154,8 @@ def parse(page: str, names: _Names) -> tuple[list[Block], list[int]]:
             if text:
                 top = holder()
                 key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), stack[top][1] & 0xFFFFFFFF)
-                blocks.append(Block(text, key, stack[top][0], tuple(s[2] for s in stack[1 : top + 1] if s[0] in HOLDERS), stack[-1][3], stack[-1][4], linked[0]))
+                around = [s for s in stack[1 : top + 1] if s[0] in HOLDERS]
+                blocks.append(Block(text, key, stack[top][0], tuple(s[2] for s in around), tuple(s[1] for s in around), stack[-1][3], stack[-1][6], stack[-1][4], linked[0]))
             parts.clear()
             linked[0] = 0
 
@@ -191,7 +207,7 @@ def parse(page: str, names: _Names) -> tuple[list[Block], list[int]]:
             elif tag in CLOSES:
                 close(*CLOSES[tag])
         label, flags = names.of(tag, m[3])
-        _, path, _, beside, mark, in_link = stack[-1]
+        _, path, _, beside, mark, in_link, named = stack[-1]
         key = xxhash.xxh64_intdigest(f"{path}/{tag}[{label}]".encode("utf-8", "surrogatepass"), 7)
         elements.append(key)
         if tag in RAW:
@@ -204,37 +220,57 @@ def parse(page: str, names: _Names) -> tuple[list[Block], list[int]]:
             continue
         if flags & 4:
             beside &= ~2  # a form around the whole page
-        beside |= int(bool(flags & 1) or bool(flags & 2 and not mark)) | 2 * bool(flags & 16)
+        aside = int(bool(flags & 1) or bool(flags & 2 and not mark)) | 2 * bool(flags & 16)
         mark = max(mark, 2 if flags & 4 else 1 if flags & 8 else 0)
-        stack.append((tag, key, len(elements), beside, mark, in_link or tag == "a"))
+        stack.append((tag, key, len(elements), beside | aside, mark, in_link or tag == "a", len(elements) if aside else named))
     end_block()
     return blocks, elements
 
 
-def slots(blocks: list[Block], template: frozenset[int]) -> list[str]:
+def region_of(blocks: list[Block], regions: frozenset[int]) -> int | None:
+    """The number of the innermost element of the page that frames the article."""
+    best = (-1, None)
+    for b in blocks:
+        for depth in range(len(b.paths) - 1, best[0], -1):
+            if b.paths[depth] in regions:
+                best = (depth, b.parents[depth])
+                break
+    return best[1]
+
+
+def _varying(blocks: list[Block], template: frozenset[int]) -> list[Block]:
+    """Without the template's text, unless nothing else is left."""
+    return [b for b in blocks if b.key not in template] or blocks
+
+
+def slots(blocks: list[Block], template: frozenset[int], regions: frozenset[int] = frozenset()) -> list[str]:
     """The texts of the blocks that are the page's article."""
-    kept = [b for b in blocks if not b.beside]
+    frame = region_of(blocks, regions) if regions else None
+    inside = [b for b in blocks if frame is not None and frame in b.parents and b.named <= frame]
+    held = set(map(id, inside))
+    kept = [b for b in blocks if not b.beside or id(b) in held]
+    whole = sum(b.mass for b in inside)
     for least in (2, 1):
         marked = [b for b in kept if b.mark >= least]
-        if marked:
-            varying = [b for b in marked if b.key not in template]
-            whole = sum(len(b.text) for b in marked)
-            return [b.text for b in (varying if 2 * sum(len(b.text) for b in varying) > whole else marked)]
-    plain = [b for b in kept if 2 * b.links <= len(b.text)]
-    varying = [b for b in plain if b.key not in template]
-    if 2 * sum(len(b.text) for b in varying) <= sum(len(b.text) for b in plain):
-        varying = plain
+        if marked and 2 * sum(b.mass for b in marked if id(b) in held) >= whole:
+            return [b.text for b in _varying(marked, template)]
+    if whole:
+        return _with_title(_varying([b for b in kept if b.mass], template), frame)
+    varying = _varying([b for b in kept if b.mass], template)
     mass: dict[int, int] = {}
     for b in varying:
         for e in b.parents:
             mass[e] = mass.get(e, 0) + len(b.text)
     total = sum(len(b.text) for b in varying)
-    inside = [e for e, m in mass.items() if m >= MOST * total]
-    # the innermost such element, and a title that stands before it
-    best = max(inside, key=lambda e: next(b.parents.index(e) for b in varying if e in b.parents), default=None)
-    within = [best is None or best in b.parents for b in varying]
+    enough = [e for e, m in mass.items() if m >= MOST * total]
+    return _with_title(varying, max(enough, key=lambda e: next(b.parents.index(e) for b in varying if e in b.parents), default=None))
+
+
+def _with_title(blocks: list[Block], frame: int | None) -> list[str]:
+    """The texts within an element, and a title that stands before it."""
+    within = [frame is None or frame in b.parents for b in blocks]
     first = within.index(True) if True in within else 0
-    return [b.text for i, b in enumerate(varying) if within[i] or (i < first and b.tag == "h1")]
+    return [b.text for i, b in enumerate(blocks) if within[i] or (i < first and b.tag == "h1")]
 
 
 def _once(pages: DataFrame) -> DataFrame:
@@ -246,7 +282,13 @@ def _once(pages: DataFrame) -> DataFrame:
 
 
 def vectors(pages: DataFrame) -> DataFrame:
-    """host, token, text (whether it is text), pages and the two halves of the occurrence vector's sum, for pages (host, page, html)."""
+    """The tokens of each host, from pages (host, page, html).
+
+    host, token, text (whether it is text), pages, times, the two halves of the occurrence
+    vector's sum, mass (characters in it, links left out), whole (those of all its pages),
+    depth (holders around it) and parents (their paths, for text).
+    """
+    numbers = ("pages", "low", "high", "times", "mass", "whole")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, held = _Names(), {}
@@ -258,16 +300,32 @@ def vectors(pages: DataFrame) -> DataFrame:
                 counts: dict[tuple[int, bool], int] = {}
                 for key in elements:
                     counts[key, False] = counts.get((key, False), 0) + 1
+                mass: dict[tuple[int, bool], int] = {}
+                around: dict[int, tuple[int, ...]] = {}
+                depth: dict[int, int] = {}
                 for block in blocks:
                     counts[block.key, True] = counts.get((block.key, True), 0) + 1
+                    mass[block.key, True] = mass.get((block.key, True), 0) + block.mass
+                    around[block.key] = block.paths
+                    for i, path in enumerate(block.paths):
+                        mass[path, False] = mass.get((path, False), 0) + block.mass
+                        depth[path] = i + 1
+                whole = sum(block.mass for block in blocks)
                 seed = page_key & 0xFFFFFFFFFFFFFFFF
                 vector = {n: xxhash.xxh64_intdigest(str(n), seed) for n in set(counts.values())}
                 for (key, text), n in counts.items():
                     v = vector[n]
-                    got = held.setdefault((host, key, text), [0, 0, 0])
+                    got = held.get((host, key, text))
+                    if got is None:
+                        got = held[host, key, text] = [0, 0, 0, 0, 0, 0, 0 if text else depth.get(key, 0), around[key] if text else ()]
                     got[0] += 1
                     got[1] += v & 0xFFFFFFFF
                     got[2] += v >> 32
+                    got[3] += n
+                    got[4] += mass.get((key, text), 0)
+                    got[5] += whole
+                    if not text and not got[6]:
+                        got[6] = depth.get(key, 0)
                 if len(held) > HELD:
                     yield sent(held)
                     held.clear()
@@ -276,38 +334,62 @@ def vectors(pages: DataFrame) -> DataFrame:
 
     def sent(held: dict) -> pd.DataFrame:
         keys = np.fromiter((k[1] for k in held), np.uint64, len(held)).view(np.int64)
-        sums = np.array(list(held.values()), np.int64).reshape(-1, 3)
-        return pd.DataFrame({"host": [k[0] for k in held], "token": keys, "text": [k[2] for k in held], "pages": sums[:, 0], "low": sums[:, 1], "high": sums[:, 2]})
+        sums = np.array([v[:6] for v in held.values()], np.int64).reshape(-1, 6)
+        out = pd.DataFrame({"host": [k[0] for k in held], "token": keys, "text": [k[2] for k in held]} | {c: sums[:, i] for i, c in enumerate(numbers)})
+        return out.assign(depth=[v[6] for v in held.values()], parents=[np.array(v[7], np.uint64).view(np.int64) for v in held.values()])
 
-    rows = pages.select("host", "page", "html").mapInPandas(run, "host string, token long, text boolean, pages long, low long, high long")
-    return rows.groupBy("host", "token", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "low", "high")))
+    schema = "host string, token long, text boolean, " + ", ".join(f"{c} long" for c in numbers) + ", depth int, parents array<long>"
+    rows = pages.select("host", "page", "html").mapInPandas(run, schema)
+    return rows.groupBy("host", "token", "text").agg(*(F.sum(c).alias(c) for c in numbers), F.max("depth").alias("depth"), F.max("parents").alias("parents"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the text tokens of the host's valid classes."""
+    """host, template (the text tokens of the host's valid classes), regions (the elements that frame its articles)."""
     pages = _once(pages)
     sizes = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
     frequent = vectors(pages).where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= F.col("all_pages") * LEAST_SHARE)
-    classes = frequent.groupBy("host", "low", "high", "pages").agg(F.count_if(~F.col("text")).alias("elements"), F.collect_list(F.when(F.col("text"), F.col("token"))).alias("tokens"))
-    valid = classes.where((F.col("elements") > 0) & (F.size("tokens") > 0))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
-
-
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, one row per row of ``pages``."""
+    frequent = cut(frequent, "frequent-tokens")
+    classes = frequent.groupBy("host", "low", "high", "pages").agg(F.count_if(~F.col("text")).alias("elements"), F.count_if("text").alias("texts"))
+    valid = classes.where("elements > 0 and texts > 0").select("host", "low", "high", "pages")
+    fixed = frequent.where("text").join(valid, ["host", "low", "high", "pages"], "left_semi").select("host", "token", "mass", "parents")
+    of_host = fixed.groupBy("host").agg(F.collect_list("token").alias("template"), F.sum("mass").alias("fixed_mass"))
+    # where most of the text is fixed, pages are near copies: the root of the pages holds all of it
+    alike = frequent.where("not text").groupBy("host").agg(F.max("whole").alias("host_mass"))
+    of_host = of_host.join(alike, "host").withColumn("template", F.when(F.col("fixed_mass") < F.col("host_mass") * MOST, F.col("template")).otherwise(F.array().cast("array<long>"))).drop("host_mass")
+    of_element = fixed.select("host", "mass", F.explode("parents").alias("token")).groupBy("host", "token").agg(F.sum("mass").alias("inner"))
+    # frames: elements that stand once in every page of their class, which holds more elements
+    nested = classes.where("elements > 1").select("host", "low", "high", "pages")
+    frames = frequent.where("not text and depth > 0 and times = pages").join(nested, ["host", "low", "high", "pages"], "left_semi")
+    frames = frames.join(of_host.select("host", "fixed_mass"), "host", "left").join(of_element, ["host", "token"], "left")
+    mass = F.col("mass") - F.coalesce("inner", F.lit(0))
+    whole = F.col("whole") - F.coalesce("fixed_mass", F.lit(0)) * F.col("pages") / F.col("all_pages")
+    regions = frames.where((mass > 0) & (mass >= MOST * whole)).groupBy("host").agg(F.collect_list("token").alias("regions"))
+    none = F.array().cast("array<long>")
+    return regions.join(of_host, "host", "full").select("host", F.coalesce("template", none).alias("template"), F.coalesce("regions", none).alias("regions"))
+
+
+def main_text(pages: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, text, n_chars, one row per row of ``pages``.
+
+    Templates of at most ``limit`` bytes are broadcast; else pages and templates meet by host, each host dealt to several tasks.
+    """
     found = cut(templates(pages), "templates")
-    size = found.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + 64)).first()[0] or 0
+    size = found.agg(F.sum((F.size("template") + F.size("regions")) * 8 + F.octet_length("host") + 64)).first()[0] or 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, known, last = _Names(), frozenset(), None
+        names, last, known, frames = _Names(), None, frozenset(), frozenset()
         for b in batches:
             texts = []
-            for host, tokens, page in zip(b["host"], b["template"], b["html"], strict=True):
+            for host, tokens, regions, page in zip(b["host"], b["template"], b["regions"], b["html"], strict=True):
                 if host != last:
-                    known, last = frozenset() if tokens is None else frozenset(np.asarray(tokens, np.int64).view(np.uint64).tolist()), host
-                texts.append(" ".join(slots(parse(page, names)[0], known)) if page else "")
+                    known, frames, last = _keys(tokens), _keys(regions), host
+                texts.append(" ".join(slots(parse(page, names)[0], known, frames)) if page else "")
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     source = pages.select(carried("page_id").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = source.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
-    return restored(joined.mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")
+    joined = source.join(F.broadcast(found), "host", "left") if size <= limit else salted_join(source, found, "host", F.col("html"))
+    return restored(joined.select("page_id", "url", "html", "host", "template", "regions").mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")
+
+
+def _keys(tokens: np.ndarray | None) -> frozenset[int]:
+    return frozenset() if tokens is None else frozenset(np.asarray(tokens, np.int64).view(np.uint64).tolist())
