@@ -146,9 +146,13 @@ def test_anisotropic_codes_beat_plain_ones():
 
 
 def test_kneser_ney_sums_to_one(spark):
-    docs = spark.createDataFrame([(i, words(i, 60, "ab"), "en", "s", 1) for i in range(20)], DOCS)
-    table = np.exp(quality.log_table(quality.train(docs)).reshape(-1, quality.SYMBOLS).astype(float))
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
+    texts = [words(i, 60, "ab") for i in range(20)]
+    model = quality.train(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS))
+    symbols = [r["gram"] for r in model["seen"][1].collect()] + ["\u2603"]
+    contexts = {texts[0][i : i + quality.ORDER - 1] for i in range(60)} | {"zzzz", "ab \u2603"}
+    asked = spark.createDataFrame([(c + s,) for c in contexts for s in symbols], "gram string")
+    sums = quality.probabilities(asked, model).groupBy(F.substring("gram", 1, quality.ORDER - 1)).agg(F.sum("p").alias("p")).collect()
+    assert len(sums) == len(contexts) and np.allclose([r["p"] for r in sums], 1)
 
 
 def test_quality(spark):

@@ -15,13 +15,13 @@ from vellumine.llm.pii import base_spans
 SF = "/root/testdata/sf0.001"
 
 
-def kneser_ney(texts, symbol, capital):
-    """P(symbol | three before) by the textbook, from dictionaries."""
-    start, order = int(symbol[10]), quality.ORDER
+def kneser_ney(texts):
+    """P(symbol | those before) by the textbook, from dictionaries."""
+    order = quality.ORDER
     counts = {order: Counter()}
     for t in texts:
-        s = [start] * (order - 1) + quality.spell(t, symbol, capital).tolist()
-        counts[order].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+        s = quality.START + t.replace("\0", "\ufffd")
+        counts[order].update(s[i : i + order] for i in range(len(s) - order + 1))
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
     discounts, totals, ends = {}, {}, {}
@@ -40,7 +40,7 @@ def kneser_ney(texts, symbol, capital):
 
     def p(gram):
         n = len(gram)
-        below = 1 / quality.SYMBOLS if n == 1 else p(gram[1:])
+        below = 1 / (len(counts[1]) + 1) if n == 1 else p(gram[1:])
         if gram[:-1] not in totals[n]:
             return below
         d = lambda k: discounts[n][min(k, 3) - 1]
@@ -51,16 +51,47 @@ def kneser_ney(texts, symbol, capital):
     return p
 
 
-def test_model_against_textbook(spark):
+def expected(texts, p):
+    """text -> (negative log probability, symbols)"""
+    out = {}
+    for t in texts:
+        s = quality.START + t.replace("\0", "\ufffd")
+        grams = [s[i : i + quality.ORDER] for i in range(len(s) - quality.ORDER + 1)]
+        out[t] = (-sum(np.log(p(g)) for g in grams), len(grams))
+    return out
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 26, 200])
+def test_model_against_textbook(spark, chunk_bytes):
     texts = [words(i, 40, "ab") + ". The End" for i in range(12)]
-    model = quality.train(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS))
-    table = quality.log_table(model)
-    p = kneser_ney(texts, model["symbol"], quality._lower()[1])
-    r = np.random.default_rng(1)
-    seen = quality.grams(quality.spell(texts[0], model["symbol"], quality._lower()[1]), int(model["symbol"][10]))
-    for key in [*seen[:60].tolist(), *r.integers(0, 1 << 24, 60).tolist()]:
-        gram = tuple(key >> 6 * i & 63 for i in (3, 2, 1, 0))
-        assert np.exp(table[key]) == pytest.approx(p(gram), rel=1e-4)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    model = quality.train(docs)
+    asked = [*texts, "x", "Ж漢字\0 \U0001f600 mixed abab", words(77, 300, "zz"), words(3, 9, "ab"), "x", " ", "\n\n\n\n\n\n"]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(asked)] + [(99, "", "en", "s", 0), (98, None, "en", "s", 0)], DOCS)
+    rows = rows.selectExpr("*", "xxhash64(text) as h")
+    text_of = {r["h"]: r["text"] for r in rows.collect()}
+    want = expected(set(asked), kneser_ney(texts))
+    got = {text_of[r["copy"]]: (r["total"], r["n"]) for r in quality.text_scores(rows, model, chunk_bytes=chunk_bytes).collect()}
+    assert got.keys() == want.keys()
+    for t, (total, n) in want.items():
+        assert got[t][1] == n and got[t][0] == pytest.approx(total, rel=1e-5)
+
+
+def test_counts_of_many_characters_and_long_texts(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    r = np.random.default_rng(3)
+    wide = "".join(map(chr, r.integers(0x4E00, 0x9FFF, 9000)))
+    for texts in (["abcabcabc" * 30, "b", "", "xyz\0"], [wide, wide[:700] * 2]):
+        for block in (50, 1 << 21):
+            monkeypatch.setattr(quality, "BLOCK", block)
+            got = Counter()
+            for grams, n in quality.count_grams(iter(texts)):
+                got.update(dict(zip(grams.tolist(), n.tolist(), strict=True)))
+            want = Counter()
+            for t in texts:
+                s = quality.START + t.replace("\0", "\ufffd")
+                want.update(s[i : i + quality.ORDER] for i in range(len(s) - quality.ORDER + 1))
+            assert got == want
 
 
 @pytest.fixture(scope="module")
