@@ -60,6 +60,8 @@ class Spelling:
         self.points = np.unique(points)
         self.bits = max(1, int(len(self.points)).bit_length())
         self.fits = self.bits * ORDER <= 64
+        self.number = np.zeros(int(self.points[-1]) + 1, np.uint64)
+        self.number[self.points] = np.arange(len(self.points))
 
     def keys(self, points: np.ndarray) -> np.ndarray:
         """The n-gram that ends at each point from the ``ORDER``-th on."""
@@ -67,7 +69,7 @@ class Spelling:
         if not self.fits:  # more than 4096 characters: the n-grams as they are
             rows = np.lib.stride_tricks.sliding_window_view(points, ORDER)
             return np.ascontiguousarray(rows.astype(">u4")).view(np.dtype((np.void, 4 * ORDER))).ravel()
-        at = np.searchsorted(self.points, points).astype(np.uint64)
+        at = self.number[points]
         key = np.zeros(n, np.uint64)
         for i in range(ORDER):
             key = (key << np.uint64(self.bits)) | at[i : i + n]
@@ -89,7 +91,7 @@ class Spelling:
             return np.ascontiguousarray(points.astype(">u4")).view(np.dtype((np.void, 4 * ORDER))).ravel()
         key = np.zeros(len(points), np.uint64)
         for i in range(ORDER):
-            key = (key << np.uint64(self.bits)) | np.searchsorted(self.points, points[:, i]).astype(np.uint64)
+            key = (key << np.uint64(self.bits)) | self.number[points[:, i]]
         return key
 
 
@@ -97,37 +99,41 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer((START + text.replace("\0", "�")).encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _blocks(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Points of several texts, each preceded by the start, and where the n-grams of each begin; long texts are split."""
+def _blocks(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Several texts at once, each preceded by the start, long ones in parts.
+
+    Their points; whether an n-gram that begins there lies within one part; the number of each
+    part's text; and where its n-grams begin among all those that do.
+    """
     held: list[np.ndarray] = []
+    owners: list[int] = []
     size = 0
-    for t in texts:
+    for k, t in enumerate(texts):
         points = _points(t)
-        for a in range(0, max(1, len(points) - ORDER + 1), BLOCK):
-            part = points[a : a + BLOCK + ORDER - 1]
-            held.append(part)
-            size += len(part)
+        for a in range(0, len(points) - ORDER + 1, BLOCK):
+            held.append(points[a : a + BLOCK + ORDER - 1])
+            owners.append(k)
+            size += len(held[-1])
             if size >= BLOCK:
-                yield _joined(held)
-                held, size = [], 0
+                yield _joined(held, owners)
+                held, owners, size = [], [], 0
     if held:
-        yield _joined(held)
+        yield _joined(held, owners)
 
 
-def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Points, and whether an n-gram that begins there lies within one part."""
-    points = np.concatenate(parts)
+def _joined(parts: list[np.ndarray], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    points, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
     valid = np.ones(len(points) - ORDER + 1, bool)
-    ends = np.cumsum([len(p) for p in parts])[:-1]
     for i in range(1, ORDER):
-        valid[ends - i] = False
-    return points, valid
+        valid[np.cumsum(lengths)[:-1] - i] = False
+    grams = lengths - ORDER + 1
+    return points, valid, np.array(owners), np.cumsum(grams) - grams
 
 
 def count_grams(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(n-grams, counts) of blocks of the texts, added up while there are few enough."""
     held: dict[str, int] = {}
-    for points, valid in _blocks(texts):
+    for points, valid, _, _ in _blocks(texts):
         spelling = Spelling(points)
         keys, n = np.unique(spelling.keys(points)[valid], return_counts=True)
         for g, c in zip(spelling.grams(keys), n.tolist(), strict=True):
@@ -240,7 +246,7 @@ def _texts(pieces: pd.DataFrame) -> Iterator[tuple[int, str]]:
 def asked_grams(pieces: pd.DataFrame) -> np.ndarray:
     """The distinct n-grams of a chunk."""
     found: set[str] = set()
-    for points, valid in _blocks(t for _, t in _texts(pieces)):
+    for points, valid, _, _ in _blocks(t for _, t in _texts(pieces)):
         spelling = Spelling(points)
         found.update(spelling.grams(np.unique(spelling.keys(points)[valid])))
     return np.array(sorted(found), object)
@@ -252,14 +258,21 @@ def rate(pieces: pd.DataFrame, grams: list[str], logs: np.ndarray) -> pd.DataFra
     keys = spelling.of(grams)
     order = np.argsort(keys)
     keys, logs = keys[order], logs[order]
-    out = []
-    for copy, t in _texts(pieces):
-        total, n = 0.0, 0
-        for points, valid in _blocks(iter([t])):
-            found = logs[np.searchsorted(keys, spelling.keys(points)[valid])]
-            total, n = total - float(found.sum()), n + len(found)
-        out.append((copy, total, n))
-    return pd.DataFrame(out, columns=["copy", "total", "n"])
+    copies: list[int] = []
+
+    def texts() -> Iterator[str]:
+        for copy, t in _texts(pieces):
+            copies.append(copy)
+            yield t
+
+    sums, sizes, of = [], [], []
+    for points, valid, owners, starts in _blocks(texts()):
+        found = logs[np.searchsorted(keys, spelling.keys(points)[valid])].astype(np.float64)
+        sums.append(np.add.reduceat(found, starts))
+        sizes.append(np.diff(np.r_[starts, len(found)]))
+        of.append(owners)
+    owner = np.concatenate(of)
+    return pd.DataFrame({"copy": np.array(copies, np.int64), "total": -np.bincount(owner, np.concatenate(sums), len(copies)), "n": np.bincount(owner, np.concatenate(sizes), len(copies)).astype(np.int64)})
 
 
 def text_scores(docs: DataFrame, model: dict[str, Any], *, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
