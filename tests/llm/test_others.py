@@ -87,6 +87,17 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()) == [3, 5]
 
 
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    item = words(1, 30, "q")
+    rows = [(i, f"{words(i, 20)} {item} {words(i + 50, 9)}" if i % 3 else words(i, 50), "en", "s", 1) for i in range(12)] + [(20, words(1, 50), "en", "s", 1)] * 2 + [(i, f"x {item}", "en", "s", 1) for i in range(30, 40)]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, item), (2, words(9, 20, "z"))], "item_id long, text string")
+    want = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
+    assert len(want) == 18
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontam.sized_join, "__kwdefaults__", {"row_bytes": 64, "limit": 0})
+    assert sorted(map(tuple, decontam.leaks(docs, bench).collect())) == want
+
+
 def test_decontamination_awkward(spark):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog near the river bank today"), (None, None)], "item_id long, text string")
     got = decontam.leaks(clashing(spark), bench).collect()
@@ -133,9 +144,30 @@ def test_nearest(spark):
     assert hits / (20 * len(got)) > 0.97
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
+    lengths = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (20, [1.0, 1.0, 1.0]), (21, [0.0, 1.0, 1.0]), (20, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in ann.nearest(lengths, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 1, 0.5), (0, 2, 1, 0.5), (20, 1, 21, 2.0)]
     assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 0.5)]
 
 
+def test_best_of_batches():
+    r = np.random.default_rng(2)
+    query, vec, score = r.integers(0, 9, 3000), r.integers(0, 400, 3000), r.integers(0, 30, 3000).astype(float)
+    best = ann.Best(7)
+    for a in range(0, 3000, 250):
+        best.add(query[a : a + 250], vec[a : a + 250], score[a : a + 250])
+    for q in range(9):
+        want = sorted((-s, v) for x, v, s in zip(query, vec, score, strict=True) if x == q)[:7]
+        assert [(-s, v) for x, v, s in zip(best.query, best.vec, best.score, strict=True) if x == q] == want
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(400, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 20 == 0).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 6)
+    assert sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 20 == 0).collect())) == whole
+
+
 def test_anisotropic_codes_beat_plain_ones():
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 64))

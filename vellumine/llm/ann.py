@@ -8,15 +8,16 @@ coordinate descent, since the parallel part ties the subspaces together, and cod
 by weighted least squares on a bounded sample; every row is then encoded.
 
 A query becomes a table of its products with all centres; two four-bit look-ups are
-fused into one of a byte. Queries go to the rows in blocks: each task scans its codes,
-reranks its best ``RERANK`` distinct vectors by exact products in double precision and
-sends its best ``k``; a window merges them.
+fused into one of a byte. Queries go to the rows in blocks: a task scans its codes batch
+by batch, reranks the best ``RERANK`` distinct vectors of each by exact products in double
+precision, keeps the best ``k`` of all its batches and sends these; a window merges them.
 
 Cases: vectors that are null, empty or zero, or hold a null or a non-finite component,
-and rows without vec_id take no part; nor do vectors of another length than the most
-common one. Equal vectors are scanned once and expanded, smaller vec_id first. A row that
-repeats the same id and vector counts once. A query never finds its own id. With fewer candidates than
-``k`` all are returned. Empty tables give empty results.
+and rows without vec_id take no part. Vectors of different lengths have no inner product:
+each length is searched by itself. Equal vectors are scanned once and expanded, smaller
+vec_id first. A row that repeats an id is a candidate of its own; a query of a repeated id is
+asked once, with the vector that is least by its components. A query never finds its own
+id. With fewer candidates than ``k`` all are returned. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -160,45 +161,69 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "ve
 
     ``is_query`` is an expression over the column ``vec_id``.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & usable(F.col("x")))
-    common = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if common is None:
-        return empty
-    dim = common["n"]
-    rows = rows.where(F.size("x") == dim)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("x").toPandas()
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for row in rows.select(F.size("x").alias("n")).distinct().orderBy("n").collect():
+        found = found.unionByName(_of_length(rows.where(F.size("x") == row["n"]), is_query, k, rerank))
+    return found
+
+
+def _of_length(rows: DataFrame, is_query: Column, k: int, rerank: int) -> DataFrame:
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(FIT_ROWS).select("x").toPandas()
     books, eta = fit(np.stack(sample["x"].to_numpy()))
     model = spark.sparkContext.broadcast({"books": books, "eta": eta})
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            codes = packed(encode(np.stack(b["x"].to_numpy()), model.value["books"], model.value["eta"]))
+            codes = packed(encode(np.stack(b["x"].to_numpy()), model.value["books"], model.value["eta"])) if len(b) else []
             yield pd.DataFrame({"vec_id": b["vec_id"], "x": b["x"], "codes": [c.tobytes() for c in codes]})
 
-    indexed = cut(rows.distinct().mapInPandas(index, "vec_id long, x array<double>, codes binary"), "codes")
-    asked = indexed.where(is_query)
+    indexed = cut(rows.mapInPandas(index, "vec_id long, x array<double>, codes binary"), "codes")
+    asked = indexed.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
     blocks = max(1, -(-asked.count() // BLOCK))
     merged = None
     for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "x").toPandas()
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toPandas()
         if not len(part):
             continue
-        found = indexed.mapInPandas(_scan(spark, part, model, k, rerank), "query_id long, vec_id long, score double")
+        shared = spark.sparkContext.broadcast((part["vec_id"].to_numpy(np.int64), np.stack(part["x"].to_numpy())))
+        found = indexed.mapInPandas(_scan(shared, model, k, rerank), "query_id long, vec_id long, score double")
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:  # the driver holds one block of queries at a time
+            found = cut(found, "nearest")
+            shared.destroy()
         merged = found if merged is None else merged.unionByName(found)
-    return empty if merged is None else merged
+    return merged if merged is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+class Best:
+    """The ``k`` best rows of each query so far: largest score, then smallest vec_id."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.query, self.vec, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
+    def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        query, vec, score = (np.concatenate(x) for x in ((self.query, query), (self.vec, vec), (self.score, score)))
+        order = np.lexsort((vec, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = order[place < self.k]
+        self.query, self.vec, self.score = query[place < self.k], vec[keep], score[keep]
 
-def _scan(spark, part: pd.DataFrame, model: Any, k: int, rerank: int):
-    shared = spark.sparkContext.broadcast((part["vec_id"].to_numpy(np.int64), np.stack(part["x"].to_numpy())))
 
+def _scan(shared: Any, model: Any, k: int, rerank: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(k)
         for b in batches:
+            if not len(b):
+                continue
             codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)
             got = list(search_part(b["vec_id"].to_numpy(np.int64), np.stack(b["x"].to_numpy()), codes, *shared.value, model.value["books"], k, rerank))
-            yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
+            best.add(*map(np.concatenate, zip(*got, strict=True)))
+        for a in range(0, len(best.query), 100_000):
+            yield pd.DataFrame({"query_id": best.query[a : a + 100_000], "vec_id": best.vec[a : a + 100_000], "score": best.score[a : a + 100_000]})
 
     return scan

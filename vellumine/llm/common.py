@@ -27,7 +27,7 @@ def sized_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, by: Column, how: str = "left", *, salts: int = 32) -> DataFrame:
-    """``large`` joined to ``small``, whose ``key`` is unique: rows of one key are dealt by ``by`` to ``salts`` tasks, each with a copy of its partner."""
+    """``large`` joined to ``small``: rows of one key are dealt by ``by`` to ``salts`` tasks, each with a copy of its partners."""
     left = large.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "__salt"], how).drop("__salt")

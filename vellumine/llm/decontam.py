@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import BROADCAST_BYTES, sized_join
+from vellumine.llm.common import BROADCAST_BYTES, salted_join, sized_join
 from vellumine.shared import cut
 
 #: Which of neighbouring tokens each mask looks at, for items of ``LEAST`` tokens or more.
@@ -83,15 +83,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, identity: float = IDENTITY,
     wanted = wanted.withColumnRenamed("at", "item_at").distinct()
     masks = list(dict.fromkeys([*MASKS, *(m for n in short for m in masks_of(n))]))
     source = docs.select(F.xxhash64("text").alias("copy"), tokens(F.col("text")).alias("seq"))
-    hits = sized_join(_seeds(source, ["copy"], masks, 0), wanted, "seed", row_bytes=SEED_BYTES)
+    hits = _met(_seeds(source, ["copy"], masks, 0), wanted, "seed", F.col("copy"), SEED_BYTES)
     hits = cut(hits.select("copy", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
 
-    per_copy = hits.groupBy("copy").agg(F.collect_list(F.struct("item", "shift")).alias("diagonals"))
-    held = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
-    held = sized_join(held, per_copy, "copy", row_bytes=400).select("doc_id", "copy", tokens(F.col("text")).alias("seq"), F.explode("diagonals").alias("d"))
+    # each text with hits once, its diagonals beside it
+    held = docs.select(F.xxhash64("text").alias("copy"), "text")
+    held = sized_join(held, hits.select("copy").distinct(), "copy", "left_semi", row_bytes=40).dropDuplicates(["copy"])
+    held = sized_join(held.select("copy", tokens(F.col("text")).alias("seq")), hits, "copy", row_bytes=64)
     sized = items.agg(F.sum(F.size("seq") * 8 + 64)).first()[0] or 0
     known = items.select("item", "item_id", F.col("seq").alias("item_seq"))
-    pairs = held.select("doc_id", "copy", "seq", F.col("d.item").alias("item"), F.col("d.shift").alias("shift")).join(F.broadcast(known) if sized <= BROADCAST_BYTES else known, "item")
+    pairs = held.join(F.broadcast(known) if sized <= BROADCAST_BYTES else known, "item")
     same = pairs.withColumn("same", _agreement(F.col("seq"), F.col("item_seq"), F.col("shift"))).drop("seq")
     n = F.size("same")
     total = F.aggregate("same", F.lit(0), lambda a, x: a + x)
@@ -101,8 +102,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, identity: float = IDENTITY,
     leaked = judged.where((F.col("matched") >= identity * F.col("item_tokens")) | ((F.col("item_tokens") >= stretch) & (F.col("run") >= identity * stretch)))
 
     place = F.max(F.struct("matched", (-F.col("shift")).alias("back"))).alias("p")
-    found = leaked.groupBy("doc_id", "copy", "item", "item_id", "item_tokens").agg(place)
-    return found.select("doc_id", "copy", "item_id", F.col("p.matched").alias("matched"), "item_tokens", F.greatest(-F.col("p.back"), F.lit(0)).alias("at"))
+    found = cut(leaked.groupBy("copy", "item", "item_id", "item_tokens").agg(place), "leaks")
+    rows = _met(docs.select("doc_id", F.xxhash64("text").alias("copy")).distinct(), found, "copy", F.col("doc_id"), 64)
+    return rows.select("doc_id", "copy", "item_id", F.col("p.matched").alias("matched"), "item_tokens", F.greatest(-F.col("p.back"), F.lit(0)).alias("at"))
+
+
+def _met(large: DataFrame, small: DataFrame, key: str, by: Column, row_bytes: int) -> DataFrame:
+    """The inner join by ``key``; beyond a broadcast the rows of a frequent key are dealt to several tasks."""
+    few = small.count() * row_bytes <= BROADCAST_BYTES
+    return large.join(F.broadcast(small), key) if few else salted_join(large, small, key, by, "inner", salts=8)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, identity: float = IDENTITY, stretch: int = STRETCH) -> DataFrame:
