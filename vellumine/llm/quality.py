@@ -41,7 +41,9 @@ QUANTILE = 0.998
 #: Symbols of mean trusted text that are added to each document.
 PRIOR = 64
 #: Text of a chunk; of a task that counts; and characters that are looked at together.
-CHUNK_BYTES, COUNT_BYTES, BLOCK = 64 << 20, 64 << 20, 1 << 21
+CHUNK_BYTES, COUNT_BYTES, BLOCK = 32 << 20, 64 << 20, 1 << 20
+#: N-grams that a task which counts holds before it sends them on.
+HELD = 500_000
 #: Chunks that ask for one n-gram are listed in rows of at most so many.
 LISTED = 4096
 START = "\n" * (ORDER - 1)
@@ -138,7 +140,7 @@ def count_grams(texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]
         keys, n = np.unique(spelling.keys(points)[valid], return_counts=True)
         for g, c in zip(spelling.grams(keys), n.tolist(), strict=True):
             held[g] = held.get(g, 0) + c
-        if len(held) > 2_000_000:
+        if len(held) > HELD:
             yield np.array(list(held), object), np.fromiter(held.values(), np.int64, len(held))
             held.clear()
     if held:

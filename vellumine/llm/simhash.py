@@ -44,7 +44,7 @@ FRONTIER = 1 << 20
 SHINGLE, SIMILARITY = 5, 0.8
 #: Its candidates: fingerprints of single words, which small changes move least, within this
 #: radius, and bins and least agreement of the shingle sketches that they are held against.
-STAGE_WIDTH, STAGE_RADIUS, BINS, SKETCH_LEAST = 1, 4, 128, 0.55
+STAGE_WIDTH, STAGE_RADIUS, BINS, SKETCH_LEAST = 1, 4, 64, 0.5
 #: Texts that are drawn to find frequent shingles, and texts of these from which one is frequent:
 #: they only set the order of shingles, and any order gives all candidates.
 DRAWN, FREQUENT, MOST_FREQUENT = 20_000, 8, 1 << 20
@@ -346,11 +346,10 @@ def _similar(classes: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) ->
     are: that only makes a group wider, and what is similar in it is decided later.
     """
     at = classes.select(F.explode("prefix").alias("shingle"), "size", "words", "fp")
-    shared = at.groupBy("shingle").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1 and low < high")
-    shared = cut(shared.select("shingle", "n", "low"), "shared-shingles")
-    few, many = shared.where(F.col("n") <= hot_rows).select("shingle"), shared.where(F.col("n") > hot_rows).select("shingle", "low")
+    shared = cut(at.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles")
+    few, many = shared.where(F.col("n") <= hot_rows).select("shingle"), cut(shared.where(F.col("n") > hot_rows).select("shingle"), "hot-shingles")
     lists = sized_join(at, few, "shingle").groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("size", "words", "fp"))).alias("ms"))
-    lists = lists.groupBy(F.xxhash64("ms").alias("bucket")).agg(F.first("ms").alias("ms"))
+    lists = lists.where(F.array_min("ms.fp") < F.array_max("ms.fp")).groupBy(F.xxhash64("ms").alias("bucket")).agg(F.first("ms").alias("ms"))
     rows = cut(lists, "shared-lists").select("bucket", F.explode("ms").alias("m")).select("bucket", "m.size", "m.words", "m.fp")
     rows = rows.join(classes.select("words", "sketch"), "words").select("bucket", "size", "fp", "sketch")
 
@@ -375,8 +374,11 @@ def _similar(classes: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) ->
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
 
     near = rows.repartition("bucket").sortWithinPartitions("bucket", "size").mapInPandas(search, "a long, b long")
-    wide = sized_join(at, many, "shingle").select(F.col("fp").alias("a"), F.col("low").alias("b")).where("a <> b")
-    return near.unionByName(wide).distinct()
+    if not many.isEmpty():
+        wide = sized_join(at, many, "shingle").select("shingle", "fp").distinct()
+        low = wide.groupBy("shingle").agg(F.min("fp").alias("low"))
+        near = near.unionByName(sized_join(wide, low, "shingle").select(F.col("fp").alias("a"), F.col("low").alias("b")).where("a <> b"))
+    return near.distinct()
 
 
 def _bucket_links(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
@@ -524,7 +526,10 @@ def keep_one(docs: DataFrame, *, radius: int = STAGE_RADIUS, similarity: float =
     prints = cut(restored(source.mapInPandas(run, "doc_id string, copy long, fp long, words long, sketch binary, size int, prefix array<long>"), "doc_id"), "prints")
     # equal words: the smallest doc_id, and of its rows the smallest hash of the text
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("m")
-    classes = cut(prints.groupBy("words").agg(first, F.first("fp").alias("fp"), *(F.first(c).alias(c) for c in ("sketch", "size", "prefix"))).select("words", "fp", "sketch", "size", "prefix", F.col("m.doc_id").alias("doc_id"), F.col("m.copy").alias("copy")), "classes")
+    repeats = cut(prints.groupBy("words").count().where("count > 1").select("words"), "repeated-words")
+    alone = sized_join(prints, repeats, "words", "left_anti", row_bytes=40).select("words", "fp", "sketch", "size", "prefix", "doc_id", "copy")
+    some = sized_join(prints, repeats, "words", "left_semi", row_bytes=40).groupBy("words").agg(first, *(F.first(c).alias(c) for c in ("fp", "sketch", "size", "prefix")))
+    classes = alone.unionByName(cut(some.select("words", "fp", "sketch", "size", "prefix", "m.doc_id", "m.copy"), "classes"))
     # different words can have one fingerprint: the index holds it once, with its first sketch;
     # links that only the others' sketches show are among those of the prefixes
     distinct = cut(classes.groupBy("fp").agg(F.count("*").alias("n"), F.min_by("sketch", "words").alias("sketch")), "distinct-fingerprints")
