@@ -151,3 +151,157 @@ def test_convert_folder(spark, tmp_path):
         done = convert.save(files.convert(files.scan(spark, str(tmp_path / "in")), "md"), str(tmp_path / "out"), "md").collect()
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a (1).md", "a.md", "b (1).md", "b.md", "c (1).md", "c.md"]
     assert sum(r["error"] is not None for r in done) == 2
+
+
+RICH = [
+    office.block(heading=2, runs=[office.run("Bold", bold=True), office.run(" head", italic=True)]),
+    office.block(align="center", runs=[office.run("plain "), office.run("red", colour="C81E1E", size=15.0), office.run(" under", underline=True), office.run(" gone", strike=True), office.run("2", script="super"), office.run(" both", bold=True, italic=True)]),
+    office.block(text="end"),
+]
+PNG = b"\x89PNG\r\n\x1a\n" + b"data" * 20
+
+
+@pytest.mark.parametrize("fmt", ["docx", "hwpx"])
+def test_runs_survive(fmt):
+    got = office.READERS[fmt](sinks.WRITERS[fmt]([*RICH, office.block("image", "p.png", image=PNG)], "t"))
+    assert [b["runs"] for b in got[:3]] == [b["runs"] for b in RICH]
+    assert [(b["heading"], b["align"]) for b in got[:3]] == [(2, "left"), (0, "center"), (0, "left")]
+    assert [b["image"] for b in got if b["kind"] == "image"] == [PNG]
+
+
+def test_hwpx_styles_all_resolve():
+    import re
+
+    data = zipfile.ZipFile(io.BytesIO(sinks.write_hwpx(RICH)))
+    header, section = (data.read(f"Contents/{n}.xml").decode() for n in ("header", "section0"))
+    for kind in ("char", "para"):
+        known = re.findall(rf'<hh:{kind}Pr id="(\d+)"', header)
+        assert known == [str(i) for i in range(len(known))] and set(re.findall(rf'{kind}PrIDRef="(\d+)"', section)) <= set(known)
+    wave = header.replace('type="BOTTOM" shape="SOLID"', 'type="WAVE" shape="SOLID"').replace('shape="SOLID"/>', 'shape="3D"/>')
+    entries = {n: data.read(n) for n in data.namelist()} | {"Contents/header.xml": wave}
+    assert not any(r["underline"] or r["strike"] for b in office.read_hwpx(archive(entries)) for r in b["runs"])
+
+
+def test_links_and_inline_marks():
+    runs = [office.run("see "), office.run("here", href="https://a.example/?x=1&y=2"), office.run(" or "), office.run("not", bold=True)]
+    for fmt in ("docx", "html", "md"):
+        got = office.READERS[fmt](sinks.WRITERS[fmt]([office.block(runs=runs)], ""))
+        assert [b["runs"] for b in got if b["text"].strip()] == [runs]
+    got = office.read_html(b"<p>a <b>b<i>c</i></b> <code>d</code><br>e <a href='/u'>f</a><sub>g</sub></p>")[0]
+    assert got["text"] == "a bc d\ne fg" and [(r["text"], r["bold"], r["italic"], r["font"], r["href"], r["script"]) for r in got["runs"]] == [
+        ("a ", False, False, "", "", ""), ("b", True, False, "", "", ""), ("c", True, True, "", "", ""), (" ", False, False, "", "", ""), ("d", False, False, "Consolas", "", ""), ("\ne ", False, False, "", "", ""), ("f", False, False, "", "/u", ""), ("g", False, False, "", "", "sub")]
+    assert office.read_md(b"[t]() and snake_case_name * 2")[0]["runs"] == []
+
+
+def test_docx_nested_tables_controls_and_highlight():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t, pr="": f"<w:p><w:r>{pr}<w:t>{t}</w:t></w:r></w:p>"
+    inner = f"<w:tbl><w:tr><w:tc>{p('x')}</w:tc><w:tc>{p('y')}</w:tc></w:tr></w:tbl>"
+    body = f"<w:sdt><w:sdtContent>{p('in control')}</w:sdtContent></w:sdt>{p('m', '<w:rPr><w:highlight w:val=%sgreen%s/></w:rPr>' % (chr(34), chr(34)))}<w:tbl><w:tr><w:tc>{p('a')}{inner}{p('b')}</w:tc></w:tr></w:tbl>"
+    got = office.read_docx(archive({"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>"}))
+    assert [b["text"] for b in got] == ["in control", "m", ""] and got[1]["runs"][0]["highlight"] == "FFFF00"
+    assert got[2]["cells"] == [(0, 0, 1, 1, "a\nx\ty\nb")]
+
+
+def test_xlsx_dates_hidden_sheets_and_row_cap():
+    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rows = '<row r="1"><c r="A1" s="1"><v>45292</v></c><c r="B1" s="2"><v>45292.5</v></c><c r="C1" s="1"><v>0.25</v></c><c r="D1" s="3"><v>45292</v></c><c r="E1" t="e"><v>#N/A</v></c></row><row r="2"><c r="A2"><v>2</v></c></row><row r="3"><c r="A3"><v>3</v></c></row>'
+    data = archive({
+        "xl/workbook.xml": f'<workbook {m}><sheets><sheet name="a" r:id="rId1"/><sheet name="b" state="hidden" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/s.xml"/></Relationships>',
+        "xl/worksheets/s.xml": f"<worksheet {m}><sheetData>{rows}</sheetData></worksheet>",
+        "xl/styles.xml": f'<styleSheet {m}><numFmts><numFmt numFmtId="170" formatCode="yyyy&quot;x&quot;mm"/><numFmt numFmtId="171" formatCode="[Red]0.00&quot;day&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>',
+    })
+    asked = office.Options(max_rows=2)
+    got = office.read_xlsx(data, asked)
+    assert [c[4] for c in got[0]["cells"]] == ["2024-01-01", "2024-01-01 12:00:00", "06:00:00", "45292", "#ERROR", "2"]
+    assert len(got) == 1 and len(asked.warnings) == 1
+    assert len(office.read_xlsx(data, office.Options(hidden_sheets=True))) == 2
+
+
+def test_hwp_tables():
+    text = lambda s: s.encode("utf-16-le") + b"\r\0"
+    cell = lambda c, r, w=1, h=1: struct.pack("<IIHHHH", 1, 32, c, r, w, h) + b"\0" * 31
+    para = lambda level, s: record(66, level, b"\0" * 22) + record(67, level + 1, text(s))
+    section = para(0, "before") + record(71, 1, b" lbt") + record(77, 2, struct.pack("<IHH", 0, 2, 2) + b"\0" * 10)
+    section += record(72, 2, cell(0, 0, 2)) + para(2, "wide") + para(2, "more") + record(72, 2, cell(0, 1)) + para(2, "l") + record(72, 2, cell(0, 1)) + para(2, "r") + para(0, "after")
+    got = office.hwp_section(section)
+    assert [(b["kind"], b["text"]) for b in got] == [("paragraph", "before"), ("table", ""), ("paragraph", "after")]
+    assert got[1]["cells"] == [(0, 0, 1, 2, "wide\nmore"), (1, 0, 1, 1, "l"), (1, 0, 1, 1, "r")] or got[1]["cells"][2][:2] == (1, 0)
+    fixed = bytes.fromhex("010000002000000001000000010001009b2d0000") + b"\0" * 27
+    assert struct.unpack_from("<HHHH", fixed, 8) == (1, 0, 1, 1)
+
+
+def test_odt_round_trip():
+    got = office.read_odt(sinks.write_odt(BLOCKS))
+    assert texts(got) == texts(BLOCKS) and got[0]["heading"] == 1 and got[2]["list_kind"] == "bullet"
+    assert {c[:4] for c in next(b for b in got if b["kind"] == "table")["cells"]} == {c[:4] for c in BLOCKS[3]["cells"]}
+
+
+def test_pdf_round_trip():
+    from vellumine.sources.pdf import page_range, read_pdf
+
+    lines = ["문서 변환기 DocumentConverter", "", "가나다라마바사 1,234,567", "", " ".join(["word"] * 60)]
+    blocks = [office.block(text=t) for t in lines] + [office.block("page_break"), office.block(text="second (page) \\ 100%")]
+    data = sinks.write_pdf(blocks, "제목")
+    assert office.format_of_content(data) == "pdf" and len(data) < 20_000
+    got = read_pdf(data)
+    assert [b["text"] for b in got if b["kind"] == "paragraph"] == [lines[0], lines[2], lines[4], "second (page) \\ 100%"]
+    assert [b["kind"] for b in got].count("page_break") == 1
+    assert [b["text"] for b in read_pdf(data, office.Options(pages="2"))] == ["second (page) \\ 100%"]
+    asked = office.Options()
+    assert read_pdf(sinks.write_pdf([], ""), asked) == [] and asked.warnings
+    assert page_range("1-2,9,2-", 4) == [0, 1, 2, 3]
+    with pytest.raises(office.ReadError):
+        read_pdf(b"nothing")
+    assert len(sinks.write_pdf([office.block(text=str(i)) for i in range(200)]).split(b"/Type /Page ")) == 6
+
+
+def test_pdf_fonts_object_streams_and_headings():
+    from vellumine.sources.pdf import read_pdf
+
+    cmap = b"1 beginbfrange <01> <03> <0041> endbfrange 1 beginbfchar <04> <AC00> endbfchar"
+    shown = b"BT /F1 20 Tf 1 0 0 1 50 700 Tm <010203> Tj ET BT /F2 10 Tf 50 650 Td (Plain te) Tj (xt with hy-) Tj 0 -12 Td [(phen and \\(more\\)) -300 (words)] TJ T* ET BT /F1 10 Tf 50 500 Td <04> Tj ET"
+    inner = b"1 0 2 37 << /Type /Catalog /Pages 2 0 R >>"
+    objects = b"<< /Type /Catalog /Pages 2 0 R >>    << /Type /Pages /Kids [3 0 R] /Count 1 >>"
+    head = b"1 0 2 37 "
+    packed = zlib.compress(head + objects)
+    data = b"%PDF-1.5\n"
+    data += b"9 0 obj << /Type /ObjStm /N 2 /First %d /Filter /FlateDecode /Length %d >> stream\n" % (len(head), len(packed)) + packed + b"\nendstream endobj\n"
+    data += b"3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >> endobj\n"
+    data += b"4 0 obj << /Length %d >> stream\n" % len(shown) + shown + b"\nendstream endobj\n"
+    data += b"5 0 obj << /Type /Font /Subtype /Type1 /ToUnicode 7 0 R >> endobj 6 0 obj << /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >> endobj\n"
+    data += b"7 0 obj << /Length %d >> stream\n" % len(cmap) + cmap + b"\nendstream endobj\ntrailer << /Root 1 0 R >>"
+    got = read_pdf(data)
+    assert [(b["text"], b["heading"]) for b in got] == [("ABC", 1), ("Plain text with hyphen and (more) words", 0), ("가", 0)]
+    with pytest.raises(office.ReadError):
+        read_pdf(data.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 8 0 R"))
+
+
+def test_names_of_saved_files():
+    taken = frozenset({"a.md", "a (2).md"})
+    assert [convert.place_of("a", "md", n, "rename", taken) for n in range(3)] == ["a (1).md", "a (3).md", "a (4).md"]
+    assert [convert.place_of("a", "md", n, "skip", taken) for n in range(2)] == [None, None]
+    assert convert.place_of("b", "md", 0, "error", taken) == "b.md" and convert.place_of("a", "md", 0, "overwrite", taken) == "a.md"
+
+
+def test_two_files_of_one_stem_options_and_identity(spark, tmp_path):
+    for d in ("x", "y", "out"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "x/a.csv").write_text("1|2\n3|4\n")
+    (tmp_path / "y/a.csv").write_text("5|6\n")
+    (tmp_path / "y/b.md").write_text("*as it is*")
+    (tmp_path / "y/c.bin").write_text("?")
+    found = files.scan(spark, [str(tmp_path / "x"), str(tmp_path / "y")], known_only=True)
+    done = convert.save(files.convert(found, "md", delimiter="|"), str(tmp_path / "out"), "md").collect()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a (1).md", "a.md", "b.md"] and len(done) == 3
+    assert (tmp_path / "out/b.md").read_text() == "*as it is*" and "| 3 | 4 |" in (tmp_path / "out/a.md").read_text()
+    assert "Exchange" not in files.convert(found, "md")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_public_names(spark):
+    import vellumine
+
+    assert all(getattr(vellumine, n) is not None for n in vellumine.__all__)
+    able = {r["format"]: (r["reads"], r["writes"]) for r in vellumine.diagnose(spark).collect()}
+    assert able["pdf"] == (True, True) and able["hwp"] == (True, False) and able["doc"] == (False, False)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import os
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumine.sources import files
-from vellumine.sources.formats import engine_table, formats, routes
+from vellumine.sources.formats import FORMATS, engine_table, formats, routes
 
 
 def supported_targets(spark: SparkSession) -> DataFrame:
@@ -20,55 +21,97 @@ def supported_targets(spark: SparkSession) -> DataFrame:
     return found.join(F.broadcast(writable), "dst", "left_semi").groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("targets"))
 
 
+def diagnose(spark: SparkSession) -> DataFrame:
+    """format, reads, writes: what this installation can do by itself, whatever the tables of formats say."""
+    rows = [(f, f in files.READERS, f in files.WRITERS) for f, *_ in FORMATS]
+    return spark.createDataFrame(rows, "format string, reads boolean, writes boolean")
+
+
+def no_route(src: str, dst: str, targets: Sequence[str]) -> str:
+    """Why a conversion can't be done, and what can."""
+    able = f"; {src} converts to {', '.join(sorted(targets))}" if targets else f"; nothing reads {src}"
+    return f"no route from {src} to {dst}{able}"
+
+
+def place_of(stem: str, target: str, number: int, on_conflict: str, taken: frozenset[str]) -> str | None:
+    """The file name for the ``number``-th document of one stem (from 0); None to leave it out.
+
+    It depends on nothing but its arguments, so a task that runs again writes the same file.
+    """
+    name = f"{stem}.{target}"
+    if on_conflict == "overwrite":
+        return name if not number else f"{stem} ({number}).{target}"
+    if on_conflict != "rename" and (name in taken or number):
+        return None
+    k = 0
+    while True:
+        name = f"{stem} ({k}).{target}" if k else f"{stem}.{target}"
+        if name not in taken:
+            if not number:
+                return name
+            number -= 1
+        k += 1
+
+
 def save(converted: DataFrame, folder: str, target: str, on_conflict: str = "rename") -> DataFrame:
     """path, saved, error: each output written beside the others on the executors.
 
-    ``folder`` must be one that all executors share. On conflict a name is numbered,
-    overwritten, skipped, or an error.
+    ``folder`` must be one that driver and executors share. On conflict a name is numbered,
+    overwritten, skipped, or an error. Names are settled before anything is written, and a
+    file appears under its name when it is whole.
     """
+    taken = frozenset(os.listdir(folder))
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    order = Window.partitionBy("stem", F.col("error").isNull()).orderBy("path")
+    numbered = converted.select("path", "output", "error").withColumn("stem", stem).withColumn("number", F.row_number().over(order) - 1)
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
             saved, errors = [], []
-            for path, data, error in zip(b["path"], b["output"], b["error"], strict=True):
+            for path, data, error, stem, number in zip(b["path"], b["output"], b["error"], b["stem"], b["number"], strict=True):
                 place = None
                 if error is None:
-                    stem = os.path.splitext(os.path.basename(path))[0]
-                    place = os.path.join(folder, f"{stem}.{target}")
-                    if os.path.exists(place):
-                        if on_conflict == "rename":
-                            n = 1
-                            while os.path.exists(place := os.path.join(folder, f"{stem} ({n}).{target}")):
-                                n += 1
-                        elif on_conflict == "skip":
-                            data = None
-                        elif on_conflict == "error":
-                            data, error = None, f"{place} exists"
-                    if data is not None:
-                        with open(place, "wb") as f:
+                    name = place_of(stem, target, int(number), on_conflict, taken)
+                    if name is not None:
+                        place = os.path.join(folder, name)
+                        part = f"{place}.{uuid.uuid4().hex}.part"
+                        with open(part, "wb") as f:
                             f.write(data)
-                saved.append(place if data is not None else None)
+                        os.replace(part, place)
+                    elif on_conflict == "error":
+                        error = f"{stem}.{target} exists"
+                saved.append(place)
                 errors.append(error)
             yield pd.DataFrame({"path": b["path"], "saved": pd.Series(saved, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    return converted.select("path", "output", "error").mapInPandas(run, "path string, saved string, error string")
+    return numbered.mapInPandas(run, "path string, saved string, error string")
 
 
 def main(argv: Sequence[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="vellumine")
-    parser.add_argument("inputs", help="a folder")
-    parser.add_argument("target", help="a format, or 'formats' or 'targets' to list them")
+    parser.add_argument("inputs", help="folders, globs or files, parted by commas")
+    parser.add_argument("target", help="a format, or 'formats', 'targets' or 'diagnose' to list them")
     parser.add_argument("--out", default=".")
     parser.add_argument("--on-conflict", choices=("rename", "overwrite", "skip", "error"), default="rename")
     parser.add_argument("--not-recursive", action="store_true")
+    parser.add_argument("--known-only", action="store_true", help="leave out files of unknown extensions")
+    parser.add_argument("--delimiter", help="of delimited text; \\t for a tab")
+    parser.add_argument("--pages", help="of a PDF, such as 1-3,5")
+    parser.add_argument("--hidden-sheets", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    if args.target in ("formats", "targets"):
-        (formats(spark) if args.target == "formats" else supported_targets(spark)).show(100, False)
+    lists = {"formats": formats, "targets": supported_targets, "diagnose": diagnose}
+    if args.target in lists:
+        lists[args.target](spark).show(100, False)
         return 0
-    done = save(files.convert(files.scan(spark, args.inputs, recursive=not args.not_recursive), args.target), args.out, args.target, args.on_conflict)
+    if args.target not in files.WRITERS:
+        print(f"nothing writes {args.target}; targets: {', '.join(sorted(files.WRITERS))}")
+        return 2
+    options = {"delimiter": args.delimiter and args.delimiter.replace("\\t", "\t"), "pages": args.pages, "hidden_sheets": args.hidden_sheets}
+    found = files.scan(spark, args.inputs.split(","), recursive=not args.not_recursive, known_only=args.known_only)
+    done = save(files.convert(found, args.target, **options), args.out, args.target, args.on_conflict)
     counts = {r["ok"]: r["n"] for r in done.groupBy(F.col("error").isNull().alias("ok")).agg(F.count("*").alias("n")).collect()}
     print(f"converted {counts.get(True, 0)}, failed {counts.get(False, 0)}")
     return int(counts.get(False, 0) > 0)

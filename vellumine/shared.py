@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests
-    on one machine) a temporary folder is set once for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a temporary
+    folder is set once for the session, if all of Spark runs on this machine; a cluster
+    without a shared folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
+        if not context.getCheckpointDir() and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = context.getCheckpointDir() or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints', uuid.uuid4().hex)}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)

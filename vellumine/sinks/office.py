@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import csv
 import io
 import json
@@ -10,7 +11,9 @@ import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape, quoteattr
 
-Block = dict
+from vellumine.sinks.pdf import write_pdf
+from vellumine.sources.runs import PLAIN, Block, picture_kind, run, runs_of
+
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿\ud800-\udfff]")
 
 
@@ -26,7 +29,7 @@ def _grid(b: Block) -> list[list[str]]:
     return grid
 
 
-def _archive(entries: list[tuple[str, str]], stored: tuple[str, ...] = ()) -> bytes:
+def _archive(entries: list[tuple[str, str | bytes]], stored: tuple[str, ...] = ()) -> bytes:
     """Entries in order; the ``stored`` ones are not compressed. Times are fixed, so equal input gives equal bytes."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -39,27 +42,66 @@ def _archive(entries: list[tuple[str, str]], stored: tuple[str, ...] = ()) -> by
 
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _OOXML, _PACKAGE = "http://schemas.openxmlformats.org", "http://schemas.openxmlformats.org/package/2006"
+_PICTURE = f"{_OOXML}/drawingml/2006/picture"
 
 
 def _relations(pairs: list[tuple[str, str, str]]) -> str:
-    rows = "".join(f'<Relationship Id="{i}" Type="{_OOXML}/officeDocument/2006/relationships/{t}" Target="{x}"/>' for i, t, x in pairs)
+    mode = lambda t: ' TargetMode="External"' if t == "hyperlink" else ""
+    rows = "".join(f'<Relationship Id="{i}" Type="{_OOXML}/officeDocument/2006/relationships/{t}" Target={quoteattr(_ILLEGAL.sub("", x))}{mode(t)}/>' for i, t, x in pairs)
     return f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships">{rows}</Relationships>'
 
 
 def _types(parts: list[tuple[str, str]]) -> str:
     rows = "".join(f'<Override PartName="{p}" ContentType="application/vnd.openxmlformats-officedocument.{t}+xml"/>' for p, t in parts)
-    return f'{_HEAD}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{rows}</Types>'
+    return f'{_HEAD}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{"".join(f'<Default Extension="{k}" ContentType="image/{k}"/>' for k in ("png", "jpeg", "gif", "bmp"))}{rows}</Types>'
 
 
 def write_docx(blocks: list[Block], title: str = "") -> bytes:
-    def run(text: str) -> str:
-        parts = re.split("([\n\t])", text)
-        return "<w:r>" + "".join("<w:br/>" if p == "\n" else "<w:tab/>" if p == "\t" else f'<w:t xml:space="preserve">{_xml(p)}</w:t>' for p in parts if p) + "</w:r>" if text else ""
+    rels: list[tuple[str, str, str]] = [("rId1", "styles", "styles.xml")]
+    media: list[tuple[str, bytes]] = []
+
+    def related(kind: str, target: str) -> str:
+        rels.append((f"rId{len(rels) + 1}", kind, target))
+        return rels[-1][0]
+
+    def style(r: dict) -> str:
+        font = quoteattr(r["font"])
+        return "".join(
+            (
+                f"<w:rFonts w:ascii={font} w:hAnsi={font} w:eastAsia={font} w:cs={font}/>" * bool(r["font"]),
+                "<w:b/>" * r["bold"],
+                "<w:i/>" * r["italic"],
+                "<w:strike/>" * r["strike"],
+                f'<w:color w:val="{r["colour"]}"/>' * bool(r["colour"]),
+                f'<w:sz w:val="{round(r["size"] * 2)}"/>' * (r["size"] > 0),
+                '<w:highlight w:val="yellow"/>' * bool(r["highlight"]),
+                '<w:u w:val="single"/>' * r["underline"],
+                f'<w:vertAlign w:val="{r["script"]}script"/>' * bool(r["script"]),
+            )
+        )
+
+    def text_run(r: dict) -> str:
+        parts = re.split("([\n\t])", r["text"])
+        pr = f"<w:rPr>{style(r)}</w:rPr>" if style(r) else ""
+        inner = "".join("<w:br/>" if p == "\n" else "<w:tab/>" if p == "\t" else f'<w:t xml:space="preserve">{_xml(p)}</w:t>' for p in parts if p)
+        whole = f"<w:r>{pr}{inner}</w:r>" if r["text"] else ""
+        return f'<w:hyperlink r:id="{related("hyperlink", r["href"])}">{whole}</w:hyperlink>' if r["href"] and whole else whole
 
     def paragraph(b: Block) -> str:
-        style = f'<w:pStyle w:val="Heading{b["heading"]}"/>' if b["heading"] else ""
-        listed = f'<w:numPr><w:ilvl w:val="{b["level"]}"/><w:numId w:val="1"/></w:numPr>' if b["list_kind"] != "none" else ""
-        return f"<w:p><w:pPr>{style}{listed}</w:pPr>{run(b['text'])}</w:p>"
+        pr = f'<w:pStyle w:val="Heading{b["heading"]}"/>' if b["heading"] else ""
+        pr += f'<w:numPr><w:ilvl w:val="{b["level"]}"/><w:numId w:val="1"/></w:numPr>' if b["list_kind"] != "none" else ""
+        jc = {"justify": "both"}.get(b.get("align", "left"), b.get("align", "left"))
+        pr += f'<w:jc w:val="{jc}"/>' if jc != "left" else ""
+        return f"<w:p><w:pPr>{pr}</w:pPr>{''.join(map(text_run, runs_of(b)))}</w:p>"
+
+    def picture(b: Block) -> str:
+        kind, n = picture_kind(b["image"]), len(media) + 1
+        media.append((f"word/media/image{n}.{kind}", b["image"]))
+        name, fit = quoteattr(_ILLEGAL.sub("", b["text"]) or f"image{n}"), 'cx="2880000" cy="2160000"'
+        fill = f'<pic:blipFill><a:blip r:embed="{related("image", f"media/image{n}.{kind}")}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>'
+        shape = f'<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext {fit}/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr>'
+        data = f'<a:graphicData uri="{_PICTURE}"><pic:pic><pic:nvPicPr><pic:cNvPr id="{n}" name={name}/><pic:cNvPicPr/></pic:nvPicPr>{fill}{shape}</pic:pic></a:graphicData>'
+        return f'<w:p><w:r><w:drawing><wp:inline><wp:extent {fit}/><wp:docPr id="{n}" name={name}/><a:graphic>{data}</a:graphic></wp:inline></w:drawing></w:r></w:p>'
 
     def table(b: Block) -> str:
         at = {(r, c): (rs, cs, t) for r, c, rs, cs, t in b["cells"]}
@@ -72,7 +114,7 @@ def write_docx(blocks: list[Block], title: str = "") -> bytes:
                 rs, cs, text = at.get((r, c), (1, under.get((r, c), 1), ""))
                 merge = '<w:vMerge w:val="restart"/>' if rs > 1 else "<w:vMerge/>" if (r, c) in under else ""
                 span = f'<w:gridSpan w:val="{cs}"/>' if cs > 1 else ""
-                line.append(f"<w:tc><w:tcPr>{span}{merge}</w:tcPr>" + "".join(f"<w:p>{run(t)}</w:p>" for t in (text.split("\n") if text else [""])) + "</w:tc>")
+                line.append(f"<w:tc><w:tcPr>{span}{merge}</w:tcPr>" + "".join(f"<w:p>{text_run(run(t))}</w:p>" for t in (text.split("\n") if text else [""])) + "</w:tc>")
             out.append(f"<w:tr>{''.join(line)}</w:tr>")
         return f"<w:tbl>{''.join(out)}</w:tbl>"
 
@@ -84,17 +126,20 @@ def write_docx(blocks: list[Block], title: str = "") -> bytes:
             body.append(table(b))
         elif b["kind"] == "page_break":
             body.append('<w:p><w:r><w:br w:type="page"/></w:r></w:p>')
+        elif b.get("image"):
+            body.append(picture(b))
         else:
             body.append(paragraph(b | {"text": f"[그림: {b['text'] or 'image'}]", "heading": 0, "list_kind": "none"}))
-    space = f'xmlns:w="{_OOXML}/wordprocessingml/2006/main"'
+    space = f'xmlns:w="{_OOXML}/wordprocessingml/2006/main" xmlns:r="{_OOXML}/officeDocument/2006/relationships" xmlns:wp="{_OOXML}/drawingml/2006/wordprocessingDrawing" xmlns:a="{_OOXML}/drawingml/2006/main" xmlns:pic="{_PICTURE}"'
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{n}"><w:name w:val="heading {n}"/></w:style>' for n in range(1, 10))
     return _archive(
         [
             ("[Content_Types].xml", _types([("/word/document.xml", "wordprocessingml.document.main"), ("/word/styles.xml", "wordprocessingml.styles")])),
             ("_rels/.rels", _relations([("rId1", "officeDocument", "word/document.xml")])),
-            ("word/_rels/document.xml.rels", _relations([("rId1", "styles", "styles.xml")])),
+            ("word/_rels/document.xml.rels", _relations(rels)),
             ("word/document.xml", f"{_HEAD}<w:document {space}><w:body>{''.join(body)}</w:body></w:document>"),
             ("word/styles.xml", f"{_HEAD}<w:styles {space}>{styles}</w:styles>"),
+            *media,
         ]
     )
 
@@ -163,31 +208,122 @@ def write_xlsx(blocks: list[Block], title: str = "") -> bytes:
 
 
 def write_hwpx(blocks: list[Block], title: str = "") -> bytes:
-    """The open Hangul package; its media type comes first and uncompressed."""
+    """The open Hangul package; its media type comes first and uncompressed.
+
+    Run styles and paragraph styles are numbered in the order in which they are first
+    seen; number 0 is the plain one. The header holds them, so no id is left dangling.
+    """
+    plain = {k: v for k, v in PLAIN.items() if k not in ("text", "href", "font", "highlight")}
+    chars: dict[tuple, int] = {tuple(plain.values()): 0}
+    paras: dict[tuple[str, int], int] = {("left", 0): 0}
+    media: list[tuple[str, bytes]] = []
 
     def text(t: str) -> str:
         return "<hp:t>" + _xml(t).replace("\t", "<hp:tab/>").replace("\n", "<hp:lineBreak/>") + "</hp:t>"
 
-    def paragraph(inner: str, brk: bool = False) -> str:
-        return f'<hp:p pageBreak="{int(brk)}" paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">{inner}</hp:run></hp:p>'
+    def text_run(r: dict) -> str:
+        n = chars.setdefault(tuple(r[k] for k in plain), len(chars))
+        return f'<hp:run charPrIDRef="{n}">{text(r["text"])}</hp:run>'
+
+    def paragraph(inner: str, brk: bool = False, para: int = 0) -> str:
+        return f'<hp:p pageBreak="{int(brk)}" paraPrIDRef="{para}" styleIDRef="0">{inner}</hp:p>'
 
     def table(b: Block) -> str:
         rows: dict[int, list[str]] = {}
         for r, c, rs, cs, t in sorted(b["cells"]):
-            inner = "".join(paragraph(text(x)) for x in t.split("\n"))
+            inner = "".join(paragraph(text_run(run(x))) for x in t.split("\n"))
             rows.setdefault(r, []).append(f'<hp:tc><hp:subList>{inner}</hp:subList><hp:cellAddr colAddr="{c}" rowAddr="{r}"/><hp:cellSpan colSpan="{cs}" rowSpan="{rs}"/></hp:tc>')
-        return "<hp:tbl>" + "".join(f"<hp:tr>{''.join(x)}</hp:tr>" for _, x in sorted(rows.items())) + "</hp:tbl>"
+        return '<hp:run charPrIDRef="0"><hp:tbl>' + "".join(f"<hp:tr>{''.join(x)}</hp:tr>" for _, x in sorted(rows.items())) + "</hp:tbl></hp:run>"
+
+    def picture(b: Block) -> str:
+        media.append((f"BinData/image{len(media) + 1}.{picture_kind(b['image'])}", b["image"]))
+        return f'<hp:run charPrIDRef="0"><hp:pic><hc:img binaryItemIDRef="image{len(media)}"/></hp:pic></hp:run>'
 
     out, brk = [], False
     for b in blocks:
         if b["kind"] == "page_break":
             brk = True
             continue
-        inner = table(b) if b["kind"] == "table" else text(b["text"] if b["kind"] == "paragraph" else f"[그림: {b['text'] or 'image'}]")
-        out.append(paragraph(inner, brk))
+        para = 0
+        if b["kind"] == "table":
+            inner = table(b)
+        elif b["kind"] == "paragraph":
+            inner = "".join(map(text_run, runs_of(b))) or text_run(run(""))
+            para = paras.setdefault((b.get("align") or "left", b["heading"]), len(paras))
+        else:
+            inner = picture(b) if b.get("image") else text_run(run(f"[그림: {b['text'] or 'image'}]"))
+        out.append(paragraph(inner, brk, para))
         brk = False
-    space = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph" xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section"'
-    return _archive([("mimetype", "application/hwp+zip"), ("version.xml", f"{_HEAD}<version/>"), ("Contents/section0.xml", f"{_HEAD}<hs:sec {space}>{''.join(out)}</hs:sec>")], stored=("mimetype",))
+
+    def char(values: tuple, n: int) -> str:
+        v = dict(zip(plain, values, strict=True))
+        marks = "<hh:bold/>" * v["bold"] + "<hh:italic/>" * v["italic"]
+        marks += f'<hh:underline type="{"BOTTOM" if v["underline"] else "NONE"}" shape="SOLID"/><hh:strikeout shape="{"SOLID" if v["strike"] else "NONE"}"/>'
+        marks += {"super": "<hh:supscript/>", "sub": "<hh:subscript/>"}.get(v["script"], "")
+        return f'<hh:charPr id="{n}" height="{round((v["size"] or 10) * 100)}" textColor="#{v["colour"] or "000000"}">{marks}</hh:charPr>'
+
+    def para_style(value: tuple[str, int], n: int) -> str:
+        outline = f'<hh:heading type="OUTLINE" idRef="0" level="{value[1] - 1}"/>' if value[1] else '<hh:heading type="NONE" idRef="0" level="0"/>'
+        return f'<hh:paraPr id="{n}"><hh:align horizontal="{value[0].upper()}" vertical="BASELINE"/>{outline}</hh:paraPr>'
+
+    hml = "http://www.hancom.co.kr/hwpml/2011"
+    space = f'xmlns:hp="{hml}/paragraph" xmlns:hs="{hml}/section" xmlns:hc="{hml}/core"'
+    listed = "".join(f'<hh:{k}Properties itemCnt="{len(x)}">{"".join(f(v, n) for v, n in x.items())}</hh:{k}Properties>' for k, x, f in (("char", chars, char), ("para", paras, para_style)))
+    header = f'{_HEAD}<hh:head xmlns:hh="{hml}/head"><hh:refList>{listed}<hh:styles itemCnt="1"><hh:style id="0" type="PARA" name="바탕글" paraPrIDRef="0" charPrIDRef="0"/></hh:styles></hh:refList></hh:head>'
+    items = "".join(f'<opf:item id={quoteattr(name.rpartition("/")[2].partition(".")[0])} href={quoteattr(name)} media-type="image/{name.rpartition(".")[2]}"/>' for name, _ in media)
+    package = f'{_HEAD}<opf:package xmlns:opf="http://www.idpf.org/2007/opf/"><opf:metadata><opf:title>{_xml(title)}</opf:title></opf:metadata><opf:manifest><opf:item id="header" href="Contents/header.xml" media-type="application/xml"/><opf:item id="section0" href="Contents/section0.xml" media-type="application/xml"/>{items}</opf:manifest><opf:spine><opf:itemref idref="section0"/></opf:spine></opf:package>'
+    container = f'{_HEAD}<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="Contents/content.hpf" media-type="application/hwpml-package+xml"/></rootfiles></container>'
+    return _archive(
+        [
+            ("mimetype", "application/hwp+zip"),
+            ("version.xml", f"{_HEAD}<version/>"),
+            ("META-INF/container.xml", container),
+            ("Contents/content.hpf", package),
+            ("Contents/header.xml", header),
+            ("Contents/section0.xml", f"{_HEAD}<hs:sec {space}>{''.join(out)}</hs:sec>"),
+            *media,
+        ],
+        stored=("mimetype",),
+    )
+
+
+def write_odt(blocks: list[Block], title: str = "") -> bytes:
+    def text(t: str) -> str:
+        t = re.sub("  +", lambda m: f' <text:s text:c="{len(m[0]) - 1}"/>', _xml(t))
+        return t.replace("\t", "<text:tab/>").replace("\n", "<text:line-break/>")
+
+    def table(b: Block) -> str:
+        at = {(r, c): (rs, cs, t) for r, c, rs, cs, t in b["cells"]}
+        rows, cols = len(_grid(b)), max(map(len, _grid(b)), default=0)
+        covered = {(r + i, c + k) for (r, c), (rs, cs, _) in at.items() for i in range(rs) for k in range(cs)} - set(at)
+        out = []
+        for r in range(rows):
+            line = []
+            for c in range(cols):
+                rs, cs, t = at.get((r, c), (1, 1, ""))
+                spans = f' table:number-rows-spanned="{rs}" table:number-columns-spanned="{cs}"' if rs > 1 or cs > 1 else ""
+                line.append("<table:covered-table-cell/>" if (r, c) in covered else f"<table:table-cell{spans}>{''.join(f'<text:p>{text(x)}</text:p>' for x in t.split(chr(10)))}</table:table-cell>")
+            out.append(f"<table:table-row>{''.join(line)}</table:table-row>")
+        return f"<table:table table:name={quoteattr(_ILLEGAL.sub('', b['text']))}>{''.join(out)}</table:table>"
+
+    body = []
+    for b in blocks:
+        if b["kind"] == "table":
+            body.append(table(b))
+        elif b["kind"] == "paragraph" and b["heading"]:
+            body.append(f'<text:h text:outline-level="{b["heading"]}">{text(b["text"])}</text:h>')
+        elif b["kind"] == "paragraph":
+            p = f"<text:p>{text(b['text'])}</text:p>"
+            for _ in range(b["level"] + 1 if b["list_kind"] != "none" else 0):
+                p = f"<text:list><text:list-item>{p}</text:list-item></text:list>"
+            body.append(p)
+        elif b["kind"] == "image":
+            body.append(f"<text:p>{text(f'[그림: {b["text"] or "image"}]')}</text:p>")
+    odf = "urn:oasis:names:tc:opendocument:xmlns"
+    content = f'{_HEAD}<office:document-content xmlns:office="{odf}:office:1.0" xmlns:text="{odf}:text:1.0" xmlns:table="{odf}:table:1.0" office:version="1.2"><office:body><office:text>{"".join(body)}</office:text></office:body></office:document-content>'
+    kind = "application/vnd.oasis.opendocument.text"
+    manifest = f'{_HEAD}<manifest:manifest xmlns:manifest="{odf}:manifest:1.0" manifest:version="1.2"><manifest:file-entry manifest:full-path="/" manifest:media-type="{kind}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>'
+    return _archive([("mimetype", kind), ("META-INF/manifest.xml", manifest), ("content.xml", content)], stored=("mimetype",))
 
 
 def write_txt(blocks: list[Block], title: str = "") -> bytes:
@@ -206,10 +342,18 @@ def write_md(blocks: list[Block], title: str = "") -> bytes:
     def safe(t: str) -> str:
         return re.sub(r"([\\`*_])", r"\\\1", t.replace("\n", "  \n"))
 
+    def marked(r: dict) -> str:
+        if not r["text"].strip():
+            return r["text"].replace("\n", "  \n")
+        stars = "*" * (2 * r["bold"] + r["italic"])
+        t = f"{stars}{safe(r['text'])}{stars}"
+        t = f"~~{t}~~" if r["strike"] else t
+        return f"[{t}]({r['href']})" if r["href"] else t
+
     out = [f"# {title}\n"] * bool(title)
     for b in blocks:
         if b["kind"] == "paragraph":
-            t, indent = safe(b["text"]).strip(), "  " * b["level"]
+            t, indent = "".join(map(marked, runs_of(b))).strip(), "  " * b["level"]
             if not t:
                 out.append("")
             elif b["heading"]:
@@ -230,6 +374,14 @@ def write_html(blocks: list[Block], title: str = "") -> bytes:
     def safe(t: str) -> str:
         return escape(t, {'"': "&quot;", "'": "&#x27;"}).replace("\n", "<br>").replace("\t", "&emsp;")
 
+    def styled(r: dict) -> str:
+        t = safe(r["text"])
+        css = ";".join([f"font-size:{r['size']:.1f}pt"] * (r["size"] > 0) + [f"color:#{r['colour']}"] * bool(r["colour"]))
+        t = f'<span style="{css}">{t}</span>' if css else t
+        for on, tag in ((r["bold"], "strong"), (r["italic"], "em"), (r["underline"], "u"), (r["strike"], "s"), (r["script"] == "super", "sup"), (r["script"] == "sub", "sub")):
+            t = f"<{tag}>{t}</{tag}>" if on else t
+        return f'<a href="{safe(r["href"])}">{t}</a>' if r["href"] else t
+
     out, open_list = [], None
     for b in [*blocks, {"kind": "end", "list_kind": "none"}]:
         kind = {"bullet": "ul", "number": "ol"}.get(b["list_kind"]) if b["kind"] == "paragraph" else None
@@ -237,9 +389,10 @@ def write_html(blocks: list[Block], title: str = "") -> bytes:
             out += [f"</{open_list}>"] * bool(open_list) + [f"<{kind}>"] * bool(kind)
             open_list = kind
         if b["kind"] == "paragraph":
-            t = safe(b["text"])
+            t = "".join(map(styled, runs_of(b)))
             tag = "li" if kind else f"h{min(6, b['heading'])}" if b["heading"] else "p"
-            out.append(f"<{tag}>{t if t.strip() else '&nbsp;'}</{tag}>")
+            align = f' style="text-align:{b["align"]}"' if b.get("align", "left") != "left" else ""
+            out.append(f"<{tag}{align}>{t if t.strip() else '&nbsp;'}</{tag}>")
         elif b["kind"] == "table":
             rows: dict[int, list[str]] = {}
             for r, c, rs, cs, t in sorted(b["cells"]):
@@ -248,6 +401,8 @@ def write_html(blocks: list[Block], title: str = "") -> bytes:
                 rows.setdefault(r, []).append(f"<{tag}{spans}>{safe(t) or '&nbsp;'}</{tag}>")
             caption = f"<caption>{safe(b['text'])}</caption>" * bool(b["text"])
             out.append(f"<table>{caption}{''.join(f'<tr>{chr(10).join(x)}</tr>' for _, x in sorted(rows.items()))}</table>")
+        elif b.get("image"):
+            out.append(f'<p><img alt="{safe(b["text"])}" src="data:image/{picture_kind(b["image"])};base64,{base64.b64encode(b["image"]).decode()}"></p>')
         elif b["kind"] != "end":
             out.append('<hr class="page-break">' if b["kind"] == "page_break" else f"<p>[그림: {safe(b['text'] or 'image')}]</p>")
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{safe(title)}</title></head><body>{chr(10).join(out)}</body></html>'.encode()
@@ -266,9 +421,10 @@ def write_csv(blocks: list[Block], title: str = "") -> bytes:
 
 def write_json(blocks: list[Block], title: str = "") -> bytes:
     """The blocks with what they hold; empty fields are left out."""
-    kept = [{k: v for k, v in b.items() if v and v != "none"} for b in blocks]
+    kept = [{k: v for k, v in b.items() if v and v not in ("none", "left") and k != "image"} for b in blocks]
+    kept = [b | {"runs": [{k: v for k, v in r.items() if v} for r in b["runs"]]} if "runs" in b else b for b in kept]
     stats = {"blocks": len(blocks), "paragraphs": sum(b["kind"] == "paragraph" for b in blocks), "tables": sum(b["kind"] == "table" for b in blocks), "characters": sum(len(b["text"]) for b in blocks if b["kind"] == "paragraph")}
     return json.dumps({"title": title, "stats": stats, "blocks": kept}, ensure_ascii=False, indent=2).encode()
 
 
-WRITERS: dict[str, Callable[[list[Block], str], bytes]] = {"docx": write_docx, "xlsx": write_xlsx, "hwpx": write_hwpx, "txt": write_txt, "md": write_md, "html": write_html, "csv": write_csv, "json": write_json}
+WRITERS: dict[str, Callable[[list[Block], str], bytes]] = {"docx": write_docx, "xlsx": write_xlsx, "hwpx": write_hwpx, "txt": write_txt, "md": write_md, "html": write_html, "csv": write_csv, "json": write_json, "odt": write_odt, "pdf": write_pdf}

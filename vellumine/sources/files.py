@@ -6,6 +6,7 @@ A file that cannot be read gives a row with its error and does not fail the job.
 from __future__ import annotations
 
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -14,19 +15,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.sinks.office import WRITERS
-from vellumine.sources.formats import format_of_ext, resolve
-from vellumine.shared import cut
-from vellumine.sources.office import READERS, ReadError, format_of_content
+from vellumine.sources import office
+from vellumine.sources.formats import FORMATS, format_of_ext, resolve
+from vellumine.sources.office import Options, ReadError, format_of_content
+from vellumine.sources.pdf import read_pdf
+from vellumine.sources.runs import RUNS, block
 
-BLOCKS = "array<struct<kind:string,text:string,heading:int,list_kind:string,level:int,cells:array<struct<r:int,c:int,row_span:int,col_span:int,text:string>>>>"
+READERS = office.READERS | {"pdf": read_pdf}
+BLOCKS = f"array<struct<kind:string,text:string,heading:int,list_kind:string,level:int,cells:array<struct<r:int,c:int,row_span:int,col_span:int,text:string>>,runs:{RUNS},align:string,image:binary>>"
+#: What a damaged file can raise.
+DAMAGE = (ReadError, ValueError, KeyError, IndexError, TypeError, AttributeError, OverflowError, RecursionError, struct.error, zlib.error, zipfile.BadZipFile)
 
 
-def scan(spark: SparkSession, path: str, *, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """path, content, length of the files of a folder; each path once."""
+def scan(spark: SparkSession, path: str | list[str], *, recursive: bool = True, glob: str | None = None, known_only: bool = False) -> DataFrame:
+    """path, content, length of the files of folders or globs, or of files; ``known_only`` leaves out unknown extensions.
+
+    Places that hold one another would list a file twice: name each file once.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).dropDuplicates(["path"]).select("path", "content", "length")
+    got = reader.load(path).select("path", "content", "length")
+    if not known_only:
+        return got
+    known = [e for _, es, *_ in FORMATS for e in es]
+    return got.where(F.lower(F.regexp_extract("path", r"\.([^./\\\\]+)$", 1)).isin(*known))
 
 
 def detect(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
@@ -45,28 +58,41 @@ def _as_rows(blocks: list[dict]) -> list[dict]:
 
 
 def _from_rows(blocks) -> list[dict]:
-    return [dict(b) | {"cells": [(x["r"], x["c"], x["row_span"], x["col_span"], x["text"]) for x in b["cells"]]} for b in blocks]
+    """Blocks from rows; fields that the rows don't have are plain."""
+    out = []
+    for row in blocks:
+        b = {k: v for k, v in dict(row).items() if v is not None}
+        runs = [dict(r) for r in b.pop("runs", [])]
+        cells = [(x["r"], x["c"], x["row_span"], x["col_span"], x["text"]) for x in b.pop("cells", [])]
+        out.append(block(**b, cells=cells, runs=runs))
+    return out
+
+
+def _read(data: bytes | None, fmt: str | None, options: dict) -> tuple[list[dict], str | None, list[str]]:
+    """Blocks, error and warnings of one file."""
+    asked = Options(**options)
+    try:
+        if data is None or fmt not in READERS:
+            raise ReadError(f"no reader for {fmt}")
+        return READERS[fmt](bytes(data), asked), None, asked.warnings
+    except DAMAGE as e:
+        return [], f"{type(e).__name__}: {e}", asked.warnings
+
 
+def read(files: DataFrame, *, key: str = "path", content: str = "content", fmt: str = "format", **options) -> DataFrame:
+    """key, blocks, error, warnings: null content or an unknown format is an error too.
 
-def read(files: DataFrame, *, key: str = "path", content: str = "content", fmt: str = "format") -> DataFrame:
-    """key, blocks, error: null content or an unknown format is an error too."""
+    Options are those of ``office.Options``: delimiter, pages, hidden_sheets, max_rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            blocks, errors = [], []
-            for data, f in zip(b["_content"], b["_format"], strict=True):
-                try:
-                    if data is None or f not in READERS:
-                        raise ReadError(f"no reader for {f}")
-                    blocks.append(_as_rows(READERS[f](bytes(data))))
-                    errors.append(None)
-                except (ReadError, ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
-                    blocks.append([])
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({key: b[key].array, "blocks": pd.Series(blocks, dtype=object), "error": pd.Series(errors, dtype=object)})
+            got = [_read(data, f, options) for data, f in zip(b["_content"], b["_format"], strict=True)]
+            columns = {"blocks": [_as_rows(x) for x, _, _ in got], "error": [e for _, e, _ in got], "warnings": [w for _, _, w in got]}
+            yield pd.DataFrame({key: b[key].array} | {k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
     kind = dict(files.dtypes)[key]
-    return files.select(key, F.col(content).alias("_content"), F.col(fmt).alias("_format")).mapInPandas(run, f"{key} {kind}, blocks {BLOCKS}, error string")
+    return files.select(key, F.col(content).alias("_content"), F.col(fmt).alias("_format")).mapInPandas(run, f"{key} {kind}, blocks {BLOCKS}, error string, warnings array<string>")
 
 
 def write(documents: DataFrame, target: str, *, key: str = "path") -> DataFrame:
@@ -81,12 +107,31 @@ def write(documents: DataFrame, target: str, *, key: str = "path") -> DataFrame:
     return documents.select(key, "blocks").mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, output binary")
 
 
-def convert(files: DataFrame, target: str) -> DataFrame:
-    """path, format, output, error: every file converted, broken ones with their error."""
-    known = detect(files)
-    got = cut(read(known), "read").join(known.select("path", "format"), "path")
-    done = write(got.where("error is null"), target)
-    return got.select("path", "format", "error").join(done, "path", "left")
+def convert(files: DataFrame, target: str, **options) -> DataFrame:
+    """path, format, output, error, warnings: every file converted where it is read, broken ones with their error.
+
+    A file that has the target's format already is passed on as it is.
+    """
+    if target not in WRITERS:
+        raise ValueError(f"no writer for {target}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for data, fmt in zip(b["content"], b["format"], strict=True):
+                output, warnings = None, []
+                if data is not None and fmt == target:
+                    output, error = bytes(data), None
+                else:
+                    blocks, error, warnings = _read(data, fmt, options)
+                    output = WRITERS[target](blocks, "") if error is None else None
+                rows.append((output, error, warnings))
+            yield pd.DataFrame({"path": b["path"], "format": b["format"]} | {k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(("output", "error", "warnings"))})
+
+    return detect(files).select("path", "content", "format").mapInPandas(run, "path string, format string, output binary, error string, warnings array<string>")
+
+
+convert_files = convert  # the name at the package's top, where ``convert`` is a module
 
 
 def blocks_of(documents: DataFrame, *, key: str = "path") -> DataFrame:
@@ -97,3 +142,9 @@ def blocks_of(documents: DataFrame, *, key: str = "path") -> DataFrame:
 def cells_of(documents: DataFrame, *, key: str = "path") -> DataFrame:
     """key, ord, r, c, row_span, col_span, text: the cells of all tables as rows."""
     return documents.select(key, F.posexplode("blocks").alias("ord", "b")).select(key, "ord", F.explode("b.cells").alias("x")).select(key, "ord", "x.r", "x.c", "x.row_span", "x.col_span", "x.text")
+
+
+def runs_of(documents: DataFrame, *, key: str = "path") -> DataFrame:
+    """key, ord, part and the fields of each run as rows."""
+    rows = documents.select(key, F.posexplode("blocks").alias("ord", "b"))
+    return rows.select(key, "ord", F.posexplode("b.runs").alias("part", "r")).select(key, "ord", "part", "r.*")

@@ -1,7 +1,7 @@
 """Readers of office and markup files: bytes to blocks, with the standard library only.
 
-A block is a dict: kind (paragraph, table, image, page_break), text, heading, list_kind, level and,
-for tables, cells [(r, c, row_span, col_span, text)]. Readers run inside ``read_files``, one
+A block is a dict: kind (paragraph, table, image, page_break), text, heading, list_kind, level,
+align, runs, the image's bytes and, for tables, cells [(r, c, row_span, col_span, text)]. Readers run inside ``read_files``, one
 file at a time, so a broken file costs one row with an error, not the job.
 """
 
@@ -15,11 +15,14 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+from vellumine.functions.styles import STRIKE, UNDERLINE
 from vellumine.functions.text import BAD, HANGUL, PRINTABLE
+from vellumine.sources.runs import Block, block, markdown_runs, run
 
-Block = dict
 # Limits of an archive that is read.
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_RATIO, RATIO_FROM = 20_000, 512 << 20, 2 << 30, 200, 8 << 20
 
@@ -28,8 +31,15 @@ class ReadError(ValueError):
     """The file is damaged, encrypted or unsafe."""
 
 
-def block(kind: str = "paragraph", text: str = "", heading: int = 0, list_kind: str = "none", level: int = 0, cells: list | None = None) -> Block:
-    return {"kind": kind, "text": text, "heading": heading, "list_kind": list_kind, "level": level, "cells": cells or []}
+@dataclass
+class Options:
+    """What a reader is asked for, and the warnings that it leaves."""
+
+    delimiter: str | None = None
+    pages: str | None = None
+    hidden_sheets: bool = False
+    max_rows: int = 200_000
+    warnings: list[str] = field(default_factory=list)
 
 
 class Archive:
@@ -52,6 +62,10 @@ class Archive:
                 raise ReadError(f"unsafe entry {e.filename}")
         self.names = [e.filename for e in entries]
 
+    def bytes(self, name: str) -> bytes:
+        """Empty where the entry is missing or too large."""
+        return self.zip.read(name) if name in self.names else b""
+
     def xml(self, name: str) -> ElementTree.Element | None:
         """None where the entry is missing; document types are refused, they can define entities."""
         if name not in self.names:
@@ -89,68 +103,132 @@ def first(e: ElementTree.Element | None, *path: str) -> ElementTree.Element | No
 # --- Word
 
 
-def _docx_text(p: ElementTree.Element) -> str:
+def _on(e: ElementTree.Element | None) -> bool:
+    return e is not None and (attribute(e, "val") or "true").lower() not in ("0", "false", "off", "none")
+
+
+def _docx_style(r: ElementTree.Element) -> dict:
+    """What a run's properties say; any highlight counts as yellow."""
+    pr = first(r, "rPr")
+    if pr is None:
+        return {}
+    value = lambda name, key="val": (attribute(e, key) or "") if (e := first(pr, name)) is not None else ""
+    colour, size, script = value("color"), value("sz"), value("vertAlign")
+    return {
+        "bold": _on(first(pr, "b")),
+        "italic": _on(first(pr, "i")),
+        "underline": _on(first(pr, "u")),
+        "strike": _on(first(pr, "strike")) or _on(first(pr, "dstrike")),
+        "script": {"superscript": "super", "subscript": "sub"}.get(script, ""),
+        "colour": colour.upper() if re.fullmatch("[0-9A-Fa-f]{6}", colour) else "",
+        "highlight": "FFFF00" if value("highlight") not in ("", "none") else "",
+        "size": int(size) / 2 if size.isdigit() else 0.0,
+        "font": value("rFonts", "eastAsia") or value("rFonts", "ascii"),
+    }
+
+
+def _docx_text(r: ElementTree.Element) -> str:
     out = []
-    for e in p.iter():
+    for e in r:
         name = local(e.tag)
         if name == "t":
             out.append(e.text or "")
         elif name == "tab":
-            out.append("\t" if e.attrib == {} else "")
-        elif name == "br" and attribute(e, "type") != "page":
+            out.append("\t")
+        elif name == "cr" or (name == "br" and attribute(e, "type") != "page"):
             out.append("\n")
+        elif name == "noBreakHyphen":
+            out.append("-")
     return "".join(out)
 
 
-def _docx_paragraph(p: ElementTree.Element, styles: dict[str, str]) -> Iterator[Block]:
-    style = styles.get(attribute(s, "val") or "", "") if (s := first(p, "pPr", "pStyle")) is not None else ""
-    m = re.search(r"(?:heading|제목|개요)\s*([0-9])", style, re.I)
-    heading = min(9, max(1, int(m[1]))) if m else 1 if style.lower() == "title" else 0
-    listed = first(p, "pPr", "numPr") is not None or style.lower().startswith("list")
-    depth = attribute(i, "val") if (i := first(p, "pPr", "numPr", "ilvl")) is not None else "0"
-    yield block(text=_docx_text(p), heading=heading, list_kind="bullet" if listed else "none", level=int(depth or 0))
-    if any(local(e.tag) == "br" and attribute(e, "type") == "page" for e in p.iter()):
-        yield block("page_break")
-    for e in p.iter():
-        if local(e.tag) == "blip":
-            yield block("image", attribute(e, "embed") or "")
-
-
-def _docx_table(t: ElementTree.Element) -> Block:
-    cells, open_merges = [], {}
-    for r, row in enumerate(children(t, "tr")):
-        c = 0
-        for tc in children(row, "tc"):
-            span = max(1, int(attribute(s, "val") or 1)) if (s := first(tc, "tcPr", "gridSpan")) is not None else 1
-            merge = first(tc, "tcPr", "vMerge")
-            state = None if merge is None else attribute(merge, "val") or "continue"
-            if state == "continue":
-                if c in open_merges:
-                    cells[open_merges[c]][2] += 1
-            else:
-                text = "\n".join(t for t in (_docx_text(p) for p in children(tc, "p")) if t)
-                cells.append([r, c, 1, span, text])
-                if state == "restart":
-                    open_merges[c] = len(cells) - 1
+def _docx_runs(p: ElementTree.Element, links: dict[str, str], href: str = "") -> Iterator[dict]:
+    for e in p:
+        name = local(e.tag)
+        if name == "r":
+            yield run(_docx_text(e), **_docx_style(e), href=href)
+        elif name == "hyperlink":
+            yield from _docx_runs(e, links, links.get(attribute(e, "id") or "", "") or (f"#{a}" if (a := attribute(e, "anchor")) else ""))
+        elif name in ("ins", "sdt", "sdtContent", "smartTag", "fldSimple"):
+            yield from _docx_runs(e, links, href)
+
+
+def _within(e: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """The children, those of content controls in their place."""
+    for c in e:
+        if local(c.tag) == "sdt":
+            yield from _within(inner if (inner := first(c, "sdtContent")) is not None else ())
+        else:
+            yield c
+
+
+class _Word:
+    def __init__(self, archive: Archive, styles: dict[str, str]):
+        rels = archive.xml("word/_rels/document.xml.rels")
+        self.archive, self.styles = archive, styles
+        self.links = {attribute(r, "Id") or "": attribute(r, "Target") or "" for r in rels} if rels is not None else {}
+
+    def paragraph(self, p: ElementTree.Element) -> Iterator[Block]:
+        style = self.styles.get(attribute(s, "val") or "", "") if (s := first(p, "pPr", "pStyle")) is not None else ""
+        m = re.search(r"(?:heading|제목|개요)\s*([0-9])", style, re.I)
+        heading = min(9, max(1, int(m[1]))) if m else 1 if style.lower() == "title" else 0
+        listed = first(p, "pPr", "numPr") is not None or style.lower().startswith("list")
+        depth = attribute(i, "val") if (i := first(p, "pPr", "numPr", "ilvl")) is not None else "0"
+        jc = attribute(j, "val") if (j := first(p, "pPr", "jc")) is not None else "left"
+        align = {"center": "center", "right": "right", "end": "right", "both": "justify", "distribute": "justify"}.get(jc or "", "left")
+        yield block(runs=list(_docx_runs(p, self.links)), heading=heading, list_kind="bullet" if listed else "none", level=int(depth or 0), align=align)
+        if any(local(e.tag) == "br" and attribute(e, "type") == "page" for e in p.iter()):
+            yield block("page_break")
+        for e in p.iter():
+            if local(e.tag) == "blip":
+                target = self.links.get(attribute(e, "embed") or "", "")
+                part = target.lstrip("/") if target.startswith("/") else f"word/{target}"
+                yield block("image", target.rpartition("/")[2] or attribute(e, "embed") or "", image=self.archive.bytes(part))
+
+    def cell_text(self, tc: ElementTree.Element) -> str:
+        """Paragraphs and the tables within, whose cells are parted by tabs."""
+        out = []
+        for e in _within(tc):
+            if local(e.tag) == "p":
+                out.append("".join(r["text"] for r in _docx_runs(e, self.links)))
+            elif local(e.tag) == "tbl":
+                out += ["\t".join(self.cell_text(c).replace("\n", " ") for c in _within(row) if local(c.tag) == "tc") for row in _within(e) if local(row.tag) == "tr"]
+        return "\n".join(t for t in out if t)
+
+    def table(self, t: ElementTree.Element) -> Block:
+        cells, open_merges = [], {}
+        for r, row in enumerate(x for x in _within(t) if local(x.tag) == "tr"):
+            c = 0
+            for tc in (x for x in _within(row) if local(x.tag) == "tc"):
+                span = max(1, int(attribute(s, "val") or 1)) if (s := first(tc, "tcPr", "gridSpan")) is not None else 1
+                merge = first(tc, "tcPr", "vMerge")
+                state = None if merge is None else attribute(merge, "val") or "continue"
+                if state == "continue":
+                    if c in open_merges:
+                        cells[open_merges[c]][2] += 1
                 else:
-                    open_merges.pop(c, None)
-            c += span
-    return block("table", cells=[tuple(x) for x in cells])
+                    cells.append([r, c, 1, span, self.cell_text(tc)])
+                    if state == "restart":
+                        open_merges[c] = len(cells) - 1
+                    else:
+                        open_merges.pop(c, None)
+                c += span
+        return block("table", cells=[tuple(x) for x in cells])
 
 
-def read_docx(data: bytes) -> list[Block]:
+def read_docx(data: bytes, options: Options | None = None) -> list[Block]:
     archive = Archive(data)
     root = archive.xml("word/document.xml")
     if root is None:
         raise ReadError("no word/document.xml")
     names = archive.xml("word/styles.xml")
     styles = {attribute(s, "styleId") or "": attribute(n, "val") or "" for s in children(names, "style") if (n := first(s, "name")) is not None} if names is not None else {}
-    out: list[Block] = []
-    for e in first(root, "body"):
+    word, out = _Word(archive, styles), []
+    for e in _within(first(root, "body")):
         if local(e.tag) == "p":
-            out += _docx_paragraph(e, styles)
+            out += word.paragraph(e)
         elif local(e.tag) == "tbl":
-            out.append(_docx_table(e))
+            out.append(word.table(e))
     return out
 
 
@@ -164,18 +242,49 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def read_xlsx(data: bytes, max_rows: int = 200_000) -> list[Block]:
-    """A table for each visible sheet, named in ``text``; cached values; merges as spans."""
+# Numbers of the built-in formats of dates and times.
+DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
+
+
+def _date_styles(archive: Archive) -> list[bool]:
+    """For each cell style whether its number format writes dates or times."""
+    root = archive.xml("xl/styles.xml")
+    if root is None or first(root, "cellXfs") is None:
+        return []
+    own = {attribute(f, "numFmtId"): attribute(f, "formatCode") or "" for f in (first(root, "numFmts") if first(root, "numFmts") is not None else ())}
+
+    def dated(number: str) -> bool:
+        bare = re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", own[number]) if number in own else ""
+        return bool(re.search("[ymdhs]", bare, re.I)) if number in own else number.isdigit() and int(number) in DATE_FORMATS
+
+    return [dated(attribute(x, "numFmtId") or "0") for x in first(root, "cellXfs")]
+
+
+def _moment(value: str, from_1904: bool) -> str:
+    """A serial day number as a date, a time, or both."""
+    n = float(value)
+    if not 0 <= n < 2_958_466:
+        return value
+    at = (datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30 if n >= 60 else 31)) + timedelta(seconds=round(n * 86_400))
+    return at.strftime("%H:%M:%S") if n < 1 else at.strftime("%Y-%m-%d") if (at.hour, at.minute, at.second) == (0, 0, 0) else at.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def read_xlsx(data: bytes, options: Options | None = None) -> list[Block]:
+    """A table for each visible sheet, named in ``text``; cached values, dates by their number format; merges as spans."""
+    options = options or Options()
     archive = Archive(data)
+    dated = _date_styles(archive)
     book, rels = archive.xml("xl/workbook.xml"), archive.xml("xl/_rels/workbook.xml.rels")
     if book is None or rels is None:
         raise ReadError("no workbook")
     shared_root = archive.xml("xl/sharedStrings.xml")
     shared = ["".join(t.text or "" for t in si.iter() if local(t.tag) == "t") for si in shared_root] if shared_root is not None else []
     targets = {attribute(r, "Id"): attribute(r, "Target") or "" for r in rels}
+    properties = first(book, "workbookPr")
+    from_1904 = properties is not None and (attribute(properties, "date1904") or "0") in ("1", "true")
     out = []
     for sheet in first(book, "sheets"):
-        if (attribute(sheet, "state") or "visible") != "visible":
+        if (attribute(sheet, "state") or "visible") != "visible" and not options.hidden_sheets:
             continue
         target = targets.get(attribute(sheet, "id"), "")
         root = archive.xml(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
@@ -190,7 +299,8 @@ def read_xlsx(data: bytes, max_rows: int = 200_000) -> list[Block]:
         cells = []
         for row in first(root, "sheetData"):
             r = int(attribute(row, "r") or 1) - 1
-            if r >= max_rows:
+            if r >= options.max_rows:
+                options.warnings.append(f"sheet {attribute(sheet, 'name')}: only the first {options.max_rows} rows are read")
                 break
             for c in row:
                 at = (r, _column(attribute(c, "r") or "A"))
@@ -203,8 +313,10 @@ def read_xlsx(data: bytes, max_rows: int = 200_000) -> list[Block]:
                     text = shared[int(v.text)]
                 elif kind == "b":
                     text = "TRUE" if v.text == "1" else "FALSE"
+                elif kind in (None, "n") and (style := attribute(c, "s") or "0").isdigit() and int(style) < len(dated) and dated[int(style)]:
+                    text = _moment(v.text, from_1904)
                 else:
-                    text = v.text
+                    text = "#ERROR" if kind == "e" else v.text
                 if at not in covered:
                     cells.append((*at, *merges.get(at, (1, 1)), text))
         out.append(block("table", attribute(sheet, "name") or "", cells=cells))
@@ -230,7 +342,7 @@ def _flat(e: ElementTree.Element) -> str:
     return "".join(out)
 
 
-def read_odt(data: bytes) -> list[Block]:
+def read_odt(data: bytes, options: Options | None = None) -> list[Block]:
     root = Archive(data).xml("content.xml")
     if root is None:
         raise ReadError("no content.xml")
@@ -254,45 +366,94 @@ def read_odt(data: bytes) -> list[Block]:
     return out
 
 
-def read_hwpx(data: bytes) -> list[Block]:
+def _hwpx_styles(archive: Archive) -> tuple[dict[str, dict], dict[str, tuple[str, int]]]:
+    """Run styles and (alignment, heading level) of paragraphs by their ids in the header; a line kind that isn't listed is off."""
+    root = archive.xml("Contents/header.xml")
+    runs: dict[str, dict] = {}
+    paragraphs: dict[str, tuple[str, int]] = {}
+    for e in root.iter() if root is not None else ():
+        name = local(e.tag)
+        if name == "charPr":
+            line = lambda x, k: (attribute(f, k) or "").upper() if (f := first(e, x)) is not None else ""  # noqa: E731, B023
+            colour, size = (attribute(e, "textColor") or "").lstrip("#").upper(), attribute(e, "height") or ""
+            runs[attribute(e, "id") or ""] = {
+                "bold": first(e, "bold") is not None,
+                "italic": first(e, "italic") is not None,
+                "underline": line("underline", "type") in UNDERLINE,
+                "strike": line("strikeout", "shape") in STRIKE,
+                "script": "super" if first(e, "supscript") is not None else "sub" if first(e, "subscript") is not None else "",
+                "colour": colour if re.fullmatch("[0-9A-F]{6}", colour) and colour != "000000" else "",
+                "size": int(size) / 100 if size.isdigit() and size != "1000" else 0.0,
+            }
+        elif name == "paraPr":
+            # the alternative for newer readers, or the default, may wrap what stands here
+            parts = {local(x.tag): x for x in e.iter()}
+            align = (attribute(parts["align"], "horizontal") or "").lower() if "align" in parts else "left"
+            head = parts.get("heading")
+            outline = head is not None and (attribute(head, "type") or "") == "OUTLINE"
+            paragraphs[attribute(e, "id") or ""] = (align if align in ("center", "right", "justify") else "left", int(attribute(head, "level") or 0) + 1 if outline else 0)
+    return runs, paragraphs
+
+
+def _hwpx_images(archive: Archive) -> dict[str, str]:
+    """The entry of each picture id: from the manifest, else the entry of that name."""
+    root = archive.xml("Contents/content.hpf")
+    listed = {attribute(e, "id") or "": attribute(e, "href") or "" for e in root.iter() if local(e.tag) == "item"} if root is not None else {}
+    named = {n.rpartition("/")[2].partition(".")[0]: n for n in archive.names if n.startswith("BinData/")}
+    return named | {i: next((n for n in (h, f"Contents/{h}", f"BinData/{h.rpartition('/')[2]}") if n in archive.names), "") for i, h in listed.items() if h}
+
+
+def read_hwpx(data: bytes, options: Options | None = None) -> list[Block]:
     """Sections in numeric order, a page break between them; tables come after the paragraph that holds them."""
     archive = Archive(data)
     sections = sorted((n for n in archive.names if re.fullmatch(r"Contents/section[0-9]+\.xml", n)), key=lambda n: int(re.sub("[^0-9]", "", n)))
     if not sections:
         raise ReadError("no sections")
+    styles, images = _hwpx_styles(archive), _hwpx_images(archive)
     out: list[Block] = []
     for i, name in enumerate(sections):
         if i:
             out.append(block("page_break"))
         for p in children(archive.xml(name), "p"):
-            out += _hwpx_paragraph(p)
+            out += _hwpx_paragraph(p, archive, styles, images)
     return out
 
 
-def _hwpx_paragraph(p: ElementTree.Element) -> Iterator[Block]:
+def _hwpx_paragraph(p: ElementTree.Element, archive: Archive, styles: tuple[dict, dict], images: dict[str, str]) -> Iterator[Block]:
     if attribute(p, "pageBreak") == "1":
         yield block("page_break")
-    text, after = [], []
-    for run in children(p, "run"):
-        for e in run:
+    runs, after = [], []
+    for r in children(p, "run"):
+        style = styles[0].get(attribute(r, "charPrIDRef") or "", {})
+        for e in r:
             name = local(e.tag)
             if name == "t":
-                text.append(_flat(e))
+                runs.append(run(_flat(e), **style))
             elif name == "tbl":
                 cells = []
                 for tc in (x for row in children(e, "tr") for x in children(row, "tc")):
                     at, span = first(tc, "cellAddr"), first(tc, "cellSpan")
                     n = lambda x, k, d: int((attribute(x, k) if x is not None else None) or d)
-                    sub = first(tc, "subList")
-                    inner = "\n".join(t for t in ("".join(_flat(t) for r in children(q, "run") for t in children(r, "t")) for q in children(sub, "p")) if t) if sub is not None else ""
-                    cells.append((n(at, "rowAddr", 0), n(at, "colAddr", 0), n(span, "rowSpan", 1), n(span, "colSpan", 1), inner))
+                    cells.append((n(at, "rowAddr", 0), n(at, "colAddr", 0), n(span, "rowSpan", 1), n(span, "colSpan", 1), _hwpx_cell(first(tc, "subList"))))
                 after.append(block("table", cells=cells))
             elif name == "pic":
-                after.append(block("image", next((attribute(x, "binaryItemIDRef") or "" for x in e.iter() if local(x.tag) == "img"), "")))
-    yield block(text="".join(text))
+                key = next((attribute(x, "binaryItemIDRef") or "" for x in e.iter() if local(x.tag) == "img"), "")
+                after.append(block("image", key, image=archive.bytes(images.get(key, ""))))
+    align, heading = styles[1].get(attribute(p, "paraPrIDRef") or "", ("left", 0))
+    yield block(runs=runs, align=align, heading=heading)
     yield from after
 
 
+def _hwpx_cell(part: ElementTree.Element | None) -> str:
+    """The paragraphs of a cell and the tables within, whose cells are parted by tabs."""
+    out = []
+    for q in children(part, "p") if part is not None else ():
+        out.append("".join(_flat(t) for r in children(q, "run") for t in children(r, "t")))
+        for row in (x for r in children(q, "run") for t in children(r, "tbl") for x in children(t, "tr")):
+            out.append("\t".join(_hwpx_cell(first(tc, "subList")).replace("\n", " ") for tc in children(row, "tc")))
+    return "\n".join(t for t in out if t)
+
+
 # --- the binary Hangul format
 
 
@@ -360,7 +521,7 @@ class Compound:
 
 
 # Record tags, and characters of the text record that stand for one and for eight units.
-TAG_PARA_HEADER, TAG_PARA_TEXT = 66, 67
+TAG_PARA_HEADER, TAG_PARA_TEXT, TAG_LIST_HEADER, TAG_TABLE = 66, 67, 72, 77
 ONE_UNIT = {0: "", 10: "\n", 13: "", 24: "-", 25: "", 26: "", 27: "", 28: "", 29: "", 30: " ", 31: " "}
 
 
@@ -400,17 +561,54 @@ def hwp_text(payload: bytes) -> str:
 
 
 def hwp_section(data: bytes) -> list[Block]:
-    """A paragraph for each paragraph header; its text record follows one level down."""
+    """Paragraphs by their headers, and tables after the paragraph that holds them.
+
+    A table's record and its cells' list headers stand on one level; cell paragraphs
+    follow their list header until a record of a lower level. A cell without an address, or with
+    one that is taken, gets the next free place in the order of cells.
+    """
     out: list[Block] = []
-    for tag, _, payload in hwp_records(data):
-        if tag == TAG_PARA_HEADER:
-            out.append(block())
-        elif tag == TAG_PARA_TEXT and out:
-            out[-1]["text"] += hwp_text(payload)
+    tables: list[dict] = []
+
+    def close(level: int) -> None:
+        while tables and tables[-1]["level"] > level:
+            t = tables.pop()
+            cells = [(*at, "\n".join(x for x in lines if x)) for at, lines in t["cells"]]
+            if tables:
+                tables[-1]["cells"][-1][1].append("\t".join(c[4].replace("\n", " ") for c in cells))
+            else:
+                out.append(block("table", cells=cells))
+
+    for tag, level, payload in hwp_records(data):
+        if tag == TAG_TABLE and len(payload) >= 8:
+            close(level)
+            tables.append({"level": level, "columns": max(1, struct.unpack_from("<H", payload, 6)[0]), "cells": [], "taken": set()})
+        elif tag == TAG_LIST_HEADER and tables and level <= tables[-1]["level"]:
+            close(level)
+            if not tables:
+                continue
+            t = tables[-1]
+            c, r, w, h = struct.unpack_from("<HHHH", payload, 8) if len(payload) >= 16 else (0, 0, 1, 1)
+            if len(payload) < 16 or (r, c) in t["taken"]:
+                r, c = divmod(len(t["cells"]), t["columns"])
+            t["taken"].add((r, c))
+            t["cells"].append(((r, c, max(1, h), max(1, w)), []))
+        elif tag == TAG_PARA_HEADER:
+            close(level)
+            if not tables:
+                out.append(block())
+            elif tables[-1]["cells"]:
+                tables[-1]["cells"][-1][1].append("")
+        elif tag == TAG_PARA_TEXT:
+            if tables and tables[-1]["cells"] and tables[-1]["cells"][-1][1]:
+                tables[-1]["cells"][-1][1][-1] += hwp_text(payload)
+            elif not tables and out:
+                out[-1]["text"] += hwp_text(payload)
+    close(-1)
     return out
 
 
-def read_hwp(data: bytes) -> list[Block]:
+def read_hwp(data: bytes, options: Options | None = None) -> list[Block]:
     file = Compound(data)
     if "FileHeader" not in file.paths:
         raise ReadError("no file header")
@@ -478,12 +676,12 @@ def compacted(blocks: list[Block]) -> list[Block]:
     return out
 
 
-def read_txt(data: bytes) -> list[Block]:
+def read_txt(data: bytes, options: Options | None = None) -> list[Block]:
     return compacted([block(text=line) for line in re.sub("\r\n?", "\n", decoded(data)).split("\n")])
 
 
-def read_csv(data: bytes, delimiter: str | None = None) -> list[Block]:
-    text = decoded(data)
+def read_csv(data: bytes, options: Options | None = None) -> list[Block]:
+    text, delimiter = decoded(data), options.delimiter if options else None
     if delimiter is None:
         head = "\n".join(text.splitlines()[:40])
         try:
@@ -499,19 +697,35 @@ def read_csv(data: bytes, delimiter: str | None = None) -> list[Block]:
 
 class _Html(html.parser.HTMLParser):
     SKIP = frozenset("script style head meta link noscript svg".split())
+    STYLES = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "u": "underline", "s": "strike", "strike": "strike", "del": "strike", "sup": "super", "sub": "sub", "code": "code", "kbd": "code", "samp": "code"}
     BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 li tr td th table ul ol section article header footer blockquote pre body".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[Block] = []
-        self.text: list[str] = []
+        self.text: list[dict] = []
         self.tags: list[str] = []
+        self.links: list[str] = []
         self.skip = 0
         self.tables: list[dict] = []
 
     def flush(self) -> None:
-        text = re.sub(r"[ \t\r\n\f]+", " ", "".join(self.text)).replace("\v", "\n").strip()
+        runs, last = [], " "
+        for r in self.text:
+            t = re.sub(r"[ \t\r\n\f]+", " ", r["text"])
+            t = t[1:] if t.startswith(" ") and last.endswith((" ", "\v")) else t
+            runs.append(r | {"text": t.replace("\v", "\n")})
+            last = t or last
         self.text.clear()
+        while runs and not (t := runs[-1]["text"].rstrip()):
+            runs.pop()
+        if runs:
+            runs[-1]["text"] = runs[-1]["text"].rstrip()
+        while runs and not (t := runs[0]["text"].lstrip()):
+            runs.pop(0)
+        if runs:
+            runs[0]["text"] = t
+        text = "".join(r["text"] for r in runs)
         if self.tables:
             if text and self.tables[-1]["cell"] is not None:
                 self.tables[-1]["cell"].append(text)
@@ -520,15 +734,17 @@ class _Html(html.parser.HTMLParser):
             lists = [t for t in self.tags if t in ("ul", "ol")]
             listed = "li" in self.tags and not heading
             kind = ("number" if lists and lists[-1] == "ol" else "bullet") if listed else "none"
-            self.out.append(block(text=text, heading=heading, list_kind=kind, level=max(0, len(lists) - 1) if listed else 0))
+            self.out.append(block(runs=runs, heading=heading, list_kind=kind, level=max(0, len(lists) - 1) if listed else 0))
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
             self.skip += tag not in ("meta", "link")
             return
         if tag == "br":
-            self.text.append("\v")
+            self.text.append(run("\v"))
             return
+        if tag == "a":
+            self.links.append(dict(attrs).get("href") or "")
         if tag in self.BLOCK:
             self.flush()
         if tag == "table":
@@ -565,15 +781,27 @@ class _Html(html.parser.HTMLParser):
                 self.out.append(block("table", cells=cells))
         elif tag in ("td", "th") and self.tables:
             self.tables[-1]["cell"] = None
-        if tag in self.tags:
+        if tag == "a" and self.links:
+            self.links.pop()
+        if tag in self.STYLES and tag in self.tags:
+            self.tags.pop(len(self.tags) - 1 - self.tags[::-1].index(tag))
+        elif tag in self.tags:
             del self.tags[len(self.tags) - 1 - self.tags[::-1].index(tag) :]
 
     def handle_data(self, data):
         if not self.skip:
-            self.text.append(data)
+            self.text.append(run(data, **self.style()))
 
+    def style(self) -> dict:
+        """What the open inline elements say."""
+        on = {self.STYLES[t] for t in self.tags if t in self.STYLES}
+        out: dict = {k: True for k in on if k in ("bold", "italic", "underline", "strike")}
+        out |= {"script": k for k in on if k in ("super", "sub")}
+        out |= {"font": "Consolas"} if "code" in on else {}
+        return out | ({"href": self.links[-1]} if self.links and self.links[-1] else {})
 
-def read_html(data: bytes) -> list[Block]:
+
+def read_html(data: bytes, options: Options | None = None) -> list[Block]:
     parser = _Html()
     parser.feed(decoded(data))
     parser.close()
@@ -581,7 +809,7 @@ def read_html(data: bytes) -> list[Block]:
     return compacted(parser.out)
 
 
-def read_rtf(data: bytes) -> list[Block]:
+def read_rtf(data: bytes, options: Options | None = None) -> list[Block]:
     """Text of the document group; destinations that hold no text are left out."""
     try:
         source = data.decode("cp949")
@@ -630,8 +858,8 @@ def read_rtf(data: bytes) -> list[Block]:
     return [block(text=line.rstrip()) for line in "".join(text).split("\n")]
 
 
-def read_md(data: bytes) -> list[Block]:
-    """Headings, lists, fenced code and pipe tables; inline marks stay in the text."""
+def read_md(data: bytes, options: Options | None = None) -> list[Block]:
+    """Headings, lists, fenced code and pipe tables; inline marks become runs."""
     lines, out, code, i = decoded(data).replace("\r\n", "\n").split("\n"), [], False, 0
     rule = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?\s*$")
     cut = lambda s: [c.strip() for c in re.sub(r"^\||\|$", "", s.strip()).split("|")]
@@ -649,15 +877,15 @@ def read_md(data: bytes) -> list[Block]:
                 i += 1
             out.append(block("table", cells=[(r, c, 1, 1, t) for r, row in enumerate(rows) for c, t in enumerate(row)]))
         elif m := re.match(r"(#{1,6})\s+(.*)$", line):
-            out.append(block(text=m[2], heading=len(m[1])))
+            out.append(block(runs=markdown_runs(m[2]), heading=len(m[1])))
         elif m := re.match(r"(\s*)(?:([-*+])|\d+[.)])\s+(.*)$", line):
-            out.append(block(text=m[3], list_kind="bullet" if m[2] else "number", level=len(m[1]) // 2))
+            out.append(block(runs=markdown_runs(m[3]), list_kind="bullet" if m[2] else "number", level=len(m[1]) // 2))
         else:
-            out.append(block(text=line))
+            out.append(block(runs=markdown_runs(line)))
     return compacted(out)
 
 
-READERS: dict[str, Callable[[bytes], list[Block]]] = {"docx": read_docx, "xlsx": read_xlsx, "odt": read_odt, "hwpx": read_hwpx, "hwp": read_hwp, "txt": read_txt, "csv": read_csv, "html": read_html, "rtf": read_rtf, "md": read_md}
+READERS: dict[str, Callable[[bytes, Options | None], list[Block]]] = {"docx": read_docx, "xlsx": read_xlsx, "odt": read_odt, "hwpx": read_hwpx, "hwp": read_hwp, "txt": read_txt, "csv": read_csv, "html": read_html, "rtf": read_rtf, "md": read_md}
 
 
 def format_of_content(data: bytes) -> str | None:
