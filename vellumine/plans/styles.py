@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellumine.functions import styles as st
-from vellumine.functions.text import CJK
+from vellumine.operators import rules as ru
 from vellumine.operators.blocks import joined, md_paragraph
 from vellumine.plans.documents import BLOCKS, LINES, RUNS, blocks, lines, runs
 from vellumine.plans.registry import query
@@ -95,10 +94,8 @@ def _(spark, sf_dir):
 
 @query("src48_preview_text", f"SELECT doc_id, ord, line AS text FROM {LINES}")
 def _(spark, sf_dir):
-    """The preview stream of a binary document, UTF-16, as lines."""
     preview = F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-16LE")
-    back = F.regexp_replace(F.decode(preview, "UTF-16LE"), "\r\n?", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(back, "\n", -1)).alias("ord", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ru.preview_lines(preview)).alias("ord", "text"))
 
 
 @query("src10_md_cells", "SELECT o_orderkey, [trim(o_orderstatus), '', CAST(o_custkey AS VARCHAR)][i] AS cell, i AS c FROM orders, (VALUES (1), (2), (3)) v(i)")
@@ -128,114 +125,106 @@ def _(spark, sf_dir):
 @query("fn29_routes", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'doc → docx → xls' ELSE 'doc → xls' END AS route, CASE WHEN o_custkey % 3 = 0 THEN '실패  f' || o_orderkey || '  bad' ELSE '완료  f' || o_orderkey || '  ' || printf('%.2f', o_totalprice) || 's' END AS summary FROM orders")
 def _(spark, sf_dir):
     via = F.when(F.col("o_custkey") % 2 == 0, "docx")
-    name = F.concat(F.lit("f"), F.col("o_orderkey").cast("string"))
-    done = F.concat(F.lit("완료  "), name, F.lit("  "), F.format_string("%.2f", "o_totalprice"), F.lit("s"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" → ", F.lit("doc"), via, F.lit("xls")).alias("route"), F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("실패  "), name, F.lit("  bad"))).otherwise(done).alias("summary"))
+    name, error = F.concat(F.lit("f"), F.col("o_orderkey").cast("string")), F.when(F.col("o_custkey") % 3 == 0, "bad")
+    return table(spark, sf_dir, "orders").select("o_orderkey", ru.route_text(F.lit("doc"), via, F.lit("xls")).alias("route"), ru.summary_text(name, F.col("o_totalprice"), error).alias("summary"))
 
 
 @query("fn20_grid_spans", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(greatest(1, coalesce(CASE WHEN l_partkey % 4 > 0 THEN l_linenumber - 3 END, 1)) AS INTEGER) AS span, CASE l_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'continue' ELSE 'restart' END AS state FROM lineitem")
 def _(spark, sf_dir):
-    span = F.greatest(F.lit(1), F.coalesce(F.when(F.col("l_partkey") % 4 > 0, F.col("l_linenumber") - 3), F.lit(1))).cast("int")
+    span = ru.grid_span(F.when(F.col("l_partkey") % 4 > 0, F.col("l_linenumber") - 3))
     present, value = F.col("l_partkey") % 3 > 0, F.when(F.col("l_partkey") % 3 == 2, "restart")
-    return kinds(spark, sf_dir, span=span, state=F.when(present, F.coalesce(value, F.lit("continue"))))
+    return kinds(spark, sf_dir, span=span, state=ru.merge_state(present, value))
 
 
 @query("fn32_cells_of_text", "SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE 1 END AS blocks FROM orders")
 def _(spark, sf_dir):
     """An empty text makes a cell without a block."""
     text = F.when(F.col("o_custkey") % 4 == 0, "").otherwise(F.col("o_orderpriority"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(F.filter(F.array(text), lambda t: t != "")).alias("blocks"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(ru.cell_blocks(text)).alias("blocks"))
 
 
-@query("join02_style_by_position", "WITH d AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS pos, s_name FROM supplier) SELECT event_id, coalesce(s_name, 'default') AS style FROM events LEFT JOIN d ON d.pos = events.user_id * 3")
+@query("join02_style_by_position", "WITH d AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos, s_name FROM supplier) SELECT event_id, coalesce(s_name, 'default') AS style FROM events LEFT JOIN d ON d.s_nationkey = events.user_id % 25 AND d.pos = events.event_id % 7")
 def _(spark, sf_dir):
-    """Styles are kept by position; a position beyond the list has the default."""
-    names = table(spark, sf_dir, "supplier").agg(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda s: s["s_name"]).alias("names"))
-    known = names.select(F.posexplode("names").alias("pos", "style"))
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") * 3).alias("pos"))
-    return e.join(known, "pos", "left").select("event_id", F.coalesce("style", F.lit("default")).alias("style"))
+    """Nations are documents, their suppliers the list of styles; a position beyond the list has the default."""
+    listed = ru.positions(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("doc"), "s_suppkey", F.col("s_name").alias("style")), "doc", "s_suppkey")
+    refs = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).alias("doc"), (F.col("event_id") % 7).alias("pos"))
+    return ru.by_position(refs, listed, "doc", "style", "default").select("event_id", "style")
 
 
-@query("join04_binary_streams", "SELECT p_partkey, min(name) AS stream FROM (SELECT p_partkey, printf('%04X', p_partkey % 50) AS k FROM part) p JOIN (SELECT 'BIN' || printf('%04X', s_suppkey) || '.png' AS name FROM supplier) s ON contains(s.name, p.k) GROUP BY p_partkey")
+@query("join04_binary_streams", "SELECT p_partkey, min(name) AS stream FROM (SELECT p_partkey, printf('%04X', p_partkey % 50) AS k FROM part) p JOIN (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'BIN' ELSE 'x1' END || printf('%04X', s_suppkey) || '.png' AS name FROM supplier) s ON contains(upper(s.name), p.k) GROUP BY p_partkey")
 def _(spark, sf_dir):
-    """The first stream whose name holds the number; names hold it after BIN, so the match is an equi-join on that part."""
+    """The first stream whose name holds the number, wherever in the name."""
     hex4 = lambda c: F.lpad(F.hex(c), 4, "0")
-    streams = table(spark, sf_dir, "supplier").select(F.concat(F.lit("BIN"), hex4(F.col("s_suppkey")), F.lit(".png")).alias("name")).withColumn("k", F.substring("name", 4, 4))
+    streams = table(spark, sf_dir, "supplier").select(F.concat(F.when(F.col("s_suppkey") % 2 == 0, "BIN").otherwise("x1"), hex4(F.col("s_suppkey")), F.lit(".png")).alias("name"))
     asked = table(spark, sf_dir, "part").select("p_partkey", hex4(F.col("p_partkey") % 50).alias("k"))
-    return asked.join(streams, "k").groupBy("p_partkey").agg(F.min("name").alias("stream"))
+    return ru.streams_of(asked, streams, "p_partkey")
 
 
 @query("join06_style_of_position", f"WITH r AS (SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY user_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {RUNS}), t AS (SELECT user_id, string_agg(text, '' ORDER BY ord) AS all_text FROM {RUNS} GROUP BY user_id) SELECT user_id, ord, substr(all_text, start + 1, length(text)) AS text FROM r JOIN t USING (user_id)")
 def _(spark, sf_dir):
     """Runs cut from a paragraph's text by the places where styles start."""
-    w = Window.partitionBy("user_id").orderBy("ord")
     r = runs(spark, sf_dir)
-    placed = r.withColumn("start", F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("stop", F.lead("start").over(w))
-    whole = r.groupBy("user_id").agg(joined("text", "").alias("all_text"))
-    n = F.coalesce(F.col("stop"), F.length("all_text")) - F.col("start")
-    return placed.join(whole, "user_id").select("user_id", "ord", F.substring("all_text", F.col("start") + 1, n).alias("text"))
+    whole = ru.paragraph_text(r, "user_id").withColumnRenamed("text", "all_text")
+    return ru.cut_by_starts(ru.starts_of(r, "user_id").drop("text"), whole, "user_id")
 
 
 @query("join09_font_choice", "SELECT event_id, coalesce(CASE WHEN event_type IN ('view', 'click') THEN 'hangul-' || (user_id % 4) END, CASE WHEN user_id % 2 = 0 THEN 'latin-' || (user_id % 3) END) AS font FROM events")
 def _(spark, sf_dir):
-    """The Hangul font of a style, else its Latin one."""
-    fonts = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type").isin("view", "click"), F.col("user_id") % 4).alias("h"), F.when(F.col("user_id") % 2 == 0, F.col("user_id") % 3).alias("l"))
-    return fonts.select("event_id", F.coalesce(F.concat(F.lit("hangul-"), F.col("h").cast("string")), F.concat(F.lit("latin-"), F.col("l").cast("string"))).alias("font"))
+    hangul, latin = F.when(F.col("event_type").isin("view", "click"), F.col("user_id") % 4), F.when(F.col("user_id") % 2 == 0, F.col("user_id") % 3)
+    return table(spark, sf_dir, "events").select("event_id", ru.font_of_style(hangul, latin).alias("font"))
 
 
-@query("join13_image_names", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'image' || n AS name FROM lineitem JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n FROM part) p ON p.p_partkey = l_partkey")
+@query("join13_image_names", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'image' || dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS name FROM lineitem")
 def _(spark, sf_dir):
-    """Each image once, named by its place; references take its name."""
-    n = F.row_number().over(Window.orderBy("p_partkey"))
-    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("image"), n.cast("string")).alias("name"))
-    return table(spark, sf_dir, "lineitem").join(named, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "name")
+    """Each image of an order once, named by its place; references take its name."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return ru.image_names(lines, "l_orderkey", "l_partkey")
 
 
 @query("agg11_run_extremes", f"SELECT user_id, para, max(size_pt) AS size, bool_and(bold) AS all_bold FROM {RUNS} GROUP BY user_id, para")
 def _(spark, sf_dir):
-    return runs(spark, sf_dir).groupBy("user_id", "para").agg(F.max("size_pt").alias("size"), F.bool_and("bold").alias("all_bold"))
+    return ru.run_extremes(runs(spark, sf_dir), "user_id", "para")
 
 
 @query("agg21_font_of_language", "SELECT user_id, coalesce(max_by(event_type, event_id) FILTER (event_id % 4 = 0), min_by(event_type, event_id)) AS font FROM events GROUP BY user_id")
 def _(spark, sf_dir):
-    """The last Hangul entry of a font id, else the first entry of any language."""
-    hangul = F.when(F.col("event_id") % 4 == 0, F.col("event_id"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(F.max_by("event_type", hangul), F.min_by("event_type", "event_id")).alias("font"))
+    return ru.font_of_id(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", F.col("event_id") % 4 == 0)
 
 
 @query("agg22_column_count", f"SELECT table_id, max(c + CASE WHEN c = 3 THEN 1 + r % 2 ELSE 1 END) AS n_cols FROM {CELLS} GROUP BY table_id")
 def _(spark, sf_dir):
-    span = F.when(F.col("c") == 3, 1 + F.col("r") % 2).otherwise(1)
-    return cells(spark, sf_dir).groupBy("table_id").agg(F.max(F.col("c") + span).alias("n_cols"))
+    span = F.when(F.col("c") == 3, 1 + F.col("r") % 2)
+    return ru.column_count(cells(spark, sf_dir).withColumn("col_span", span))
 
 
 @query("agg25_scan_warning", "SELECT conv_id, sum(length(CASE WHEN conv_id % 3 = 0 THEN '' ELSE text END)) = 0 AS scanned FROM conversations GROUP BY conv_id")
 def _(spark, sf_dir):
     text = F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.sum(F.length(text)) == 0).alias("scanned"))
+    return ru.scanned(table(spark, sf_dir, "conversations").withColumn("text", text), "conv_id")
 
 
 @query("prj01_paragraph_text", f"SELECT user_id, para, string_agg(text, '' ORDER BY ord) AS text FROM {RUNS} GROUP BY user_id, para")
 def _(spark, sf_dir):
-    return runs(spark, sf_dir).groupBy("user_id", "para").agg(joined("text", "").alias("text"))
+    return ru.paragraph_text(runs(spark, sf_dir), "user_id", "para")
 
 
 @query("prj08_placeholders", f"SELECT table_id, r, c, CASE WHEN (r + c) % 3 = 0 THEN '' ELSE text END AS text FROM {CELLS}")
 def _(spark, sf_dir):
-    return cells(spark, sf_dir).withColumn("text", F.when((F.col("r") + F.col("c")) % 3 == 0, "").otherwise(F.col("text")))
+    return cells(spark, sf_dir).withColumn("text", ru.shown(F.col("text"), (F.col("r") + F.col("c")) % 3 == 0))
 
 
 @query("prj10_hidden_sheets", "SELECT s_suppkey, s_name, CASE s_suppkey % 4 WHEN 0 THEN 'hidden' WHEN 1 THEN 'veryHidden' ELSE 'visible' END = 'visible' AS kept FROM supplier")
 def _(spark, sf_dir):
     """Hidden sheets are left out and warned of: kept says which."""
-    state = F.when(F.col("s_suppkey") % 4 == 0, "hidden").when(F.col("s_suppkey") % 4 == 1, "veryHidden").otherwise("visible")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", (state == "visible").alias("kept"))
+    state = F.when(F.col("s_suppkey") % 4 == 0, "hidden").when(F.col("s_suppkey") % 4 == 1, "veryHidden").when(F.col("s_suppkey") % 4 == 2, "visible")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", ru.sheet_visible(state).alias("kept"))
 
 
 @query("prj11_usable_engines", "SELECT engine, engine = 'native' AS without_external, engine = 'word' AS forced FROM (VALUES ('native'), ('libreoffice'), ('word'), ('excel')) v(engine)")
 def _(spark, sf_dir):
-    names = fm.engine_table(spark).select("engine").distinct()
-    return names.select("engine", (F.col("engine") == "native").alias("without_external"), (F.col("engine") == "word").alias("forced"))
+    engines = fm.engine_table(spark)
+    alone = ru.usable_engines(engines, external=False).withColumnRenamed("usable", "without_external")
+    return alone.join(ru.usable_engines(engines, forced="word").withColumnRenamed("usable", "forced"), "engine")
 
 
 @query("snk04_md_paragraphs", f"SELECT doc_id, ord, CASE WHEN trim(text) = '' THEN '' WHEN heading > 0 THEN chr(10) || repeat('#', least(6, heading)) || ' ' || trim(text) || chr(10) WHEN list_kind = 'bullet' THEN repeat('  ', level) || '- ' || trim(text) WHEN list_kind = 'number' THEN repeat('  ', level) || '1. ' || trim(text) ELSE trim(text) || chr(10) END AS md FROM {BLOCKS}")
@@ -256,17 +245,17 @@ def _(spark, sf_dir):
     """The primary sheet takes the book's name, the others add their own."""
     n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
     book = F.concat(F.lit("book"), F.col("c_nationkey").cast("string"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(n == 1, F.concat(book, F.lit(".csv"))).otherwise(F.concat(book, F.lit("_"), "c_mktsegment", F.lit(".csv"))).alias("file"))
+    return table(spark, sf_dir, "customer").withColumn("n", n).select("c_custkey", ru.sheet_file(book, F.col("c_mktsegment"), F.col("n") == 1).alias("file"))
 
 
 @query("snk21_properties", "SELECT doc_id, left(text, 255) AS title FROM documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(255)).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", ru.core_property(F.col("text")).alias("title"))
 
 
 @query("snk30_fallback_pages", f"SELECT doc_id, ord // 50 AS page, count(*) AS lines FROM {LINES} GROUP BY doc_id, ord // 50")
 def _(spark, sf_dir):
-    return lines(spark, sf_dir).groupBy("doc_id", F.floor(F.col("ord") / 50).cast("int").alias("page")).agg(F.count("*").alias("lines"))
+    return lines(spark, sf_dir).groupBy("doc_id", ru.plain_page(F.col("ord")).alias("page")).agg(F.count("*").alias("lines"))
 
 
 @query("snk33_verified_outputs", "SELECT o_orderkey, o_custkey % 5 > 0 AND o_custkey % 3 <> 1 AS ok FROM orders")
@@ -279,14 +268,13 @@ def _(spark, sf_dir):
 
 @query("top01_heaviest", "SELECT l_suppkey, arg_max(l_partkey, (l_extendedprice, -l_partkey)) AS heaviest FROM lineitem GROUP BY l_suppkey")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg((-F.max(F.struct("l_extendedprice", (-F.col("l_partkey")).alias("k")))["k"]).alias("heaviest"))
+    return ru.heaviest(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", "l_extendedprice")
 
 
 @query("set01_page_items", f"SELECT page, n, 'text' AS kind FROM {RECTS} WHERE n % 50 > 1 UNION ALL SELECT page, n, 'table' AS kind FROM {RECTS} WHERE n % 50 = 1 UNION ALL SELECT page, n, 'image' AS kind FROM {RECTS} WHERE n % 50 = 0")
 def _(spark, sf_dir):
-    r, k = rects(spark, sf_dir), F.col("n") % 50
-    part = lambda cond, kind: r.where(cond).select("page", "n", F.lit(kind).alias("kind"))
-    return part(k > 1, "text").unionByName(part(k == 1, "table")).unionByName(part(k == 0, "image"))
+    r, k = rects(spark, sf_dir).select("page", "n"), F.col("n") % 50
+    return ru.page_items(r.where(k > 1), r.where(k == 1), r.where(k == 0))
 
 
 @query("set04_members", f"{_LINE} FROM lineitem WHERE upper({_KIND}) IN ('BOTTOM', 'CENTER', 'TOP')")
@@ -300,20 +288,20 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     k = F.col("n") % 50
     r = rects(spark, sf_dir).withColumn("kind", F.when(k == 1, "table").when(k == 0, "image").otherwise("text"))
-    rank = F.when(F.col("kind") == "table", 0).when(F.col("kind") == "text", 1).otherwise(2)
-    return r.select("page", "n", "kind", F.row_number().over(Window.partitionBy("page").orderBy("y0", rank, "n")).cast("long").alias("place"))
+    return ru.page_order(r, ru.item_rank(F.col("kind")), F.col("n")).select("page", "n", "kind", "place")
 
 
 @query("src53_unique_images", "SELECT l_suppkey, l_partkey, 'page' || l_suppkey || '_img' || l_partkey AS name FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
 def _(spark, sf_dir):
     each = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    return each.withColumn("name", F.concat(F.lit("page"), F.col("l_suppkey").cast("string"), F.lit("_img"), F.col("l_partkey").cast("string")))
+    return each.withColumn("name", ru.page_image(F.col("l_suppkey"), F.col("l_partkey")))
 
 
-@query("win04_next_character", f"SELECT doc_id, ord, left(lead(line) OVER (PARTITION BY doc_id ORDER BY ord), 1) AS after, false AS cjk FROM {LINES}")
+@query("win04_next_character", f"SELECT doc_id, ord, left(lead(line) OVER w, 1) AS after, coalesce(left(lead(line) OVER w, 1) = '漢', false) AS cjk FROM (SELECT doc_id, ord, CASE WHEN ord % 3 = 0 THEN '漢' ELSE '' END || line AS line FROM {LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY ord)")
 def _(spark, sf_dir):
-    after = F.left(F.lead("line").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(1))
-    return lines(spark, sf_dir).select("doc_id", "ord", after.alias("after"), F.coalesce(after.rlike(CJK), F.lit(False)).alias("cjk"))
+    """Every third line begins with a Hanja."""
+    made = lines(spark, sf_dir).withColumn("line", F.concat(F.when(F.col("ord") % 3 == 0, "漢").otherwise(""), "line"))
+    return ru.next_character(made, "doc_id").select("doc_id", "ord", "after", "cjk")
 
 
 @query("srt05_sorted_formats", "SELECT f AS format, CAST(row_number() OVER (ORDER BY f) AS BIGINT) AS place FROM (SELECT unnest(['pdf','docx','doc','hwpx','hwp','xlsx','xls','csv','txt','md','html','rtf','odt','json']) AS f)")
@@ -322,24 +310,8 @@ def _(spark, sf_dir):
     return names.select(F.posexplode("f").alias("place", "format")).select("format", (F.col("place") + 1).cast("long").alias("place"))
 
 
-@query("fn28_wrap")
+@query("fn28_wrap", f"SELECT doc_id, ord, CAST(n AS INTEGER) AS n, substr(line, n * k + 1, k) AS piece FROM (SELECT doc_id, ord, line, k, unnest(range(0, greatest(1, CAST(ceil(length(line) / k) AS BIGINT)))) AS n FROM (SELECT doc_id, ord, CASE WHEN ord % 2 = 1 THEN repeat('漢', CAST(length(line) AS INTEGER)) ELSE line END AS line, CASE WHEN ord % 2 = 1 THEN 45 ELSE 90 END AS k FROM {LINES}))")
 def _(spark, sf_dir):
-    """Lines of at most 90 cells; wide characters take two."""
-
-
-    @F.pandas_udf("array<string>")
-    def wrap(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            got, width = [""], 0
-            for ch in text or "":
-                w = 1 + (ord(ch) > 0x1100)
-                if width + w > 90:
-                    got.append("")
-                    width = 0
-                got[-1] += ch
-                width += w
-            out.append(got)
-        return pd.Series(out)
-
-    return lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(wrap("line")).alias("n", "piece"))
+    """Lines of at most 90 cells; wide characters, here every second line's, take two."""
+    made = F.when(F.col("ord") % 2 == 1, F.regexp_replace("line", r"(?s).", "漢")).otherwise(F.col("line"))
+    return lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(ru.wrap(made)).alias("n", "piece"))
\ No newline at end of file

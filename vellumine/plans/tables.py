@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumine.operators import grids as ops
+from vellumine.operators import rules as ru
 from vellumine.plans.registry import query
 from vellumine.plans.scalars import SPACE
 from vellumine.shared import table
@@ -41,7 +42,7 @@ def _(spark, sf_dir):
     return ops.fill_merges(cells(spark, sf_dir), merges(spark, sf_dir), "placeholder")
 
 
-@query("join07_merge_duplicate", f"WITH g AS {CELLS}, m AS (SELECT table_id, r, c, max((r0, c0)) AS a FROM {_COVER} GROUP BY table_id, r, c) SELECT g.table_id, g.r, g.c, coalesce(h.text, g.text) AS text FROM g LEFT JOIN m USING (table_id, r, c) LEFT JOIN g h ON h.table_id = m.table_id AND h.r = m.a[1] AND h.c = m.a[2]")
+@query("join07_merge_duplicate", f"WITH g AS MATERIALIZED {CELLS}, m AS MATERIALIZED (SELECT table_id, r, c, max((r0, c0)) AS a FROM {_COVER} GROUP BY table_id, r, c) SELECT g.table_id, g.r, g.c, coalesce(h.text, g.text) AS text FROM g LEFT JOIN m USING (table_id, r, c) LEFT JOIN g h ON h.table_id = m.table_id AND h.r = m.a[1] AND h.c = m.a[2]")
 def _(spark, sf_dir):
     return ops.fill_merges(cells(spark, sf_dir), merges(spark, sf_dir), "duplicate")
 
@@ -165,19 +166,17 @@ def _(spark, sf_dir):
 
 @query("lim01_row_cap", f"SELECT table_id, r, c FROM {CELLS} WHERE r < 4")
 def _(spark, sf_dir):
-    return cells(spark, sf_dir).where("r < 4").select("table_id", "r", "c")
+    return ru.capped(cells(spark, sf_dir), 4).select("table_id", "r", "c")
 
 
 @query("win12_sequential_slots", "SELECT o_orderkey, (n - 1) // 7 AS r, (n - 1) % 7 AS c FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)")
 def _(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") - 1
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.floor(n / 7).alias("r"), (n % 7).alias("c"))
+    return ru.slots(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", 7).select("o_orderkey", "r", "c")
 
 
 @query("win11_object_ids", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1000000000 AS object_id FROM orders")
 def _(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (n + 1000000000).alias("object_id"))
+    return ru.object_ids(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "object_id")
 
 
 @query("snk13_typed_values", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN nullif(o_orderpriority, '5-LOW') ELSE NULL END AS value FROM orders")
@@ -212,12 +211,13 @@ def _(spark, sf_dir):
 
 @query("srt01_page_order", f"SELECT page, n, row_number() OVER (PARTITION BY page ORDER BY y0, n % 3, n) AS place FROM {RECTS}")
 def _(spark, sf_dir):
-    return rects(spark, sf_dir).select("page", "n", F.row_number().over(Window.partitionBy("page").orderBy("y0", F.col("n") % 3, "n")).cast("long").alias("place"))
+    return ru.page_order(rects(spark, sf_dir), F.col("n") % 3, F.col("n")).select("page", "n", "place")
 
 
 @query("snk27_ghost_fills", f"SELECT page, bool_or(n > 20 AND h >= 2 AND h <= 8 AND w > 20) AS ghost FROM {RECTS} GROUP BY page")
 def _(spark, sf_dir):
-    ghost = (F.col("n") > 20) & F.col("h").between(2, 8) & (F.col("w") > 20)
+    """Every twenty fills are a page."""
+    ghost = ru.ghost_fill(F.floor((F.col("n") - 1) / 20) + 1, F.col("h"), F.col("w"))
     return rects(spark, sf_dir).groupBy("page").agg(F.bool_or(ghost).alias("ghost"))
 
 
@@ -225,25 +225,20 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     even = F.col("page") % 2 == 0
     b = rects(spark, sf_dir).select("page", F.floor(F.col("n") / 3).alias("b"), F.when(even, 300 - F.col("w")).otherwise(F.col("x0")).alias("x0"), F.when(even, F.lit(300.0)).otherwise(F.col("x0") + F.col("w")).alias("x1"))
-    left, right = F.max("x0") - F.min("x0"), F.max("x1") - F.min("x1")
-    two = F.count("*") >= 2
-    return b.groupBy("page", "b").agg(F.when(two & (left > 12) & (right < 3), "right").when(two & (left > 8) & (right > 8), "center").otherwise("left").alias("align"))
+    return ru.alignment(b, "page", "b")
 
 
 @query("agg19_picture_size", f"SELECT page, n, CASE WHEN w <> 10 THEN w / 100 END AS width, h / 100 AS height FROM {RECTS}")
 def _(spark, sf_dir):
-    """Extent of four corners in hundredths of a point; no extent is unknown."""
     xs, ys = F.array("x0", F.col("x0") + F.when(F.col("w") != 10, F.col("w")).otherwise(0.0)), F.array("y0", F.col("y0") + F.col("h"))
-    size = lambda a: F.nullif((F.array_max(a) - F.array_min(a)) / 100, F.lit(0.0))
-    return rects(spark, sf_dir).select("page", "n", size(xs).alias("width"), size(ys).alias("height"))
+    return rects(spark, sf_dir).select("page", "n", ru.extent_pt(xs).alias("width"), ru.extent_pt(ys).alias("height"))
 
 
 @query("lim02_page_slice", f"SELECT page, n FROM {RECTS} WHERE page >= 3 AND page < 17")
 def _(spark, sf_dir):
-    return rects(spark, sf_dir).where("page >= 3 and page < 17").select("page", "n")
+    return ru.page_slice(rects(spark, sf_dir), 3, 17).select("page", "n")
 
 
 @query("set03_first_of_each", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
 def _(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").withColumn("k", k).where("k = 1").select("user_id", "event_type", "event_id")
+    return ru.first_of_each(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
\ No newline at end of file
