@@ -13,7 +13,7 @@ as they are written in code and notes, and the digests, identifiers, numbers, pa
 placeholders and words that scanners confuse with them.
 
 Cases: null and empty texts have no candidates. Null ids are kept. Overlapping
-candidates count once, the longest of those that start first. Repeated rows give repeated
+candidates count once: announced and shaped ones before runs, the longest of those that start first. Repeated rows give repeated
 findings. Empty tables give empty results. Extra columns are left out.
 """
 
@@ -40,6 +40,8 @@ COMMON = 0.001
 FINDINGS = 6_000
 TREES, DEPTH, TRIED, LEAF = 40, 9, 5, 4
 THRESHOLD = 0.5
+#: Characters of a value at least.
+LEAST = 6
 #: Characters on either side that are looked at.
 CONTEXT = 48
 
@@ -56,6 +58,7 @@ SHAPES = (
 _GIVEN = re.compile(r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(ANNOUNCE, key=len, reverse=True))) + r")(?![a-z0-9])[\"']?\s{0,3}(?:[:=]+>?|\bis\b|\s)\s{0,3}[\"']?([^\s\"'`<>,;()]{6,})")
 _SHAPE = re.compile("|".join(SHAPES))
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
+_NAMED = re.compile(r"[A-Za-z_-]+=+(?=[^=])")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _KIND = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
@@ -66,18 +69,34 @@ _OTHERWISE = frozenset("sha sha1 sha256 md5 checksum digest hash commit revision
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) in code points, in order, none overlapping."""
+    """(start, end) in code points, in order, none overlapping.
+
+    Values that are announced or have a known shape come first; a run of key characters
+    counts where none of these stands, from behind a name that is given with ``=`` in it.
+    """
     if not text:
         return []
-    found = [m.span(1) for m in _GIVEN.finditer(text)] + [m.span() for m in _SHAPE.finditer(text)]
-    found += [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
     out: list[tuple[int, int]] = []
-    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
-        while end > start and text[end - 1] in ".!?:*#$%&|":
-            end -= 1
-        if end - start >= 6 and (not out or start >= out[-1][1]):
+    for start, end in sorted([m.span(1) for m in _GIVEN.finditer(text)] + [m.span() for m in _SHAPE.finditer(text)], key=lambda s: (s[0], -s[1])):
+        end = _trimmed(text, start, end)
+        if end - start >= LEAST and (not out or start >= out[-1][1]):
+            out.append((start, end))
+    taken, k = list(out), 0
+    for m in _RUN.finditer(text):
+        start, end = m.start() + (n.end() if (n := _NAMED.match(m[0])) else 0), m.end()
+        end = _trimmed(text, start, end)
+        value = text[start:end]
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if len(value) >= LEAST and (k == len(taken) or end <= taken[k][0]) and _DIGIT.search(value) and _LETTER.search(value):
             out.append((start, end))
-    return out
+    return sorted(out)
+
+
+def _trimmed(text: str, start: int, end: int) -> int:
+    while end > start and text[end - 1] in ".!?:*#$%&|":
+        end -= 1
+    return end
 
 
 FEATURES = ("length", "entropy", "changes", "digits", "upper", "hexadecimal", "kinds", "vowels", "longest_repeat", "covered", "slashes", "dots", "dashes", "in_path", "quoted", "assigned", "announced", "otherwise", "shaped")
@@ -230,10 +249,10 @@ def train(given: list[tuple[str, str, str, int]], dictionary: frozenset[str]) ->
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, start, end, score, secret (whether the forest keeps the candidate): one row per candidate.
 
-    ``labelled`` may give findings (left, candidate, right, label), ``FINDINGS`` at most.
+    ``labelled`` may give findings (left, candidate, right, label); those with the ``FINDINGS`` smallest hashes are used.
     """
     dictionary = dictionary_of(docs, text=text)
-    given = findings(dictionary) if labelled is None else [tuple(r) for r in labelled.select("left", "candidate", "right", "label").limit(FINDINGS).collect()]
+    given = findings(dictionary) if labelled is None else [tuple(r) for r in labelled.select("left", "candidate", "right", "label").orderBy(F.xxhash64("left", "candidate", "right", "label"), "left", "candidate", "right").limit(FINDINGS).collect()]
     model: dict[str, Any] = {"words": dictionary, "forest": train(given, dictionary)}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

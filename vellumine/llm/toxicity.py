@@ -126,13 +126,12 @@ def _fit(fit: pd.DataFrame, n: int) -> tuple[np.ndarray, float]:
     sentence = np.repeat(np.arange(len(sizes)), sizes)
     w, b = np.zeros(n), -5.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
-    weight = np.where(y == 1, 1.0, 1.0) / len(y)
     for step in range(1, STEPS + 1):
         z = b + np.bincount(sentence, w[ids], len(sizes))
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
         none = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + plain * np.log1p(-p0)
         any_ = np.maximum(-np.expm1(none), 1e-9)
-        pull = weight * np.where(y == 1, (1 - any_) / any_, -1.0)
+        pull = np.where(y == 1, (1 - any_) / any_, -1.0) / len(y)
         gz = pull[bag] * p
         gw = np.bincount(ids, gz[sentence], n) - RIDGE * w / max(n, 1) ** 0.5
         gb = gz.sum() + (pull * plain * p0).sum()
