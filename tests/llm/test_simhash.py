@@ -70,6 +70,12 @@ def test_awkward_rows(spark):
     assert simhash.near_duplicates(awkward(spark).limit(0)).count() == 0
 
 
+def test_same_without_broadcast(spark, monkeypatch):
+    want = sorted(map(str, simhash.near_duplicates(awkward(spark)).collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, simhash.near_duplicates(awkward(spark)).collect())) == want
+
+
 def test_keep_one(spark):
     a, b = words(1, 200), words(2, 200)
     near = " ".join([*a.split()[:150], "changed", *a.split()[151:]])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import carried, restored, sized_join
+from vellumine.llm.common import BROADCAST_BYTES, carried, restored, salted_join, sized_join
 from vellumine.shared import cut
 
 SEED = 42
@@ -564,4 +564,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = RADIUS, ke
     named = of.groupBy("root").agg(F.min("low").alias("component_id"))
     of = of.join(named, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    # copies share a fingerprint, so a large share of the rows can have one key
+    met = prints.join(F.broadcast(of), "fp") if distinct.count() * 32 <= BROADCAST_BYTES else salted_join(prints, of, "fp", F.col("doc_id"), "inner")
+    return met.select("doc_id", hexed.alias("fingerprint"), "component_id")
