@@ -305,3 +305,44 @@ def test_public_names(spark):
     assert all(getattr(vellumine, n) is not None for n in vellumine.__all__)
     able = {r["format"]: (r["reads"], r["writes"]) for r in vellumine.diagnose(spark).collect()}
     assert able["pdf"] == (True, True) and able["hwp"] == (True, False) and able["doc"] == (False, False)
+
+
+def book(streams):
+    """A compound file with one stream in its root."""
+    (name, body), = streams.items()
+    body = body + b"\0" * max(0, 4096 - len(body))
+    n = -(-len(body) // 512)
+    fat = [*range(1, n), 0xFFFFFFFE, 0xFFFFFFFE, 0xFFFFFFFD]
+    fat += [0xFFFFFFFF] * (-len(fat) % 128)
+    raw = lambda s: (s + "\0").encode("utf-16-le")
+    entry = lambda s, kind, child, at, size: raw(s).ljust(64, b"\0") + struct.pack("<HBBIII", len(raw(s)), kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, child) + b"\0" * 36 + struct.pack("<IQ", at, size)
+    listing = (entry("Root Entry", 5, 1, 0xFFFFFFFE, 0) + entry(name, 2, 0xFFFFFFFF, 0, len(body))).ljust(512, b"\0")
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIII", 0, 1, n, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0) + struct.pack("<109I", n + 1, *[0xFFFFFFFF] * 108)
+    return head + body.ljust(n * 512, b"\0") + listing + struct.pack(f"<{len(fat)}I", *fat)
+
+
+def test_xls():
+    from vellumine.sources.xls import read_xls, rk_value
+
+    rec = lambda n, b: struct.pack("<HH", n, len(b)) + b
+    text = lambda t: struct.pack("<HB", len(t), 1) + t.encode("utf-16-le")
+    bof, eof = rec(0x809, struct.pack("<HH", 0x600, 5) + b"\0" * 12), rec(0x0A, b"")
+    shared = struct.pack("<II", 3, 3) + text("이름") + text("ab")
+    split = struct.pack("<HB", 6, 0) + b"xyz"
+    head = bof + rec(0x41E, struct.pack("<H", 170) + text("yyyy-mm")) + rec(0xE0, struct.pack("<HH", 0, 0) + b"\0" * 16) + rec(0xE0, struct.pack("<HH", 0, 170) + b"\0" * 16) + rec(0xFC, shared + split) + rec(0x3C, b"\x01" + "가나다".encode("utf-16-le"))
+    cells = rec(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)) + rec(0xFD, struct.pack("<HHHI", 0, 1, 0, 2)) + rec(0x203, struct.pack("<HHHd", 1, 0, 1, 45292.0)) + rec(0x27E, struct.pack("<HHHI", 1, 1, 0, 125 << 2 | 3))
+    cells += rec(0xBD, struct.pack("<HHHIHIH", 2, 0, 0, 7 << 2 | 2, 0, 8 << 2 | 2, 1)) + rec(0x205, struct.pack("<HHHBB", 3, 0, 0, 1, 0)) + rec(0x205, struct.pack("<HHHBB", 3, 1, 0, 42, 1))
+    cells += rec(0x06, struct.pack("<HHH", 4, 0, 0) + b"\0" * 6 + b"\xff\xff" + b"\0" * 8) + rec(0x207, text("made")) + rec(0xE5, struct.pack("<HHHHH", 1, 3, 3, 0, 1))
+    sheet = bof + cells + eof
+    bound = lambda at, state, name: rec(0x85, struct.pack("<IBBBB", at, state, 0, len(name), 0) + name)
+    size = len(head) + len(bound(0, 0, b"one")) + len(bound(0, 1, b"two")) + len(eof)
+    data = book({"Workbook": head + bound(size, 0, b"one") + bound(size, 1, b"two") + eof + sheet})
+    assert office.format_of_content(data) == "xls"
+    got = read_xls(data)
+    assert [b["text"] for b in got] == ["one", "two"]
+    assert got[0]["cells"] == [(0, 0, 1, 1, "이름"), (0, 1, 1, 1, "xyz가나다"), (1, 0, 1, 1, "2024-01-01"), (1, 1, 1, 1, "1.25"), (2, 0, 1, 1, "7"), (2, 1, 1, 1, "8"), (3, 0, 1, 2, "TRUE"), (4, 0, 1, 1, "made")]
+    assert rk_value(struct.unpack("<I", struct.pack("<d", 1.5)[4:])[0]) == 1.5 and rk_value((-3 << 2 | 2) & 0xFFFFFFFF) == -3
+    asked = office.Options(max_rows=2)
+    assert len(read_xls(data, asked)[0]["cells"]) == 4 and len(asked.warnings) == 2
+    with pytest.raises(office.ReadError):
+        read_xls(book({"Workbook": bof + rec(0x2F, b"\0" * 6) + eof}))

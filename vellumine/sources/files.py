@@ -20,8 +20,9 @@ from vellumine.sources.formats import FORMATS, format_of_ext, resolve
 from vellumine.sources.office import Options, ReadError, format_of_content
 from vellumine.sources.pdf import read_pdf
 from vellumine.sources.runs import RUNS, block
+from vellumine.sources.xls import read_xls
 
-READERS = office.READERS | {"pdf": read_pdf}
+READERS = office.READERS | {"pdf": read_pdf, "xls": read_xls}
 BLOCKS = f"array<struct<kind:string,text:string,heading:int,list_kind:string,level:int,cells:array<struct<r:int,c:int,row_span:int,col_span:int,text:string>>,runs:{RUNS},align:string,image:binary>>"
 #: What a damaged file can raise.
 DAMAGE = (ReadError, ValueError, KeyError, IndexError, TypeError, AttributeError, OverflowError, RecursionError, struct.error, zlib.error, zipfile.BadZipFile)

@@ -246,6 +246,11 @@ def _column(ref: str) -> int:
 DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)))
 
 
+def date_code(code: str) -> bool:
+    """Whether a number format writes a date or time: by its letters outside quotes, escapes and colours."""
+    return bool(re.search("[ymdhs]", re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", code), re.I))
+
+
 def _date_styles(archive: Archive) -> list[bool]:
     """For each cell style whether its number format writes dates or times."""
     root = archive.xml("xl/styles.xml")
@@ -254,17 +259,15 @@ def _date_styles(archive: Archive) -> list[bool]:
     own = {attribute(f, "numFmtId"): attribute(f, "formatCode") or "" for f in (first(root, "numFmts") if first(root, "numFmts") is not None else ())}
 
     def dated(number: str) -> bool:
-        bare = re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", own[number]) if number in own else ""
-        return bool(re.search("[ymdhs]", bare, re.I)) if number in own else number.isdigit() and int(number) in DATE_FORMATS
+        return date_code(own[number]) if number in own else number.isdigit() and int(number) in DATE_FORMATS
 
     return [dated(attribute(x, "numFmtId") or "0") for x in first(root, "cellXfs")]
 
 
-def _moment(value: str, from_1904: bool) -> str:
-    """A serial day number as a date, a time, or both."""
-    n = float(value)
+def moment(n: float, from_1904: bool) -> str:
+    """A serial day number as a date, a time, or both; what is no day stays a number."""
     if not 0 <= n < 2_958_466:
-        return value
+        return repr(n)
     at = (datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30 if n >= 60 else 31)) + timedelta(seconds=round(n * 86_400))
     return at.strftime("%H:%M:%S") if n < 1 else at.strftime("%Y-%m-%d") if (at.hour, at.minute, at.second) == (0, 0, 0) else at.strftime("%Y-%m-%d %H:%M:%S")
 
@@ -314,7 +317,7 @@ def read_xlsx(data: bytes, options: Options | None = None) -> list[Block]:
                 elif kind == "b":
                     text = "TRUE" if v.text == "1" else "FALSE"
                 elif kind in (None, "n") and (style := attribute(c, "s") or "0").isdigit() and int(style) < len(dated) and dated[int(style)]:
-                    text = _moment(v.text, from_1904)
+                    text = moment(float(v.text), from_1904)
                 else:
                     text = "#ERROR" if kind == "e" else v.text
                 if at not in covered:
