@@ -346,3 +346,25 @@ def test_xls():
     assert len(read_xls(data, asked)[0]["cells"]) == 4 and len(asked.warnings) == 2
     with pytest.raises(office.ReadError):
         read_xls(book({"Workbook": bof + rec(0x2F, b"\0" * 6) + eof}))
+
+
+def test_properties(spark):
+    docx, hwpx = sinks.write_docx(BLOCKS, "A & 제목"), sinks.write_hwpx(BLOCKS, "Title")
+    page = '<hs:sec xmlns:hs="s" xmlns:hp="p"><hp:p><hp:run><hp:secPr><hp:pagePr width="59528" height="84188"><hp:margin left="8504" right="8504" top="5668" bottom="4252"/></hp:pagePr></hp:secPr></hp:run></hp:p></hs:sec>'
+    z = zipfile.ZipFile(io.BytesIO(hwpx))
+    hwpx = archive({n: z.read(n) for n in z.namelist()} | {"Contents/section0.xml": page})
+    df = spark.createDataFrame([("a", docx, "docx"), ("b", hwpx, "hwpx"), ("c", b"x", "docx"), ("d", None, None)], "path string, content binary, format string")
+    got = {r["path"]: r for r in files.properties(df).collect()}
+    assert got["a"]["title"] == "A & 제목" and got["a"]["page_width"] == 595.3 and got["a"]["margin_left"] == 72
+    assert got["b"]["title"] == "Title" and got["b"]["page_height"] == 841.88 and got["b"]["margin_bottom"] == 42.52
+    assert got["c"]["title"] is None and got["d"]["page_width"] is None
+
+
+def test_hwp_run_styles():
+    shape = lambda marks, size, colour: record(21, 0, b"\0" * 42 + struct.pack("<iI", size, marks) + b"\0\0" + bytes.fromhex(colour) + b"\0" * 20)
+    shapes = office.hwp_shapes(shape(0, 1000, "000000") + shape(2 | 1 << 2, 1500, "C81E1E"))
+    text = "ab".encode("utf-16-le") + struct.pack("<H7xx", 9)[:16].ljust(16, b"\0") + "한cd".encode("utf-16-le") + b"\r\0"
+    section = record(66, 0, b"\0" * 22) + record(67, 1, text) + record(68, 1, struct.pack("<IIII", 10, 1, 0, 0)) + record(66, 0, b"") + record(67, 1, "x".encode("utf-16-le"))
+    got = office.hwp_section(section, shapes)
+    assert [b["text"] for b in got] == ["ab\t한cd", "x"]
+    assert [(r["text"], r["bold"], r["underline"], r["size"], r["colour"]) for r in got[0]["runs"]] == [("ab\t", False, False, 0.0, ""), ("한cd", True, True, 15.0, "C81E1E")]

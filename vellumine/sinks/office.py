@@ -51,9 +51,10 @@ def _relations(pairs: list[tuple[str, str, str]]) -> str:
     return f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships">{rows}</Relationships>'
 
 
-def _types(parts: list[tuple[str, str]]) -> str:
+def _types(parts: list[tuple[str, str]], core: bool = False) -> str:
     rows = "".join(f'<Override PartName="{p}" ContentType="application/vnd.openxmlformats-officedocument.{t}+xml"/>' for p, t in parts)
-    return f'{_HEAD}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{"".join(f'<Default Extension="{k}" ContentType="image/{k}"/>' for k in ("png", "jpeg", "gif", "bmp"))}{rows}</Types>'
+    properties = '<Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/>' * core
+    return f'{_HEAD}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{"".join(f'<Default Extension="{k}" ContentType="image/{k}"/>' for k in ("png", "jpeg", "gif", "bmp"))}{rows}{properties}</Types>'
 
 
 def write_docx(blocks: list[Block], title: str = "") -> bytes:
@@ -134,10 +135,11 @@ def write_docx(blocks: list[Block], title: str = "") -> bytes:
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{n}"><w:name w:val="heading {n}"/></w:style>' for n in range(1, 10))
     return _archive(
         [
-            ("[Content_Types].xml", _types([("/word/document.xml", "wordprocessingml.document.main"), ("/word/styles.xml", "wordprocessingml.styles")])),
-            ("_rels/.rels", _relations([("rId1", "officeDocument", "word/document.xml")])),
+            ("[Content_Types].xml", _types([("/word/document.xml", "wordprocessingml.document.main"), ("/word/styles.xml", "wordprocessingml.styles")], core=True)),
+            ("_rels/.rels", _relations([("rId1", "officeDocument", "word/document.xml")]).replace("</Relationships>", f'<Relationship Id="rId2" Type="{_PACKAGE}/relationships/metadata/core-properties" Target="docProps/core.xml"/></Relationships>')),
             ("word/_rels/document.xml.rels", _relations(rels)),
-            ("word/document.xml", f"{_HEAD}<w:document {space}><w:body>{''.join(body)}</w:body></w:document>"),
+            ("word/document.xml", f"{_HEAD}<w:document {space}><w:body>{''.join(body)}<w:sectPr><w:pgSz w:w=\"11906\" w:h=\"16838\"/><w:pgMar w:top=\"1440\" w:right=\"1440\" w:bottom=\"1440\" w:left=\"1440\" w:header=\"720\" w:footer=\"720\" w:gutter=\"0\"/></w:sectPr></w:body></w:document>"),
+            ("docProps/core.xml", f'{_HEAD}<cp:coreProperties xmlns:cp="{_PACKAGE}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{_xml(title[:255])}</dc:title></cp:coreProperties>'),
             ("word/styles.xml", f"{_HEAD}<w:styles {space}>{styles}</w:styles>"),
             *media,
         ]

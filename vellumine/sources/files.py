@@ -96,6 +96,26 @@ def read(files: DataFrame, *, key: str = "path", content: str = "content", fmt:
     return files.select(key, F.col(content).alias("_content"), F.col(fmt).alias("_format")).mapInPandas(run, f"{key} {kind}, blocks {BLOCKS}, error string, warnings array<string>")
 
 
+PROPERTIES = "title string, author string, subject string, keywords string, page_width double, page_height double, margin_left double, margin_right double, margin_top double, margin_bottom double"
+
+
+def properties(files: DataFrame, *, key: str = "path", content: str = "content", fmt: str = "format") -> DataFrame:
+    """key and what each document says about itself; nulls where it says nothing or can't be read."""
+    names = [p.split()[0] for p in PROPERTIES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for data, f in zip(b["_content"], b["_format"], strict=True):
+                try:
+                    rows.append(office.properties(bytes(data), f) if data is not None else {})
+                except DAMAGE:
+                    rows.append({})
+            yield pd.DataFrame({key: b[key].array} | {n: pd.Series([r.get(n) for r in rows], dtype="float64" if n.startswith(("page", "margin")) else object) for n in names})
+
+    return files.select(key, F.col(content).alias("_content"), F.col(fmt).alias("_format")).mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, {PROPERTIES}")
+
+
 def write(documents: DataFrame, target: str, *, key: str = "path") -> DataFrame:
     """key, output (the bytes of a file of the target format) for documents with a column blocks."""
     if target not in WRITERS:

@@ -524,7 +524,7 @@ class Compound:
 
 
 # Record tags, and characters of the text record that stand for one and for eight units.
-TAG_PARA_HEADER, TAG_PARA_TEXT, TAG_LIST_HEADER, TAG_TABLE = 66, 67, 72, 77
+TAG_CHAR_SHAPE, TAG_PARA_HEADER, TAG_PARA_TEXT, TAG_PARA_CHAR_SHAPE, TAG_LIST_HEADER, TAG_TABLE = 21, 66, 67, 68, 72, 77
 ONE_UNIT = {0: "", 10: "\n", 13: "", 24: "-", 25: "", 26: "", 27: "", 28: "", 29: "", 30: " ", 31: " "}
 
 
@@ -544,26 +544,58 @@ def hwp_records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += size
 
 
-def hwp_text(payload: bytes) -> str:
-    """The characters of a text record; control characters of eight units are left out, tabs are kept."""
-    out, at = [], 0
+def hwp_units(payload: bytes) -> Iterator[tuple[int, str]]:
+    """(unit where it stands, text) of a text record; control characters of eight units hold no text, tabs are kept."""
+    at = 0
     units = struct.unpack(f"<{len(payload) // 2}H", payload[: len(payload) // 2 * 2])
     while at < len(units):
         u = units[at]
         if u >= 32:
             high = 0xD800 <= u < 0xDC00 and at + 1 < len(units)
-            out.append(struct.pack(f"<{1 + high}H", *units[at : at + 1 + high]).decode("utf-16-le", "replace"))
+            yield at, struct.pack(f"<{1 + high}H", *units[at : at + 1 + high]).decode("utf-16-le", "replace")
             at += 1 + high
         elif u in ONE_UNIT:
-            out.append(ONE_UNIT[u])
+            yield at, ONE_UNIT[u]
             at += 1
         else:
-            out.append("\t" if u == 9 else "")
+            yield at, "\t" if u == 9 else ""
             at += 8
-    return "".join(out)
 
 
-def hwp_section(data: bytes) -> list[Block]:
+def hwp_text(payload: bytes) -> str:
+    return "".join(t for _, t in hwp_units(payload))
+
+
+def hwp_shapes(info: bytes) -> list[dict]:
+    """Run styles by their place in the document's information; black counts as no colour, ten points as no size."""
+    out = []
+    for tag, _, body in hwp_records(info):
+        if tag != TAG_CHAR_SHAPE:
+            continue
+        if len(body) < 56:
+            out.append({})
+            continue
+        size, marks = struct.unpack_from("<iI", body, 42)
+        red, green, blue = body[52:55]
+        colour = f"{red:02X}{green:02X}{blue:02X}"
+        script = "super" if marks >> 15 & 1 else "sub" if marks >> 16 & 1 else ""
+        out.append({"italic": bool(marks & 1), "bold": bool(marks & 2), "underline": bool(marks >> 2 & 3), "strike": bool(marks >> 18 & 7), "script": script, "size": 0.0 if size == 1000 else size / 100, "colour": "" if colour == "000000" else colour})
+    return out
+
+
+def hwp_runs(payload: bytes, starts: bytes, shapes: list[dict]) -> list[dict]:
+    """A paragraph's text cut where its styles start; unknown styles are plain."""
+    places = sorted(struct.iter_unpack("<II", starts[: len(starts) // 8 * 8]))
+    out, k = [], -1
+    for at, text in hwp_units(payload):
+        while k + 1 < len(places) and places[k + 1][0] <= at:
+            k += 1
+        style = shapes[places[k][1]] if k >= 0 and places[k][1] < len(shapes) else {}
+        out.append(run(text, **style))
+    return out
+
+
+def hwp_section(data: bytes, shapes: list[dict] | None = None) -> list[Block]:
     """Paragraphs by their headers, and tables after the paragraph that holds them.
 
     A table's record and its cells' list headers stand on one level; cell paragraphs
@@ -572,6 +604,7 @@ def hwp_section(data: bytes) -> list[Block]:
     """
     out: list[Block] = []
     tables: list[dict] = []
+    last: bytes | None = None
 
     def close(level: int) -> None:
         while tables and tables[-1]["level"] > level:
@@ -598,6 +631,7 @@ def hwp_section(data: bytes) -> list[Block]:
             t["cells"].append(((r, c, max(1, h), max(1, w)), []))
         elif tag == TAG_PARA_HEADER:
             close(level)
+            last = None
             if not tables:
                 out.append(block())
             elif tables[-1]["cells"]:
@@ -607,6 +641,10 @@ def hwp_section(data: bytes) -> list[Block]:
                 tables[-1]["cells"][-1][1][-1] += hwp_text(payload)
             elif not tables and out:
                 out[-1]["text"] += hwp_text(payload)
+                last = payload
+        elif tag == TAG_PARA_CHAR_SHAPE and not tables and out and last is not None and shapes:
+            out[-1] = block(runs=hwp_runs(last, payload, shapes))
+            last = None
     close(-1)
     return out
 
@@ -619,16 +657,23 @@ def read_hwp(data: bytes, options: Options | None = None) -> list[Block]:
     flags = struct.unpack_from("<I", head, 36)[0]
     if flags & 2:
         raise ReadError("encrypted")
+    if flags & 4:
+        raise ReadError("a distribution document")
+
+    def stream(path: str) -> bytes:
+        raw = file.read(path)
+        if not flags & 1:
+            return raw
+        try:
+            return zlib.decompressobj(-15).decompress(raw, MAX_ENTRY)
+        except zlib.error:
+            return zlib.decompressobj().decompress(raw, MAX_ENTRY)
+
+    shapes = hwp_shapes(stream("DocInfo")) if "DocInfo" in file.paths else []
     sections = sorted((p for p in file.paths if re.fullmatch(r"BodyText/Section[0-9]+", p)), key=lambda p: int(re.sub("[^0-9]", "", p)))
     out: list[Block] = []
     for i, path in enumerate(sections):
-        data = file.read(path)
-        if flags & 1:
-            try:
-                data = zlib.decompress(data, -15)
-            except zlib.error:
-                data = zlib.decompress(data)
-        out += [block("page_break")] * bool(i) + hwp_section(data)
+        out += [block("page_break")] * bool(i) + hwp_section(stream(path), shapes)
     if not any(b["text"].strip() for b in out) and "PrvText" in file.paths:
         text = file.read("PrvText").decode("utf-16-le", "replace")
         out = [block(text=line) for line in re.split("\r\n?|\n", text)]
@@ -888,6 +933,36 @@ def read_md(data: bytes, options: Options | None = None) -> list[Block]:
     return compacted(out)
 
 
+# --- what a document says about itself
+
+
+def properties(data: bytes, fmt: str) -> dict[str, str | float]:
+    """title, author, subject, keywords, and in points page_width, page_height and the margins of the first section; what is not said is left out."""
+    if fmt not in ("docx", "hwpx", "odt", "xlsx"):
+        return {}
+    archive = Archive(data)
+    out: dict[str, str | float] = {}
+    part = {"docx": "docProps/core.xml", "xlsx": "docProps/core.xml", "odt": "meta.xml", "hwpx": "Contents/content.hpf"}[fmt]
+    root = archive.xml(part)
+    names = {"title": "title", "creator": "author", "subject": "subject", "keywords": "keywords", "keyword": "keywords"}
+    for e in root.iter() if root is not None else ():
+        key = names.get(local(e.tag)) or (names.get(attribute(e, "name") or "") if local(e.tag) == "meta" else None)
+        if key and (e.text or "").strip():
+            out.setdefault(key, e.text.strip())
+    number = lambda e, k: float(v) if e is not None and re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", v := attribute(e, k) or "") else None
+    if fmt == "docx" and (root := archive.xml("word/document.xml")) is not None:
+        section = next((e for e in root.iter() if local(e.tag) == "sectPr"), None)
+        found = {"page_width": number(first(section, "pgSz"), "w"), "page_height": number(first(section, "pgSz"), "h")}
+        found |= {f"margin_{k}": number(first(section, "pgMar"), k) for k in ("left", "right", "top", "bottom")}
+        out |= {k: v / 20 for k, v in found.items() if v is not None}
+    elif fmt == "hwpx" and (root := archive.xml("Contents/section0.xml")) is not None:
+        page = next((e for e in root.iter() if local(e.tag) == "pagePr"), None)
+        found = {"page_width": number(page, "width"), "page_height": number(page, "height")}
+        found |= {f"margin_{k}": number(first(page, "margin"), k) for k in ("left", "right", "top", "bottom")}
+        out |= {k: v / 100 for k, v in found.items() if v is not None}
+    return out
+
+
 READERS: dict[str, Callable[[bytes, Options | None], list[Block]]] = {"docx": read_docx, "xlsx": read_xlsx, "odt": read_odt, "hwpx": read_hwpx, "hwp": read_hwp, "txt": read_txt, "csv": read_csv, "html": read_html, "rtf": read_rtf, "md": read_md}
 
 
