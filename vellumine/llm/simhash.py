@@ -51,7 +51,7 @@ DRAWN, FREQUENT, MOST_FREQUENT = 20_000, 8, 1 << 20
 #: Texts, and shingles in them, that a task compares with each other.
 GROUP_ROWS, GROUP_SHINGLES = 1_000, 2_000_000
 #: Texts of one shingle from which they are linked without a look at their sketches.
-HOT_ROWS = 20_000
+HOT_ROWS = 2_000
 #: Hashes whose bits are counted together.
 HASHES = 1 << 15
 
