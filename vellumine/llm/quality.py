@@ -41,9 +41,9 @@ QUANTILE = 0.998
 #: Symbols of mean trusted text that are added to each document.
 PRIOR = 64
 #: Text of a chunk; of a task that counts; and characters that are looked at together.
-CHUNK_BYTES, COUNT_BYTES, BLOCK = 32 << 20, 64 << 20, 1 << 20
+CHUNK_BYTES, COUNT_BYTES, BLOCK = 32 << 20, 64 << 20, 1 << 19
 #: N-grams that a task which counts holds before it sends them on.
-HELD = 500_000
+HELD = 200_000
 #: Chunks that ask for one n-gram are listed in rows of at most so many.
 LISTED = 4096
 START = "\n" * (ORDER - 1)
