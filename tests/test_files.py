@@ -40,6 +40,21 @@ def test_xlsx_merges_and_sheets():
     assert (0, 0, 1, 2, "wide") in got[1]["cells"] and (1, 1, 1, 1, "1.5") in got[1]["cells"]
 
 
+def test_xlsx_widths_and_styles():
+    cells = [(0, 0, 1, 1, "가나다라마바"), (1, 0, 1, 1, "x\n" + "y" * 90), (0, 1, 1, 1, "z" * 90), (0, 3, 1, 1, "2"), (400, 4, 1, 1, "beyond"), (0, 5, 1, 1, "")]
+    assert sinks.column_widths(cells) == {0: 14, 1: 60, 3: 8}
+    assert sinks.column_widths([]) == {}
+    data = sinks.write_xlsx([{"kind": "table", "text": "t", "cells": cells, "heading": 0}])
+    archive = office.Archive(data)
+    sheet = archive.xml("xl/worksheets/sheet1.xml")
+    assert [office.local(e.tag) for e in sheet] == ["cols", "sheetData"]
+    assert [office.attribute(c, "width") for c in sheet[0]] == ["14", "60", "8"]
+    assert {office.attribute(c, "s") for row in sheet[1] for c in row} == {"1"}
+    formats = next(e for e in archive.xml("xl/styles.xml") if office.local(e.tag) == "cellXfs")
+    assert len(formats) == 2 and office.attribute(formats[1][0], "wrapText") == "1"
+    assert {c[:2]: c[4] for c in office.read_xlsx(data)[0]["cells"]}[0, 0] == "가나다라마바"
+
+
 def test_hwpx_media_type_is_first_and_stored():
     data = sinks.write_hwpx(BLOCKS)
     assert data[30:38] == b"mimetype" and struct.unpack_from("<H", data, 8)[0] == 0 and data[38:57] == b"application/hwp+zip"

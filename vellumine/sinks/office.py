@@ -146,6 +146,12 @@ def write_docx(blocks: list[Block], title: str = "") -> bytes:
     )
 
 
+# Fixed values of column widths: rows looked at, the code point beyond which a character is wide, the least and the most.
+WIDTH_ROWS = 400
+WIDE_FROM = "\u1100"
+COLUMN_WIDTHS = (8, 60)
+
+
 def _letters(c: int) -> str:
     out = ""
     c += 1
@@ -178,31 +184,55 @@ def sheets_of(blocks: list[Block], body: str = "본문") -> list[tuple[str, Bloc
     return named
 
 
+def column_widths(cells: list[tuple]) -> dict[int, int]:
+    """Widths in characters by the first lines of the cells in the first ``WIDTH_ROWS`` rows; East Asian ones count twice."""
+    longest: dict[int, int] = {}
+    for r, c, *_, text in cells:
+        if r < WIDTH_ROWS and text:
+            line = text.partition("\n")[0]
+            longest[c] = max(longest.get(c, 0), len(line) + sum(x > WIDE_FROM for x in line))
+    least, most = COLUMN_WIDTHS
+    return {c: min(most, max(least, n + 2)) for c, n in sorted(longest.items()) if n}
+
+
 def write_xlsx(blocks: list[Block], title: str = "") -> bytes:
+    """Sheets with numbers as numbers, merges, column widths, and wrapped cells in thin borders where they hold text."""
     sheets = sheets_of(blocks)
     main = f'xmlns="{_OOXML}/spreadsheetml/2006/main"'
+    side = "".join(f'<{k} style="thin"><color rgb="FFD0D0D0"/></{k}>' for k in ("left", "right", "top", "bottom"))
+    cell = '<xf numFmtId="0" fontId="0" fillId="0" borderId="{}" xfId="0"{}>{}</xf>'
+    plain, wrapped = cell.format(0, "", ""), cell.format(1, ' applyBorder="1" applyAlignment="1"', '<alignment vertical="top" wrapText="1"/>')
+    styles = (
+        f'{_HEAD}<styleSheet {main}><fonts count="1"><font><sz val="11"/><name val="Calibri"/></font></fonts>'
+        '<fills count="2"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill></fills>'
+        f'<borders count="2"><border><left/><right/><top/><bottom/><diagonal/></border><border>{side}<diagonal/></border></borders>'
+        '<cellStyleXfs count="1"><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/></cellStyleXfs>'
+        f'<cellXfs count="2">{plain}{wrapped}</cellXfs></styleSheet>'
+    )
 
     def sheet(b: Block) -> str:
         by_row: dict[int, list[str]] = {}
         for r, c, _, _, text in sorted(b["cells"]):
             ref = f"{_letters(c)}{r + 1}"
             if re.fullmatch(r"-?(0|[1-9][0-9]{0,14})(\.[0-9]{1,10})?", text):
-                by_row.setdefault(r, []).append(f'<c r="{ref}"><v>{text}</v></c>')
+                by_row.setdefault(r, []).append(f'<c r="{ref}" s="1"><v>{text}</v></c>')
             elif text:
-                by_row.setdefault(r, []).append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{_xml(text)}</t></is></c>')
+                by_row.setdefault(r, []).append(f'<c r="{ref}" s="1" t="inlineStr"><is><t xml:space="preserve">{_xml(text)}</t></is></c>')
         rows = "".join(f'<row r="{r + 1}">{"".join(cs)}</row>' for r, cs in sorted(by_row.items()))
         merged = [f"{_letters(c)}{r + 1}:{_letters(c + cs - 1)}{r + rs}" for r, c, rs, cs, _ in b["cells"] if rs > 1 or cs > 1]
         tail = f'<mergeCells count="{len(merged)}">{"".join(f"<mergeCell ref={chr(34)}{m}{chr(34)}/>" for m in merged)}</mergeCells>' if merged else ""
-        return f"{_HEAD}<worksheet {main}><sheetData>{rows}</sheetData>{tail}</worksheet>"
+        widths = "".join(f'<col min="{c + 1}" max="{c + 1}" width="{w}" customWidth="1"/>' for c, w in column_widths(b["cells"]).items())
+        return f"{_HEAD}<worksheet {main}>{f'<cols>{widths}</cols>' if widths else ''}<sheetData>{rows}</sheetData>{tail}</worksheet>"
 
     n = range(1, len(sheets) + 1)
     rel = f'xmlns:r="{_OOXML}/officeDocument/2006/relationships"'
     listed = "".join(f'<sheet name={quoteattr(_ILLEGAL.sub("", name))} sheetId="{i}" r:id="rId{i}"/>' for i, (name, _) in zip(n, sheets, strict=True))
     return _archive(
         [
-            ("[Content_Types].xml", _types([("/xl/workbook.xml", "spreadsheetml.sheet.main"), *((f"/xl/worksheets/sheet{i}.xml", "spreadsheetml.worksheet") for i in n)])),
+            ("[Content_Types].xml", _types([("/xl/workbook.xml", "spreadsheetml.sheet.main"), ("/xl/styles.xml", "spreadsheetml.styles"), *((f"/xl/worksheets/sheet{i}.xml", "spreadsheetml.worksheet") for i in n)])),
             ("_rels/.rels", _relations([("rId1", "officeDocument", "xl/workbook.xml")])),
-            ("xl/_rels/workbook.xml.rels", _relations([(f"rId{i}", "worksheet", f"worksheets/sheet{i}.xml") for i in n])),
+            ("xl/_rels/workbook.xml.rels", _relations([*((f"rId{i}", "worksheet", f"worksheets/sheet{i}.xml") for i in n), (f"rId{len(sheets) + 1}", "styles", "styles.xml")])),
+            ("xl/styles.xml", styles),
             ("xl/workbook.xml", f"{_HEAD}<workbook {main} {rel}><sheets>{listed}</sheets></workbook>"),
             *((f"xl/worksheets/sheet{i}.xml", sheet(b)) for i, (_, b) in zip(n, sheets, strict=True)),
         ]
