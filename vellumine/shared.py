@@ -6,7 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest side that is broadcast, by its measured rows and a bound on the bytes of a row.
+BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -38,5 +42,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(*taken: DataFrame, stem: str) -> str:
+    """A column name that none of the tables has."""
+    names = {c.lower() for df in taken for c in df.columns}
+    return next(n for n in (f"__{stem}{k or ''}" for k in range(len(names) + 1)) if n.lower() not in names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sized_join(large: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", *, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``large`` joined to ``small``, which is broadcast if its rows times ``row_bytes`` fit ``limit``; else both are shuffled."""
+    return large.join(F.broadcast(small) if small.count() * row_bytes <= limit else small, on, how)
