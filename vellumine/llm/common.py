@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.shared import cut
-
-#: Largest side that is broadcast, by its measured rows and a bound on the bytes of a row.
-BROADCAST_BYTES = 64 << 20
+from vellumine.shared import BROADCAST_BYTES, cut, sized_join  # noqa: F401
 
 
 def carried(key: str) -> Column:
@@ -21,11 +18,6 @@ def restored(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).cast("long"))
 
 
-def sized_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", *, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``large`` joined to ``small``, which is broadcast if its rows times ``row_bytes`` fit ``limit``; else both are shuffled."""
-    return large.join(F.broadcast(small) if small.count() * row_bytes <= limit else small, on, how)
-
-
 def salted_join(large: DataFrame, small: DataFrame, key: str, by: Column, how: str = "left", *, salts: int = 32) -> DataFrame:
     """``large`` joined to ``small``: rows of one key are dealt by ``by`` to ``salts`` tasks, each with a copy of its partners."""
     left = large.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm import ann, decontam, html_template, packing, pii, quality, secret_scan, simhash, toxicity, url_filter
+from vellumine.llm import ann, decontam, fill_middle, html_template, mixing, packing, pii, quality, secret_scan, simhash, toxicity, url_filter, whitening
 from vellumine.shared import table
 
 #: The rules (host, path, verdict) that op10 judges by.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
+#: The weights of the sources that op12 mixes, in turn.
+SOURCE_WEIGHTS = [3, 1, 2]
+
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.main_text(table(spark, sf_dir, "pages"))
@@ -56,6 +59,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.cyclic_weights(docs, SOURCE_WEIGHTS)).drop("copies")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.arrange(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_packing": op2_packing,
@@ -67,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
+    "op11_whitening": op11_whitening,
+    "op12_mixing": op12_mixing,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +109,41 @@ r AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM r""",
+    "op12_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS size, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight FROM d GROUP BY source),
+r AS (  -- sources in the order in which they are full: the first j are, for the least j at which no other is above
+  SELECT *, row_number() OVER (ORDER BY size / weight, source NULLS LAST) AS j, sum(size) OVER () AS whole FROM s),
+c AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+         sum(weight) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM r),
+f AS (
+  SELECT min(j) AS j, arg_min(3 * whole - 4 * held, j) AS remaining, 2 * arg_min(open, j) AS open FROM c WHERE 4 * size * open > (3 * whole - 4 * held) * weight),
+t AS (
+  SELECT c.source, c.size, CASE WHEN f.j IS NULL OR c.j < f.j THEN CAST(2 * c.size AS DOUBLE) ELSE CAST(f.remaining * c.weight AS DOUBLE) / CAST(f.open AS DOUBLE) END AS target,
+         CAST(('0x' || substr(sha256('mix:' || coalesce('0' || c.source, '1')), 1, 5)) AS BIGINT) / 1048576.0::DOUBLE AS u
+  FROM c, f),
+p AS (
+  SELECT doc_id, d.size, t.size AS source_size, target, u, CASE WHEN t.size > 0 THEN target / t.size ELSE 0.0 END AS rate,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, doc_id NULLS LAST) - 1 AS n
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(least(2, floor((n + 1) * rate + u) - floor(n * rate + u)) AS BIGINT) * size AS taken
+FROM p""",
+    "op13_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+  SELECT doc_id, t, n, form, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle, coalesce(array_to_string(units[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p""",
 }
