@@ -293,13 +293,6 @@ def test_pdf_fonts_object_streams_and_headings():
         read_pdf(data.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 8 0 R"))
 
 
-def test_names_of_saved_files():
-    taken = frozenset({"a.md", "a (2).md"})
-    assert [convert.place_of("a", "md", n, "rename", taken) for n in range(3)] == ["a (1).md", "a (3).md", "a (4).md"]
-    assert [convert.place_of("a", "md", n, "skip", taken) for n in range(2)] == [None, None]
-    assert convert.place_of("b", "md", 0, "error", taken) == "b.md" and convert.place_of("a", "md", 0, "overwrite", taken) == "a.md"
-
-
 def test_two_files_of_one_stem_options_and_identity(spark, tmp_path):
     for d in ("x", "y", "out"):
         (tmp_path / d).mkdir()

@@ -14,6 +14,8 @@ _EXPORTS = {
     "vellumine.convert": ("diagnose", "main", "save", "supported_targets"),
     "vellumine.sources.files": ("BLOCKS", "READERS", "WRITERS", "blocks_of", "cells_of", "convert_files", "detect", "properties", "read", "runs_of", "scan", "write"),
     "vellumine.sources.formats": ("FORMATS", "ENGINES", "direct", "engine_table", "extensions", "formats", "routes"),
+    "vellumine.sources.lines": ("read_lines",),
+    "vellumine.sinks.committed": ("write_files",),
     "vellumine.sources.office": ("Options", "ReadError"),
     "vellumine.sources.runs": ("block", "run"),
     "vellumine.streaming.ingest": ("arriving", "convert_stream"),

@@ -7,9 +7,11 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumine.shared import checkpoint_root, cut
+from vellumine.sinks.committed import write_files
 from vellumine.sources import files
 from vellumine.sources.formats import FORMATS, engine_table, formats, routes
 
@@ -33,60 +35,21 @@ def no_route(src: str, dst: str, targets: Sequence[str]) -> str:
     return f"no route from {src} to {dst}{able}"
 
 
-def place_of(stem: str, target: str, number: int, on_conflict: str, taken: frozenset[str]) -> str | None:
-    """The file name for the ``number``-th document of one stem (from 0); None to leave it out.
-
-    It depends on nothing but its arguments, so a task that runs again writes the same file.
-    """
-    name = f"{stem}.{target}"
-    if on_conflict == "overwrite":
-        return name if not number else f"{stem} ({number}).{target}"
-    if on_conflict != "rename" and (name in taken or number):
-        return None
-    k = 0
-    while True:
-        name = f"{stem} ({k}).{target}" if k else f"{stem}.{target}"
-        if name not in taken:
-            if not number:
-                return name
-            number -= 1
-        k += 1
-
-
 def save(converted: DataFrame, folder: str, target: str, on_conflict: str = "rename") -> DataFrame:
-    """path, saved, error: each output written beside the others on the executors.
+    """path, saved, error: the outputs as files of ``folder``, an address that driver and executors reach.
 
-    ``folder`` must be one that driver and executors share. On conflict a name is numbered,
-    overwritten, skipped, or an error. Names are settled before anything is written, and a
-    file appears under its name when it is whole.
+    Files are committed together when all are written (``sinks.committed``). On conflict a name is
+    numbered, overwritten, skipped, or an error of that file; outputs of one stem are taken in the order of their paths.
     """
-    taken = frozenset(os.listdir(folder))
+    folder = folder if "://" in folder else os.path.abspath(folder)
+    done = cut(converted.select("path", "output", "error"), "converted")
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
-    order = Window.partitionBy("stem", F.col("error").isNull()).orderBy("path")
-    numbered = converted.select("path", "output", "error").withColumn("stem", stem).withColumn("number", F.row_number().over(order) - 1)
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            saved, errors = [], []
-            for path, data, error, stem, number in zip(b["path"], b["output"], b["error"], b["stem"], b["number"], strict=True):
-                place = None
-                if error is None:
-                    name = place_of(stem, target, int(number), on_conflict, taken)
-                    if name is not None:
-                        place = os.path.join(folder, name)
-                        part = f"{place}.{uuid.uuid4().hex}.part"
-                        with open(part, "wb") as f:
-                            f.write(data)
-                        os.replace(part, place)
-                    elif on_conflict == "error":
-                        error = f"{stem}.{target} exists"
-                saved.append(place)
-                errors.append(error)
-            yield pd.DataFrame({"path": b["path"], "saved": pd.Series(saved, dtype=object), "error": pd.Series(errors, dtype=object)})
-
-    return numbered.mapInPandas(run, "path string, saved string, error string")
+    good = done.where("error is null").select(F.concat(stem, F.lit(f".{target}")).alias("name"), F.col("output").alias("content"), F.col("path").alias("source"))
+    report = f"{checkpoint_root(converted.sparkSession)}/reports/{uuid.uuid4().hex}"
+    write_files(good, folder, on_conflict=on_conflict, report=report)
+    saved = converted.sparkSession.read.schema("source string, saved string, error string").json(report)
+    failed = done.where("error is not null").select("path", F.lit(None).cast("string").alias("saved"), "error")
+    return saved.withColumnRenamed("source", "path").unionByName(failed)
 
 
 def main(argv: Sequence[str] | None = None) -> int:

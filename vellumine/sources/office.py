@@ -22,6 +22,7 @@ from xml.etree import ElementTree
 from vellumine.functions.styles import STRIKE, UNDERLINE
 from vellumine.functions.text import BAD, HANGUL, PRINTABLE
 from vellumine.sources.runs import Block, block, markdown_runs, run
+from vellumine.sources.text import delimiter_of
 
 # Limits of an archive that is read.
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_RATIO, RATIO_FROM = 20_000, 512 << 20, 2 << 30, 200, 8 << 20
@@ -731,11 +732,7 @@ def read_txt(data: bytes, options: Options | None = None) -> list[Block]:
 def read_csv(data: bytes, options: Options | None = None) -> list[Block]:
     text, delimiter = decoded(data), options.delimiter if options else None
     if delimiter is None:
-        head = "\n".join(text.splitlines()[:40])
-        try:
-            delimiter = csv.Sniffer().sniff(head, ",;\t|").delimiter
-        except csv.Error:
-            delimiter = max(",;\t|", key=head.count) if any(map(head.count, ",;\t|")) else ","
+        delimiter = delimiter_of(text)
     rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))
     while rows and not any(c.strip() for c in rows[-1]):
         rows.pop()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,18 @@ def md_cells(line: Column) -> Column:
 def md_links(text: Column) -> Column:
     """The links of a paragraph: ARRAY of label and target."""
     return F.transform(F.regexp_extract_all(text, F.lit("(" + LINK + ")"), 1), lambda m: F.struct(F.regexp_extract(m, LINK, 1).alias("label"), F.regexp_extract(m, LINK, 2).alias("href")))
+
+
+# The delimiters that are told apart, and how many lines tell them.
+DELIMITERS, TELLING_LINES = ",;\t|", 40
+
+
+def delimiter_of(text: str, extension: str = "") -> str:
+    """A tab in .tsv; else as the sniffer says of the first lines; else the most frequent one; else a comma."""
+    if extension.lower() == "tsv":
+        return "\t"
+    head = "\n".join(text.splitlines()[:TELLING_LINES])
+    try:
+        return csv.Sniffer().sniff(head, DELIMITERS).delimiter
+    except csv.Error:
+        return max(DELIMITERS, key=head.count) if any(map(head.count, DELIMITERS)) else ","
