@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 
 #: Public names by the module that has them; a module is loaded when a name of it is first asked for.
 _EXPORTS = {
+    "vellumine.batches": ("Conversion", "Progress"),
     "vellumine.convert": ("diagnose", "main", "save", "supported_targets"),
     "vellumine.sources.files": ("BLOCKS", "READERS", "WRITERS", "blocks_of", "cells_of", "convert_files", "detect", "properties", "read", "runs_of", "scan", "write"),
     "vellumine.sources.formats": ("FORMATS", "ENGINES", "direct", "engine_table", "extensions", "formats", "routes"),

@@ -157,6 +157,18 @@ def html_paragraph(inner: Column, heading: Column, align: Column) -> Column:
     return F.when(is_blank(inner), "<p>&nbsp;</p>").otherwise(F.concat(F.lit("<"), tag, style, F.lit(">"), inner, F.lit("</"), tag, F.lit(">")))
 
 
+def html_pages(blocks: DataFrame) -> DataFrame:
+    """doc_id, html: whole pages. Items of one list stand in one ul or ol, page breaks are rules, the title is the first text."""
+    from vellumine.functions.text import html_escape
+
+    text = html_escape(F.col("text"))
+    block = F.when(F.col("kind") == "page_break", "<hr>").when(F.col("list_kind") != "none", F.concat(F.lit("<li>"), text, F.lit("</li>"))).otherwise(html_paragraph(text, F.col("heading"), F.lit("left")))
+    listed = list_wrappers(blocks.withColumn("list_kind", F.when(F.col("kind") == "page_break", "none").otherwise(F.col("list_kind"))))
+    body = listed.withColumn("html", F.concat("opens", block, "closes")).groupBy("doc_id").agg(joined("html", "\n").alias("body"))
+    head = F.concat(F.lit('<!DOCTYPE html>\n<html>\n<head><meta charset="utf-8"><title>'), html_escape(F.coalesce("title", F.lit(""))), F.lit("</title></head>\n<body>\n"))
+    return body.join(titles(blocks), "doc_id").select("doc_id", F.concat(head, "body", F.lit("\n</body>\n</html>\n")).alias("html"))
+
+
 def heading_by_size(runs: DataFrame, h1: float, h2: float, h3: float) -> DataFrame:
     """doc_id, para, heading: a paragraph's largest size against the document's median, each character one vote."""
     seen = runs.where((F.col("size_pt") > 0) & ~is_blank(F.col("text"))).withColumn("chars", F.length(strip(F.col("text"))))

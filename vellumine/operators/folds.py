@@ -25,7 +25,8 @@ def wrap(text: Column, width: int = LINE_CELLS) -> Column:
         return F.struct((s["n"] + 1).alias("n"), F.when(full, w).otherwise(s["used"] + w).alias("used"), F.when(full, F.concat(s["starts"], F.array(s["n"]))).otherwise(s["starts"]).alias("starts"))
 
     starts = F.aggregate(characters, start, step, lambda s: s["starts"])
-    return F.transform(starts, lambda at, k: F.substring(text, at + 1, F.coalesce(F.get(starts, k + 1), F.length(text)) - at))
+    once = F.array(F.struct(text.alias("text"), starts.alias("starts")))  # a lambda's variable is computed once, an expression in it for each piece
+    return F.flatten(F.transform(once, lambda x: F.transform(x["starts"], lambda at, k: F.substring(x["text"], at + 1, F.coalesce(F.get(x["starts"], k + 1), F.length(x["text"])) - at))))
 
 
 def spanned_slots(cells: DataFrame) -> DataFrame:

@@ -119,6 +119,13 @@ def primary_sheet(weights: DataFrame) -> DataFrame:
     return best.select("book", F.when((F.col("fw") >= PRIMARY_LEAST) | (F.col("h.weight") <= F.col("fw")), F.col("f")).otherwise(-F.col("h.back")).alias("sheet"))
 
 
+def primary_first(weights: DataFrame) -> DataFrame:
+    """book, sheet, place (from 1): the primary sheet, then the others as they stand."""
+    at = weights.join(primary_sheet(weights).withColumnRenamed("sheet", "primary"), "book")
+    place = F.row_number().over(Window.partitionBy("book").orderBy(F.col("sheet") != F.col("primary"), "sheet"))
+    return at.select("book", "sheet", place.cast("long").alias("place"))
+
+
 def sheet_weights(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table_id").agg(F.sum(F.length(strip(F.col("text")))).cast("long").alias("weight"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from vellumine.functions.text import CJK, is_blank, normal_lines
 from vellumine.operators.blocks import joined
 
 # The longest core property, lines of a plain page, cells of a plain line, and the first object number.
-PROPERTY_MAX, PAGE_LINES, LINE_CELLS, FIRST_OBJECT = 255, 50, 90, 1_000_000_001
+PROPERTY_MAX, PAGE_LINES, FIRST_OBJECT = 255, 50, 1_000_000_001
 # A fill that a typesetter leaves at a page's head: its height, least width, first page.
 GHOST_LOW, GHOST_HIGH, GHOST_WIDE, GHOST_PAGE = 2, 8, 20, 2
 # How far line edges of a block may spread.
@@ -123,6 +122,20 @@ def sheet_file(book: Column, sheet: Column, primary: Column) -> Column:
     return F.concat(book, F.when(primary, F.lit(".csv")).otherwise(F.concat(F.lit("_"), sheet, F.lit(".csv"))))
 
 
+def column_number(letters: Column) -> Column:
+    """The number of a sheet's column from its letters: A is 1, AA is 27."""
+    digits = F.transform(F.regexp_extract_all(F.upper(letters), F.lit("[A-Z]"), F.lit(0)), lambda c: F.ascii(c) - 64)
+    return F.aggregate(digits, F.lit(0), lambda n, d: n * 26 + d)
+
+
+def column_letters(number: Column) -> Column:
+    """The letters of a sheet's column, up to three."""
+    n = number.cast("int")
+    letter = lambda k: F.char(65 + k % 26)
+    two, three = F.floor((n - 1) / 26).cast("int"), F.floor((n - 27) / 676).cast("int")
+    return F.concat(F.when(n > 702, letter(three - 1)).otherwise(""), F.when(n > 26, letter(two - 1)).otherwise(""), letter(n - 1))
+
+
 def sheet_visible(state: Column) -> Column:
     return F.coalesce(state, F.lit("visible")) == "visible"
 
@@ -195,27 +208,6 @@ def next_character(lines: DataFrame, key: str, text: str = "line") -> DataFrame:
     return lines.withColumn("after", after).withColumn("cjk", F.coalesce(F.col("after").rlike(CJK), F.lit(False)))
 
 
-def wrap(text: Column, width: int = LINE_CELLS) -> Column:
-    """Pieces of at most ``width`` cells; characters beyond U+1100 take two."""
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            got, used = [""], 0
-            for ch in t or "":
-                w = 1 + (ord(ch) > 0x1100)
-                if used + w > width:
-                    got.append("")
-                    used = 0
-                got[-1] += ch
-                used += w
-            out.append(got)
-        return pd.Series(out, dtype=object)
-
-    return cut(text)
-
-
 # --- sets and reports
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,12 +85,16 @@ def _(spark, sf_dir):
     return files.write(line_blocks(spark, sf_dir), "json", key="doc_id").select("doc_id", F.decode("output", "UTF-8").alias("json"))
 
 
-@query("agg08_encodings", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'utf-16' ELSE 'cp949' END AS encoding FROM documents")
+_HANGUL = "".join(chr(0xAC00 + 28 * k) for k in range(26))
+
+
+@query("agg08_encodings", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'utf-8-sig' WHEN 1 THEN 'utf-16' ELSE CASE WHEN regexp_matches(text, '[a-z]') THEN 'cp949' ELSE 'utf-8-sig' END END AS encoding FROM documents")
 def _(spark, sf_dir):
-    """Each text with a byte order mark of its encoding, or Hangul in the Korean code page."""
+    """Each text's own bytes: with the byte order mark of its encoding, or its small letters as Hangul in the Korean code page, which no mark tells."""
     @F.pandas_udf("string")
     def guess(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        made = [("﻿" + t).encode("utf-8") if i % 3 == 0 else t.encode("utf-16") if i % 3 == 1 else ("한글 문서 변환기 가나다라 " * 40).encode("cp949") for i, t in zip(ids, texts, strict=True)]
+        made = [("\ufeff" + t).encode("utf-8") if i % 3 == 0 else t.encode("utf-16") if i % 3 == 1 else t.encode("cp949", "ignore") for i, t in zip(ids, texts, strict=True)]
         return pd.Series([encoding_of(x) for x in made])
 
-    return table(spark, sf_dir, "documents").select("doc_id", guess("doc_id", "text").alias("encoding"))
+    text = F.when(F.col("doc_id") % 3 == 2, F.translate("text", string.ascii_lowercase, _HANGUL)).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", guess("doc_id", text).alias("encoding"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.text import CJK
 from vellumine.operators import blocks as ops
+from vellumine.operators.numbering import first_seen
+from vellumine.operators.probes import containing
 from vellumine.plans.registry import query
 from vellumine.plans.scalars import SPACE
 from vellumine.shared import table
@@ -214,8 +216,8 @@ def _(spark, sf_dir):
 
 @query("agg13_style_ids", f"WITH s AS (SELECT event_type, value > 10 AS bold, min(event_id) AS seen FROM events GROUP BY ALL) SELECT event_type, bold, row_number() OVER (ORDER BY seen) AS id FROM s")
 def _(spark, sf_dir):
-    s = table(spark, sf_dir, "events").groupBy("event_type", (F.col("value") > 10).alias("bold")).agg(F.min("event_id").alias("seen"))
-    return s.select("event_type", "bold", F.row_number().over(Window.orderBy("seen")).cast("long").alias("id"))
+    styled = table(spark, sf_dir, "events").select("event_id", F.struct("event_type", (F.col("value") > 10).alias("bold")).alias("style"))
+    return first_seen(styled, "style", [F.col("event_id")]).select("style.event_type", "style.bold", (F.col("id") + 1).alias("id"))
 
 
 @query("agg26_text_quality", "SELECT doc_id, contains(text, 'Licensed') AS hit, CAST(length(regexp_replace(text, '[^\\x{AC00}-\\x{D7A3}]', '', 'g')) AS BIGINT) AS hangul, CAST(length(text) - length(replace(text, chr(65533), '')) AS BIGINT) AS broken FROM documents")
@@ -223,9 +225,8 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.contains("text", F.lit("Licensed")).alias("hit"), F.regexp_count("text", F.lit(r"[\x{AC00}-\x{D7A3}]")).cast("long").alias("hangul"), F.regexp_count("text", F.lit("�")).cast("long").alias("broken"))
 
 
-@query("join14_probes", "SELECT item_id, count(*) AS documents FROM (SELECT item_id, left(text, 24) AS probe FROM benchmark) b JOIN documents d ON contains(d.text, b.probe) GROUP BY item_id")
+@query("join14_probes", "SELECT item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def _(spark, sf_dir):
-    """A probe is looked for in every text: few probes, checked by the join's size, against all rows."""
-    probes = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(24)).alias("probe"))
-    docs = table(spark, sf_dir, "documents").select("text")
-    return docs.join(probes, F.contains(docs["text"], probes["probe"])).groupBy("item_id").agg(F.count("*").alias("documents"))
+    """Documents that hold the whole text of an item."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("probe"))
+    return containing(table(spark, sf_dir, "documents"), items).join(items, "probe").groupBy("item_id").agg(F.count("*").alias("documents"))

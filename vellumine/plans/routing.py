@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellumine.operators.numbering import least_free
 from vellumine.plans.registry import query
 from vellumine.shared import table
 from vellumine.sources import formats as fm
@@ -118,13 +119,11 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("batch")).agg(n("F").alias("ok"), n("O").alias("failed"), n("P").alias("warned"), F.when(n("O") > 0, 1).otherwise(0).alias("exit_code"))
 
 
-@query("snk32_numbered_names", "SELECT name, min(n) AS free FROM (SELECT DISTINCT c_mktsegment AS name, unnest(range(1, 31)) AS n FROM customer) x WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_mktsegment = x.name AND c.c_nationkey + 1 = x.n AND c.c_custkey % 2 = 0) GROUP BY name")
+@query("snk32_numbered_names", "WITH t AS (SELECT DISTINCT c_mktsegment AS name, c_nationkey + 1 AS n FROM customer WHERE c_custkey % 2 = 0), w AS (SELECT DISTINCT c_mktsegment AS name FROM customer) SELECT name, CAST(min(n) AS BIGINT) AS free FROM (SELECT name, 1 AS n FROM w UNION ALL SELECT name, n + 1 FROM t) x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.name = x.name AND t.n = x.n) GROUP BY name")
 def _(spark, sf_dir):
-    """The first free number of a name: candidates less those taken."""
-    c = table(spark, sf_dir, "customer")
-    wanted = c.select(F.col("c_mktsegment").alias("name")).distinct().select("name", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long"))).alias("n"))
-    taken = c.where("c_custkey % 2 = 0").select(F.col("c_mktsegment").alias("name"), (F.col("c_nationkey") + 1).cast("long").alias("n"))
-    return wanted.join(taken, ["name", "n"], "left_anti").groupBy("name").agg(F.min("n").alias("free"))
+    """The first free number of each name, whatever is taken."""
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "name")
+    return least_free(c.select("name", F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey") + 1).cast("long").alias("n")), "name", "n")
 
 
 @query("join01_style_lookup", "SELECT e.event_id, coalesce(s.pt, 10.5::DOUBLE) AS pt, coalesce(s.bold, false) AS bold FROM events e LEFT JOIN (SELECT p_partkey AS id, p_size / 2::DOUBLE AS pt, p_size > 25 AS bold FROM part WHERE p_partkey % 3 > 0) s ON s.id = e.user_id")

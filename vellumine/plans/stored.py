@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from vellumine.plans.registry import query
 from vellumine.shared import checkpoint_root, table
 from vellumine.sinks.committed import write_files
+from vellumine.sources.files import scan
+from vellumine.sources.formats import sniff
 from vellumine.sources.lines import read_lines
 
 
+def name_of(path: str):
+    return F.regexp_extract(path, "([^/]*)$", 1)
+
+
 def folder(spark) -> str:
     return f"{checkpoint_root(spark)}/files/{uuid.uuid4().hex}"
 
@@ -56,3 +62,19 @@ def _(spark, sf_dir):
     write_files(files, at)
     got = read_lines(spark, at, columns="path string, at long, text string", encoding="utf-8")
     return got.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "at", "text")
+
+
+@query("snk33_verified_files", """SELECT name, CASE WHEN k % 5 = 0 THEN false WHEN k % 3 = 2 THEN k % 7 NOT IN (1, 2) WHEN k % 7 = 3 THEN false WHEN k % 7 IN (1, 2) THEN k % 7 - 1 = k % 3 ELSE true END AS ok FROM (SELECT 'p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.rtf' ELSE '.txt' END AS name, p_partkey AS k FROM part)""")
+def _(spark, sf_dir):
+    """Files of parts, committed and opened again: good if they aren't empty and their first bytes don't speak against their names."""
+    at, k = folder(spark), F.col("p_partkey")
+    ext = F.when(k % 3 == 0, "pdf").when(k % 3 == 1, "rtf").otherwise("txt")
+    magic = F.when(k % 7 == 1, "%PDF-1.4 ").when(k % 7 == 2, "{\\rtf1 ").when((k % 7 == 3) | (ext == "txt"), "").when(ext == "pdf", "%PDF-1.7 ").otherwise("{\\rtf1 ")
+    content = F.when(k % 5 == 0, "").otherwise(F.concat(magic, "p_name"))
+    report = f"{folder(spark)}-report"
+    write_files(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string"), F.lit("."), ext).alias("name"), F.encode(content, "UTF-8").alias("content"), k.cast("string").alias("source")), at, report=report)
+    written = spark.read.schema("saved string").json(report).select(name_of("saved").alias("name"))
+    opened = scan(spark, at).select(name_of("path").alias("name"), "content", "length")  # the scan passes over empty files
+    said, named = sniff(F.col("content")), F.regexp_extract("name", r"\.([^.]*)$", 1)
+    fits = F.when(named == "txt", said.isNull()).otherwise(F.coalesce(said == named, F.lit(False)))
+    return written.join(opened, "name", "left").select("name", (F.coalesce(F.col("length") > 0, F.lit(False)) & fits).alias("ok"))

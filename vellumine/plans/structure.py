@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellumine.operators import folds, numbering, probes, spatial, trees
-from vellumine.plans.documents import LINES, lines
 from vellumine.plans.registry import query
 from vellumine.plans.tables import CELLS, RECTS, cells, rects
 from vellumine.shared import table
@@ -72,13 +71,6 @@ def _(spark, sf_dir):
 # --- probes
 
 
-@query("join14_whole_probes", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def _(spark, sf_dir):
-    """Documents that hold a whole text of the benchmark."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("probe"))
-    return probes.containing(table(spark, sf_dir, "documents"), items).join(items, "probe").select("item_id", "doc_id")
-
-
 @query("join14_name_probes", "SELECT probe, count(*) AS parts FROM (SELECT DISTINCT p_brand AS probe FROM part UNION SELECT DISTINCT right(p_type, 5) FROM part) x JOIN part p ON contains(p.p_name || ' ' || p.p_type || ' ' || p.p_brand, x.probe) GROUP BY probe")
 def _(spark, sf_dir):
     """Short probes: brands and ends of types in the names, types and brands of parts."""
@@ -131,15 +123,6 @@ def _(spark, sf_dir):
     return spatial.table_cells(spatial.ruled_tables(ruling), words)
 
 
-@query("join05_outside_cells", f"""WITH r AS (SELECT page, n, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM {RECTS}), t AS (SELECT page, x0, y0, x0 + 210 AS x1, y0 + 130 AS y1 FROM r WHERE n % 40 = 3)
-  SELECT page, n AS id FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = r.page AND greatest(0.0, least(r.x1, t.x1) - greatest(r.x0, t.x0)) * greatest(0.0, least(r.y1, t.y1) - greatest(r.y0, t.y0)) / greatest(1e-6, (r.x1 - r.x0) * (r.y1 - r.y0)) >= 0.55)""")
-def _(spark, sf_dir):
-    """Text items outside tables, by cells of the page: many tables to a page cost no more than those nearby."""
-    r = rects(spark, sf_dir)
-    box = lambda w, h: ("page", F.col("n").alias("id"), "x0", "y0", (F.col("x0") + w).alias("x1"), (F.col("y0") + h).alias("y1"))
-    return spatial.outside(r.select(*box(F.col("w"), F.col("h"))), r.where("n % 40 = 3").select(*box(F.lit(210), F.lit(130))), 0.55).select("page", "id")
-
-
 # --- numbers across a whole table
 
 
@@ -158,7 +141,7 @@ def _(spark, sf_dir):
 
 
 @query(
-    "set02_one_sheet",
+    "set02_sheet_concat",
     f"""WITH x AS (SELECT table_id, -2 AS r, '' AS line FROM {CELLS} WHERE table_id > (SELECT min(o_custkey) FROM orders) GROUP BY table_id
   UNION ALL SELECT DISTINCT table_id, -1, '# S' || table_id FROM {CELLS}
   UNION ALL SELECT table_id, r, string_agg(text, chr(9) ORDER BY c) FROM {CELLS} GROUP BY table_id, r)
@@ -188,13 +171,6 @@ def _(spark, sf_dir):
 # --- folds
 
 
-@query("fn28_wrapped_lines", f"SELECT doc_id, ord, CAST(n AS INTEGER) AS n, substr(line, n * k + 1, k) AS piece FROM (SELECT doc_id, ord, line, k, unnest(range(0, greatest(1, CAST(ceil(length(line) / k) AS BIGINT)))) AS n FROM (SELECT doc_id, ord, CASE WHEN ord % 2 = 1 THEN repeat('漢', CAST(length(line) AS INTEGER)) ELSE line END AS line, CASE WHEN ord % 2 = 1 THEN 45 ELSE 90 END AS k FROM {LINES}))")
-def _(spark, sf_dir):
-    """Lines of at most 90 cells, by a fold without Python; wide characters, here every second line's, take two."""
-    made = F.when(F.col("ord") % 2 == 1, F.regexp_replace("line", r"(?s).", "漢")).otherwise(F.col("line"))
-    return lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(folds.wrap(made)).alias("n", "piece"))
-
-
 @query("join07_spanned_slots")
 def _(spark, sf_dir):
     """Lines of orders as cells of rows of a supplier's table, with spans both ways; each takes the next column that is free."""

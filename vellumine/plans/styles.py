@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellumine.functions import styles as st
+from vellumine.operators import folds
 from vellumine.operators import rules as ru
 from vellumine.operators.blocks import joined, md_paragraph
 from vellumine.plans.documents import BLOCKS, LINES, RUNS, blocks, lines, runs
 from vellumine.plans.registry import query
+from vellumine.plans.scalars import SPACE
 from vellumine.plans.tables import CELLS, RECTS, cells, rects
 from vellumine.shared import table
 from vellumine.sources import formats as fm
@@ -240,6 +242,29 @@ def _(spark, sf_dir):
     return b.withColumn("item", F.concat("opens", F.lit("<li>"), "text", F.lit("</li>"), "closes")).groupBy("doc_id").agg(joined("item", "").alias("html"))
 
 
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@query("snk07_whole_pages", f"""WITH b AS (SELECT * REPLACE (CASE WHEN kind = 'page_break' THEN 'none' ELSE list_kind END AS list_kind) FROM {BLOCKS}),
+t AS (SELECT doc_id, coalesce(arg_min(left(regexp_replace(text, '^[{SPACE}]+|[{SPACE}]+$', '', 'g'), 120), ord) FILTER (regexp_matches(text, '[^{SPACE}]')), '') AS title FROM b GROUP BY doc_id),
+h AS (SELECT doc_id, ord, CASE WHEN list_kind <> 'none' AND list_kind <> lag(list_kind, 1, 'none') OVER w THEN CASE list_kind WHEN 'bullet' THEN '<ul>' ELSE '<ol>' END ELSE '' END
+  || CASE WHEN kind = 'page_break' THEN '<hr>' WHEN list_kind <> 'none' THEN '<li>' || {_ESC.format('text')} || '</li>' WHEN NOT regexp_matches(text, '[^{SPACE}]') THEN '<p>&nbsp;</p>' WHEN heading > 0 THEN '<h' || least(6, heading) || '>' || {_ESC.format('text')} || '</h' || least(6, heading) || '>' ELSE '<p>' || {_ESC.format('text')} || '</p>' END
+  || CASE WHEN list_kind <> 'none' AND list_kind <> lead(list_kind, 1, 'none') OVER w THEN CASE list_kind WHEN 'bullet' THEN '</ul>' ELSE '</ol>' END ELSE '' END AS html FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
+SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head><meta charset="utf-8"><title>' || {_ESC.format('any_value(title)')} || '</title></head>' || chr(10) || '<body>' || chr(10) || string_agg(html, chr(10) ORDER BY ord) || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS html FROM h JOIN t USING (doc_id) GROUP BY doc_id""")
+def _(spark, sf_dir):
+    from vellumine.operators.blocks import html_pages
+
+    return html_pages(blocks(spark, sf_dir))
+
+
+@query("fn21_sheet_columns", "SELECT c_custkey, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 AS INTEGER)) ELSE '' END || CASE WHEN n > 26 THEN chr(CAST(65 + (n - 27) // 26 % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters, CAST(n AS INTEGER) AS number, CASE WHEN w > 0 THEN w * 7 * 72 / 96 END AS pt FROM (SELECT c_custkey, 1 + c_custkey * 37 % 16384 AS n, floor(c_acctbal / 100) AS w FROM customer)")
+def _(spark, sf_dir):
+    """Columns by their letters, with the widths that the sheet declares, in points; no width where it declares none."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (1 + F.col("c_custkey") * 37 % 16384).cast("int").alias("n"), F.floor(F.col("c_acctbal") / 100).cast("double").alias("w"))
+    letters = c.select("c_custkey", "w", ru.column_letters(F.col("n")).alias("letters"))
+    return letters.select("c_custkey", "letters", ru.column_number(F.col("letters")).alias("number"), F.when(F.col("w") > 0, F.col("w") * 7 * 72 / 96).alias("pt"))
+
+
 @query("snk14_sheet_files", "SELECT c_custkey, CASE WHEN n = 1 THEN 'book' || c_nationkey || '.csv' ELSE 'book' || c_nationkey || '_' || c_mktsegment || '.csv' END AS file FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer)")
 def _(spark, sf_dir):
     """The primary sheet takes the book's name, the others add their own."""
@@ -253,9 +278,14 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", ru.core_property(F.col("text")).alias("title"))
 
 
-@query("snk30_fallback_pages", f"SELECT doc_id, ord // 50 AS page, count(*) AS lines FROM {LINES} GROUP BY doc_id, ord // 50")
+@query("snk30_fallback_pages", f"""SELECT doc_id, n // 50 AS page, string_agg(piece, chr(10) ORDER BY n) AS text FROM (
+  SELECT doc_id, piece, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) - 1 AS INTEGER) AS n FROM (SELECT doc_id, ord, k, substr(line, k * 90 + 1, 90) AS piece FROM (SELECT doc_id, ord, translate(line, 'éèêàâäöüßñáíóúç', 'eeeaaaousnaiouc') AS line, unnest(range(0, greatest(1, CAST(ceil(length(line) / 90) AS BIGINT)))) AS k FROM {LINES}))) GROUP BY doc_id, n // 50""")
 def _(spark, sf_dir):
-    return lines(spark, sf_dir).groupBy("doc_id", ru.plain_page(F.col("ord")).alias("page")).agg(F.count("*").alias("lines"))
+    """Documents as plain pages of 50 lines, each wrapped at 90 cells."""
+    plain = F.translate("line", "éèêàâäöüßñáíóúç", "eeeaaaousnaiouc")
+    pieces = lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(folds.wrap(plain)).alias("k", "piece"))
+    at = pieces.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "k")) - 1)
+    return at.groupBy("doc_id", ru.plain_page(F.col("n")).alias("page")).agg(joined("piece", "\n", "n").alias("text"))
 
 
 @query("snk33_verified_outputs", "SELECT o_orderkey, o_custkey % 5 > 0 AND o_custkey % 3 <> 1 AS ok FROM orders")
@@ -314,4 +344,4 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Lines of at most 90 cells; wide characters, here every second line's, take two."""
     made = F.when(F.col("ord") % 2 == 1, F.regexp_replace("line", r"(?s).", "漢")).otherwise(F.col("line"))
-    return lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(ru.wrap(made)).alias("n", "piece"))
\ No newline at end of file
+    return lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(folds.wrap(made)).alias("n", "piece"))
\ No newline at end of file

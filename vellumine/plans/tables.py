@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumine.operators import grids as ops
 from vellumine.operators import rules as ru
+from vellumine.operators import spatial
 from vellumine.plans.registry import query
 from vellumine.plans.scalars import SPACE
 from vellumine.shared import table
@@ -129,10 +130,15 @@ def _(spark, sf_dir):
     return ops.primary_sheet(w)
 
 
-@query("srt06_primary_first", f"SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id % 97 ORDER BY weight DESC, table_id) AS BIGINT) AS place FROM {_WEIGHT}")
+_SHEETS = f"(SELECT table_id % 97 AS book, table_id AS sheet, CASE WHEN table_id % 5 < 4 THEN weight % 45 ELSE weight END AS weight FROM {_WEIGHT})"
+
+
+@query("srt06_primary_first", f"""SELECT s.book, s.sheet, row_number() OVER (PARTITION BY s.book ORDER BY CASE WHEN s.sheet = p.sheet THEN 0 ELSE 1 END, s.sheet) AS place FROM {_SHEETS} s JOIN (
+  SELECT book, CASE WHEN fw >= 50 OR hw <= fw THEN f ELSE h END AS sheet FROM (SELECT book, min(sheet) AS f, arg_min(weight, sheet) AS fw, max(weight) AS hw, arg_max(sheet, (weight, -sheet)) AS h FROM {_SHEETS} GROUP BY book)) p USING (book)""")
 def _(spark, sf_dir):
-    w = ops.sheet_weights(cells(spark, sf_dir))
-    return w.select("table_id", F.row_number().over(Window.partitionBy(F.col("table_id") % 97).orderBy(F.desc("weight"), "table_id")).cast("long").alias("place"))
+    """The sheets of a book: the primary one first, the others in their order."""
+    w = ops.sheet_weights(cells(spark, sf_dir)).select((F.col("table_id") % 97).alias("book"), F.col("table_id").alias("sheet"), F.when(F.col("table_id") % 5 < 4, F.col("weight") % 45).otherwise(F.col("weight")).alias("weight"))
+    return ops.primary_first(w)
 
 
 @query("prj15_header_guess", f"SELECT table_id, coalesce(bool_or(r = 0 AND NOT ({BLANK})), false) AND NOT coalesce(bool_or(r = 0 AND kind IN ('int', 'float')), false) AND coalesce(bool_or(r = 1 AND kind IN ('int', 'float', 'date')), false) AS header FROM (SELECT *, CASE WHEN c = 1 AND (r > 0 OR table_id % 2 = 0) THEN 'int' ELSE 'text' END AS kind FROM {CELLS}) GROUP BY table_id")
@@ -156,14 +162,6 @@ def _(spark, sf_dir):
     return got.select("table_id", "c", F.when(F.col("n") > 0, F.col("text")).alias("text"))
 
 
-@query("set02_sheet_concat", f"SELECT table_id, count(*) + CASE WHEN table_id > (SELECT min(o_custkey) FROM orders) THEN 2 ELSE 1 END AS rows FROM (SELECT DISTINCT table_id, r FROM {CELLS}) GROUP BY table_id")
-def _(spark, sf_dir):
-    """Rows of each sheet in one sheet for all: a blank row between sheets, a row with its name, its rows."""
-    own = cells(spark, sf_dir).where("c = 0").groupBy("table_id").agg(F.count("*").alias("n"))
-    first = cells(spark, sf_dir).agg(F.min("table_id").alias("first"))
-    return own.join(F.broadcast(first)).select("table_id", (F.col("n") + F.when(F.col("table_id") > F.col("first"), 2).otherwise(1)).alias("rows"))
-
-
 @query("lim01_row_cap", f"SELECT table_id, r, c FROM {CELLS} WHERE r < 4")
 def _(spark, sf_dir):
     return ru.capped(cells(spark, sf_dir), 4).select("table_id", "r", "c")
@@ -201,12 +199,10 @@ def rects(spark, sf_dir):
 @query("join05_outside_tables", f"""WITH r AS (SELECT page, n, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM {RECTS}), t AS (SELECT page, x0, y0, x0 + 150 AS x1, y0 + 90 AS y1 FROM r WHERE n % 50 = 1)
   SELECT page, n FROM r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = r.page AND greatest(0.0, least(r.x1, t.x1) - greatest(r.x0, t.x0)) * greatest(0.0, least(r.y1, t.y1) - greatest(r.y0, t.y0)) / greatest(1e-6, (r.x1 - r.x0) * (r.y1 - r.y0)) >= 0.55)""")
 def _(spark, sf_dir):
-    """Text items that no table of their page covers by 0.55 of their area; few tables to a page."""
-    box = lambda w, h: F.struct("x0", "y0", (F.col("x0") + w).alias("x1"), (F.col("y0") + h).alias("y1"))
+    """Text items that no table of their page covers by 0.55 of their area: compared by cells of the page."""
+    box = lambda w, h: ("page", F.col("n").alias("id"), "x0", "y0", (F.col("x0") + w).alias("x1"), (F.col("y0") + h).alias("y1"))
     r = rects(spark, sf_dir)
-    items, tables = r.select("page", "n", box(F.col("w"), F.col("h")).alias("own")), r.where("n % 50 = 1").select(F.col("page").alias("t_page"), box(F.lit(150), F.lit(90)).alias("other"))
-    cover = ops.overlap_share(items["own"], tables["other"]) >= 0.55
-    return items.join(tables, (F.col("page") == F.col("t_page")) & cover, "left_anti").select("page", "n")
+    return spatial.outside(r.select(*box(F.col("w"), F.col("h"))), r.where("n % 50 = 1").select(*box(F.lit(150), F.lit(90))), 0.55).select("page", F.col("id").alias("n"))
 
 
 @query("srt01_page_order", f"SELECT page, n, row_number() OVER (PARTITION BY page ORDER BY y0, n % 3, n) AS place FROM {RECTS}")
