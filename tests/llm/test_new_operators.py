@@ -221,3 +221,66 @@ def test_whitening_of_few_flat_and_huge_vectors(spark):
     huge = whitening.whiten(spark.createDataFrame([row(1, [2.0**39]), row(2, [-(2.0**39)]), row(3, [2.0**45]), row(4, [0.0])], schema)).collect()
     assert {r["vec_id"]: r["deviation"] for r in huge} == {1: None, 2: None, 4: 0}
     assert abs(sum(r["whitened"] ** 2 for r in huge) / 3 - 1) < 1e-9
+
+
+# --- contracts of the earlier operators
+
+
+def test_columns_of_the_caller_stay(spark):
+    from vellumine.llm import decontam, pii, simhash
+
+    docs = cases.clashing(spark)
+    for c in ("__own", "__copy", "__new", "__salt", "_kc", "_kid", "_kcopy", "__droppedid"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    bench = spark.createDataFrame([(1, "no such passage of words at all in any of these texts today")], "item_id long, text string")
+    for got in (decontam.decontaminate(docs, bench), simhash.keep_one(docs), pii.sanitise(docs), pii.sanitise(docs, limit=0)):
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r[c] == "kept" for r in rows for c in ("__own", "__copy", "__new", "__salt", "_kc", "_kid", "_kcopy", "__droppedid")) and {r["_copy"] for r in rows} == {"x"}
+
+
+def test_every_other_row_is_a_candidate(spark):
+    from vellumine.llm import ann
+
+    rows = [(0, [1.0, 2.0]), (0, [2.0, 1.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (20, [2.0, 1.5])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    want = []
+    for k, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(rows) if m != k)
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_terms_in_any_capitals(spark):
+    from vellumine.llm import pii
+
+    texts = [f"{name} met {k} people, mail k@example.org about {name}" for name in ("İzmirli", "Xzmirli") for k in ("five", "six", "ten", "two")]
+    docs = spark.createDataFrame(list(enumerate(texts + [f"nothing here {k}" for k in range(40)])), "doc_id long, text string")
+    found = {r["term"] for r in pii.disclosing_terms(docs).collect()}
+    assert {"xzmirli", "i̇zmirli"} <= found
+
+
+def test_links_and_openings_of_unmarked_pages_stay(spark):
+    from vellumine.llm import html_template
+
+    long = "words of the article that say something about the matter at hand " * 3
+    pages = [
+        (1, "http://a.test/1", f"<body><p>{long}</p><p><a href=x>a paragraph that is a link</a></p><p>{long}</p></body>"),
+        (2, "http://a.test/2", f"<body><p>An opening before the box.</p><div><p>{long}</p><p>{long}</p></div></body>"),
+        (3, "http://b.test/3", f"<body><ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul><div><a href=3>Only</a> <a href=4>links</a></div><p data-x=it's>Hello {long}</p><p title=\"a > b\" id=x>More</p><p class='y'>End</p></body>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in html_template.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    plain = long.strip()
+    assert got == {1: f"{plain} a paragraph that is a link {plain}", 2: f"An opening before the box. {plain} {plain}", 3: f"Hello {plain} More End"}
+
+
+def test_thresholds_come_from_unseen_text(spark):
+    from vellumine.llm import quality
+
+    docs = spark.createDataFrame([(k, cases.words(k, 60), "en", "s", 1) for k in range(80)], cases.DOCS)
+    marks = spark.createDataFrame([(k, 1, 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    held = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(quality.HELD_OUT)) == 0).collect()}
+    rows = quality.score(docs, marks).collect()
+    assert 5 < len(held) < 40 and rows[0]["threshold"] == max(r["perplexity"] for r in rows if r["doc_id"] in held)
+    assert np.mean([r["perplexity"] for r in rows if r["doc_id"] in held]) > np.mean([r["perplexity"] for r in rows if r["doc_id"] not in held])

@@ -271,7 +271,7 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
     lengths = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (20, [1.0, 1.0, 1.0]), (21, [0.0, 1.0, 1.0]), (20, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
-    assert sorted(tuple(r) for r in ann.nearest(lengths, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 1, 0.5), (0, 2, 1, 0.5), (20, 1, 21, 2.0)]
+    assert sorted(tuple(r) for r in ann.nearest(lengths, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 1, 0.5), (0, 2, 1, 0.5), (20, 1, 20, 3.0), (20, 1, 20, 3.0), (20, 2, 21, 2.0), (20, 2, 21, 2.0)]
     assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 0.5)]
 
 

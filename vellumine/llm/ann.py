@@ -120,10 +120,10 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
 
-def search_part(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query_id, vec_id, score) of the best ``k`` of these rows for each query."""
+def search_part(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query's row, vec_id, score) of the best ``k`` of these rows for each query, which is told from the others by its row, not its id."""
     order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order], codes[order]
+    rows, ids, x, codes = rows[order], ids[order], x[order], codes[order]
     _, first, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
     by_group = np.argsort(group, kind="stable")  # within a group by id
     starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
@@ -146,14 +146,14 @@ def search_part(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np
             top = np.lexsort((ids[first[chosen]], -score))[: k + 1]
             members, scores = [], []
             for g, s in zip(chosen[top], score[top], strict=True):
-                own = ids[by_group[starts[g] : min(starts[g] + k + 1, starts[g + 1])]]
+                own = by_group[starts[g] : min(starts[g] + k + 1, starts[g + 1])]
                 members.append(own)
                 scores.append(np.full(len(own), s))
             member, score = np.concatenate(members), np.concatenate(scores)
-            keep = member != query_ids[at + i]
-            member, score = member[keep], score[keep]
+            keep = rows[member] != query_rows[at + i]
+            member, score = ids[member[keep]], score[keep]
             top = np.lexsort((member, -score))[:k]
-            yield np.full(len(top), query_ids[at + i]), member[top], score[top]
+            yield np.full(len(top), query_rows[at + i]), member[top], score[top]
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec_id", vector: str = "embedding", rerank: int = RERANK) -> DataFrame:
@@ -179,17 +179,19 @@ def _of_length(rows: DataFrame, is_query: Column, k: int, rerank: int) -> DataFr
             codes = packed(encode(np.stack(b["x"].to_numpy()), model.value["books"], model.value["eta"])) if len(b) else []
             yield pd.DataFrame({"vec_id": b["vec_id"], "x": b["x"], "codes": [c.tobytes() for c in codes]})
 
-    indexed = cut(rows.mapInPandas(index, "vec_id long, x array<double>, codes binary"), "codes")
-    asked = indexed.where(is_query).groupBy("vec_id").agg(F.min("x").alias("x"))
+    coded = rows.mapInPandas(index, "vec_id long, x array<double>, codes binary")
+    indexed = cut(coded.withColumn("row", F.monotonically_increasing_id()), "codes")
+    asked = indexed.where(is_query).select("row", "vec_id", "x")
     blocks = max(1, -(-asked.count() // BLOCK))
     merged = None
     for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toPandas()
+        part = asked.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block).toPandas()
         if not len(part):
             continue
-        shared = spark.sparkContext.broadcast((part["vec_id"].to_numpy(np.int64), np.stack(part["x"].to_numpy())))
-        found = indexed.mapInPandas(_scan(shared, model, k, rerank), "query_id long, vec_id long, score double")
-        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        part = part.sort_values("row")
+        shared = spark.sparkContext.broadcast((part["row"].to_numpy(np.int64), part["vec_id"].to_numpy(np.int64), np.stack(part["x"].to_numpy())))
+        found = indexed.mapInPandas(_scan(shared, model, k, rerank), "query_row long, query_id long, vec_id long, score double")
+        by = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
         found = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if blocks > 1:  # the driver holds one block of queries at a time
             found = cut(found, "nearest")
@@ -221,9 +223,12 @@ def _scan(shared: Any, model: Any, k: int, rerank: int):
             if not len(b):
                 continue
             codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)
-            got = list(search_part(b["vec_id"].to_numpy(np.int64), np.stack(b["x"].to_numpy()), codes, *shared.value, model.value["books"], k, rerank))
+            rows, _, queries = shared.value
+            got = list(search_part(b["row"].to_numpy(np.int64), b["vec_id"].to_numpy(np.int64), np.stack(b["x"].to_numpy()), codes, rows, queries, model.value["books"], k, rerank))
             best.add(*map(np.concatenate, zip(*got, strict=True)))
+        rows, ids, _ = shared.value
         for a in range(0, len(best.query), 100_000):
-            yield pd.DataFrame({"query_id": best.query[a : a + 100_000], "vec_id": best.vec[a : a + 100_000], "score": best.score[a : a + 100_000]})
+            query = best.query[a : a + 100_000]
+            yield pd.DataFrame({"query_row": query, "query_id": ids[np.searchsorted(rows, query)], "vec_id": best.vec[a : a + 100_000], "score": best.score[a : a + 100_000]})
 
     return scan

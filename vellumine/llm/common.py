@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.shared import BROADCAST_BYTES, cut, sized_join  # noqa: F401
+from vellumine.shared import BROADCAST_BYTES, cut, fresh, sized_join  # noqa: F401
 
 
 def carried(key: str) -> Column:
@@ -20,9 +20,10 @@ def restored(df: DataFrame, key: str) -> DataFrame:
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, by: Column, how: str = "left", *, salts: int = 32) -> DataFrame:
     """``large`` joined to ``small``: rows of one key are dealt by ``by`` to ``salts`` tasks, each with a copy of its partners."""
-    left = large.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    salt = fresh(large, small, stem="salt")
+    left = large.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, salt], how).drop(salt)
 
 
 def distinct_texts(docs: DataFrame, text: str = "text") -> DataFrame:

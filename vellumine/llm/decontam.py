@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import BROADCAST_BYTES, salted_join, sized_join
-from vellumine.shared import cut
+from vellumine.shared import cut, fresh
 
 #: Which of neighbouring tokens each mask looks at, for items of ``LEAST`` tokens or more.
 MASKS = ("111011", "11001011", "11111")
@@ -115,6 +115,7 @@ def _met(large: DataFrame, small: DataFrame, key: str, by: Column, row_bytes: in
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, identity: float = IDENTITY, stretch: int = STRETCH) -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns."""
-    bad = cut(leaks(docs, benchmark, identity=identity, stretch=stretch).select(F.col("copy").alias("_copy")).distinct(), "leaking")
-    kept = sized_join(docs.withColumn("_copy", F.xxhash64("text")), bad, "_copy", "left_anti", row_bytes=40)
+    copy = fresh(docs, stem="copy")
+    bad = cut(leaks(docs, benchmark, identity=identity, stretch=stretch).select(F.col("copy").alias(copy)).distinct(), "leaking")
+    kept = sized_join(docs.withColumn(copy, F.xxhash64("text")), bad, copy, "left_anti", row_bytes=40)
     return kept.select(*docs.columns)

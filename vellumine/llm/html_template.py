@@ -19,8 +19,9 @@ Pass 2 takes the template's text away and keeps the slots of the region. Within
 those that stand in menus, sidebars, notices, adverts, forms, comments and the like by
 their tags or names; names outside the region say nothing. A marked article
 that holds most of the region's text sets the bounds instead, since a region may leave out
-a title or an opening. Pages without a region are judged alone, in the same way, by
-the smallest element that holds most of the varying text.
+a title or an opening. In pages without a region or a marked article everything stays that
+is neither of the template nor beside by its tags and names, but for menus: text that is
+mostly links in a list, or in an element without other text.
 
 Cases: null or empty html gives an empty text. A null URL, or one without ``://``,
 belongs to the host ''. Hosts with fewer than ``LEAST_PAGES`` pages have no template,
@@ -48,12 +49,12 @@ from vellumine.shared import cut
 
 #: Pages that a template class must stand in: so many, and this share of the host's.
 LEAST_PAGES, LEAST_SHARE = 3, 0.1
-#: Share of a page's varying text that an element must hold to be its article when none is marked.
+#: Share of a host's varying text that an element must hold to frame its articles.
 MOST = 0.7
 #: Tokens that a task holds before it sends them on.
 HELD = 400_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[/!?][^>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|(?![\"'])[^\s>]*))*+)(?:>|\Z)|<[/!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -63,6 +64,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+LISTED = frozenset("li dt dd td th".split())
 HOLDERS = frozenset("article body center div main section td".split())
 #: Elements that a new one of the same group closes, up to the element that holds the group.
 CLOSES = {
@@ -138,6 +140,10 @@ class Block:
         """Characters that count for a region."""
         return len(self.text) if 2 * self.links <= len(self.text) else 0
 
+    def menu(self, blocks: list[Block]) -> bool:
+        """Whether text that is mostly links stands in a list, or where no other text stands: a menu by its make."""
+        return self.tag in LISTED or not any(b.mass and b.parents[: len(self.parents)] == self.parents for b in blocks)
+
 
 def parse(page: str, names: _Names) -> tuple[list[Block], list[int]]:
     """The blocks of text, in page order, and the path key of every element."""
@@ -255,15 +261,8 @@ def slots(blocks: list[Block], template: frozenset[int], regions: frozenset[int]
         if marked and 2 * sum(b.mass for b in marked if id(b) in held) >= whole:
             return [b.text for b in _varying(marked, template)]
     if whole:
-        return _with_title(_varying([b for b in kept if b.mass], template), frame)
-    varying = _varying([b for b in kept if b.mass], template)
-    mass: dict[int, int] = {}
-    for b in varying:
-        for e in b.parents:
-            mass[e] = mass.get(e, 0) + len(b.text)
-    total = sum(len(b.text) for b in varying)
-    enough = [e for e, m in mass.items() if m >= MOST * total]
-    return _with_title(varying, max(enough, key=lambda e: next(b.parents.index(e) for b in varying if e in b.parents), default=None))
+        return _with_title(_varying(kept, template), frame)
+    return [b.text for b in _varying([b for b in kept if b.mass or not b.menu(kept)], template)]
 
 
 def _with_title(blocks: list[Block], frame: int | None) -> list[str]:

@@ -20,19 +20,17 @@ clash with the result's names are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import BROADCAST_BYTES, carried, distinct_texts, restored, salted_join, sized_join
-from vellumine.shared import cut
+from vellumine.shared import cut, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 #: A term discloses an entity when it gives away at least this share of its information.
@@ -55,6 +53,11 @@ WORD = r"\p{L}{2,}"
 _WORD = regex.compile(WORD)
 
 
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text: words as they stand, then in small letters, as ``outside`` takes them."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -146,10 +149,10 @@ def disclosing_terms(docs: DataFrame, *, text: str = "text", disclosure: float =
     together = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     together = cut(together.where(F.col("n_both") >= support), "together")
     total = F.lit(float(max(docs.where(F.col(text) != "").select(F.xxhash64(text)).distinct().count(), 1)))
-    words = distinct_texts(docs, text).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("term"))
+    words = distinct_texts(docs, text).select(F.explode(_terms(F.col("text"))).alias("term"))
     asked = cut(together.select("term").distinct(), "asked-terms")
     whole = sized_join(words, asked, "term", "left_semi", row_bytes=200).groupBy("term").agg(F.count("*").alias("n_term"))
-    counted = sized_join(together.join(whole, "term"), counts, "entity", row_bytes=200).withColumn("n_term", F.greatest("n_term", "n_both"))
+    counted = sized_join(together.join(whole, "term", "left"), counts, "entity", row_bytes=200).withColumn("n_term", F.greatest("n_term", "n_both"))
     information = F.greatest(F.log(total / F.col("n_entity")), F.lit(1e-9))
     pmi = F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
     shares = counted.select("entity", "term", "n_both", "n_entity", "n_term", (pmi / information).alias("share"), (F.col("n_both") / F.col("n_term")).alias("given"))
@@ -186,13 +189,13 @@ def _of_texts(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     """copy, own (term, share): what to cover in each distinct text that has such terms."""
     held = holders(docs, text=text).select("copy", F.explode("entities").alias("entity"), "terms").join(terms, "entity").where(F.array_contains("terms", F.col("term"))).select("copy", "term", "share")
     everywhere = terms.where(F.startswith("entity", F.lit(f"{VALUE}:")) & (F.col("given") >= GIVEN)).groupBy("term").agg(F.max("share").alias("share"))
-    words = distinct_texts(docs, text).select("copy", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("term"))
+    words = distinct_texts(docs, text).select("copy", F.explode(_terms(F.col("text"))).alias("term"))
     found = held.unionByName(words.join(everywhere, "term").select("copy", "term", "share")).groupBy("copy", "term").agg(F.max("share").alias("share"))
     return found.groupBy("copy").agg(F.collect_list(F.struct("term", "share")).alias("own"))
 
 
-def _marked(docs: DataFrame, key: str, text: str, disclosure: float, support: int, limit: int) -> tuple[DataFrame, Any]:
-    """``docs`` with a column __own, and a function (text, own) -> base spans, disclosed terms.
+def _marked(docs: DataFrame, key: str, text: str, disclosure: float, support: int, limit: int) -> tuple[DataFrame, str, Any]:
+    """``docs`` with a new column, its name, and a function (text, that column) -> base spans, disclosed terms.
 
     Terms of at most ``limit`` bytes go to the tasks as they are. More are joined to the texts by
     the text's hash, both sides salted.
@@ -200,13 +203,14 @@ def _marked(docs: DataFrame, key: str, text: str, disclosure: float, support: in
     terms = cut(disclosing_terms(docs, text=text, disclosure=disclosure, support=support), "disclosing")
     size = terms.agg(F.sum(F.octet_length("entity") + F.octet_length("term") + 200)).first()[0] or 0
     none = F.array().cast("array<struct<term:string,share:double>>")
+    name, copy = fresh(docs, stem="own"), fresh(docs, stem="copy")
     if size <= limit:
         shared = docs.sparkSession.sparkContext.broadcast(_Model(terms.toPandas()))
-        source = docs.withColumn("__own", none)
+        source = docs.withColumn(name, none)
     else:
         shared = None
-        own = cut(_of_texts(docs, terms, text).select(F.col("copy").alias("__copy"), F.col("own").alias("__own")), "own-terms")
-        source = salted_join(docs.withColumn("__copy", F.xxhash64(text)), own, "__copy", F.col(key)).withColumn("__own", F.coalesce("__own", none)).drop("__copy")
+        own = cut(_of_texts(docs, terms, text).select(F.col("copy").alias(copy), F.col("own").alias(name)), "own-terms")
+        source = salted_join(docs.withColumn(copy, F.xxhash64(text)), own, copy, F.col(key)).withColumn(name, F.coalesce(name, none)).drop(copy)
 
     def look(t: str | None, given: Any) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, float]]]:
         spans = base_spans(t)
@@ -215,7 +219,7 @@ def _marked(docs: DataFrame, key: str, text: str, disclosure: float, support: in
         shares = shared.value.shares(named(t, spans) if spans else []) if shared is not None else {x["term"]: x["share"] for x in given}
         return spans, _disclosed(t, spans, shares)
 
-    return source, look
+    return source, name, look
 
 
 def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -223,13 +227,13 @@ def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", d
 
     One row per row of ``docs``.
     """
-    source, look = _marked(docs.select(carried(key).alias("_id"), F.col(text).alias("_text")), "_id", "_text", disclosure, support, limit)
+    source, name, look = _marked(docs.select(carried(key).alias("_id"), F.col(text).alias("_text")), "_id", "_text", disclosure, support, limit)
     schema = "doc_id string, kinds array<int>, starts array<int>, ends array<int>, disclosed array<struct<start:int,end:int,share:double>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for t, own in zip(b["_text"], b["__own"], strict=True):
+            for t, own in zip(b["_text"], b[name], strict=True):
                 spans, more = look(t, own)
                 rows.append(([KINDS.index(s[0]) for s in spans], [s[1] for s in spans], [s[2] for s in spans], [{"start": x, "end": y, "share": v} for x, y, v in more]))
             out = pd.DataFrame(rows, columns=["kinds", "starts", "ends", "disclosed"])
@@ -254,7 +258,7 @@ def sanitise(docs: DataFrame, *, key: str = "doc_id", text: str = "text", disclo
 
     All rows and columns stay. Only texts with a span are rewritten; a column n_chars then follows them.
     """
-    source, look = _marked(docs, key, text, disclosure, support, limit)
+    source, name, look = _marked(docs, key, text, disclosure, support, limit)
 
     @F.pandas_udf("string")
     def covered(texts: pd.Series, owns: pd.Series) -> pd.Series:
@@ -265,26 +269,18 @@ def sanitise(docs: DataFrame, *, key: str = "doc_id", text: str = "text", disclo
             out.append(_cover(t, cuts) if cuts else None)
         return pd.Series(out, dtype=object)
 
-    out = source.withColumn("__new", covered(F.col(text), F.col("__own")))
+    new = fresh(source, stem="new")
+    out = source.withColumn(new, covered(F.col(text), F.col(name)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__new").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn(text, F.coalesce("__new", F.col(text))).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn(text, F.coalesce(new, F.col(text))).select(*docs.columns)
 
 
 def report(found: DataFrame) -> DataFrame:
     """The contract's columns from ``personal_data``: counts, digest of the base spans, all spans as text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for kinds, starts, ends, added in zip(b["kinds"], b["starts"], b["ends"], b["added"], strict=True):
-                kinds = np.asarray(kinds, dtype=int)
-                base = ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in zip(kinds, starts, ends, strict=True))
-                more = ",".join(f"term:{x['start']}:{x['end']}" for x in added)
-                rows.append((*(int((kinds == i).sum()) for i in range(len(KINDS))), hashlib.sha256(base.encode()).hexdigest(), ",".join(filter(None, (base, more)))))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"])
-            yield out
-
-    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return restored(found.select(carried("doc_id").alias("doc_id"), "kinds", "starts", "ends", F.col("disclosed").alias("added")).mapInPandas(run, schema), "doc_id")
+    names = F.array(*map(F.lit, KINDS))
+    base = F.array_join(F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda s: F.concat_ws(":", F.get(names, s["kinds"]), s["starts"], s["ends"])), ",")
+    terms = F.array_join(F.transform("disclosed", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"])), ",")
+    counts = [(F.size("kinds") - F.size(F.array_remove("kinds", i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    spans = F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif(terms, F.lit("")))
+    return found.withColumn("base", base).select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))

@@ -10,11 +10,13 @@ To score, texts are dealt by hash to chunks of about ``CHUNK_BYTES``, compressed
 Each chunk asks for its distinct n-grams once; these are joined to the model, each n-gram once
 for all chunks; the answers return to their chunks, where a text's perplexity is one
 look-up for each character. A document is kept if its perplexity does not exceed a quantile of
-the trusted documents of its language.
+trusted texts of its language that the model has not seen: one in ``HELD_OUT`` sets thresholds
+and isn't counted.
 
 Cases: a null or empty text has no perplexity and is not kept. A null language counts
 as ''; a language without trusted text takes the threshold of all trusted text. With
-no trusted text at all every text that isn't empty is kept. Short texts are smoothed
+no trusted text at all every text that isn't empty is kept; where hashes leave one of the two
+sides without text, all trusted text serves both. Short texts are smoothed
 towards the mean of the trusted text by ``PRIOR`` symbols. A NUL counts as U+FFFD. Labels repeated
 for one document count as trusted if any is. Repeated rows stay, equal texts are scored once.
 Extra columns are kept by ``keep_good`` and left out by ``score``; names of the result win over
@@ -36,8 +38,10 @@ from vellumine.llm.common import salted_join, sized_join
 from vellumine.shared import cut
 
 ORDER = 5
-#: Share of the trusted documents of a language that stays below its threshold.
-QUANTILE = 0.998
+#: Share of the held-out trusted texts of a language that stays below its threshold.
+QUANTILE = 0.995
+#: One in so many of the trusted texts, by hash, sets thresholds and isn't counted.
+HELD_OUT = 4
 #: Symbols of mean trusted text that are added to each document.
 PRIOR = 64
 #: Text of a chunk; of a task that counts; and characters that are looked at together.
@@ -298,11 +302,14 @@ def rated(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE) ->
     """copy and _x (log perplexity) of the texts, _lang and _limit of the languages, and the limit of all others; None without trusted text."""
     lang = F.coalesce("lang", F.lit(""))
     trusted = sized_join(docs.select("doc_id", F.col("text").alias("text"), lang.alias("lang")), trusted_ids(labels), "doc_id", "left_semi", row_bytes=40).where("text <> ''")
-    model = train(trusted)
+    trusted = cut(trusted.select("lang", "text", F.xxhash64("text").alias("copy"), (F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(HELD_OUT)) == 0).alias("held")), "trusted")
+    sides = {r["held"] for r in trusted.groupBy("held").count().collect()}
+    counted, held = (trusted.where("not held"), trusted.where("held")) if len(sides) == 2 else (trusted, trusted)
+    model = train(counted)
     if model is None:
         return None, None, None
     scores = cut(text_scores(docs, model), "scores")
-    own = sized_join(trusted.select("lang", F.xxhash64("text").alias("copy")), scores, "copy", row_bytes=40)
+    own = sized_join(held.select("lang", "copy"), scores, "copy", row_bytes=40)
     mean = own.agg(F.avg(F.col("total") / F.col("n"))).first()[0]
     x = ((F.col("total") + mean * PRIOR) / (F.col("n") + PRIOR)).alias("_x")
     own = cut(own.select("lang", x), "trusted-scores")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import BROADCAST_BYTES, carried, restored, salted_join, sized_join
-from vellumine.shared import cut
+from vellumine.shared import cut, fresh
 
 SEED = 42
 BITS = 64
@@ -544,14 +544,15 @@ def keep_one(docs: DataFrame, *, radius: int = STAGE_RADIUS, similarity: float =
     gone = cut(_redundant(members, similarity, group_rows), "redundant")
 
     stays = classes.join(gone.select(F.col("id").alias("words")), "words", "left_anti").select(F.col("doc_id").alias("_did"), F.col("copy").alias("_dcopy"))
-    counted = prints.groupBy("doc_id", "copy").count().select(F.col("doc_id").alias("_kid"), F.col("copy").alias("_kcopy"), "count")
-    same = (F.col("_kcopy") == F.col("_dcopy")) & F.col("_kid").eqNullSafe(F.col("_did"))
-    drop = cut(counted.join(stays, same, "left_anti").select("_kid", "_kcopy"), "dropped")
-    repeated = cut(counted.where(F.col("count") > 1).join(stays, same, "left_semi").select("_kid", "_kcopy"), "repeated")
-    this = (F.col("_kc") == F.col("_kcopy")) & F.col(key).cast("long").eqNullSafe(F.col("_kid"))
-    kept = sized_join(docs.withColumn("_kc", F.xxhash64(text)), drop, this, "left_anti", row_bytes=48)
+    own_copy, its_id, its_copy = (fresh(docs, stem=stem) for stem in ("copy", "droppedid", "droppedcopy"))
+    counted = prints.groupBy("doc_id", "copy").count().select(F.col("doc_id").alias(its_id), F.col("copy").alias(its_copy), "count")
+    same = (F.col(its_copy) == F.col("_dcopy")) & F.col(its_id).eqNullSafe(F.col("_did"))
+    drop = cut(counted.join(stays, same, "left_anti").select(its_id, its_copy), "dropped")
+    repeated = cut(counted.where(F.col("count") > 1).join(stays, same, "left_semi").select(its_id, its_copy), "repeated")
+    this = (F.col(own_copy) == F.col(its_copy)) & F.col(key).cast("long").eqNullSafe(F.col(its_id))
+    kept = sized_join(docs.withColumn(own_copy, F.xxhash64(text)), drop, this, "left_anti", row_bytes=48)
     if not repeated.isEmpty():
-        kept = sized_join(kept, repeated, this, "left_anti", row_bytes=48).unionByName(sized_join(kept, repeated, this, "left_semi", row_bytes=48).dropDuplicates([key, "_kc"]))
+        kept = sized_join(kept, repeated, this, "left_anti", row_bytes=48).unionByName(sized_join(kept, repeated, this, "left_semi", row_bytes=48).dropDuplicates([key, own_copy]))
     return kept.select(*columns)
 
 

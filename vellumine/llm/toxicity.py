@@ -31,8 +31,8 @@ from vellumine.shared import cut
 
 #: Labelled documents that the fit uses at most.
 FIT_ROWS = 20_000
-#: Features that the model keeps at most, and the documents in which each must stand.
-FEATURES, LEAST_DOCS = 6_000, 4
+#: Documents in which a feature must stand, and the least that it must tell (G statistic).
+LEAST_DOCS, LEAST_G = 4, 3.0
 BEGINNINGS = range(4, 9)
 THRESHOLD = 0.3
 STEPS, RATE, RIDGE = 400, 0.05, 2e-4
@@ -83,8 +83,8 @@ def _chosen(bags: DataFrame) -> dict[str, int]:
 
     g = term(F.col("a"), with_it * (1 - rate)) + term(F.col("b"), with_it * rate)
     g = g + term(n0 - F.col("a"), (n0 + n1 - with_it) * (1 - rate)) + term(n1 - F.col("b"), (n0 + n1 - with_it) * rate)
-    best = counts.where(with_it >= LEAST_DOCS).withColumn("g", g).orderBy(F.desc("g"), "feature").limit(FEATURES).where("g > 3")
-    return {row["feature"]: i for i, row in enumerate(best.select("feature").collect())}
+    best = counts.where(with_it >= LEAST_DOCS).withColumn("g", g).where(F.col("g") > LEAST_G)
+    return {row["feature"]: i for i, row in enumerate(sorted(best.select("feature").collect()))}
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> dict[str, Any]:
