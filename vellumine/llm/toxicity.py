@@ -36,6 +36,8 @@ LEAST_DOCS, LEAST_G = 4, 3.0
 BEGINNINGS = range(4, 9)
 THRESHOLD = 0.3
 STEPS, RATE, RIDGE = 400, 0.05, 2e-4
+#: Feature numbers that a step of the fit looks at together.
+BLOCK = 1 << 20
 #: Word weights that a worker remembers.
 REMEMBERED = 500_000
 
@@ -108,32 +110,47 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> dict[s
                         lists.append(found)
                     elif words:
                         plain += 1
-                got.append((int(toxic > 0), plain, [x for y in lists for x in y], [len(y) for y in lists]))
+                got.append((int(toxic > 0), plain, np.array([x for y in lists for x in y], np.int32).tobytes(), np.array([len(y) for y in lists], np.int32).tobytes()))
             yield pd.DataFrame(got, columns=["y", "plain", "ids", "sizes"])
 
-    fit = bags.mapInPandas(sentences, "y int, plain int, ids array<int>, sizes array<int>").toPandas()
+    fit = bags.mapInPandas(sentences, "y int, plain int, ids binary, sizes binary").toPandas()
     weights, bias = _fit(fit, len(chosen))
     return {"weights": {f: float(weights[i]) for f, i in chosen.items() if abs(weights[i]) > 1e-4}, "bias": bias}
 
 
+def _ints(held: bytes | list[int]) -> np.ndarray:
+    return np.frombuffer(held, np.int32) if isinstance(held, (bytes, bytearray)) else np.asarray(held, np.int32)
+
+
 def _fit(fit: pd.DataFrame, n: int) -> tuple[np.ndarray, float]:
-    """Adam on the noisy-or likelihood; every sentence without a feature has the bias's probability."""
+    """Adam on the noisy-or likelihood; every sentence without a feature has the bias's probability.
+
+    The feature numbers of all sentences stay as they came, four bytes each; a step goes through them by blocks.
+    """
     y, plain = fit["y"].to_numpy(), fit["plain"].to_numpy(float)
-    sizes = [np.asarray(s, int) for s in fit["sizes"]]
-    bag = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
-    sizes = np.concatenate(sizes) if len(sizes) else np.zeros(0, int)
-    ids = np.concatenate([np.asarray(i, int) for i in fit["ids"]]) if len(fit) else np.zeros(0, int)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    of_bag = [_ints(s) for s in fit["sizes"]]
+    bag = np.repeat(np.arange(len(y)), [len(s) for s in of_bag])
+    sizes = np.concatenate([*of_bag, np.zeros(0, np.int32)])
+    ids = np.concatenate([*map(_ints, fit["ids"]), np.zeros(0, np.int32)])
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts = ends - sizes
+    edges = np.unique(np.r_[np.searchsorted(starts, np.arange(0, max(len(ids), 1), BLOCK)), len(sizes)])
+    blocks = [(a, c, slice(starts[a], ends[c - 1])) for a, c in zip(edges[:-1], edges[1:], strict=True)]
     w, b = np.zeros(n), -5.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = b + np.bincount(sentence, w[ids], len(sizes))
+        z = np.full(len(sizes), b)
+        for a, c, part in blocks:
+            z[a:c] += np.add.reduceat(w[ids[part]], starts[a:c] - starts[a])
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
         none = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + plain * np.log1p(-p0)
         any_ = np.maximum(-np.expm1(none), 1e-9)
         pull = np.where(y == 1, (1 - any_) / any_, -1.0) / len(y)
         gz = pull[bag] * p
-        gw = np.bincount(ids, gz[sentence], n) - RIDGE * w / max(n, 1) ** 0.5
+        gw = np.zeros(n)
+        for a, c, part in blocks:
+            gw += np.bincount(ids[part], np.repeat(gz[a:c], sizes[a:c]), n)
+        gw = gw - RIDGE * w / max(n, 1) ** 0.5
         gb = gz.sum() + (pull * plain * p0).sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         scale = RATE * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
