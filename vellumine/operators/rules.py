@@ -226,11 +226,9 @@ def heaviest(rows: DataFrame, key: str, item: str, weight: str, name: str = "hea
     return rows.groupBy(key).agg((-F.max(F.struct(weight, (-F.col(item)).alias("_k")))["_k"]).alias(name))
 
 
-def usable_engines(engines: DataFrame, *, external: bool = True, forced: str | None = None) -> DataFrame:
-    """engine, usable: the built-in one always, others if they are allowed; a forced one alone."""
-    names = engines.select("engine").distinct()
-    rule = F.col("engine") == forced if forced else (F.col("engine") == "native") | F.lit(external)
-    return names.withColumn("usable", rule)
+def usable(engine: Column, external: Column, forced: Column) -> Column:
+    """Whether an engine may be used: the forced one alone; without one the built-in one always, others if they are allowed."""
+    return F.coalesce(engine == forced, (engine == "native") | F.coalesce(external, F.lit(False)))
 
 
 def route_text(src: Column, via: Column, dst: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellumine.operators import requests as rq
 from vellumine.operators.numbering import least_free
 from vellumine.plans.registry import query
 from vellumine.shared import table
@@ -16,11 +17,11 @@ CAPS = f"(SELECT engine, priority, src, dst FROM (SELECT engine, priority, src,
 FILES = "(SELECT o_orderkey, ['.PDF', 'docx', '.Hwp', 'XLSM', '.tsv', '.htm', '.exe', '.json', ''][o_orderkey % 9 + 1] AS ext, CASE o_custkey % 6 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN '{\\rtf1' WHEN 2 THEN 'PK' || chr(3) || chr(4) || 'xx' WHEN 3 THEN 'plain' WHEN 4 THEN '%PD' ELSE '' END AS head FROM orders)"
 
 
-def files(spark, sf_dir):
+def files(spark, sf_dir, *more):
     exts = F.array(*map(F.lit, (".PDF", "docx", ".Hwp", "XLSM", ".tsv", ".htm", ".exe", ".json", "")))
     k = F.col("o_custkey") % 6
     head = F.when(k == 0, "%PDF-1.7").when(k == 1, "{\\rtf1").when(k == 2, "PK\x03\x04xx").when(k == 3, "plain").when(k == 4, "%PD").otherwise("")
-    return table(spark, sf_dir, "orders").select("o_orderkey", exts[(F.col("o_orderkey") % 9).cast("int")].alias("ext"), head.alias("head"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", exts[(F.col("o_orderkey") % 9).cast("int")].alias("ext"), head.alias("head"), *more)
 
 
 _BY_EXT = f"(SELECT f.*, x.format AS by_ext, x.family AS ext_family FROM {FILES} f LEFT JOIN (SELECT format, family, unnest(ext) AS e FROM {FORMATS}) x ON x.e = lower(ltrim(f.ext, '.')))"
@@ -49,14 +50,27 @@ def _(spark, sf_dir):
     return files(spark, sf_dir).select("o_orderkey", fm.resolve(fm.format_of_ext(F.col("ext")), content).alias("format"))
 
 
-@query("prj12_readable_writable", f"SELECT format, can_read, can_write FROM {FORMATS}")
+@query("prj12_readable_writable", f"SELECT f.o_orderkey, f.by_ext AS format, coalesce(x.can_read, false) AS can_read, coalesce(x.can_write, false) AS can_write FROM {_BY_EXT} f LEFT JOIN {FORMATS} x ON x.format = f.by_ext")
 def _(spark, sf_dir):
-    return fm.formats(spark).select("format", "can_read", "can_write")
+    known = files(spark, sf_dir).select("o_orderkey", fm.format_of_ext(F.col("ext")).alias("format"))
+    return rq.with_abilities(known, fm.formats(spark))
 
 
-@query("join10_direct_engine", f"SELECT src, dst, engine FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY priority, engine) AS n FROM {CAPS}) WHERE n = 1")
+_NAMES = [f for f, *_ in fm.FORMATS] + ["exe"]
+REQUESTS = f"(SELECT o_orderkey, o_custkey, o_orderstatus, {_NAMES}[o_orderkey % {len(_NAMES)} + 1] AS src, {_NAMES}[o_custkey % {len(_NAMES)} + 1] AS dst FROM orders)"
+
+
+def requests(spark, sf_dir):
+    """Each order asks for a conversion from one format to another, known or not."""
+    names = F.array(*map(F.lit, _NAMES))
+    at = lambda c: F.element_at(names, (F.col(c) % len(_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", at("o_orderkey").alias("src"), at("o_custkey").alias("dst"))
+
+
+@query("join10_direct_engine", f"SELECT o_orderkey, r.src, r.dst, engine FROM {REQUESTS} r LEFT JOIN (SELECT src, dst, arg_min(engine, (priority, engine)) AS engine FROM {CAPS} GROUP BY src, dst) e ON e.src = r.src AND e.dst = r.dst")
 def _(spark, sf_dir):
-    return fm.direct(fm.engine_table(spark))
+    asked = requests(spark, sf_dir).select("o_orderkey", "src", "dst")
+    return rq.with_engine(asked, fm.direct(fm.engine_table(spark)))
 
 
 _STEPS = f"(SELECT DISTINCT src, dst FROM {CAPS} WHERE engine IN ('native', 'word', 'excel'))"
@@ -66,28 +80,46 @@ _ROUTES = f"""WITH RECURSIVE s AS {_STEPS}, b(mid, rank) AS (VALUES ('docx', 1),
   best AS (SELECT src, dst, hops, path, row_number() OVER (PARTITION BY src, dst ORDER BY hops, ord, path) AS n FROM w)"""
 
 
-@query("join11_routes", f"{_ROUTES} SELECT src, dst, hops, array_to_string(path, '>') AS route FROM best WHERE n = 1")
+@query("join11_routes", f"{_ROUTES} SELECT o_orderkey, r.src, r.dst, CAST(hops AS BIGINT) AS hops, array_to_string(path, '>') AS route FROM {REQUESTS} r LEFT JOIN best ON best.src = r.src AND best.dst = r.dst AND n = 1")
+def _(spark, sf_dir):
+    asked = requests(spark, sf_dir).select("o_orderkey", "src", "dst")
+    return rq.with_route(asked, fm.routes(fm.engine_table(spark, ("native", "word", "excel"))))
+
+
+@query("join12_targets", f"{_ROUTES} SELECT o_orderkey, f.by_ext AS format, targets FROM {_BY_EXT} f LEFT JOIN (SELECT src, string_agg(dst, ',' ORDER BY dst) AS targets FROM best JOIN {FORMATS} x ON x.format = dst WHERE n = 1 AND can_write GROUP BY src) t ON t.src = f.by_ext")
+def _(spark, sf_dir):
+    known = files(spark, sf_dir).select("o_orderkey", fm.format_of_ext(F.col("ext")).alias("format"))
+    return rq.with_targets(known, fm.routes(fm.engine_table(spark, ("native", "word", "excel"))), fm.formats(spark))
+
+
+@query("srt04_engine_order", f"SELECT o_orderkey, string_agg(engine, '>' ORDER BY priority, engine) AS engines FROM {REQUESTS} r LEFT JOIN {CAPS} c ON c.src = r.src AND c.dst = r.dst GROUP BY o_orderkey")
 def _(spark, sf_dir):
-    r = fm.routes(fm.engine_table(spark, ("native", "word", "excel")))
-    return r.select("src", "dst", "hops", F.array_join("path", ">").alias("route"))
+    """All engines that can do what an order asks for, the first choice first."""
+    return rq.with_engines(requests(spark, sf_dir), fm.engine_table(spark)).select("o_orderkey", "engines")
+
+
+_ALLOWED = "o_custkey % 2 = 0 AS external, CASE o_custkey % 5 WHEN 1 THEN 'native' WHEN 2 THEN 'word' WHEN 4 THEN 'excel' END AS forced"
 
 
-@query("join12_targets", f"{_ROUTES} SELECT src, string_agg(dst, ',' ORDER BY dst) AS targets FROM best JOIN {FORMATS} f ON f.format = dst WHERE n = 1 AND f.can_write GROUP BY src")
+@query("prj11_usable_engines", f"SELECT o_orderkey, string_agg(engine, '>' ORDER BY priority, engine) FILTER (CASE WHEN forced IS NULL THEN engine = 'native' OR external ELSE engine = forced END) AS usable FROM (SELECT *, {_ALLOWED} FROM {REQUESTS}) r LEFT JOIN {CAPS} c ON c.src = r.src AND c.dst = r.dst GROUP BY o_orderkey")
 def _(spark, sf_dir):
-    r = fm.routes(fm.engine_table(spark, ("native", "word", "excel")))
-    writable = fm.formats(spark).where("can_write").select(F.col("format").alias("dst"))
-    return r.join(F.broadcast(writable), "dst", "left_semi").groupBy("src").agg(F.array_join(F.sort_array(F.collect_list("dst")), ",").alias("targets"))
+    """Half of the orders allow external engines, some force one."""
+    k = F.col("o_custkey") % 5
+    forced = F.when(k == 1, "native").when(k == 2, "word").when(k == 4, "excel")
+    asked = requests(spark, sf_dir).withColumns({"external": F.col("o_custkey") % 2 == 0, "forced": forced})
+    return rq.with_usable_engines(asked, fm.engine_table(spark)).select("o_orderkey", "usable")
 
 
-@query("srt04_engine_order", f"SELECT DISTINCT engine, priority FROM {CAPS}")
+@query("agg24_pair_grid", f"SELECT src, count(*) FILTER (dst = 'pdf') AS pdf, count(*) FILTER (dst = 'docx') AS docx, count(*) FILTER (dst = 'xlsx') AS xlsx, count(*) FILTER (dst = 'csv') AS csv, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus = 'O') AS failed FROM {REQUESTS} GROUP BY src")
 def _(spark, sf_dir):
-    return fm.engine_table(spark).select("engine", "priority").distinct()
+    return rq.pair_grid(requests(spark, sf_dir), ["pdf", "docx", "xlsx", "csv"], {"ok": "F", "failed": "O"}, "o_orderstatus")
 
 
-@query("agg24_pair_grid", f"SELECT src, count(*) FILTER (dst = 'pdf') AS pdf, count(*) FILTER (dst = 'docx') AS docx, count(*) FILTER (dst = 'xlsx') AS xlsx, count(*) FILTER (dst = 'csv') AS csv FROM {CAPS} GROUP BY src")
+@query("srt05_sorted_formats", f"SELECT customer, string_agg(DISTINCT by_ext, ',' ORDER BY by_ext) AS formats FROM (SELECT f.*, o.o_custkey AS customer FROM {_BY_EXT} f JOIN orders o ON o.o_orderkey = f.o_orderkey) GROUP BY customer")
 def _(spark, sf_dir):
-    names = ["pdf", "docx", "xlsx", "csv"]
-    return fm.engine_table(spark).groupBy("src").pivot("dst", names).count().na.fill(0).select("src", *names)
+    """The formats of each customer's files."""
+    known = files(spark, sf_dir, F.col("o_custkey").alias("customer")).select("customer", fm.format_of_ext(F.col("ext")).alias("format"))
+    return rq.sorted_formats(known, "customer")
 
 
 _ENTRIES = "(SELECT o_custkey AS archive, ['word/document.xml', '../evil', 'C:\\x', 'xl/vbaProject.bin', 'a/..b/c', '/root'][CASE WHEN o_custkey % 4 = 0 THEN o_orderkey % 6 + 1 ELSE 1 + 3 * (o_orderkey % 2) END] AS name, CAST(o_totalprice AS BIGINT) * (o_custkey % 50) AS size, CAST(o_totalprice AS BIGINT) // (1 + o_custkey % 7) AS packed FROM orders)"

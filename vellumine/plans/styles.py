@@ -222,13 +222,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", ru.sheet_visible(state).alias("kept"))
 
 
-@query("prj11_usable_engines", "SELECT engine, engine = 'native' AS without_external, engine = 'word' AS forced FROM (VALUES ('native'), ('libreoffice'), ('word'), ('excel')) v(engine)")
-def _(spark, sf_dir):
-    engines = fm.engine_table(spark)
-    alone = ru.usable_engines(engines, external=False).withColumnRenamed("usable", "without_external")
-    return alone.join(ru.usable_engines(engines, forced="word").withColumnRenamed("usable", "forced"), "engine")
-
-
 @query("snk04_md_paragraphs", f"SELECT doc_id, ord, CASE WHEN trim(text) = '' THEN '' WHEN heading > 0 THEN chr(10) || repeat('#', least(6, heading)) || ' ' || trim(text) || chr(10) WHEN list_kind = 'bullet' THEN repeat('  ', level) || '- ' || trim(text) WHEN list_kind = 'number' THEN repeat('  ', level) || '1. ' || trim(text) ELSE trim(text) || chr(10) END AS md FROM {BLOCKS}")
 def _(spark, sf_dir):
     return blocks(spark, sf_dir).select("doc_id", "ord", md_paragraph(F.col("text"), F.col("heading"), F.col("list_kind"), F.col("level")).alias("md"))
@@ -334,12 +327,6 @@ def _(spark, sf_dir):
     return ru.next_character(made, "doc_id").select("doc_id", "ord", "after", "cjk")
 
 
-@query("srt05_sorted_formats", "SELECT f AS format, CAST(row_number() OVER (ORDER BY f) AS BIGINT) AS place FROM (SELECT unnest(['pdf','docx','doc','hwpx','hwp','xlsx','xls','csv','txt','md','html','rtf','odt','json']) AS f)")
-def _(spark, sf_dir):
-    names = fm.formats(spark).agg(F.sort_array(F.collect_list("format")).alias("f"))
-    return names.select(F.posexplode("f").alias("place", "format")).select("format", (F.col("place") + 1).cast("long").alias("place"))
-
-
 @query("fn28_wrap", f"SELECT doc_id, ord, CAST(n AS INTEGER) AS n, substr(line, n * k + 1, k) AS piece FROM (SELECT doc_id, ord, line, k, unnest(range(0, greatest(1, CAST(ceil(length(line) / k) AS BIGINT)))) AS n FROM (SELECT doc_id, ord, CASE WHEN ord % 2 = 1 THEN repeat('漢', CAST(length(line) AS INTEGER)) ELSE line END AS line, CASE WHEN ord % 2 = 1 THEN 45 ELSE 90 END AS k FROM {LINES}))")
 def _(spark, sf_dir):
     """Lines of at most 90 cells; wide characters, here every second line's, take two."""
