@@ -1,7 +1,10 @@
 """Engines, routes and targets of requests that are odd."""
 
+from pyspark.sql import functions as F
+
 from vellumine.operators import requests as rq
 from vellumine.sources import formats as fm
+from vellumine.sources.text import delimiter
 
 ASKED = [(1, "hwp", "pdf"), (1, "hwp", "pdf"), (2, "doc", "md"), (3, "docx", "docx"), (4, None, "pdf"), (5, "exe", "pdf"), (6, "pdf", None), (7, "odt", "csv")]
 
@@ -36,3 +39,18 @@ def test_abilities_targets_and_sorted_formats(spark):
     assert targets[1] == "csv,docx,html,hwpx,json,md,pdf,txt,xlsx" and targets[4] is targets[5] is targets[6] is None
     assert {r["owner"]: r["formats"] for r in rq.sorted_formats(files, "owner").collect()} == {"a": "hwp,pdf", "b": None, "c": "exe,json"}
     assert rq.sorted_formats(files.limit(0), "owner").count() == 0
+
+
+def test_failure_reports(spark):
+    rows = [("pdf", "hwp", ["a"], True), ("doc", "md", [], False), ("doc", "md", None, True), ("doc", "hwp", None, None), ("csv", "xls", ["a", "b", "c", "d", "e"], True), ("md", "txt", None, None)]
+    asked = spark.createDataFrame(rows, "src string, dst string, errors array<string>, external boolean")
+    got = {(r["src"], r["dst"], r["external"]): r["t"].split("\n")[1:] for r in asked.select("*", rq.failure_text(F.col("src"), F.col("dst"), F.col("errors"), F.col("external")).alias("t")).collect()}
+    install = rq.HINTS["doc"]
+    assert got == {("pdf", "hwp", True): [rq.TRIED, "  a", rq.HINTS["hwp"]], ("doc", "md", False): [install], ("doc", "md", True): [], ("doc", "hwp", None): [rq.HINTS["hwp"]], ("csv", "xls", True): [rq.TRIED, "  a", "  b", "  c", "  d", install], ("md", "txt", None): []}
+
+
+def test_delimiters(spark):
+    rows = [(0, None, None), (1, "", "csv"), (2, "a,b", "TSV"), (3, "plain", ""), (4, "a;b\nc;d\n", "csv"), (5, '1|"x, y, z"|2', "csv"), (6, "a|b\n" * 40 + "a,b,c,d,e\n" * 400, "csv")]
+    texts = spark.createDataFrame(rows, "id int, text string, ext string")
+    got = {r["id"]: r["d"] for r in texts.select("id", delimiter(F.col("text"), F.col("ext")).alias("d")).collect()}
+    assert got == {0: ",", 1: ",", 2: "\t", 3: ",", 4: ";", 5: "|", 6: "|"}

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from vellumine.operators.rules import usable
 
 
+# The words of a report on a request that failed, how many attempts it names, and what may help by target.
+FAILED, TRIED, ATTEMPTS = " 변환에 실패했습니다.", "시도한 방법:", 4
+HINTS = {"hwp": "참고: .hwp 대신 .hwpx로 저장하세요.", "doc": "LibreOffice를 설치하세요.", "xls": "LibreOffice를 설치하세요."}
+
+
 def _named(array: Column, by: str) -> Column:
     """The items of an array joined by ``by``; null for none."""
     return F.nullif(F.array_join(array, by), F.lit(""))
@@ -73,3 +78,17 @@ def pair_grid(requests: DataFrame, names: list[str], states: dict[str, str], sta
 def sorted_formats(files: DataFrame, group: str, format: str = "format") -> DataFrame:
     """The formats of each group of files, once each and sorted; null for a group without known ones."""
     return files.groupBy(group).agg(_named(F.sort_array(F.collect_set(format)), ",").alias("formats"))
+
+
+def failure_text(src: Column, dst: Column, errors: Column, external: Column) -> Column:
+    """A report on a request that no engine could do: its formats, the first attempts' ``errors``, and what may help.
+
+    Binary Word files need an external engine, whatever they are converted to. Null errors are none.
+    """
+    hint = F.when((src == "doc") & ~F.coalesce(external, F.lit(False)) & (dst != "hwp"), HINTS["doc"])
+    for target, words in HINTS.items():
+        hint = F.when(dst == target, words).otherwise(hint)
+    head = F.concat(F.upper(src), F.lit(" → "), F.upper(dst), F.lit(FAILED))
+    named = F.transform(F.slice(errors, 1, ATTEMPTS), lambda e: F.concat(F.lit("  "), e))
+    tried = F.when(F.size(errors) > 0, F.concat(F.array(F.lit(TRIED)), named)).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(head), tried, F.array_compact(F.array(hint))), "\n")

@@ -14,6 +14,7 @@ from vellumine.plans.tables import CELLS, cells
 from vellumine.shared import table
 from vellumine.sources import files
 from vellumine.sources.office import encoding_of
+from vellumine.sources.text import delimiter
 
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,3 +99,15 @@ def _(spark, sf_dir):
 
     text = F.when(F.col("doc_id") % 3 == 2, F.translate("text", string.ascii_lowercase, _HANGUL)).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", guess("doc_id", text).alias("encoding"))
+
+
+@query("agg09_sniffed_delimiter", "SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN chr(9) ELSE [',', ';', chr(9), '|'][l_orderkey % 4 + 1] END AS delimiter FROM lineitem GROUP BY l_orderkey")
+def _(spark, sf_dir):
+    """The lines of each order as delimited text whose quoted field holds more of the other delimiters; a fifth are .tsv."""
+    by = F.element_at(F.array(*map(F.lit, (",", ";", "\t", "|"))), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    quoted = F.concat(F.lit('"'), "l_returnflag", F.lit(', x, y; z; u|v|w, t"'))
+    line = F.concat_ws("\x00", F.col("l_linenumber").cast("string"), quoted, F.col("l_partkey").cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.replace(line, F.lit("\x00"), by).alias("line")).alias("e"))
+    texts = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["line"]), "\n").alias("text"))
+    extension = F.when(F.col("l_orderkey") % 5 == 0, "tsv").otherwise("csv")
+    return texts.select("l_orderkey", delimiter(F.col("text"), extension).alias("delimiter"))

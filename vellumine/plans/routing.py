@@ -122,6 +122,19 @@ def _(spark, sf_dir):
     return rq.sorted_formats(known, "customer")
 
 
+_ERRORS = "(SELECT l_orderkey, string_agg('  ' || error, chr(10) ORDER BY n) FILTER (n <= 4) AS errors FROM (SELECT l_orderkey, 'supplier ' || l_suppkey || ': ' || l_returnflag AS error, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_returnflag) AS n FROM lineitem WHERE l_returnflag <> 'N') GROUP BY l_orderkey)"
+
+
+@query("fn31_failed_requests", f"SELECT o_orderkey, upper(src) || ' → ' || upper(dst) || ' 변환에 실패했습니다.' || CASE WHEN errors IS NULL THEN '' ELSE chr(10) || '시도한 방법:' || chr(10) || errors END || CASE WHEN dst = 'hwp' THEN chr(10) || '참고: .hwp 대신 .hwpx로 저장하세요.' WHEN dst IN ('doc', 'xls') OR (src = 'doc' AND o_custkey % 2 = 1) THEN chr(10) || 'LibreOffice를 설치하세요.' ELSE '' END AS report FROM {REQUESTS} LEFT JOIN {_ERRORS} ON l_orderkey = o_orderkey")
+def _(spark, sf_dir):
+    """Every order as a failed request; its returned lines are the attempts, and even customers have external engines."""
+    error = F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"), F.lit(": "), "l_returnflag")
+    tried = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_suppkey", "l_returnflag", error.alias("error")).alias("e"))
+    tried = tried.groupBy("o_orderkey").agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["error"]).alias("errors"))
+    report = rq.failure_text(F.col("src"), F.col("dst"), F.col("errors"), F.col("o_custkey") % 2 == 0)
+    return requests(spark, sf_dir).join(tried, "o_orderkey", "left").select("o_orderkey", report.alias("report"))
+
+
 _ENTRIES = "(SELECT o_custkey AS archive, ['word/document.xml', '../evil', 'C:\\x', 'xl/vbaProject.bin', 'a/..b/c', '/root'][CASE WHEN o_custkey % 4 = 0 THEN o_orderkey % 6 + 1 ELSE 1 + 3 * (o_orderkey % 2) END] AS name, CAST(o_totalprice AS BIGINT) * (o_custkey % 50) AS size, CAST(o_totalprice AS BIGINT) // (1 + o_custkey % 7) AS packed FROM orders)"
 
 

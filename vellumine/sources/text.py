@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +89,13 @@ def delimiter_of(text: str, extension: str = "") -> str:
         return csv.Sniffer().sniff(head, DELIMITERS).delimiter
     except csv.Error:
         return max(DELIMITERS, key=head.count) if any(map(head.count, DELIMITERS)) else ","
+
+
+def delimiter(text: Column, extension: Column) -> Column:
+    """``delimiter_of`` for each row; only the first lines leave the JVM. A null text or extension is an empty one."""
+    @F.pandas_udf("string")
+    def told(heads: pd.Series, extensions: pd.Series) -> pd.Series:
+        return pd.Series([delimiter_of(h, e) for h, e in zip(heads, extensions, strict=True)], dtype="object")
+
+    none = F.lit("")
+    return told(F.substring_index(F.coalesce(text, none), "\n", TELLING_LINES), F.coalesce(extension, none))
