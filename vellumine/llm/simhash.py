@@ -563,8 +563,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = RADIUS, ke
     roots = components(linked(distinct.select("fp"), radius=radius, bucket_rows=bucket_rows), name="fingerprint-components")
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = of.join(named, "root").select("fp", "component_id")
+    few = distinct.count() * 32 <= BROADCAST_BYTES
+    # one component can hold a large share of the fingerprints, and one fingerprint of the rows
+    of = (of.join(F.broadcast(named), "root") if few else salted_join(of, named, "root", F.col("fp"), "inner")).select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    # copies share a fingerprint, so a large share of the rows can have one key
-    met = prints.join(F.broadcast(of), "fp") if distinct.count() * 32 <= BROADCAST_BYTES else salted_join(prints, of, "fp", F.col("doc_id"), "inner")
+    met = prints.join(F.broadcast(of), "fp") if few else salted_join(prints, of, "fp", F.col("doc_id"), "inner")
     return met.select("doc_id", hexed.alias("fingerprint"), "component_id")
