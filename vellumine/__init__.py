@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 _EXPORTS = {
     "vellumine.batches": ("Conversion", "Progress"),
     "vellumine.convert": ("diagnose", "main", "save", "supported_targets"),
+    "vellumine.operators.markup": ("html_blocks", "html_cells"),
     "vellumine.sources.files": ("BLOCKS", "READERS", "WRITERS", "blocks_of", "cells_of", "convert_files", "detect", "properties", "read", "runs_of", "scan", "write"),
     "vellumine.sources.formats": ("FORMATS", "ENGINES", "direct", "engine_table", "extensions", "formats", "routes"),
     "vellumine.sources.lines": ("read_lines",),

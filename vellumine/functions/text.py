@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,3 +94,28 @@ def delimiter_by_count(text: Column, lines: int = 40) -> Column:
 
 def unescape_delimiter(text: Column) -> Column:
     return F.when(text.isin("\\t", "tab"), "\t").when(text == "\\;", ";").otherwise(text)
+
+
+def html_unescape(text: Column) -> Column:
+    """Character references as characters: all names of HTML with their semicolon, the old ones also without, numbers.
+
+    Unknown names stay as they are; numbers that are no character become U+FFFD, those of the C1
+    range are read in the Western code page, as browsers do.
+    """
+    # numbers 128 to 159 by the code page's own rule, which leaves five as they are
+    western = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+    names = F.from_json(F.lit(json.dumps(html5 | {f"#{n}": ch for n, ch in western.items()})), "map<string,string>")
+
+    def one(piece: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(piece, "^&#[xX]?0*|;$", ""), "^$", "0")
+        base = F.rlike(piece, F.lit("^&#[xX]"))
+        short = F.when(F.length(digits) <= 7, digits).otherwise(F.lit("0"))
+        n = F.when(base, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
+        n = F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), 0xFFFD).otherwise(n)
+        numbered = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        number = F.coalesce(F.try_element_at(names, F.concat(F.lit("#"), n.cast("string"))), numbered)
+        name = F.coalesce(F.try_element_at(names, F.substring(piece, 2, 64)), piece)
+        return F.when(F.rlike(piece, F.lit("^&#[0-9]|^&#[xX][0-9A-Fa-f]")), number).when(F.rlike(piece, F.lit("^&[A-Za-z]")), name).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit("&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)?|[^&]+"), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)

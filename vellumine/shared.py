@@ -5,12 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side that is broadcast, by its measured rows and a bound on the bytes of a row.
 BROADCAST_BYTES = 64 << 20
+#: Folders of the tables that are deleted when the innermost ``cleared`` ends.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -31,17 +38,41 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", *, keep: bool = False) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
-    Lineage ends there: a lost executor costs a read, not a recomputation.
+    Lineage ends there: a lost executor costs a read, not a recomputation. Within ``cleared`` the
+    table goes when that ends, but with ``keep``.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    passing = _PASSING.get()
+    if passing is not None and not keep:
+        passing.append(path)  # before it is written: what a failed job leaves goes too
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are cut inside, also after an error; what outlasts them is cut with ``keep``.
+
+    Only this thread's tables are known. A table that can't be deleted stays until the folder is cleared.
+    """
+    made: list[str] = []
+    token = _PASSING.set(made)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            try:
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            except Py4JJavaError as e:
+                warnings.warn(f"{path} stays: {e.java_exception}", stacklevel=2)
+
+
 def fresh(*taken: DataFrame, stem: str) -> str:
     """A column name that none of the tables has."""
     names = {c.lower() for df in taken for c in df.columns}
