@@ -1,8 +1,8 @@
 """The corpus pipeline: reject, deduplicate, decontaminate, sanitise, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet to the shared folder and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``. The packed result has bin_id, doc_id, piece,
+Parquet to the shared folder and read again as the next stage's ``docs``; tables that a stage
+writes on its way are deleted when it is done. All but the last return the columns of ``documents``. The packed result has bin_id, doc_id, piece,
 first_word and n_words.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumine.llm import decontam, packing, pii, quality, simhash
-from vellumine.shared import cut, table
+from vellumine.shared import cleared, cut, table
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with cleared(spark):
+            docs = cut(stage(spark, docs, sf_dir), name, keep=True)
     return docs
