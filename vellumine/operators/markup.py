@@ -34,7 +34,8 @@ def _tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
     shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
     split = F.flatten(F.transform(F.regexp_extract_all(shown, F.lit(TOKEN), F.lit(0)), lambda t: F.when(F.rlike(t, F.lit(r"(?i)^<table[\s/>]")), F.array(F.lit(""), t)).otherwise(F.array(t))))
     each = pages.select(F.col(key).alias("key"), F.posexplode(split).alias("n", "t"))
-    return each.where(~F.col("t").rlike(r"^<[!?]")).withColumns({"tag": F.lower(F.regexp_extract("t", TAG, 1)), "ends": F.startswith("t", F.lit("</"))})
+    each = each.where(~F.col("t").rlike(r"^<[!?]")).withColumns({"tag": F.lower(F.regexp_extract("t", TAG, 1)), "ends": F.startswith("t", F.lit("</"))})
+    return each.where(F.col("tag").isin("", "br", *EDGES))  # no other mark parts blocks
 
 
 def _depths(df: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -50,7 +51,7 @@ def _latest(value: Column, *by: str) -> Column:
 
 
 def scanned(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """The tokens with the block, heading and list in which they stand and the place in a table."""
+    """The tokens with the tables that are open and the block, heading and list in which they stand."""
     tag, ends, begins = F.col("tag"), F.col("ends"), ~F.col("ends")
     at = _depths(_tokens(pages, key, html), {"depth": ("table",), "lists": ("ul", "ol")})
     page = Window.partitionBy("key").orderBy("n")
@@ -61,7 +62,12 @@ def scanned(pages: DataFrame, key: str, html: str) -> DataFrame:
         "heading": F.coalesce(_latest(level), F.lit(0)),
         "item": F.coalesce(_latest(F.when(edge, (tag == "li") & begins)), F.lit(False)),
     })
-    at = at.withColumn("list", F.when(F.col("lists") > 0, _latest(F.when(tag.isin("ul", "ol") & begins, tag), "lists")))
+    return at.withColumn("list", F.when(F.col("lists") > 0, _latest(F.when(tag.isin("ul", "ol") & begins, tag), "lists")))
+
+
+def _in_tables(at: DataFrame) -> DataFrame:
+    """The scanned tokens with table, r, k: their place in the innermost table; inside: in a cell of it."""
+    tag, begins = F.col("tag"), ~F.col("ends")
     at = at.withColumn("table", F.when(F.col("depth") > 0, _latest(F.when((tag == "table") & begins, F.col("n").cast("long")), "depth")))
     w = Window.partitionBy("key", "table").orderBy("n")
     row, cell = (tag == "tr") & begins, tag.isin("td", "th") & begins
@@ -99,7 +105,8 @@ def _blocks(at: DataFrame) -> DataFrame:
 
 def html_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, ord, kind, heading, list_kind, level, text of the blocks outside tables; a table is one block, without text."""
-    top = _blocks(scanned(pages, key, html)).where("table is null")
+    none = {"table": F.lit(None).cast("long"), "r": F.lit(None).cast("long"), "k": F.lit(None).cast("long"), "inside": F.lit(False)}
+    top = _blocks(scanned(pages, key, html).where("depth = 0").withColumns(none))
     plain = lambda c, other: F.when(F.col("kind") == "paragraph", F.col(c)).otherwise(F.lit(other)).alias(c)
     order = F.row_number().over(Window.partitionBy("key").orderBy("at")) - 1
     return top.select(F.col("key").alias(key), order.alias("ord"), "kind", plain("heading", 0), plain("list_kind", "none"), plain("level", 0), F.when(F.col("kind") == "paragraph", F.col("text")).alias("text"))
@@ -117,7 +124,7 @@ def html_cells(pages: DataFrame, *, key: str = "page_id", html: str = "html") ->
     A cell's text is that of its blocks by lines, with a table in it as tabs and lines that hold all its cells. ``header`` is a
     ``th``. Cells take the next column that no span from above holds.
     """
-    at = cut(scanned(pages, key, html).where("depth > 0 or t = ''"), "marks")
+    at = cut(_in_tables(scanned(pages, key, html).where("depth > 0 or t = ''")), "marks")
     named = F.concat_ws(":", F.col("key").cast("string"), F.col("table").cast("string"))
     cells = at.where("tag in ('td', 'th') and not ends and table is not null").select(
         "key", "table", named.alias("table_id"), F.col("r").cast("long").alias("r"), F.col("k").cast("int").alias("k"), _span("rowspan").alias("row_span"), _span("colspan").alias("col_span"), (F.col("tag") == "th").alias("header")
