@@ -1,6 +1,7 @@
 """HTML in windows over tokens against a walk by the standard parser."""
 
 import html
+import os
 import random
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -175,3 +176,22 @@ def test_one_exchange_and_no_python(spark):
     df = spark.createDataFrame([(1, "<p>a")], "page_id int, html string")
     plan = markup.html_blocks(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_references_end_at_marks(spark):
+    html = "<p>&am<b>p;</b> a&;b &lt<i>x</i> 1 < 2 &#<!-- c -->65; <td>lone<br>cell<table><tr><td>&<b>amp;</b></table>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [r["text"] for r in markup.html_blocks(pages).orderBy("ord").collect()] == ["&amp; a&;b <x 1 < 2 A", "lone\ncell", None]
+    assert [r["text"] for r in markup.html_cells(pages).collect()] == ["&amp;"]
+
+
+def test_cells_of_flat_tables_write_their_marks_once(spark):
+    from vellumine.shared import checkpoint_root
+
+    folder = checkpoint_root(spark).removeprefix("file://") + "/tables"
+    written = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = written()
+    pages = spark.createDataFrame([(k, "<table><tr><th rowspan=2>a<td>b<tr><td>c</table>") for k in range(3)], "page_id long, html string")
+    got = [(r["r"], r["c"], r["text"]) for r in markup.html_cells(pages).where("page_id = 1").orderBy("r", "c").collect()]
+    assert got == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c")]
+    assert len(written() - before) == 1

@@ -114,7 +114,8 @@ def html_unescape(text: Column) -> Column:
         n = F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), 0xFFFD).otherwise(n)
         numbered = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
         number = F.coalesce(F.try_element_at(names, F.concat(F.lit("#"), n.cast("string"))), numbered)
-        name = F.coalesce(F.try_element_at(names, F.substring(piece, 2, 64)), piece)
+        usual = F.when(piece == "&amp;", "&").when(piece == "&lt;", "<").when(piece == "&gt;", ">").when(piece == "&quot;", '"').when(piece == "&nbsp;", "\u00a0")  # the map is looked through from its beginning
+        name = F.coalesce(usual, F.try_element_at(names, F.substring(piece, 2, 64)), piece)
         return F.when(F.rlike(piece, F.lit("^&#[0-9]|^&#[xX][0-9A-Fa-f]")), number).when(F.rlike(piece, F.lit("^&[A-Za-z]")), name).otherwise(piece)
 
     pieces = F.regexp_extract_all(text, F.lit("&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)?|[^&]+"), F.lit(0))

@@ -1,7 +1,7 @@
 """Blocks and table grids of HTML, by tokens and windows of a page.
 
-A page is cut into tags and texts, and windows in page order tell what is open at each: headings,
-lists by their depth, and tables by theirs. A text belongs to the innermost open table, which is
+A page is cut at the tags that part blocks, each with the text behind it, and windows in page order
+tell what is open at each: headings, lists by their depth, and tables by theirs. A text belongs to the innermost open table, which is
 the latest that began at the depth of the text, and there to the latest row and cell. One exchange
 by page carries all; no page is held as a whole by a Python worker.
 
@@ -12,12 +12,14 @@ table outside its cells are left out, as are comments and what a browser doesn't
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import html_unescape
-from vellumine.operators.folds import spanned_slots
-from vellumine.operators.trees import nested_texts
+from vellumine.operators.folds import slot_columns
+from vellumine.operators.trees import filled
 from vellumine.shared import cut
 
 # Elements whose content isn't shown, elements that begin a block, the widest span.
@@ -26,16 +28,25 @@ EDGES = tuple("address article aside blockquote body caption dd div dl dt figcap
 HIDDEN = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{t}(?:\s[^>]*[^/>])?\s*>.*?(?:</{t}\s*>|\z)" for t in QUIET)
 TOKEN = r"(?s)</?[A-Za-z][^>]*>|<[!?][^>]*>|[^<]+|<"
 TAG = r"(?s)^</?([A-Za-z][^\s/>]*)[^>]*>$"
+EDGE, TABLE, BREAK = rf"(?i)^</?(?:{'|'.join(EDGES)})[\s/>]", r"(?i)^<table[\s/>]", r"(?i)^</?br[\s/>]"
 WIDEST = 1000
 
 
 def _tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, n, t, tag, ends: a mark without text stands before each table, for its place in what is around it."""
-    shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
-    split = F.flatten(F.transform(F.regexp_extract_all(shown, F.lit(TOKEN), F.lit(0)), lambda t: F.when(F.rlike(t, F.lit(r"(?i)^<table[\s/>]")), F.array(F.lit(""), t)).otherwise(F.array(t))))
-    each = pages.select(F.col(key).alias("key"), F.posexplode(split).alias("n", "t"))
-    each = each.where(~F.col("t").rlike(r"^<[!?]")).withColumns({"tag": F.lower(F.regexp_extract("t", TAG, 1)), "ends": F.startswith("t", F.lit("</"))})
-    return each.where(F.col("tag").isin("", "br", *EDGES))  # no other mark parts blocks
+    """key, n, t, raw, tag, ends, mark: the marks that part blocks, each with the text behind it; one without text stands before each table, for its place in what is around it.
+
+    ``raw`` has no other marks: ``&;``, which no text has then, stands for them, and a lone ``<`` is a reference.
+    """
+    shown = F.translate(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, ""), "\x0b", " ")
+
+    def one(t: Column) -> Column:
+        text = F.when(~F.startswith(t, F.lit("<")), F.replace(t, F.lit("&;"), F.lit("&amp;;"))).when(t == "<", "&lt;")
+        return text.when(t.rlike(TABLE), F.concat(F.lit("<+>"), t)).when(t.rlike(EDGE), t).when(t.rlike(BREAK), "&;\x0b&;").otherwise("&;")
+
+    flat = F.array_join(F.transform(F.regexp_extract_all(shown, F.lit(TOKEN), F.lit(0)), one), "")
+    each = pages.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(flat, F.lit("<[^>]*>[^<]*|[^<]+"), F.lit(0))).alias("n", "x"))
+    each = each.select("key", "n", F.regexp_extract("x", "^<[^>]*>", 0).alias("t"), F.regexp_replace("x", "^<[^>]*>", "").alias("raw"))
+    return each.withColumns({"tag": F.lower(F.regexp_extract("t", TAG, 1)), "ends": F.startswith("t", F.lit("</")), "mark": F.col("t") == "<+>"})
 
 
 def _depths(df: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -51,24 +62,20 @@ def _latest(value: Column, *by: str) -> Column:
 
 
 def scanned(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """The tokens with the tables that are open and the block, heading and list in which they stand."""
+    """The tokens with the tables that are open and the heading and list in which they stand."""
     tag, ends, begins = F.col("tag"), F.col("ends"), ~F.col("ends")
     at = _depths(_tokens(pages, key, html), {"depth": ("table",), "lists": ("ul", "ol")})
-    page = Window.partitionBy("key").orderBy("n")
-    edge = tag.isin(*EDGES) | (F.col("t") == "")
     level = F.when(tag.rlike("^h[1-6]$"), F.when(ends, 0).otherwise(F.substring(tag, 2, 1).cast("int")))
-    at = at.withColumns({
-        "block": F.sum(edge.cast("int")).over(page),
-        "heading": F.coalesce(_latest(level), F.lit(0)),
-        "item": F.coalesce(_latest(F.when(edge, (tag == "li") & begins)), F.lit(False)),
-    })
+    at = at.withColumns({"heading": F.coalesce(_latest(level), F.lit(0)), "item": (tag == "li") & begins})
     return at.withColumn("list", F.when(F.col("lists") > 0, _latest(F.when(tag.isin("ul", "ol") & begins, tag), "lists")))
 
 
 def _in_tables(at: DataFrame) -> DataFrame:
-    """The scanned tokens with table, r, k: their place in the innermost table; inside: in a cell of it."""
+    """The scanned tokens with table, number, r, k: their place in the innermost table; inside: in a cell of it."""
     tag, begins = F.col("tag"), ~F.col("ends")
-    at = at.withColumn("table", F.when(F.col("depth") > 0, _latest(F.when((tag == "table") & begins, F.col("n").cast("long")), "depth")))
+    at = at.withColumn("begun", F.count_if("mark").over(Window.partitionBy("key").orderBy("n")))
+    latest = _latest(F.when((tag == "table") & begins, F.struct(F.col("n").cast("long").alias("n"), (F.col("begun") - 1).cast("int").alias("number"))), "depth")
+    at = at.withColumn("of", F.when(F.col("depth") > 0, latest)).withColumns({"table": F.col("of.n"), "number": F.col("of.number")}).drop("of", "begun")
     w = Window.partitionBy("key", "table").orderBy("n")
     row, cell = (tag == "tr") & begins, tag.isin("td", "th") & begins
     at = at.withColumns({"rows": F.count_if(row).over(w), "cells": F.count_if(cell).over(w), "inside": F.last(F.when(cell, True).when(tag.isin("tr", "td", "th"), False), ignorenulls=True).over(w)})
@@ -82,33 +89,22 @@ def _in_tables(at: DataFrame) -> DataFrame:
     })
 
 
-def _plain(tokens: Column) -> Column:
+def _plain(raw: Column) -> Column:
     """The text of a block: references resolved, white space as one space, none beside line breaks."""
-    text = F.regexp_replace(F.array_join(tokens, ""), "[ \t\r\n\f]+", " ")
+    known = F.when(F.contains(raw, F.lit("&")), F.array_join(F.transform(F.split(raw, "&;"), html_unescape), "")).otherwise(raw)
+    text = F.regexp_replace(known, "[ \t\r\n\f]+", " ")
     return F.trim(F.replace(F.regexp_replace(text, " *\x0b *", "\x0b"), F.lit("\x0b"), F.lit("\n")), F.lit(" \n"))
 
 
-def _blocks(at: DataFrame) -> DataFrame:
-    """key, at, kind, heading, list_kind, level, text, own, inside, table, r, k; a table that stands in another, but in no cell, is not inside."""
-    text = F.when(F.col("tag") == "br", "\x0b").when(F.col("tag") == "", html_unescape(F.translate("t", "\x0b", " ")))
-    own = F.when(F.col("t") == "", F.col("n").cast("long") + 1)
-    listed = (F.col("heading") == 0) & ((F.col("lists") > 0) | F.col("item"))
-    kind = F.when(listed, F.when(F.col("list") == "ol", "number").otherwise("bullet")).otherwise("none")
-    rows = at.where("(tag in ('', 'br')) and (table is null or inside or t = '')").select(
-        "key", "block", "n", "heading", "inside", "table", "r", "k", text.alias("text"), own.alias("own"), kind.alias("list_kind"), F.when(listed, F.greatest(F.col("lists") - 1, F.lit(0))).otherwise(0).cast("int").alias("level")
-    )
-    parts = F.sort_array(F.collect_list(F.struct("n", "text")))
-    same = [F.first(c).alias(c) for c in ("heading", "list_kind", "level", "inside", "table", "r", "k")]
-    out = rows.groupBy("key", "block").agg(F.min("n").alias("at"), F.max("own").alias("own"), _plain(F.transform(parts, lambda p: p["text"])).alias("text"), *same)
-    return out.where("own is not null or text <> ''").withColumn("kind", F.when(F.col("own").isNotNull(), "table").otherwise("paragraph")).drop("block")
-
-
 def html_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, ord, kind, heading, list_kind, level, text of the blocks outside tables; a table is one block, without text."""
-    none = {"table": F.lit(None).cast("long"), "r": F.lit(None).cast("long"), "k": F.lit(None).cast("long"), "inside": F.lit(False)}
-    top = _blocks(scanned(pages, key, html).where("depth = 0").withColumns(none))
+    listed = (F.col("heading") == 0) & ((F.col("lists") > 0) | F.col("item"))
+    kind = F.when(listed, F.when(F.col("list") == "ol", "number").otherwise("bullet")).otherwise("none")
+    level = F.when(listed, F.greatest(F.col("lists") - 1, F.lit(0))).otherwise(0).cast("int")
+    kinds = F.when(F.col("mark"), "table").otherwise("paragraph")
+    top = scanned(pages, key, html).where("depth = 0").withColumns({"list_kind": kind, "level": level, "text": _plain(F.col("raw")), "kind": kinds}).where("mark or text <> ''")
     plain = lambda c, other: F.when(F.col("kind") == "paragraph", F.col(c)).otherwise(F.lit(other)).alias(c)
-    order = F.row_number().over(Window.partitionBy("key").orderBy("at")) - 1
+    order = F.row_number().over(Window.partitionBy("key").orderBy("n")) - 1
     return top.select(F.col("key").alias(key), order.alias("ord"), "kind", plain("heading", 0), plain("list_kind", "none"), plain("level", 0), F.when(F.col("kind") == "paragraph", F.col("text")).alias("text"))
 
 
@@ -124,20 +120,35 @@ def html_cells(pages: DataFrame, *, key: str = "page_id", html: str = "html") ->
     A cell's text is that of its blocks by lines, with a table in it as tabs and lines that hold all its cells. ``header`` is a
     ``th``. Cells take the next column that no span from above holds.
     """
-    at = cut(_in_tables(scanned(pages, key, html).where("depth > 0 or t = ''")), "marks")
-    named = F.concat_ws(":", F.col("key").cast("string"), F.col("table").cast("string"))
-    cells = at.where("tag in ('td', 'th') and not ends and table is not null").select(
-        "key", "table", named.alias("table_id"), F.col("r").cast("long").alias("r"), F.col("k").cast("int").alias("k"), _span("rowspan").alias("row_span"), _span("colspan").alias("col_span"), (F.col("tag") == "th").alias("header")
-    )
-    cells = cut(cells.join(spanned_slots(cells), ["table_id", "r", "k"]).drop("table_id"), "cells")
-    place = cells.select("key", "table", F.col("r").alias("r"), "k", "c")
-    parts = _blocks(at).withColumn("r", F.col("r").cast("long")).join(place, ["key", "table", "r", "k"], "left")
-    top = ~F.col("inside")
-    tree = parts.select(F.col("key").alias("doc_id"), F.coalesce("own", -F.col("at").cast("long") - 1).alias("id"), F.when(~top, F.col("table")).alias("parent"), F.when(top, 0).otherwise(F.col("r")).cast("int").alias("r"), F.when(top, 0).otherwise(F.col("c")).cast("int").alias("c"), F.col("at").cast("long").alias("ord"), "kind", "text")
-    # each cell holds an empty part, so that a table's text has all its cells
-    bare = cells.select(F.col("key").alias("doc_id"), F.lit(None).cast("long").alias("id"), F.col("table").alias("parent"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(-1).cast("long").alias("ord"), F.lit("paragraph").alias("kind"), F.lit("").alias("text"))
-    tree = tree.where("parent is not null or kind = 'table'").unionByName(bare)
-    texts = nested_texts(tree)[0].select(F.col("doc_id").alias("key"), F.col("id").alias("table"), "r", "c", "text")
-    tables = at.where("t = ''").select("key", (F.col("n").cast("long") + 1).alias("table"), (F.row_number().over(Window.partitionBy("key").orderBy("n")) - 1).alias("number"), F.col("table").isNotNull().alias("inner"))
-    out = cells.withColumn("r", F.col("r").cast("int")).join(texts, ["key", "table", "r", "c"], "left").join(tables, ["key", "table"])
-    return out.select(F.col("key").alias(key), F.col("number").alias("table"), "inner", "r", "c", "row_span", "col_span", "header", F.coalesce("text", F.lit("")).alias("text"))
+    at = _in_tables(scanned(pages, key, html).where("depth > 0 or mark"))
+    head, own = F.when(F.col("tag").isin("td", "th") & ~F.col("ends"), F.col("t")), F.when(F.col("mark"), F.col("n").cast("long") + 1)
+    rows = at.where("inside").select("key", "depth", "table", "number", "r", "k", F.col("n").alias("at"), own.alias("own"), head.alias("head"), _plain(F.col("raw")).alias("text"))
+    parts = cut(rows.where("own is not null or head is not null or text <> ''"), "parts")
+    levels, below = [], None
+    for depth in range(parts.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        level = parts.where(F.col("depth") == depth)
+        if below is not None:
+            inner = level.where("own is not null").join(below, ["key", "own"], "left").withColumn("text", F.col("held")).drop("held")
+            level = level.where("own is null").unionByName(inner)
+        levels.append(cut(_slotted(level), "cells") if depth > 1 else _slotted(level))  # the outermost are read once
+        if depth > 1:
+            rows = levels[-1].groupBy("key", "table", "r").agg(filled("c", F.col("text"), F.max("c") + 1, "\t").alias("line"))
+            below = rows.groupBy("key", F.col("table").alias("own")).agg(filled("r", F.col("line"), F.max("r") + 1, "\n").alias("held"))
+    out = reduce(DataFrame.unionByName, levels) if levels else _slotted(parts)
+    return out.select(F.col("key").alias(key), F.col("number").alias("table"), (F.col("depth") > 1).alias("inner"), "r", "c", "row_span", "col_span", "header", "text")
+
+
+def _slotted(level: DataFrame) -> DataFrame:
+    """The cells of one depth with their columns and texts. A page has all its rows in one task already, so the bands are told by windows."""
+    texts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("at", "text"))))
+    of, head = ("key", "table", "depth", "number"), F.max("head")
+    begun = level.repartition("key").groupBy(*of, "r", "k").agg(head.alias("t"), F.array_join(F.transform(texts, lambda p: p["text"]), "\n").alias("text"))
+    cells = begun.withColumns({"row_span": _span("rowspan"), "col_span": _span("colspan"), "header": F.col("t").rlike("(?i)^<th")})
+    w = Window.partitionBy("key", "table").orderBy("r")
+    reach = F.max(F.col("r") + F.col("row_span")).over(w.rangeBetween(Window.unboundedPreceding, -1))
+    heads = cells.withColumn("head", F.when(F.coalesce(reach <= F.col("r"), F.lit(True)), F.col("r")))
+    banded = heads.withColumn("band", F.last("head", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    x = F.struct(F.col("r").cast("long").alias("r"), F.col("k").cast("int").alias("k"), F.col("row_span").alias("rs"), F.col("col_span").alias("cs"), "header", "text")
+    each = banded.groupBy(*of, "band").agg(F.sort_array(F.collect_list(x)).alias("xs"))
+    out = each.select(*of, F.explode(F.arrays_zip(F.col("xs").alias("x"), slot_columns(F.col("xs")).alias("c"))).alias("z"))
+    return out.select(*of, F.col("z.x.r").cast("int").alias("r"), "z.c", F.col("z.x.rs").alias("row_span"), F.col("z.x.cs").alias("col_span"), "z.x.header", "z.x.text")
