@@ -181,3 +181,15 @@ def test_styles_combine_at_any_depth(spark):
         assert merged([tuple(q) for q in x["r"]]) == merged(parser.out)
     first = next(x for x in got if x["k"] == 0)["r"]
     assert [(q["text"], q["bold"], q["italic"], q["href"]) for q in first] == [("a ", False, False, None), ("b ", False, True, None), ("c ", True, True, None), ("d", True, True, "l"), (" e", False, False, None)]
+
+
+def test_components_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    real = spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df, name="cut", **k: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), real(df, name, **k))[1])
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 5, 6)], "page long, a long, b long")
+    nodes = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (2, 5), (2, 6)], "page long, id long")
+    got = sorted(tuple(r) for r in spatial.components(edges, nodes).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 4), (2, 5, 5), (2, 6, 5)]
+    assert any("Join" in plan for _, plan in plans)
+    assert not any("BroadcastHashJoin" in plan for _, plan in plans)
