@@ -193,3 +193,10 @@ def test_components_are_not_broadcast(spark, monkeypatch):
     assert got == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 4), (2, 5, 5), (2, 6, 5)]
     assert any("Join" in plan for _, plan in plans)
     assert not any("BroadcastHashJoin" in plan for _, plan in plans)
+
+
+def test_colours_need_a_hexadecimal_opacity(spark):
+    from vellumine.functions.colours import hex_to_rgb
+
+    df = spark.createDataFrame([("x1234567",), ("FF123456",), ("#123456",), ("zz123456",)], "t string")
+    assert [r[0] and tuple(r[0]) for r in df.select(hex_to_rgb(F.col("t"))).collect()] == [None, (18, 52, 86), (18, 52, 86), None]

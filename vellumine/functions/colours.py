@@ -15,7 +15,7 @@ def hex_to_rgb(text: Column) -> Column:
     bare = F.regexp_replace(F.trim(text), "^#+", "")
     six = F.when(F.length(bare) == 8, F.substring(bare, 3, 6)).otherwise(bare)
     pair = lambda at: F.conv(F.substring(six, at, 2), 16, 10)
-    return F.when(six.rlike("^[0-9A-Fa-f]{6}$"), rgb(pair(1), pair(3), pair(5)))
+    return F.when(bare.rlike("^([0-9A-Fa-f]{2})?[0-9A-Fa-f]{6}$"), rgb(pair(1), pair(3), pair(5)))
 
 
 def rgb_to_hex(colour: Column, prefix: str = "#") -> Column:
