@@ -200,3 +200,12 @@ def test_colours_need_a_hexadecimal_opacity(spark):
 
     df = spark.createDataFrame([("x1234567",), ("FF123456",), ("#123456",), ("zz123456",)], "t string")
     assert [r[0] and tuple(r[0]) for r in df.select(hex_to_rgb(F.col("t"))).collect()] == [None, (18, 52, 86), (18, 52, 86), None]
+
+
+def test_fixed_offsets_hold_wide_keys(spark, tmp_path):
+    from vellumine.plans import QUERIES
+
+    keys = [(5_000_000_000, 70_000), (1, 2), (65_536, 4_294_967_296)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted((r["o_orderkey"], r["col"], r["width"]) for r in QUERIES["src45_fixed_offsets"](spark, str(tmp_path)).collect())
+    assert got == sorted((o, c, o) for o, c in keys)

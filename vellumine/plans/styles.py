@@ -84,8 +84,8 @@ def _(spark, sf_dir):
 @query("src45_fixed_offsets", "SELECT o_orderkey, o_custkey AS col, o_orderkey AS width FROM orders")
 def _(spark, sf_dir):
     le = lambda c, n: F.concat(*(F.lpad(F.hex(F.shiftright(c, 8 * i).bitwiseAND(255)), 2, "0") for i in range(n)))
-    content = F.unhex(F.concat(F.lit("FFFF"), le(F.col("o_custkey"), 2), le(F.col("o_orderkey"), 4), F.lit("AB")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", st.little_endian(content, 2, 2).alias("col"), st.little_endian(content, 4, 4).alias("width"))
+    content = F.unhex(F.concat(F.lit("FFFF"), le(F.col("o_custkey"), 8), le(F.col("o_orderkey"), 8), F.lit("AB")))  # fields as wide as the keys
+    return table(spark, sf_dir, "orders").select("o_orderkey", st.little_endian(content, 2, 8).alias("col"), st.little_endian(content, 10, 8).alias("width"))
 
 
 @query("src47_picture_kinds", "SELECT o_orderkey, ['jpeg', 'gif', 'bmp', 'png', 'png'][o_orderkey % 5 + 1] AS kind FROM orders")
