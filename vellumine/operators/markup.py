@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.text import html_unescape
 from vellumine.operators.folds import slot_columns
-from vellumine.operators.trees import filled
+from vellumine.operators.trees import placed_texts
 from vellumine.shared import cut
 
 # Elements whose content isn't shown, elements that begin a block, the widest span.
@@ -132,8 +132,8 @@ def html_cells(pages: DataFrame, *, key: str = "page_id", html: str = "html") ->
             level = level.where("own is null").unionByName(inner)
         levels.append(cut(_slotted(level), "cells") if depth > 1 else _slotted(level))  # the outermost are read once
         if depth > 1:
-            rows = levels[-1].groupBy("key", "table", "r").agg(filled("c", F.col("text"), F.max("c") + 1, "\t").alias("line"))
-            below = rows.groupBy("key", F.col("table").alias("own")).agg(filled("r", F.col("line"), F.max("r") + 1, "\n").alias("held"))
+            rows = levels[-1].groupBy("key", "table", "r").agg(placed_texts("c", F.col("text"), F.max("c") + 1, "\t").alias("line"))
+            below = rows.groupBy("key", F.col("table").alias("own")).agg(placed_texts("r", F.col("line"), F.max("r") + 1, "\n").alias("held"))
     out = reduce(DataFrame.unionByName, levels) if levels else _slotted(parts)
     return out.select(F.col("key").alias(key), F.col("number").alias("table"), (F.col("depth") > 1).alias("inner"), "r", "c", "row_span", "col_span", "header", "text")
 

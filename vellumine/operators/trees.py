@@ -30,7 +30,7 @@ def placed(blocks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def filled(at: str, text: Column, size: Column, sep: str) -> Column:
+def placed_texts(at: str, text: Column, size: Column, sep: str) -> Column:
     """Texts at their places, joined; places that nothing holds are empty."""
     held = F.map_from_entries(F.collect_list(F.struct(at, text)))
     return F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.coalesce(F.try_element_at(held, k), F.lit(""))), sep)
@@ -55,8 +55,8 @@ def nested_texts(blocks: DataFrame, *, sep: str = "\t", pad: bool = False) -> tu
         wide = cells[-1]
         if pad:
             wide = wide.join(wide.groupBy("doc_id", "id").agg((F.max("c") + 1).alias("width")), ["doc_id", "id"])
-        rows = wide.groupBy("doc_id", "id", "r").agg(filled("c", F.col("text"), F.max("width") if pad else F.max("c") + 1, sep).alias("line"))
-        tables.append(cut(rows.groupBy("doc_id", "id").agg(filled("r", F.col("line"), F.max("r") + 1, "\n").alias("text")), "tables"))
+        rows = wide.groupBy("doc_id", "id", "r").agg(placed_texts("c", F.col("text"), F.max("width") if pad else F.max("c") + 1, sep).alias("line"))
+        tables.append(cut(rows.groupBy("doc_id", "id").agg(placed_texts("r", F.col("line"), F.max("r") + 1, "\n").alias("text")), "tables"))
         below = tables[-1].withColumnRenamed("text", "inside")
     bare = at.where("kind = 'table'").select("doc_id", "id")
     filled = reduce(DataFrame.unionByName, tables) if tables else bare.limit(0).withColumn("text", F.lit(""))
