@@ -3,6 +3,7 @@
 import threading
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellumine.batches import Conversion
@@ -53,3 +54,25 @@ def test_a_running_batch_is_interrupted(spark, tmp_path):
     assert list(job) == [] and time.time() - began < 40
     assert job.progress.cancelled and job.progress.batches == 0
     assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())
+
+
+def test_few_files_are_held_at_once():
+    """A batch of nested rows is read and written in pieces, not turned into Python objects as a whole."""
+    long = "x" * (files.PIECE_BYTES // 4)
+    batch = pa.RecordBatch.from_pydict({"k": list(range(3 * files.PIECE_ROWS + 5)), "t": [long] * 20 + ["y"] * (3 * files.PIECE_ROWS - 15)})
+    got = list(files.pieces([batch, batch.slice(0, 0)]))
+    assert [k for b in got for k in b["k"].to_pylist()] == batch["k"].to_pylist()
+    assert all(b.num_rows <= files.PIECE_ROWS and (b.nbytes <= files.PIECE_BYTES or b.num_rows == 1) for b in got)
+    seen = []
+
+    class Rows:
+        dtypes = [("k", "bigint"), ("t", "string")]
+
+        def mapInArrow(self, each, schema):  # noqa: N802
+            assert schema == "k bigint, n int"
+            return each([batch])
+
+    out = files._in_pieces(Rows(), lambda b: seen.append(b.num_rows) or {"n": [len(t) for t in b["t"].to_pylist()]}, ["k"], {"n": "int"})
+    first = next(out)
+    assert len(seen) == 1 and first.num_rows == seen[0] and first["n"].to_pylist() == [len(long)] * seen[0]
+    assert sum(b.num_rows for b in out) + first.num_rows == batch.num_rows

@@ -8,11 +8,14 @@ from __future__ import annotations
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from vellumine.sinks.office import WRITERS
 from vellumine.sources import office
@@ -24,6 +27,8 @@ from vellumine.sources.xls import read_xls
 
 READERS = office.READERS | {"pdf": read_pdf, "xls": read_xls}
 BLOCKS = f"array<struct<kind:string,text:string,heading:int,list_kind:string,level:int,cells:array<struct<r:int,c:int,row_span:int,col_span:int,text:string>>,runs:{RUNS},align:string,image:binary>>"
+#: Files that a task holds as Python objects at once, by rows and by bytes of Arrow; one larger file is held alone.
+PIECE_ROWS, PIECE_BYTES = 64, 1 << 20
 #: What a damaged file can raise.
 DAMAGE = (ReadError, ValueError, KeyError, IndexError, TypeError, AttributeError, OverflowError, RecursionError, struct.error, zlib.error, zipfile.BadZipFile)
 
@@ -54,6 +59,31 @@ def detect(files: DataFrame, *, path: str = "path", content: str = "content") ->
     return files.withColumn("format", resolve(format_of_ext(ext), inside(content)))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces: as Python objects, a whole batch of nested rows takes many times its bytes."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(PIECE_ROWS, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > PIECE_BYTES:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
+
+
+def _in_pieces(rows: DataFrame, run: Callable[[pa.RecordBatch], dict[str, list]], kept: list[str], added: dict[str, str]) -> DataFrame:
+    """The columns ``kept`` of ``rows`` and those ``added`` that ``run`` makes of a piece as lists."""
+    types = {k: to_arrow_type(DataType.fromDDL(t)) for k, t in added.items()}  # on the driver, which parses them
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            made = run(b)
+            yield pa.RecordBatch.from_pydict({k: b[k] for k in kept} | {k: pa.array(made[k], t) for k, t in types.items()})
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(each, ", ".join(f"{k} {t}" for k, t in ({k: kinds[k] for k in kept} | added).items()))
+
+
 def _as_rows(blocks: list[dict]) -> list[dict]:
     return [b | {"cells": [dict(zip(("r", "c", "row_span", "col_span", "text"), x, strict=True)) for x in b["cells"]]} for b in blocks]
 
@@ -86,14 +116,12 @@ def read(files: DataFrame, *, key: str = "path", content: str = "content", fmt:
     Options are those of ``office.Options``: delimiter, pages, hidden_sheets, max_rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [_read(data, f, options) for data, f in zip(b["_content"], b["_format"], strict=True)]
-            columns = {"blocks": [_as_rows(x) for x, _, _ in got], "error": [e for _, e, _ in got], "warnings": [w for _, _, w in got]}
-            yield pd.DataFrame({key: b[key].array} | {k: pd.Series(v, dtype=object) for k, v in columns.items()})
+    def run(b: pa.RecordBatch) -> dict[str, list]:
+        got = [_read(data, f, options) for data, f in zip(b["_content"].to_pylist(), b["_format"].to_pylist(), strict=True)]
+        return {"blocks": [_as_rows(x) for x, _, _ in got], "error": [e for _, e, _ in got], "warnings": [w for _, _, w in got]}
 
-    kind = dict(files.dtypes)[key]
-    return files.select(key, F.col(content).alias("_content"), F.col(fmt).alias("_format")).mapInPandas(run, f"{key} {kind}, blocks {BLOCKS}, error string, warnings array<string>")
+    rows = files.select(key, F.col(content).alias("_content"), F.col(fmt).alias("_format"))
+    return _in_pieces(rows, run, [key], {"blocks": BLOCKS, "error": "string", "warnings": "array<string>"})
 
 
 PROPERTIES = "title string, author string, subject string, keywords string, page_width double, page_height double, margin_left double, margin_right double, margin_top double, margin_bottom double"
@@ -121,11 +149,11 @@ def write(documents: DataFrame, target: str, *, key: str = "path") -> DataFrame:
     if target not in WRITERS:
         raise ValueError(f"no writer for {target}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key].array, "output": [WRITERS[target](_from_rows(x), "") for x in b["blocks"]]})
+    def run(b: pa.RecordBatch) -> dict[str, list]:
+        rows = b["blocks"].to_pandas(integer_object_nulls=True)  # much faster than to_pylist for what nests
+        return {"output": [WRITERS[target](_from_rows(x), "") for x in rows]}
 
-    return documents.select(key, "blocks").mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, output binary")
+    return _in_pieces(documents.select(key, "blocks"), run, [key], {"output": "binary"})
 
 
 def convert(files: DataFrame, target: str, **options) -> DataFrame:
@@ -136,20 +164,19 @@ def convert(files: DataFrame, target: str, **options) -> DataFrame:
     if target not in WRITERS:
         raise ValueError(f"no writer for {target}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for data, fmt in zip(b["content"], b["format"], strict=True):
-                output, warnings = None, []
-                if data is not None and fmt == target:
-                    output, error = bytes(data), None
-                else:
-                    blocks, error, warnings = _read(data, fmt, options)
-                    output = WRITERS[target](blocks, "") if error is None else None
-                rows.append((output, error, warnings))
-            yield pd.DataFrame({"path": b["path"], "format": b["format"]} | {k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(("output", "error", "warnings"))})
-
-    return detect(files).select("path", "content", "format").mapInPandas(run, "path string, format string, output binary, error string, warnings array<string>")
+    def run(b: pa.RecordBatch) -> dict[str, list]:
+        rows = []
+        for data, fmt in zip(b["content"].to_pylist(), b["format"].to_pylist(), strict=True):
+            output, warnings = None, []
+            if data is not None and fmt == target:
+                output, error = bytes(data), None
+            else:
+                blocks, error, warnings = _read(data, fmt, options)
+                output = WRITERS[target](blocks, "") if error is None else None
+            rows.append((output, error, warnings))
+        return {k: [r[i] for r in rows] for i, k in enumerate(("output", "error", "warnings"))}
+
+    return _in_pieces(detect(files).select("path", "content", "format"), run, ["path", "format"], {"output": "binary", "error": "string", "warnings": "array<string>"})
 
 
 convert_files = convert  # the name at the package's top, where ``convert`` is a module
