@@ -83,9 +83,8 @@ def trim_rows(cells: DataFrame) -> DataFrame:
 
 def filled_rows(cells: DataFrame) -> DataFrame:
     """Rows with no text go, unless that leaves nothing of the table."""
-    some = F.bool_or(~is_blank(F.col("text")))
-    by_row, by_table = some.over(Window.partitionBy("table_id", "r")), some.over(Window.partitionBy("table_id"))
-    return cells.withColumns({"_r": by_row, "_t": by_table}).where(F.col("_r") | ~F.col("_t")).drop("_r", "_t")
+    at = cells.withColumn("_r", F.bool_or(~is_blank(F.col("text"))).over(Window.partitionBy("table_id", "r")))  # first: its order serves the other window too
+    return at.withColumn("_t", F.bool_or("_r").over(Window.partitionBy("table_id"))).where(F.col("_r") | ~F.col("_t")).drop("_r", "_t")
 
 
 def preferred_widths(cells: DataFrame) -> DataFrame:

@@ -10,16 +10,19 @@ from vellumine.operators import rules as ru
 from vellumine.operators import spatial
 from vellumine.plans.registry import query
 from vellumine.plans.scalars import SPACE
-from vellumine.shared import table
+from vellumine.shared import dealt, table
 
 CELLS = """(SELECT table_id, r, unnest([0, 1, 2, 3]) AS c, unnest([s, k, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE p END, CASE WHEN o_orderkey % 4 = 0 THEN 'a' || chr(10) || 'b|' || k ELSE ' ' END]) AS text FROM (
   SELECT *, o_custkey AS table_id, o_orderstatus AS s, CAST(o_orderkey AS VARCHAR) AS k, o_orderpriority AS p, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS r FROM orders))"""
 BLANK = f"NOT regexp_matches(text, '[^{SPACE}]')"
 MERGES = "(SELECT table_id, r, CAST(CASE WHEN r % 4 = 0 THEN 0 ELSE 2 END AS INTEGER) AS c, 2 AS row_span, CAST(table_id % 2 + 1 AS INTEGER) AS col_span FROM (SELECT DISTINCT table_id, r FROM " + CELLS + ") WHERE r % 4 IN (0, 2))"
 
+#: Orders of a task, each four cells.
+ORDERS = 20_000
+
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    o = dealt(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority"), "o_custkey", each=ORDERS).withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
     key = F.col("o_orderkey")
     texts = F.array("o_orderstatus", key.cast("string"), F.when(key % 3 == 0, "").otherwise(F.col("o_orderpriority")), F.when(key % 4 == 0, F.concat(F.lit("a\nb|"), key.cast("string"))).otherwise(" "))
     return o.select(F.col("o_custkey").alias("table_id"), "r", F.posexplode(texts).alias("c", "text"))

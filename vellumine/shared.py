@@ -83,6 +83,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, rows: int, each: int) -> int:
+    """So many tasks that one has about ``each`` rows, and as many as run at once at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def dealt(df: DataFrame, *keys: str, each: int) -> DataFrame:
+    """``df``, which is cheap to count, by ``keys`` to tasks of about ``each`` rows.
+
+    They aren't merged by their bytes, which don't tell the work where rows are to become many, or files.
+    """
+    return df.repartition(tasks(df.sparkSession, df.count(), each), *keys)
+
+
 def sized_join(large: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str = "inner", *, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``large`` joined to ``small``, which is broadcast if its rows times ``row_bytes`` fit ``limit``; else both are shuffled."""
     return large.join(F.broadcast(small) if small.count() * row_bytes <= limit else small, on, how)
