@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from vellumine.shared import checkpoint_root, cleared, cut
+from vellumine.plans import conversion
+from vellumine.plans import tables as grids
+from vellumine.shared import checkpoint_root, cleared, cut, tasks
 
 
 def tables(spark):
@@ -34,3 +36,13 @@ def test_cleared_after_an_error(spark):
     with pytest.raises(Exception, match="fails"), cleared(spark):
         cut(spark.range(2).selectExpr("raise_error('fails') as x"), "failing")
     assert tables(spark) == before
+
+
+def test_tasks_grow_with_rows_not_bytes(spark, monkeypatch):
+    """Cells and files are dealt by rows: small tables aren't merged into few tasks, nor is a file one task."""
+    assert tasks(spark, 5, 10) == spark.sparkContext.defaultParallelism and tasks(spark, 1001, 10) == 101
+    monkeypatch.setattr(grids, "ORDERS", 100)
+    monkeypatch.setattr(conversion, "FILES", 20)
+    small = "/root/testdata/sf0.001"
+    for made, rows, each in ((grids.cells, "orders", 100), (conversion.line_blocks, "documents", 20)):
+        assert made(spark, small).rdd.getNumPartitions() == tasks(spark, spark.read.parquet(f"{small}/{rows}.parquet").count(), each) > 4

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from vellumine.plans.documents import LINES
 from vellumine.plans.registry import query
 from vellumine.plans.tables import CELLS, cells
-from vellumine.shared import table
+from vellumine.shared import dealt, table
 from vellumine.sources import files
 from vellumine.sources.office import encoding_of
 from vellumine.sources.text import delimiter
 
+#: Files of a task: what they cost in Python isn't told by their bytes.
+FILES = 250
+
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, blocks: a paragraph for each line, every tenth a heading."""
@@ -23,7 +26,7 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.split("text", "\n", -1),
         lambda t, i: F.struct(F.lit("paragraph").alias("kind"), t.alias("text"), F.when(i % 10 == 3, (F.col("doc_id") % 6 + 1).cast("int")).otherwise(0).alias("heading"), F.lit("none").alias("list_kind"), F.lit(0).alias("level"), F.array().cast("array<struct<r:int,c:int,row_span:int,col_span:int,text:string>>").alias("cells")),
     )
-    return table(spark, sf_dir, "documents").select("doc_id", made.alias("blocks"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", each=FILES).select("doc_id", made.alias("blocks"))
 
 
 def grid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +80,9 @@ def _(spark, sf_dir):
 
 @query("src11_html_scan")
 def _(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit("html").alias("format"))
-    return files.blocks_of(files.read(pages, key="page_id"), key="page_id")
+    pages = dealt(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", each=FILES)
+    asked = pages.select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit("html").alias("format"))
+    return files.blocks_of(files.read(asked, key="page_id"), key="page_id")
 
 
 @query("snk11_json_dump")
