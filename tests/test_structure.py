@@ -128,6 +128,18 @@ def test_spans_take_the_next_free_slot(spark):
     assert len(got) == len(rows) and {(x["table_id"], x["r"], x["k"]): x["c"] for x in got} == want
 
 
+def test_wrap_without_a_fold(spark):
+    """Text is wrapped by one match for each piece; only text that holds the mark of wide characters is folded."""
+    r = random.Random(9)
+    texts = ["", "\uffff", "a\uffff" * 9, "\n\r\u2028"] + ["".join(r.choice("ab漢ᄀᄁ\n\uffff"[: 6 + k % 2]) for _ in range(r.randrange(40))) for k in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for width in (1, 2, 3, 8):
+        assert df.where(folds.wrap(F.col("t"), width) != folds.wrap_by_fold(F.col("t"), width)).count() == 0
+    long = spark.createDataFrame([("ab漢" * 20,)], "t string")
+    broken = spark.createDataFrame([("ab\uffff" * 20,)], "t string")
+    assert long.select(F.size(folds.wrap(F.col("t"), 8))).first()[0] == broken.select(F.size(folds.wrap(F.col("t"), 8))).first()[0]
+
+
 def test_wrap(spark):
     r = random.Random(8)
     texts = ["", None, "x" * 7, "漢" * 5 + "a"] + ["".join(r.choice("ab漢ᄀᄁ\n\U0001f600") for _ in range(r.randrange(60))) for _ in range(60)]

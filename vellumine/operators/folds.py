@@ -14,7 +14,21 @@ STYLES = ("bold", "italic", "underline", "strike", "code")
 
 
 def wrap(text: Column, width: int = LINE_CELLS) -> Column:
-    """Pieces of at most ``width`` cells; characters beyond U+1100 take two. The fold keeps where pieces begin."""
+    """Pieces of at most ``width`` cells; characters beyond U+1100 take two.
+
+    Wide ones are followed by a mark, so that a piece is the longest match that no mark follows. Text
+    that holds the mark itself is folded.
+    """
+    if width < 2:
+        return wrap_by_fold(text, width)
+    text, mark = F.coalesce(text, F.lit("")), "\uffff"
+    marked = F.regexp_replace(text, f"([^\\x00-{LAST_NARROW}])", f"$1{mark}")
+    pieces = F.regexp_extract_all(marked, F.lit(f"(?s).{{1,{width}}}(?!{mark})|\\A\\z"), F.lit(0))
+    return F.when(F.contains(text, F.lit(mark)), wrap_by_fold(text, width)).otherwise(F.transform(pieces, lambda p: F.replace(p, F.lit(mark), F.lit(""))))
+
+
+def wrap_by_fold(text: Column, width: int) -> Column:
+    """The same of any text: the fold keeps where pieces begin."""
     text = F.coalesce(text, F.lit(""))
     characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.array(F.lit(0)).alias("starts"))

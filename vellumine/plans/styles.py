@@ -330,5 +330,5 @@ def _(spark, sf_dir):
 @query("fn28_wrap", f"SELECT doc_id, ord, CAST(n AS INTEGER) AS n, substr(line, n * k + 1, k) AS piece FROM (SELECT doc_id, ord, line, k, unnest(range(0, greatest(1, CAST(ceil(length(line) / k) AS BIGINT)))) AS n FROM (SELECT doc_id, ord, CASE WHEN ord % 2 = 1 THEN repeat('漢', CAST(length(line) AS INTEGER)) ELSE line END AS line, CASE WHEN ord % 2 = 1 THEN 45 ELSE 90 END AS k FROM {LINES}))")
 def _(spark, sf_dir):
     """Lines of at most 90 cells; wide characters, here every second line's, take two."""
-    made = F.when(F.col("ord") % 2 == 1, F.regexp_replace("line", r"(?s).", "漢")).otherwise(F.col("line"))
+    made = F.when(F.col("ord") % 2 == 1, F.repeat(F.lit("漢"), F.length("line"))).otherwise(F.col("line"))
     return lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(folds.wrap(made)).alias("n", "piece"))
\ No newline at end of file
