@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellumine.batches import Conversion
+from vellumine.sinks.committed import write_files
 from vellumine.sources import files
 
 
@@ -76,3 +77,13 @@ def test_few_files_are_held_at_once():
     first = next(out)
     assert len(seen) == 1 and first.num_rows == seen[0] and first["n"].to_pylist() == [len(long)] * seen[0]
     assert sum(b.num_rows for b in out) + first.num_rows == batch.num_rows
+
+
+def test_small_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Their bytes are few, so that Spark would merge the tasks unless their number is named."""
+    given = spark.range(400).select(F.concat("id", F.lit(".txt")).alias("name"), F.lit(b"x").alias("content"), F.col("id").cast("string").alias("source"))
+    dealt, ways = type(given).repartitionByRange, []
+    monkeypatch.setattr(type(given), "repartitionByRange", lambda self, *by: ways.append(dealt(self, *by)) or ways[-1])
+    write_files(given, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.txt"))) == 400
+    assert [w.rdd.getNumPartitions() for w in ways] == [int(spark.conf.get("spark.sql.shuffle.partitions"))]

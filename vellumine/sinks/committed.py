@@ -151,6 +151,7 @@ class Files(ds.DataSource):
 def write_files(files: DataFrame, folder: str, *, on_conflict: str = "rename", report: str | None = None) -> None:
     """Write rows (name, content, source) as files of ``folder``. Names are settled in the order of source, then name."""
     files.sparkSession.dataSource.register(Files)
-    rows = files.select("name", "content", "source").repartitionByRange("source", "name").sortWithinPartitions("source", "name")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that they aren't merged: many small files are few bytes, but long work
+    rows = files.select("name", "content", "source").repartitionByRange(tasks, "source", "name").sortWithinPartitions("source", "name")
     writer = rows.write.format(Files.name()).mode("append").option("on_conflict", on_conflict)
     (writer.option("report", report) if report else writer).save(folder)
