@@ -57,7 +57,7 @@ def test_a_running_batch_is_interrupted(spark, tmp_path):
     assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())
 
 
-def test_few_files_are_held_at_once():
+def test_few_files_are_held_at_once(spark):
     """A batch of nested rows is read and written in pieces, not turned into Python objects as a whole."""
     long = "x" * (files.PIECE_BYTES // 4)
     batch = pa.RecordBatch.from_pydict({"k": list(range(3 * files.PIECE_ROWS + 5)), "t": [long] * 20 + ["y"] * (3 * files.PIECE_ROWS - 15)})
