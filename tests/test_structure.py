@@ -128,6 +128,16 @@ def test_spans_take_the_next_free_slot(spark):
     assert len(got) == len(rows) and {(x["table_id"], x["r"], x["k"]): x["c"] for x in got} == want
 
 
+def test_trees_are_joined_in_small_tasks(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(d, k, (k - 1) // 3 if k else None, r.randrange(2), r.randrange(2), k, "table" if k < 20 else "paragraph", str(k)) for d in range(4) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id int, id int, parent int, r int, c int, ord int, kind string, text string")
+    wanted = [sorted(map(tuple, t.collect())) for t in trees.nested_texts(df, pad=True)]
+    monkeypatch.setattr(trees, "ROWS", 20)
+    assert [sorted(map(tuple, t.collect())) for t in trees.nested_texts(df, pad=True)] == wanted
+    assert trees.paired(df, df.select("doc_id", "id"), ["doc_id", "id"]).rdd.getNumPartitions() == 20
+
+
 def test_wrap_without_a_fold(spark):
     """Text is wrapped by one match for each piece; only text that holds the mark of wide characters is folded."""
     r = random.Random(9)

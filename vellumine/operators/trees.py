@@ -14,7 +14,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.shared import cut
+from vellumine.shared import cut, tasks
+
+#: Rows of a task, of both sides of a join together.
+ROWS = 25_000
+
+
+def paired(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Tables that were cut, joined; beyond ``ROWS`` for each shuffle partition by sorting, in tasks that don't grow with them."""
+    spark = left.sparkSession
+    n = tasks(spark, left.count() + right.count(), ROWS)
+    if n <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return left.join(right, on, how)
+    return left.repartition(n, *on).join(right.repartition(n, *on).hint("merge"), on, how)
 
 
 def placed(blocks: DataFrame) -> DataFrame:
@@ -25,7 +37,7 @@ def placed(blocks: DataFrame) -> DataFrame:
     inner = cut(blocks.where("parent is not null"), "inner")
     while not levels[-1].isEmpty():
         above = levels[-1].where("kind = 'table'").select("doc_id", F.col("id").alias("parent"), F.col("depth").alias("above"), F.col("path").alias("outer"))
-        below = inner.join(above, ["doc_id", "parent"])
+        below = paired(inner, above, ["doc_id", "parent"])
         levels.append(cut(below.select(*blocks.columns, (F.col("above") + 1).alias("depth"), F.concat("outer", step).alias("path")), "level"))
     return reduce(DataFrame.unionByName, levels)
 
@@ -47,7 +59,7 @@ def nested_texts(blocks: DataFrame, *, sep: str = "\t", pad: bool = False) -> tu
     cells, tables, below = [], [], None
     for depth in range(deepest, 0, -1):
         level = at.where(F.col("depth") == depth)
-        level = level.join(below, ["doc_id", "id"], "left") if below is not None else level.withColumn("inside", F.lit(None).cast("string"))
+        level = paired(level, below, ["doc_id", "id"], "left") if below is not None else level.withColumn("inside", F.lit(None).cast("string"))
         text = F.when(F.col("kind") == "table", F.col("inside")).when(F.col("kind") == "paragraph", F.col("text"))
         parts = F.array_sort(F.collect_list(F.when(text != "", F.struct("ord", text.alias("text")))))
         cell = level.groupBy("doc_id", F.col("parent").alias("id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
