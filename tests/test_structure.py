@@ -128,6 +128,47 @@ def test_spans_take_the_next_free_slot(spark):
     assert len(got) == len(rows) and {(x["table_id"], x["r"], x["k"]): x["c"] for x in got} == want
 
 
+def slots_by_hand(rows):
+    want = {}
+    for t, of in groupby(sorted(rows, key=lambda x: (str(x[0]), x[1:3])), key=lambda x: x[0]):
+        held = set()
+        for row, cells in groupby(of, key=lambda x: x[1]):
+            c = 0
+            for _, _, k, rs, cs in cells:
+                while (row, c) in held:
+                    c += 1
+                want[t, row, k] = c
+                held |= {(row + i, c + j) for i in range(max(rs, 1)) for j in range(max(cs, 1))}
+                c += max(cs, 1)
+    return want
+
+
+def test_spanned_tables_are_cut_where_no_cell_reaches(spark, monkeypatch):
+    """Tables of many cells are shared by tasks, with the columns that whole tables get; a null id is a table too."""
+    monkeypatch.setattr(folds, "CELLS", 60, raising=False)
+    monkeypatch.setattr(folds, "PIECE_ROWS", 5, raising=False)
+    r = random.Random(12)
+    rows = [(t, row, k, r.choice([1] * 6 + [2, 3, 0]), r.choice([1, 1, 2, 3])) for t, n in (("long", 80), (None, 50), ("", 40), ("x", 6), ("y", 9)) for row in range(n) if row % 9 for k in range(r.randrange(1, 5))]
+    rows += [("held", row, k, 37 if (row, k) == (4, 1) else 1, 1) for row in range(60) for k in range(3)]  # a cell that reaches over several pieces
+    schema = "table_id string, r int, k int, row_span int, col_span int"
+    want = slots_by_hand(rows)
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    got = folds.spanned_slots(df).collect()
+    assert len(got) == len(rows) and {(x["table_id"], x["r"], x["k"]): x["c"] for x in got} == want
+    pieces = folds._pieces(df.selectExpr("table_id", "r", "k", "greatest(row_span, 1) as rs", "greatest(col_span, 1) as cs")).select("table_id", "piece").distinct().groupBy("table_id").count().collect()
+    assert dict(map(tuple, pieces))["long"] > 5 and 4 <= dict(map(tuple, pieces))["held"] < 8
+    assert folds.spanned_slots(df.limit(0)).collect() == []
+
+
+def test_spanned_slots_of_dealt_tables_need_no_shuffle(spark):
+    rows = [(t, row, k, 1 + (row + k) % 3 // 2, 1 + k % 2) for t in range(5) for row in range(12) for k in range(3)]
+    df = spark.createDataFrame(rows, "table_id int, r int, k int, row_span int, col_span int").repartition(4, "table_id")
+    got = folds.spanned_slots(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "collect_list" not in plan
+    assert {(x["table_id"], x["r"], x["k"]): x["c"] for x in got.collect()} == slots_by_hand(rows)
+
+
 def test_trees_are_joined_in_small_tasks(spark, monkeypatch):
     r = random.Random(11)
     rows = [(d, k, (k - 1) // 3 if k else None, r.randrange(2), r.randrange(2), k, "table" if k < 20 else "paragraph", str(k)) for d in range(4) for k in range(50)]

@@ -1,17 +1,24 @@
-"""Rules that go through a text or a table in order, as folds of array functions: no Python, no cap."""
+"""Rules that go through a text or a table in order: texts as folds of array functions, cells of tables row by row as a task reads them. No cap."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.operators.numbering import running_max
+from vellumine.shared import cut, tasks
 
 # Cells of a line, the last narrow character, tags of inline styles.
 LINE_CELLS, LAST_NARROW = 90, "ᄀ"
 STYLE_TAGS = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "u": "underline", "s": "strike", "strike": "strike", "del": "strike", "code": "code", "kbd": "code", "samp": "code"}
 STYLES = ("bold", "italic", "underline", "strike", "code")
 
+#: Cells of a task, and rows between the places where a table of more cells may be cut.
+CELLS, PIECE_ROWS = 500_000, 50_000
+
 
 def wrap(text: Column, width: int = LINE_CELLS) -> Column:
     """Pieces of at most ``width`` cells; characters beyond U+1100 take two.
@@ -43,22 +50,66 @@ def wrap_by_fold(text: Column, width: int) -> Column:
     return F.flatten(F.transform(once, lambda x: F.transform(x["starts"], lambda at, k: F.substring(x["text"], at + 1, F.coalesce(F.get(x["starts"], k + 1), F.length(x["text"])) - at))))
 
 
-def spanned_slots(cells: DataFrame) -> DataFrame:
+def spanned_slots(cells: DataFrame, *, counted: DataFrame | None = None) -> DataFrame:
     """table_id, r, k, c: the column of the k-th cell of each row, beside cells that reach down from above.
 
-    Cells are (table_id, r, k, row_span, col_span). Rows into which no cell reaches begin a band;
-    bands are independent, so a table of any length is many small folds. A fold keeps, for each
-    column, the first row that is free.
+    Cells are (table_id, r, k, row_span, col_span); those without a row are left out. A task goes once
+    through its tables in order and keeps, for each column, the first row that is free. A table of
+    over ``CELLS`` cells is cut at rows into which no cell reaches, so that tasks share it. ``counted``
+    is a DataFrame with the same table_id as often, if there is one that is cheaper to count.
     """
-    rows = cells.groupBy("table_id", "r").agg(F.max(F.col("r") + F.greatest("row_span", F.lit(1))).alias("end"))
+    span = lambda name: F.greatest(name, F.lit(1)).cast("int")
+    spans = cells.where("r is not null").select("table_id", "r", "k", span("row_span").alias("rs"), span("col_span").alias("cs"))
+    held = cut((cells if counted is None else counted).groupBy("table_id").count(), "held")
+    long, of = held.where(F.col("count") > CELLS).select("table_id"), ["table_id"]
+    if not long.isEmpty():
+        same = spans["table_id"].eqNullSafe(long["table_id"])
+        whole = spans.join(F.broadcast(long), same, "left_anti").withColumn("piece", F.lit(None).cast("long"))
+        of = ["table_id", "piece"]
+        every = whole.unionByName(_pieces(cut(spans.join(F.broadcast(long), same, "left_semi"), "spans")))
+        spans = every.repartition(tasks(cells.sparkSession, held.agg(F.sum("count")).first()[0], CELLS), *of)
+    order = ["r", "k", "rs", "cs"]
+    first = F.row_number().over(Window.partitionBy(*of).orderBy(*order)) == 1
+    sorted_ = spans.withColumn("first", first).sortWithinPartitions(*of, *order)  # the window's own order
+    kinds = dict(cells.dtypes)
+    return sorted_.mapInArrow(_placed, f"table_id {kinds['table_id']}, r {kinds['r']}, k {kinds['k']}, c int")
+
+
+def _pieces(spans: DataFrame) -> DataFrame:
+    """``spans`` with the first row of the piece in which they stand: of each ``PIECE_ROWS`` rows the first into which no cell reaches, if there is one."""
+    rows = spans.groupBy("table_id", "r").agg(F.max(F.col("r").cast("long") + F.col("rs")).alias("end"))
     reached = running_max(rows, F.col("end"), [F.col("r").asc()], "reach", per=["table_id"])
-    heads = reached.withColumn("head", F.when(F.col("reach").isNull() | (F.col("reach") <= F.col("r")), F.col("r")))
-    bands = running_max(heads.select("table_id", "r", "head"), F.col("head"), [F.col("r").asc()], "band", per=["table_id"], before=False).select("table_id", "r", "band")
-    spans = cells.select("table_id", "r", "k", F.greatest("row_span", F.lit(1)).cast("int").alias("rs"), F.greatest("col_span", F.lit(1)).cast("int").alias("cs"))
-    each = spans.join(bands, ["table_id", "r"]).groupBy("table_id", "band").agg(F.sort_array(F.collect_list(F.struct("r", "k", "rs", "cs"))).alias("xs"))
-    columns = slot_columns(F.col("xs"))
-    out = each.select("table_id", F.explode(F.arrays_zip(F.col("xs"), columns.alias("cs"))).alias("z"))
-    return out.select("table_id", "z.xs.r", "z.xs.k", F.col("z")["cs"].alias("c"))
+    head = F.when(F.col("reach").isNull() | (F.col("reach") <= F.col("r")), F.col("r").cast("long"))
+    least = F.min("head").over(Window.partitionBy("table_id", F.floor(F.col("r") / PIECE_ROWS)))
+    begun = reached.withColumn("head", head).withColumn("start", F.when(F.col("r") == least, least))
+    at = running_max(begun.select("table_id", "r", "start"), F.col("start"), [F.col("r").asc()], "piece", per=["table_id"], before=False)
+    same = spans["table_id"].eqNullSafe(at["table_id"]) & (spans["r"] == at["r"])
+    return spans.join(at, same).select(*(spans[c] for c in spans.columns), at["piece"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells in the order of their tables, rows and places, with their columns; ``first`` begins a table or a piece."""
+    free: list[int] = []
+    row, c = None, 0
+    for batch in batches:
+        out = []
+        for first, r, rs, cs in zip(*(batch[name].to_numpy(zero_copy_only=False).tolist() for name in ("first", "r", "rs", "cs")), strict=True):
+            if first:
+                free, row = [], None
+            if r != row:
+                row, c = r, 0
+            known, end = len(free), r + rs
+            while c < known and free[c] > r:
+                c += 1
+            out.append(c)
+            after = c + cs
+            for j in range(c, min(after, known)):
+                if free[j] < end:
+                    free[j] = end
+            if after > known:
+                free += [end] * (after - max(c, known))
+            c = after
+        yield pa.RecordBatch.from_arrays([batch["table_id"], batch["r"], batch["k"], pa.array(out, pa.int32())], ["table_id", "r", "k", "c"])
 
 
 def slot_columns(cells: Column) -> Column:

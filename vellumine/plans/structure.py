@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellumine.operators import folds, numbering, probes, spatial, trees
 from vellumine.plans.registry import query
 from vellumine.plans.tables import CELLS, RECTS, cells, rects
-from vellumine.shared import table
+from vellumine.shared import dealt, table
 
 # --- a tree for each customer: order n hangs in order n / 4 if that is a table, in cells (0,0), (0,0), (0,1) and (1,0)
 
@@ -174,12 +174,11 @@ def _(spark, sf_dir):
 @query("join07_spanned_slots")
 def _(spark, sf_dir):
     """Lines of orders as cells of rows of a supplier's table, with spans both ways; each takes the next column that is free."""
-    x = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    x = dealt(lines, "table_id", each=folds.CELLS)
     n = F.row_number().over(Window.partitionBy("table_id").orderBy("order", "line", "part")) - 1
     made = x.withColumn("n", n).select("table_id", F.floor(F.col("n") / 3).cast("int").alias("r"), (F.col("n") % 3).alias("k"), F.when(F.col("part") % 4 == 0, F.col("line") % 4 + 1).otherwise(1).cast("int").alias("row_span"), (F.col("part") % 3 % 2 + 1).cast("int").alias("col_span"))
-    return folds.spanned_slots(made)
-
-
+    return folds.spanned_slots(made, counted=lines)
 
 
 @query(
