@@ -195,3 +195,16 @@ def test_cells_of_flat_tables_write_their_marks_once(spark):
     got = [(r["r"], r["c"], r["text"]) for r in markup.html_cells(pages).where("page_id = 1").orderBy("r", "c").collect()]
     assert got == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c")]
     assert len(written() - before) == 1
+
+
+def test_cells_are_read_without_windows(spark):
+    """One pass of a task: no exchange, and a page whose cells are more than a batch takes."""
+    many = "<table>" + "<tr><td rowspan=2>a &amp; <b>b</b><td>c" * 15_000 + "</table>"
+    pages = spark.createDataFrame([(1, many), (2, "<table><td>x<script><td>no</script><SCRIPT >\n</table>")], "page_id long, html string")
+    scanned = pages.select(F.col("page_id").alias("key"), markup._shown("html").alias("html")).mapInArrow(markup._cells, "key long, " + ", ".join(f"{k} {t}" for k, t in markup.CELL.items()))
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    got = markup.html_cells(pages)
+    assert got.columns == ["page_id", "table", "inner", "r", "c", "row_span", "col_span", "header", "text"]
+    assert got.groupBy("page_id").count().orderBy("page_id").collect() == [(1, 30_000), (2, 1)]
+    assert got.where("page_id = 1 and r = 1").orderBy("c").select("c", "text").collect() == [(1, "a & b"), (2, "c")]

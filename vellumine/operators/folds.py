@@ -112,26 +112,6 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["table_id"], batch["r"], batch["k"], pa.array(out, pa.int32())], ["table_id", "r", "k", "c"])
 
 
-def slot_columns(cells: Column) -> Column:
-    """The columns of a band's cells (r, k, rs, cs, ...), which are sorted by row and place."""
-    ints = "array<int>"
-    start = F.struct(F.lit(-1).cast("long").alias("r"), F.lit(0).alias("next"), F.array().cast(ints).alias("free"), F.array().cast(ints).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        r = x["r"].cast("long")
-        begin = F.when(s["r"] == r, s["next"]).otherwise(0)
-        free_at = F.get(F.filter(F.sequence(begin, F.greatest(begin, F.size(s["free"]))), lambda j: F.coalesce(F.get(s["free"], j), F.lit(0)) <= r), F.lit(0))
-        return F.get(F.transform(F.array(free_at), lambda c: placed(s, x, r, c)), F.lit(0))  # a lambda's variable is computed once
-
-    def placed(s: Column, x: Column, r: Column, c: Column) -> Column:
-        under = lambda j: (j >= c) & (j < c + x["cs"])
-        width = F.greatest(F.size(s["free"]), c + x["cs"])
-        free = F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.when(under(j), F.greatest(F.coalesce(F.get(s["free"], j), F.lit(0)), (r + x["rs"]).cast("int"))).otherwise(F.coalesce(F.get(s["free"], j), F.lit(0))))
-        return F.struct(r.alias("r"), (c + x["cs"]).alias("next"), free.alias("free"), F.concat(s["out"], F.array(c)).alias("out"))
-
-    return F.aggregate(cells, start, step, lambda s: s["out"])
-
-
 def inline_runs(html: Column) -> Column:
     """The runs of marked-up text: ARRAY of text, bold, italic, underline, strike, code, href.
 

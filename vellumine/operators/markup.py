@@ -1,4 +1,4 @@
-"""Blocks and table grids of HTML, by tokens and windows of a page.
+"""Blocks of HTML, by tokens and windows of a page, and its table grids, by one pass of a task through each page.
 
 A page is cut at the tags that part blocks, each with the text behind it, and windows in page order
 tell what is open at each: headings, lists by their depth, and tables by theirs. A text belongs to the innermost open table, which is
@@ -12,38 +12,55 @@ table outside its cells are left out, as are comments and what a browser doesn't
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import html_unescape
-from vellumine.operators.folds import slot_columns
-from vellumine.operators.trees import placed_texts
 from vellumine.shared import cut
 
 # Elements whose content isn't shown, elements that begin a block, the widest span.
 QUIET = ("script", "style", "noscript", "svg", "title", "template")
 EDGES = tuple("address article aside blockquote body caption dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 HIDDEN = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{t}(?:\s[^>]*[^/>])?\s*>.*?(?:</{t}\s*>|\z)" for t in QUIET)
+MAY_HIDE = rf"(?i)<(?:!--|{'|'.join(QUIET)})"  # where nothing begins what HIDDEN takes away, which is slow to tell
 TOKEN = r"(?s)</?[A-Za-z][^>]*>|<[!?][^>]*>|[^<]+|<"
 TAG = r"(?s)^</?([A-Za-z][^\s/>]*)[^>]*>$"
 EDGE, TABLE, BREAK = rf"(?i)^</?(?:{'|'.join(EDGES)})[\s/>]", r"(?i)^<table[\s/>]", r"(?i)^</?br[\s/>]"
 WIDEST = 1000
 
+# The same rules for a task that goes through a page, and the cells that it hands on at once.
+MARK = re.compile(r"([^<]*+)(<(?:(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|[!?][^>]*+>)?|\Z)", re.ASCII)
+ROWSPAN, COLSPAN = (re.compile(rf"""\s{name}\s*=\s*["']?\s*\+?0*([0-9]+)""", re.ASCII | re.IGNORECASE) for name in ("rowspan", "colspan"))
+SPACE, AROUND_BREAK = re.compile("[ \t\r\n\f]+"), re.compile(" *\x0b *")
+KINDS = {t: t if t in ("table", "tr", "td", "th") else "edge" for t in EDGES} | {"br": "br"}
+CELL = {"table": "int", "inner": "boolean", "r": "int", "c": "int", "row_span": "int", "col_span": "int", "header": "boolean", "text": "string"}
+CELLS = 10_000
+
+
+def _shown(html: str) -> Column:
+    """What is shown of a page."""
+    page = F.coalesce(html, F.lit(""))
+    seen = F.when(page.rlike(MAY_HIDE), F.regexp_replace(page, HIDDEN, "")).otherwise(page)
+    return F.replace(seen, F.lit("\x0b"), F.lit(" "))
+
 
 def _tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, n, t, raw, tag, ends, mark: the marks that part blocks, each with the text behind it; one without text stands before each table, for its place in what is around it.
 
     ``raw`` has no other marks: ``&;``, which no text has then, stands for them, and a lone ``<`` is a reference.
     """
-    shown = F.translate(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, ""), "\x0b", " ")
 
     def one(t: Column) -> Column:
         text = F.when(~F.startswith(t, F.lit("<")), F.replace(t, F.lit("&;"), F.lit("&amp;;"))).when(t == "<", "&lt;")
         return text.when(t.rlike(TABLE), F.concat(F.lit("<+>"), t)).when(t.rlike(EDGE), t).when(t.rlike(BREAK), "&;\x0b&;").otherwise("&;")
 
-    flat = F.array_join(F.transform(F.regexp_extract_all(shown, F.lit(TOKEN), F.lit(0)), one), "")
+    flat = F.array_join(F.transform(F.regexp_extract_all(_shown(html), F.lit(TOKEN), F.lit(0)), one), "")
     each = pages.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(flat, F.lit("<[^>]*>[^<]*|[^<]+"), F.lit(0))).alias("n", "x"))
     each = each.select("key", "n", F.regexp_extract("x", "^<[^>]*>", 0).alias("t"), F.regexp_replace("x", "^<[^>]*>", "").alias("raw"))
     return each.withColumns({"tag": F.lower(F.regexp_extract("t", TAG, 1)), "ends": F.startswith("t", F.lit("</")), "mark": F.col("t") == "<+>"})
@@ -70,25 +87,6 @@ def scanned(pages: DataFrame, key: str, html: str) -> DataFrame:
     return at.withColumn("list", F.when(F.col("lists") > 0, _latest(F.when(tag.isin("ul", "ol") & begins, tag), "lists")))
 
 
-def _in_tables(at: DataFrame) -> DataFrame:
-    """The scanned tokens with table, number, r, k: their place in the innermost table; inside: in a cell of it."""
-    tag, begins = F.col("tag"), ~F.col("ends")
-    at = at.withColumn("begun", F.count_if("mark").over(Window.partitionBy("key").orderBy("n")))
-    latest = _latest(F.when((tag == "table") & begins, F.struct(F.col("n").cast("long").alias("n"), (F.col("begun") - 1).cast("int").alias("number"))), "depth")
-    at = at.withColumn("of", F.when(F.col("depth") > 0, latest)).withColumns({"table": F.col("of.n"), "number": F.col("of.number")}).drop("of", "begun")
-    w = Window.partitionBy("key", "table").orderBy("n")
-    row, cell = (tag == "tr") & begins, tag.isin("td", "th") & begins
-    at = at.withColumns({"rows": F.count_if(row).over(w), "cells": F.count_if(cell).over(w), "inside": F.last(F.when(cell, True).when(tag.isin("tr", "td", "th"), False), ignorenulls=True).over(w)})
-    loose = F.max(F.when(cell & (F.col("rows") == 0), 1).otherwise(0)).over(w)  # cells before the first row are a row
-    before = F.coalesce(F.last(F.when(row, F.col("cells")), ignorenulls=True).over(w), F.lit(0))
-    in_table = F.col("table").isNotNull()
-    return at.withColumns({
-        "r": F.when(in_table, F.col("rows") - 1 + loose),
-        "k": F.when(in_table, F.col("cells") - before - 1),
-        "inside": in_table & F.coalesce("inside", F.lit(False)),
-    })
-
-
 def _plain(raw: Column) -> Column:
     """The text of a block: references resolved, white space as one space, none beside line breaks."""
     known = F.when(F.contains(raw, F.lit("&")), F.array_join(F.transform(F.split(raw, "&;"), html_unescape), "")).otherwise(raw)
@@ -108,47 +106,149 @@ def html_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -
     return top.select(F.col("key").alias(key), order.alias("ord"), "kind", plain("heading", 0), plain("list_kind", "none"), plain("level", 0), F.when(F.col("kind") == "paragraph", F.col("text")).alias("text"))
 
 
-def _span(name: str) -> Column:
-    given = F.regexp_extract("t", rf"""(?i)\s{name}\s*=\s*["']?\s*\+?0*([0-9]+)""", 1)
-    return F.when(given == "", 1).when(F.length(given) > 4, WIDEST).otherwise(F.least(F.greatest(F.substring(given, 1, 4).try_cast("int"), F.lit(1)), F.lit(WIDEST)))
-
-
 def html_cells(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, table, inner, r, c, row_span, col_span, header, text of the cells of all tables.
 
     ``table`` numbers a page's tables as they begin; ``inner`` is whether it stands in a cell.
     A cell's text is that of its blocks by lines, with a table in it as tabs and lines that hold all its cells. ``header`` is a
-    ``th``. Cells take the next column that no span from above holds.
+    ``th``. Cells take the next column that no span from above holds. A task goes once through each page; the cells are written once.
     """
-    at = _in_tables(scanned(pages, key, html).where("depth > 0 or mark"))
-    head, own = F.when(F.col("tag").isin("td", "th") & ~F.col("ends"), F.col("t")), F.when(F.col("mark"), F.col("n").cast("long") + 1)
-    rows = at.where("inside").select("key", "depth", "table", "number", "r", "k", F.col("n").alias("at"), own.alias("own"), head.alias("head"), _plain(F.col("raw")).alias("text"))
-    parts = cut(rows.where("own is not null or head is not null or text <> ''"), "parts")
-    levels, below = [], None
-    for depth in range(parts.agg(F.max("depth")).first()[0] or 0, 0, -1):
-        level = parts.where(F.col("depth") == depth)
-        if below is not None:
-            inner = level.where("own is not null").join(below, ["key", "own"], "left").withColumn("text", F.col("held")).drop("held")
-            level = level.where("own is null").unionByName(inner)
-        levels.append(cut(_slotted(level), "cells") if depth > 1 else _slotted(level))  # the outermost are read once
-        if depth > 1:
-            rows = levels[-1].groupBy("key", "table", "r").agg(placed_texts("c", F.col("text"), F.max("c") + 1, "\t").alias("line"))
-            below = rows.groupBy("key", F.col("table").alias("own")).agg(placed_texts("r", F.col("line"), F.max("r") + 1, "\n").alias("held"))
-    out = reduce(DataFrame.unionByName, levels) if levels else _slotted(parts)
-    return out.select(F.col("key").alias(key), F.col("number").alias("table"), (F.col("depth") > 1).alias("inner"), "r", "c", "row_span", "col_span", "header", "text")
-
-
-def _slotted(level: DataFrame) -> DataFrame:
-    """The cells of one depth with their columns and texts. A page has all its rows in one task already, so the bands are told by windows."""
-    texts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("at", "text"))))
-    of, head = ("key", "table", "depth", "number"), F.max("head")
-    begun = level.repartition("key").groupBy(*of, "r", "k").agg(head.alias("t"), F.array_join(F.transform(texts, lambda p: p["text"]), "\n").alias("text"))
-    cells = begun.withColumns({"row_span": _span("rowspan"), "col_span": _span("colspan"), "header": F.col("t").rlike("(?i)^<th")})
-    w = Window.partitionBy("key", "table").orderBy("r")
-    reach = F.max(F.col("r") + F.col("row_span")).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    heads = cells.withColumn("head", F.when(F.coalesce(reach <= F.col("r"), F.lit(True)), F.col("r")))
-    banded = heads.withColumn("band", F.last("head", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    x = F.struct(F.col("r").cast("long").alias("r"), F.col("k").cast("int").alias("k"), F.col("row_span").alias("rs"), F.col("col_span").alias("cs"), "header", "text")
-    each = banded.groupBy(*of, "band").agg(F.sort_array(F.collect_list(x)).alias("xs"))
-    out = each.select(*of, F.explode(F.arrays_zip(F.col("xs").alias("x"), slot_columns(F.col("xs")).alias("c"))).alias("z"))
-    return out.select(*of, F.col("z.x.r").cast("int").alias("r"), "z.c", F.col("z.x.rs").alias("row_span"), F.col("z.x.cs").alias("col_span"), "z.x.header", "z.x.text")
+    held = pages.select(F.col(key).alias("key"), _shown(html).alias("html"))
+    names = ", ".join(f"{name} {kind}" for name, kind in CELL.items())
+    cells = cut(held.mapInArrow(_cells, f"key {held.schema['key'].dataType.simpleString()}, {names}"), "cells")
+    return cells.withColumnRenamed("key", key)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of pages (key, html), in batches of ``CELLS`` and what is left of a page."""
+    kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+    for batch in batches:
+        of, out = [], []
+
+        def taken(keys: pa.Array, of: list[int], out: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(of, pa.int64())), *columns], ["key", *CELL])
+
+        for i in range(batch.num_rows):
+            for cell in cells_of(batch["html"][i].as_py()):
+                of.append(i)
+                out.append(cell)
+                if len(out) == CELLS:
+                    yield taken(batch["key"], of, out)
+                    of, out = [], []
+        if out:
+            yield taken(batch["key"], of, out)
+
+
+def _span(pattern: re.Pattern[str], marks: str) -> int:
+    given = pattern.search(marks)
+    return 1 if given is None else WIDEST if len(given[1]) > 4 else min(max(int(given[1]), 1), WIDEST)
+
+
+@lru_cache(4096)
+def _known(text: str) -> str:
+    return unescape(text)
+
+
+def _block(pieces: list[str]) -> str:
+    """The text of a block as ``_plain`` has it; references are resolved in each piece."""
+    text = "".join([p if "&" not in p else _known(p) if len(p) < 64 else unescape(p) for p in pieces])
+    if text.isprintable() and "  " not in text:  # nothing to fold
+        return text.strip(" ")
+    return AROUND_BREAK.sub("\n", SPACE.sub(" ", text)).strip(" \n")
+
+
+class _Table:
+    """A table that is open: the row, the next place in it, for each column the first row that is free, and the open cell with its texts."""
+
+    __slots__ = ("number", "inner", "r", "next", "free", "cell", "parts", "lines")
+
+    def __init__(self, number: int, inner: bool, kept: bool) -> None:
+        self.number, self.inner, self.r, self.next, self.free = number, inner, -1, 0, []
+        self.cell = self.parts = None
+        self.lines = {} if kept else None  # texts by row and column, for the cell that the table stands in
+
+    def begin(self, marks: str, header: bool) -> None:
+        rs, cs = (_span(ROWSPAN, marks), _span(COLSPAN, marks)) if marks else (1, 1)
+        if self.r < 0:
+            self.r = 0  # cells before the first row are a row
+        free, r, c = self.free, self.r, self.next
+        known = len(free)
+        while c < known and free[c] > r:
+            c += 1
+        self.next = after = c + cs
+        if after > known:
+            free += [0] * (after - known)
+        for j in range(c, after):
+            if free[j] < r + rs:
+                free[j] = r + rs
+        self.cell, self.parts = (r, c, rs, cs, header), []
+
+    def ended(self) -> tuple:
+        """The open cell as a row."""
+        r, c, rs, cs, header = self.cell
+        text = self.parts[0] if len(self.parts) == 1 else "\n".join(self.parts)
+        self.cell = self.parts = None
+        if self.lines is not None:
+            self.lines.setdefault(r, {})[c] = text
+        return self.number, self.inner, r, c, rs, cs, header, text
+
+    def text(self) -> str:
+        rows = self.lines
+        line = lambda cells: "\t".join([cells.get(c, "") for c in range(max(cells) + 1)])
+        return "\n".join([line(rows[r]) if r in rows else "" for r in range(max(rows, default=-1) + 1)])
+
+
+def cells_of(page: str) -> Iterator[tuple]:
+    """table, inner, r, c, row_span, col_span, header, text of a page without what isn't shown; only what is open is held."""
+    tables: list[_Table] = []
+    top, begun, pieces = None, 0, []
+    for m in MARK.finditer(page):
+        before, mark, ends, name, marks = m.groups()
+        if top and before and top.cell:
+            pieces.append(before)
+        if name is None:
+            if mark == "<" and top and top.cell:
+                pieces.append(mark)
+            continue
+        kind = KINDS.get(name) or (KINDS.get(name.lower()) if name.isascii() else None)
+        if kind is None:
+            continue
+        if kind == "br":
+            if top and top.cell:
+                pieces.append("\x0b")
+            continue
+        if pieces:
+            if text := _block(pieces):
+                top.parts.append(text)
+            pieces = []
+        if kind == "table":
+            if not ends:
+                top = _Table(begun, bool(tables), bool(top and top.cell))
+                tables.append(top)
+                begun += 1
+            elif top:
+                yield from _closed(tables)
+                top = tables[-1] if tables else None
+        elif top and kind != "edge":
+            if top.cell:
+                yield top.ended()
+            if ends:
+                continue
+            if kind == "tr":
+                top.r, top.next = top.r + 1, 0
+            else:
+                top.begin(marks, kind == "th")
+    if pieces and (text := _block(pieces)):
+        top.parts.append(text)
+    while tables:
+        yield from _closed(tables)
+
+
+def _closed(tables: list[_Table]) -> Iterator[tuple]:
+    """Ends the innermost table; its text is part of the cell around it."""
+    table = tables.pop()
+    if table.cell:
+        yield table.ended()
+    if table.lines and (text := table.text()):
+        tables[-1].parts.append(text)

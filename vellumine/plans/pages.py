@@ -51,15 +51,13 @@ UNION ALL SELECT k, number, true, 0, 1, 1, 1, false, status FROM x WHERE supp %
 )
 def _(spark, sf_dir):
     """Orders as pages with a table: a cell that spans all rows, cells that span columns, marks left open, tables in cells."""
-    of = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("q")).alias("x"))
+    part, flag, status, q = F.col("l_partkey"), F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity").cast("int")
+    mode = F.concat(F.when(part % 3 == 0, '<td colspan="2">s').otherwise("<td>s"), F.col("l_suppkey").cast("string"), F.when(part % 3 == 0, "</td>").otherwise(F.concat(F.lit("<td>"), status)))
+    nested = F.concat(F.lit("<td><p>"), flag, F.lit("<table><tr><td>"), q.cast("string"), F.lit("<td>"), status, F.lit("</table>end</td>"))
+    plain = F.concat(F.lit("<td><p>"), flag, F.lit(" &amp; <b>"), status, F.lit("</b>\n<p>&lt;"), q.cast("string"), F.lit("&gt;</td>"))
+    line = F.concat(F.lit("<td>"), part.cast("string"), mode, F.when(F.col("l_suppkey") % 4 == 0, nested).otherwise(plain), F.lit("</tr>"))
+    of = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", q.alias("q"), line.alias("line")).alias("x"))
     rows = of.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-
-    def line(x, i):
-        head = F.when(i == 0, F.concat(F.lit("<th rowspan="), F.size("xs").cast("string"), F.lit(">#"), F.col("l_orderkey").cast("string"), F.lit("</th>"))).otherwise("")
-        mode = F.when(x["l_partkey"] % 3 == 0, F.concat(F.lit('<td colspan="2">'), F.concat(F.lit("s"), x["l_suppkey"].cast("string")), F.lit("</td>"))).otherwise(F.concat(F.lit("<td>"), F.concat(F.lit("s"), x["l_suppkey"].cast("string")), F.lit("<td>"), x["l_linestatus"]))
-        nested = F.concat(F.lit("<td><p>"), x["l_returnflag"], F.lit("<table><tr><td>"), x["q"].cast("string"), F.lit("<td>"), x["l_linestatus"], F.lit("</table>end</td>"))
-        plain = F.concat(F.lit("<td><p>"), x["l_returnflag"], F.lit(" &amp; <b>"), x["l_linestatus"], F.lit("</b>\n<p>&lt;"), x["q"].cast("string"), F.lit("&gt;</td>"))
-        return F.concat(F.lit("<tr>"), head, F.lit("<td>"), x["l_partkey"].cast("string"), mode, F.when(x["l_suppkey"] % 4 == 0, nested).otherwise(plain), F.lit("</tr>"))
-
-    html = F.concat(F.lit("<body><h2>Order</h2><table><tbody>"), F.array_join(F.transform("xs", line), "\n"), F.lit("</table>"))
+    head = F.concat(F.lit("<tr><th rowspan="), F.size("xs").cast("string"), F.lit(">#"), F.col("l_orderkey").cast("string"), F.lit("</th>"))
+    html = F.concat(F.lit("<body><h2>Order</h2><table><tbody>"), head, F.array_join("xs.line", "\n<tr>"), F.lit("</table>"))
     return markup.html_cells(rows.select("l_orderkey", html.alias("html")), key="l_orderkey")
