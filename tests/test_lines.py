@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumine.sinks import committed
+from vellumine.sources.files import contents
 from vellumine.sources.lines import LineReader, line_before, lines_of, read_lines
 from vellumine.sources.text import delimiter_of, txt_blocks
 
@@ -128,3 +129,21 @@ def test_a_task_that_runs_twice_counts_once(tmp_path):
     assert set(p.name for p in tmp_path.iterdir()) == {committed.STAGING}
     writer.commit([again, None])
     assert listed(tmp_path) == {"a.txt": "1", "b.txt": ""}
+
+
+def test_files_are_opened_by_tasks_that_know_their_names(spark, tmp_path):
+    """Nothing is listed by the driver, and names that don't collide aren't kept there."""
+    out, report = f"file://{tmp_path}/out", str(tmp_path / "report")
+    committed.write_files(rows(spark, ["a b.md", "a b.md", "c%20.md", "empty"]).withColumn("content", F.when(F.col("name") != "empty", F.col("content"))), out, report=report)
+    saved = spark.read.schema("saved string").json(report).unionByName(spark.createDataFrame([(f"{out}/gone",), (None,)], "saved string"))
+    got = contents(saved, path="saved")
+    assert "BinaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {p and p.rpartition("/")[2]: (c and bytes(c), n) for p, c, n in got.collect()}
+    assert found == {"a b.md": (b"x", 1), "a b (1).md": (b"x", 1), "c%20.md": (b"x", 1), "empty": (b"", 0), "gone": (None, None), None: (None, None)}
+    writer = committed.FileWriter({"path": str(tmp_path / "more")}, False)
+    store, folder, _ = committed.opened(writer.folder)
+    store.create_dir(folder)
+    names = committed.Names(store, folder, "rename")
+    for name in ("a", "b", "a"):
+        (tmp_path / "more" / names.settle(name)).write_text(name)
+    assert sorted(p.name for p in (tmp_path / "more").iterdir()) == ["a", "a (1)", "b"] and not names.mine

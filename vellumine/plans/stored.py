@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vellumine.plans.registry import query
 from vellumine.shared import checkpoint_root, table
 from vellumine.sinks.committed import write_files
-from vellumine.sources.files import scan
+from vellumine.sources.files import contents
 from vellumine.sources.formats import sniff
 from vellumine.sources.lines import read_lines
 
@@ -73,8 +73,7 @@ def _(spark, sf_dir):
     content = F.when(k % 5 == 0, "").otherwise(F.concat(magic, "p_name"))
     report = f"{folder(spark)}-report"
     write_files(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string"), F.lit("."), ext).alias("name"), F.encode(content, "UTF-8").alias("content"), k.cast("string").alias("source")), at, report=report)
-    written = spark.read.schema("saved string").json(report).select(name_of("saved").alias("name"))
-    opened = scan(spark, at).select(name_of("path").alias("name"), "content", "length")  # the scan passes over empty files
+    opened = contents(spark.read.schema("saved string").json(report), path="saved").withColumn("name", name_of("path"))
     said, named = sniff(F.col("content")), F.regexp_extract("name", r"\.([^.]*)$", 1)
     fits = F.when(named == "txt", said.isNull()).otherwise(F.coalesce(said == named, F.lit(False)))
-    return written.join(opened, "name", "left").select("name", (F.coalesce(F.col("length") > 0, F.lit(False)) & fits).alias("ok"))
+    return opened.select("name", (F.coalesce(F.col("length") > 0, F.lit(False)) & fits).alias("ok"))

@@ -111,7 +111,8 @@ def _lines(stream) -> Iterator[bytes]:
 
 
 class Names:
-    """Final names by policy. Asks the store for each name; remembers those of the job that collided."""
+    """Final names by policy. Asks the store for each name, where the files before it have theirs already; remembers
+    names that collided, and all of the job only to overwrite, when the store doesn't tell old files from the job's."""
 
     def __init__(self, store: fs.FileSystem, folder: str, policy: str) -> None:
         self.store, self.folder, self.policy = store, folder, policy
@@ -124,15 +125,17 @@ class Names:
     def settle(self, name: str) -> str | None:
         """The name to move to; None to leave the file out."""
         overwrite = self.policy == "overwrite"
-        free = name not in self.mine and (overwrite or not self.there(name))
+        taken = (lambda n: n in self.mine) if overwrite else self.there
+        free = not taken(name)
         if not free and not overwrite and self.policy != "rename":
             return None
         if not free:
             base, k = name, self.next.get(name, 1)
-            while numbered(base, k) in self.mine or (not overwrite and self.there(numbered(base, k))):
+            while taken(numbered(base, k)):
                 k += 1
             self.next[base], name = k + 1, numbered(base, k)
-        self.mine.add(name)
+        if overwrite:
+            self.mine.add(name)
         return name
 
 

@@ -5,6 +5,7 @@ A file that cannot be read gives a row with its error and does not fail the job.
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import zipfile
 import zlib
@@ -12,14 +13,17 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
+from vellumine.shared import dealt
 from vellumine.sinks.office import WRITERS
 from vellumine.sources import office
 from vellumine.sources.formats import FORMATS, format_of_ext, resolve
+from vellumine.sources.lines import opened
 from vellumine.sources.office import Options, ReadError, format_of_content
 from vellumine.sources.pdf import read_pdf
 from vellumine.sources.runs import RUNS, block
@@ -29,6 +33,8 @@ READERS = office.READERS | {"pdf": read_pdf, "xls": read_xls}
 BLOCKS = f"array<struct<kind:string,text:string,heading:int,list_kind:string,level:int,cells:array<struct<r:int,c:int,row_span:int,col_span:int,text:string>>,runs:{RUNS},align:string,image:binary>>"
 #: Files that a task holds as Python objects at once, by rows and by bytes of Arrow; one larger file is held alone.
 PIECE_ROWS, PIECE_BYTES = 64, 1 << 20
+#: Files that a task opens.
+FILES = 5_000
 #: What a damaged file can raise.
 DAMAGE = (ReadError, ValueError, KeyError, IndexError, TypeError, AttributeError, OverflowError, RecursionError, struct.error, zlib.error, zipfile.BadZipFile)
 
@@ -48,6 +54,37 @@ def scan(spark: SparkSession, path: str | list[str], *, recursive: bool = True,
     return got.where(F.lower(F.regexp_extract("path", r"\.([^./\\\\]+)$", 1)).isin(*known))
 
 
+def contents(files: DataFrame, *, path: str = "path") -> DataFrame:
+    """path, content, length of the files that rows name, null where there is none.
+
+    Tasks open them, so the driver lists nothing. Paths are as ``write_files`` reports them: a folder's address and a bare name.
+    """
+    return dealt(files.select(F.col(path).alias("path")), "path", each=FILES).mapInArrow(_contents, "path string, content binary, length long")
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("length", pa.int64())])
+    stores: dict[str, tuple[fs.FileSystem, str]] = {}
+    for batch in batches:
+        rows, held = [], 0
+        for path in batch["path"].to_pylist():
+            content = None
+            if path is not None:
+                folder, _, name = path.rpartition("/")
+                if folder not in stores:
+                    stores[folder] = opened(folder)[:2]
+                store, place = stores[folder]
+                with contextlib.suppress(FileNotFoundError), store.open_input_stream(f"{place}/{name}") as f:
+                    content = f.read()
+            rows.append({"path": path, "content": content, "length": None if content is None else len(content)})
+            held += len(content or b"")
+            if held > PIECE_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
 def detect(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
     """``files`` with format: content and extension together."""
 
