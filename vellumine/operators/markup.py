@@ -1,9 +1,9 @@
 """Blocks of HTML, by tokens and windows of a page, and its table grids, by one pass of a task through each page.
 
-A page is cut at the tags that part blocks, each with the text behind it, and windows in page order
-tell what is open at each: headings, lists by their depth, and tables by theirs. A text belongs to the innermost open table, which is
-the latest that began at the depth of the text, and there to the latest row and cell. One exchange
-by page carries all; no page is held as a whole by a Python worker.
+For blocks, a page is cut at the tags that part them, each with the text behind it, and windows in page order
+tell what is open at each: headings, lists by their depth, and tables by theirs. One exchange by page carries all.
+For cells, a task goes through each page, which is one value of a row, and holds what is open. A text belongs to the innermost
+open table, and there to the latest row and cell.
 
 Null and empty pages have no blocks. Marks that end nothing count for nothing, what is left open
 ends with the page, and cells may come without a row. A tag ends at its first ``>``. Texts of a
